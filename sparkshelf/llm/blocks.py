@@ -38,19 +38,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _series(base: int, size: int) -> np.ndarray:
+    p = np.full(size, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
 @cache
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(b: int) -> np.ndarray:
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        return np.multiply.accumulate(p)
-
-    return series(BASE), series(pow(BASE, -1, 1 << 64))
+    return _series(BASE, size), _series(pow(BASE, -1, 1 << 64), size)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1."""
-    p, q = _powers(1 << max(12, (n - 1).bit_length()) if n <= 4 * BLOCK_BYTES else n)
+    """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1; those of common sizes are kept."""
+    if n > 1 << 22:
+        return _powers.__wrapped__(n)
+    p, q = _powers(1 << max(20, (n - 1).bit_length()))
     return p[:n], q[:n]
 
 
