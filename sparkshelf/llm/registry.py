@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, mixing, neardup, sharding, substrings, suffixes, tokens, toxicity
+from . import decontamination, embeddings, mixing, neardup, sharding, substrings, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -49,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_minhash_near_dedup, op4_substring_dedup, op5_sharding, op6_mixing, op7_toxicity, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_minhash_near_dedup, op4_substring_dedup, op5_sharding, op6_mixing, op7_toxicity, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_token_counts)}
 
 #: None of these can be said whole in the other engine's SQL: tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -64,8 +64,9 @@ def chunk_summary(text: str, start: int, size: int, overlap: int, path: str) ->
     """
     e = tokenizer(path).encode(text, add_special_tokens=False)
     sides: tuple[list[int], ...] = ([], [], [], [])
-    for i, (a, _) in enumerate(e.offsets):
-        if a and text[a - 1] in SPACES and (not i or e.offsets[i - 1][0] < a):
+    begins = [a for a, _ in e.offsets]
+    for i, a in enumerate(begins):
+        if a and text[a - 1] in SPACES and (not i or begins[i - 1] < a):
             if a < overlap:
                 sides[0].append(start + a)
                 sides[1].append(i)
