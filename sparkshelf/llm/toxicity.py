@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALNUM, Block, blocks, words
+from .graph import cut
 
 #: Labelled rows at most that terms and weights are learned from; of more, a hash of doc_id picks about so many.
 SAMPLE_ROWS = 20_000
@@ -20,9 +22,11 @@ SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 2_000
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
+#: Documents whose words are counted at once.
+COUNTED_ROWS = 400
 #: Bytes on either side of a hit that tell a quotation from abuse.
 CONTEXT = 80
-KEPT = 400_000
+KEPT = 200_000
 FEATURES = 8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -175,16 +179,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+COUNTS = "term string, clean long, toxic long, contexts long"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that have a word, or words with a stem, summed by batch."""
-    for batch in batches:
-        sums = Counter(), Counter()
+    """Documents of either label that have a word, or words with a stem, summed by batch; contexts: a 64-bit sketch of the words that follow it in toxic documents."""
+    for batch in (b.slice(at, COUNTED_ROWS) for b in batches for at in range(0, b.num_rows, COUNTED_ROWS)):
+        sums, contexts = (Counter(), Counter()), defaultdict(int)
         for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-            own = {w.decode("utf-8", "replace") for w in WORD.findall(text.as_py().encode().lower())}
-            sums[toxic].update(own)
-            sums[toxic].update({f"{w[:n]}*" for w in own for n in STEMS if len(w) > n})
+            all_ = [w.decode("utf-8", "replace") for w in WORD.findall(text.as_py().encode().lower())]
+            own = set(all_)
+            terms = own | {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n}
+            sums[toxic].update(terms)
+            if toxic:
+                for w, after in zip(all_, [*all_[1:], ""], strict=True):
+                    bit = 1 << (crc32(after.encode()) & 63)
+                    for t in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n)):
+                        contexts[t] |= bit
         terms = list(sums[0].keys() | sums[1].keys())
-        yield pa.RecordBatch.from_pydict({"term": terms, "clean": [sums[0][t] for t in terms], "toxic": [sums[1][t] for t in terms]}, pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+        masks = np.array([contexts.get(t, 0) for t in terms], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([x[t] for t in terms], pa.int64()) for x in sums), pa.array(masks)], names=["term", "clean", "toxic", "contexts"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -204,7 +218,11 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Lexicon([])
-    counts = train.select("text", "toxic").mapInArrow(_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("t >= 3")
+    counts = train.select("text", "toxic").mapInArrow(_counts, COUNTS).groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("n"), F.bit_or("contexts").alias("contexts")).where("n >= 3")
+    # of copies, whose words stand in the same contexts, all count as one: linear counting of distinct contexts
+    empty = F.lit(64) - F.bit_count("contexts")
+    counts = counts.withColumn("t", F.when(empty > 0, F.least(F.col("n").cast("double"), -64 * F.log(empty / 64))).otherwise(F.col("n").cast("double")))
+    counts = cut(counts)
     counts = counts.withColumn("odds", F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)))
     share = F.lit(toxic / (clean + toxic))
     seen = F.col("c") + F.col("t")
@@ -212,23 +230,21 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
     tried = counts.count()
     best = counts.where("odds >= 2").withColumn("gain", gain).where(F.col("gain") > 2 * (np.log(max(tried, 2)) + 3)).orderBy(F.desc("gain"), "term").limit(terms).collect()
     rows = {r.term: r for r in best}
-    covered = lambda t: any(f"{t[:k]}*" in rows and f"{t[:k]}*" != t and rows[f"{t[:k]}*"].odds >= 2.5 and rows[f"{t[:k]}*"].t > rows[t].t for k in STEMS)
+    covered = lambda t: any(f"{t[:k]}*" in rows and f"{t[:k]}*" != t and rows[f"{t[:k]}*"].odds >= rows[t].odds - 0.7 and rows[f"{t[:k]}*"].t > rows[t].t for k in STEMS)
     kept = [(t, float(r.odds)) for t, r in sorted(rows.items()) if not covered(t)]
     lexicon = Lexicon(kept)
-    near = lambda word: lexicon.trie.near(word)[0] >= 0
-    fuzzy = sorted({len(t) for t, _ in kept if not t.endswith("*") and edits_allowed(t)})
-    if not fuzzy:
+    if not len(lexicon.sizes):
         return lexicon
-    clean_words = train.where("toxic = 0").select("text", "toxic").mapInArrow(_counts, "term string, clean long, toxic long").where(~F.col("term").endswith("*") & F.length("term").between(fuzzy[0] - 2, fuzzy[-1] + 2))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [t.encode() for t in batch["term"].to_pylist()]
-            masks = np.array([np.bitwise_or.reduce(MASKS[np.frombuffer(t, np.uint8)]) for t in raw], np.uint32)
-            keep = lexicon.maybe(masks, np.array([len(t) for t in raw], np.int64)) if raw else []
-            yield pa.RecordBatch.from_pydict({"term": [t for t, k in zip(batch["term"].to_pylist(), keep, strict=True) if k and lexicon.trie.exact(t) < 0 and near(t)]}, pa.schema([("term", pa.string())]))
+            for block in blocks(batch["text"]):
+                found, at, _, edits = lexicon.matches(block)
+                at = at[edits > 0]
+                near = {block.data[a:b].tobytes().lower().decode("utf-8", "replace") for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["term"])
 
-    ordinary = clean_words.select("term").mapInArrow(neighbours, "term string").distinct().collect()
+    ordinary = train.where("toxic = 0").select("text").mapInArrow(neighbours, "term string").distinct().collect()
     return Lexicon(kept, frozenset(r[0] for r in ordinary))
 
 
