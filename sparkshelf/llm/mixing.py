@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 BLOCKS = 1024
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -61,13 +63,16 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int = BL
     Repeated rows count as rows; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # sources by a key that isn't null, so that joins and windows share one partitioning
+    name = F.col("source").cast("string")
+    key = F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name))
+    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("origin"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumns({"key": F.xxhash64("doc_id", F.lit(seed)), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")})
-    sums = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    ordered = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed)), "block")
+    sums = cut(sized.groupBy("origin", "block").agg(F.sum("size").alias("words")))
+    ordered = Window.partitionBy("origin").orderBy(F.xxhash64("origin", "block", F.lit(seed)), "block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumns({"rank": F.row_number().over(ordered) - 1, "before": F.coalesce(F.sum("words").over(before), F.lit(0))})
-    found = sorted(sums.groupBy("source").agg(F.sum("words"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
+    placed = sums.withColumns({"rank": F.row_number().over(ordered) - 1, "before": F.coalesce(F.sum("words").over(before), F.lit(0))}).drop("words")
+    found = sorted(sums.groupBy("origin").agg(F.sum("words"), F.count("*")).collect(), key=lambda r: (r[0] == "-", r[0]))
     targets = fill_targets([r[1] for r in found], [weights[i % len(weights)] for i in range(len(found))])
     goals = [min(round(t), 3 * r[1]) for t, r in zip(targets, found, strict=True)]
     passes = [goal // r[1] if r[1] else 0 for goal, r in zip(goals, found, strict=True)]
@@ -75,18 +80,14 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int = BL
     draws = [(p + (x > 0)) * r[2] for p, x, r in zip(passes, rest, found, strict=True)]
     bounds = np.cumsum(split_quotas(draws, shards, seed), axis=0)
     table = [(r[0], r[1], t, p, x, r[2], [int(b) for b in bounds[:, i]]) for i, (r, t, p, x) in enumerate(zip(found, targets, passes, rest, strict=True))]
-    sources = F.broadcast(spark.createDataFrame(table, "source string, source_size long, target double, passes long, rest long, n_blocks long, bounds array<long>"))
-    of_source = F.col("d.source").eqNullSafe(F.col("s.source"))
-    rows = sized.alias("d").join(sources.alias("s"), of_source).drop(F.col("s.source"))
-    same = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block"))
-    rows = rows.alias("d").join(placed.alias("b"), same).select("d.*", "rank", "before")
-    own = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))
-    rows = rows.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - start)))
+    sources = F.broadcast(spark.createDataFrame(table, "origin string, source_size long, target double, passes long, rest long, n_blocks long, bounds array<long>"))
+    own = Window.partitionBy("origin", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.join(placed, ["origin", "block"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).join(sources, "origin")
+    rows = rows.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start"))))
     n = F.col("passes") + (F.col("extra") > 0).cast("long")
     draw = lambda i: i * F.col("n_blocks") + F.col("rank")
     of = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.size(F.filter("bounds", lambda b: b <= draw(i))))
-    return rows.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "extra", "passes", F.slice(of, 1, n.cast("int")).alias("shard_of"))
+    return rows.select("row", "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "extra", "passes", F.slice(of, 1, n.cast("int")).alias("shard_of"))
 
 
 def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
@@ -102,7 +103,7 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     """
     plan = mix_plan(docs, shards, seed)
     each = plan.select("row", "size", "extra", "passes", F.posexplode("shard_of").alias("pass", "mix_shard"))
-    cut = (F.col("pass") >= F.col("passes")) & (F.col("extra") < F.col("size"))
-    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), 1, F.col("extra").cast("int")), " ")).otherwise(F.col("row.text"))
-    kept = {"text": text, "n_chars": F.when(cut, F.length(text)).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    short = (F.col("pass") >= F.col("passes")) & (F.col("extra") < F.col("size"))
+    text = F.when(short, F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), 1, F.col("extra").cast("int")), " ")).otherwise(F.col("row.text"))
+    kept = {"text": text, "n_chars": F.when(short, F.length(text)).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return each.select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "mix_shard", F.xxhash64("row.doc_id", "pass", F.lit(seed)).alias("mix_order"))
