@@ -28,6 +28,8 @@ COUNTED_ROWS = 400
 CONTEXT = 80
 KEPT = 200_000
 FEATURES = 8
+#: What a hit counts for each edit, as few labelled texts misspell.
+MISSPELLED = 0.8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 QUOTES = re.compile('"|“|”|„|«|»'.encode())
@@ -145,7 +147,7 @@ class Lexicon:
         return found, at, term[at], np.array([g[1] for g in got], np.int64)[back.reshape(-1)][at]
 
     def features(self, block: Block) -> np.ndarray:
-        """Of each document: a constant; of its hits outside quotations, those of words, stems and misspelled words, distinct terms, the largest strength and the share of words; and hits that are quoted."""
+        """Of each document: a constant; of its hits outside quotations, those of words (misspelled ones count less), of stems and of misspelled words alone, distinct terms, the largest strength and the share of words; and hits that are quoted."""
         found, at, terms, edits = self.matches(block)
         out = np.zeros((len(block), FEATURES))
         out[:, 0] = 1
@@ -156,12 +158,13 @@ class Lexicon:
             if quoted(block.data, a, int(found.starts[i]), int(found.ends[i]), b):
                 out[d, 7] += 1
                 continue
-            out[d, 3 if e else 2 if self.trie.terms[t].endswith("*") else 1] += 1
+            out[d, 2 if self.trie.terms[t].endswith("*") else 1] += MISSPELLED**e
+            out[d, 3] += e > 0
             seen[d].add(t)
-            out[d, 5] = max(out[d, 5], self.strength[t] / (1 + e))
+            out[d, 5] = max(out[d, 5], self.strength[t] * MISSPELLED**e)
         for d, s in seen.items():
             out[d, 4] = len(s)
-        out[:, 6] = 200 * out[:, 1:4].sum(axis=1) / (20 + found.counts)
+        out[:, 6] = 200 * out[:, 1:3].sum(axis=1) / (20 + found.counts)
         for i in (1, 2, 3, 4, 6, 7):
             out[:, i] = np.log1p(out[:, i])
         out[:, 5] /= 4
