@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,8 @@ def surt(url: str | None) -> str:
     rest = url.split("://", 1)[-1].split("#", 1)[0]
     host, slash, path = rest.partition("/")
     host, _, port = host.rpartition("@")[2].lower().partition(":")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + slash + path
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + slash + path
+    return key.replace("\t", "%09").replace("\n", "%0A")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -153,7 +153,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line(row: dict) -> str:
-    return "\t".join([row["key"].replace("\t", "%09").replace("\n", "%0A"), "" if row["page_id"] is None else str(row["page_id"]), row["record_type"], row["file"], str(row["offset"]), str(row["length"])])
+    return "\t".join([row["key"], "" if row["page_id"] is None else str(row["page_id"]), row["record_type"], row["file"], str(row["offset"]), str(row["length"])])
 
 
 def _blocks(lines: int):
@@ -195,16 +195,15 @@ def _search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     opened: dict[int, tuple[list[str], list[list[str]]]] = {}
     found: list[list] = [[], [], [], [], []]
     for wanted, page in sorted(zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True), key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
-        clean = wanted.replace("\t", "%09").replace("\n", "%0A")
-        at = max(0, bisect_left(directory, clean) - 1)
-        while at < len(directory) and directory[at] <= clean:
+        at = max(0, bisect_left(directory, wanted) - 1)
+        while at < len(directory) and directory[at] <= wanted:
             if at not in opened:
                 rows = [x.split("\t") for x in zlib.decompress(data[at].as_py()).decode().split("\n")]
                 if len(opened) > 8:
                     opened.pop(next(iter(opened)))
                 opened[at] = [r[0] for r in rows], rows
             keys, rows = opened[at]
-            for r in rows[bisect_left(keys, clean) : bisect_right(keys, clean)]:
+            for r in rows[bisect_left(keys, wanted) : bisect_right(keys, wanted)]:
                 if r[1] == ("" if page is None else str(page)):
                     for x, v in zip(found, (page, r[2], r[3], int(r[4]), int(r[5])), strict=True):
                         x.append(v)
