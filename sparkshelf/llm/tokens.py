@@ -17,7 +17,7 @@ from .graph import cut
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 #: Distinct pieces whose counts a worker keeps before it starts anew.
-KEPT = 400_000
+KEPT = 200_000
 SPACES = " \t\n\v\f\r"
 
 _counts: dict[int, int] = {}
