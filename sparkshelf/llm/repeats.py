@@ -86,7 +86,8 @@ def phrases(s: Symbols, rule: Rule) -> Phrases:
     end = whole.copy()
     end[:-1] &= (at[1:] != at[:-1]) | ~whole[1:]
     start = np.flatnonzero(new)
-    return Phrases(start, np.flatnonzero(end) + 1 - start, s.grams[at[start]], np.searchsorted(s.first, start, "right") - 1)
+    # smallest hashes are small numbers: mixed again, they spread over the buckets
+    return Phrases(start, np.flatnonzero(end) + 1 - start, mix(s.grams[at[start]]), np.searchsorted(s.first, start, "right") - 1)
 
 
 def _block_of(table: pa.Table) -> tuple[Block, np.ndarray]:
@@ -293,7 +294,7 @@ def first_windows(texts: list[bytes], n: np.ndarray, doc: np.ndarray, place: np.
     return out
 
 
-def settle(rule: Rule, most: int = 200_000):
+def settle(rule: Rule, most: int = 100_000):
     """A bucket's answer. Triggers are taken in batches of about `most` windows, so that a large bucket needs no more memory."""
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:

@@ -18,7 +18,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
     """Strings of bytes; the rolling hash of `gram` bytes is a trigger where it is the smallest of some string."""
-    return Rule(words=False, window=length, gram=min(gram, length), within=False)
+    return Rule(words=False, window=length, gram=min(gram, length), within=False, block_bytes=1 << 20, bucket_bytes=4 << 20)
 
 
 def _finish(block: Block, s: Symbols, gone: np.ndarray, table: pa.Table) -> pa.Table:
