@@ -30,9 +30,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; files, and rows in each, lie in the order of the mix's shards and inside them in its random order."""
     ship(spark)
-    return mixing.mixed_rows(docs, SHARDS).select(*[f"`{c}`" for c in docs.columns])
+    mixed = mixing.mixed_rows(docs, SHARDS).repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+    return mixed.select(*[f"`{c}`" for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,7 +59,8 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int = BL
     pass over blocks in a random order that ends after just t words: the last document may be cut.
     So no document exceeds a source's largest multiple. Blocks are dealt by the hash of doc_id and
     permuted by a seeded hash; a source's draws then go to output shards in that order, as many as
-    the splitting tree says. Only sums per source and quotas meet in the driver.
+    the splitting tree says. A draw is a pass over a block: all blocks in whole passes, in the
+    partial one only those with words that it reaches. Only sums per source and quotas meet in the driver.
     Repeated rows count as rows; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -71,28 +72,30 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int = BL
     sums = cut(sized.groupBy("origin", "block").agg(F.sum("size").alias("words")))
     ordered = Window.partitionBy("origin").orderBy(F.xxhash64("origin", "block", F.lit(seed)), "block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumns({"rank": F.row_number().over(ordered) - 1, "before": F.coalesce(F.sum("words").over(before), F.lit(0))}).drop("words")
+    placed = sums.withColumns({"rank": F.row_number().over(ordered) - 1, "before": F.coalesce(F.sum("words").over(before), F.lit(0)), "worded": F.coalesce(F.sum((F.col("words") > 0).cast("long")).over(before), F.lit(0))})
     found = sorted(sums.groupBy("origin").agg(F.sum("words"), F.count("*")).collect(), key=lambda r: (r[0] == "-", r[0]))
     targets = fill_targets([r[1] for r in found], [weights[i % len(weights)] for i in range(len(found))])
     goals = [min(round(t), 3 * r[1]) for t, r in zip(targets, found, strict=True)]
     passes = [goal // r[1] if r[1] else 0 for goal, r in zip(goals, found, strict=True)]
     rest = [goal - p * r[1] for goal, p, r in zip(goals, passes, found, strict=True)]
-    draws = [(p + (x > 0)) * r[2] for p, x, r in zip(passes, rest, found, strict=True)]
+    ends = F.broadcast(spark.createDataFrame([(r[0], x) for r, x in zip(found, rest, strict=True)], "origin string, rest long"))
+    reached = {r[0]: r[1] for r in placed.join(ends, "origin").where("words > 0 and before < rest").groupBy("origin").count().collect()}
+    draws = [p * r[2] + reached.get(r[0], 0) for p, r in zip(passes, found, strict=True)]
     bounds = np.cumsum(split_quotas(draws, shards, seed), axis=0)
     table = [(r[0], r[1], t, p, x, r[2], [int(b) for b in bounds[:, i]]) for i, (r, t, p, x) in enumerate(zip(found, targets, passes, rest, strict=True))]
     sources = F.broadcast(spark.createDataFrame(table, "origin string, source_size long, target double, passes long, rest long, n_blocks long, bounds array<long>"))
     own = Window.partitionBy("origin", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.join(placed, ["origin", "block"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).join(sources, "origin")
+    rows = sized.join(placed.drop("words"), ["origin", "block"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).join(sources, "origin")
     rows = rows.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start"))))
     n = F.col("passes") + (F.col("extra") > 0).cast("long")
-    draw = lambda i: i * F.col("n_blocks") + F.col("rank")
+    draw = lambda i: i * F.col("n_blocks") + F.when(i < F.col("passes"), F.col("rank")).otherwise(F.col("worded"))
     of = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.size(F.filter("bounds", lambda b: b <= draw(i))))
     return rows.select("row", "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "extra", "passes", F.slice(of, 1, n.cast("int")).alias("shard_of"))
 
 
 def mix_documents(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
-    return mix_plan(docs.select("doc_id", "source", "text"), shards, seed).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) and mix_shards (of each pass the output shard, joined by commas) of every document."""
+    return mix_plan(docs.select("doc_id", "source", "text"), shards, seed).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", F.col("shard_of").cast("array<string>")).alias("mix_shards"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:

@@ -264,6 +264,18 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_mixing_meets_the_quotas(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (i % 5)) for i in range(3000)], "doc_id long, source string, text string")
+    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(64))
+    plan = mixing.mix_plan(docs, 8, 17, 64).select("row.source", block.alias("block"), "doc_id", F.posexplode("shard_of").alias("pass", "shard")).collect()
+    draws = {(r.source, r.block, r["pass"], r.shard) for r in plan}
+    assert len(draws) == len({d[:3] for d in draws})
+    got = np.array([[sum(d[0] == s and d[3] == i for d in draws) for s in "abc"] for i in range(8)])
+    assert got.tolist() == mixing.split_quotas(got.sum(axis=0).tolist(), 8, 17).tolist() and np.ptp(got.sum(axis=1)) <= 1
+    want = {r.doc_id: ",".join(map(str, r.shard_of)) for r in mixing.mix_plan(docs, 8, 17).collect()}
+    assert {r.doc_id: r.mix_shards for r in mixing.mix_documents(docs, 8).collect()} == want and len(set(want.values())) > 8
+
+
 def test_quotas():
     q = mixing.split_quotas([100, 3, 0, 57], 7, 1)
     assert q.sum(axis=0).tolist() == [100, 3, 0, 57] and q.sum(axis=1).max() - q.sum(axis=1).min() <= 1

@@ -2,8 +2,10 @@
 
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
+from sparkshelf.llm.mixing import mixed_rows
 from sparkshelf.llm.toxicity import score_toxicity
 from sparkshelf.shipping import ship
 
@@ -33,3 +35,11 @@ def test_stages(spark, tmp_path):
 @pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
 def test_run_reads_again_what_it_wrote(spark):
     assert corpus_pipeline.run(spark, str(DATA)).count() > 0
+
+
+def test_mixing_is_written_in_mix_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (1 + i % 5)) for i in range(500)], "doc_id long, source string, text string")
+    want = [(r.doc_id, r.text) for r in mixed_rows(docs, corpus_pipeline.SHARDS).orderBy("mix_shard", "mix_order").collect()]
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    assert [(r["doc_id"], r["text"]) for f in files for r in pq.read_table(f).to_pylist()] == want
