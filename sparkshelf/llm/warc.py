@@ -2,8 +2,9 @@
 
 Archives are files of gzip members, one record each, as other tools read them; Spark's own text
 writer commits them, so a lost executor leaves no half file. The index sorts lines by reversed-host
-key into compressed blocks; a sparse directory holds each block's first key. A lookup bisects the
-shards' first keys, then the directory, then a block, and reads the record's range of its file.
+key and page into compressed blocks; a sparse directory holds each block's first key and page. A
+lookup bisects the shards' first ones, then the directory, then a block. Archives are read whole,
+as only Spark's readers reach their store; records are cut out by offset and length in memory.
 """
 
 from __future__ import annotations
@@ -157,13 +158,13 @@ def _line(row: dict) -> str:
 
 
 def _blocks(lines: int):
-    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("lines", pa.int32()), ("data", pa.binary())])
+    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("first_page", pa.int64()), ("lines", pa.int32()), ("data", pa.binary())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard, n = [], 0, 0
 
         def out(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [n], "first_key": [rows[0]["key"]], "lines": [len(rows)], "data": [zlib.compress("\n".join(map(_line, rows)).encode(), 6)]}, kinds)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [n], "first_key": [rows[0]["key"]], "first_page": [rows[0]["page_id"]], "lines": [len(rows)], "data": [zlib.compress("\n".join(map(_line, rows)).encode(), 6)]}, kinds)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -179,34 +180,36 @@ def _blocks(lines: int):
 
 
 def write_index(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Scans the archives of `path` and writes blocks (shard, block, first_key, lines, data) to path/index.
+    """Scans the archives of `path` and writes blocks (shard, block, first_key, first_page, lines, data) to path/index.
 
-    Shards are ranges of the keys; inside a shard, blocks of block_lines sorted lines are compressed.
+    Shards are ranges of all lines by key, page, file and offset, so one URL's captures, and even
+    those of one page, may take several; inside a shard, blocks of block_lines sorted lines are compressed.
     """
     lines = _archives(spark, path).select("path", "content").mapInArrow(_lines, LINE)
-    ordered = lines.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").withColumn("shard", F.spark_partition_id())
-    ordered.mapInArrow(_blocks(block_lines), "shard int, block int, first_key string, lines int, data binary").write.parquet(f"{path}/index")
+    ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset").withColumn("shard", F.spark_partition_id())
+    ordered.mapInArrow(_blocks(block_lines), "shard int, block int, first_key string, first_page long, lines int, data binary").write.parquet(f"{path}/index")
+
+
+def _place(key: str, page: int | None) -> tuple[str, bool, int]:
+    """Orders lines as the index does: by key's bytes (as Python's strings), then page, null first."""
+    return key, page is not None, page or 0
 
 
 def _search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The lines of the keys asked for in one shard: each is bisected in the directory, then in its block."""
+    """The lines of the (key, page_id) asked for in one shard, merged with its blocks in order: each is bisected in the directory, then in its block, which is opened once."""
     right = right.sort_by("block")
-    directory, data = right["first_key"].to_pylist(), right["data"]
-    opened: dict[int, tuple[list[str], list[list[str]]]] = {}
+    directory, data = [_place(*x) for x in zip(right["first_key"].to_pylist(), right["first_page"].to_pylist(), strict=True)], right["data"]
+    held, places, rows = -1, [], []
     found: list[list] = [[], [], [], [], []]
-    for wanted, page in sorted(zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True), key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
+    for wanted in sorted({_place(*x) for x in zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True)}):
         at = max(0, bisect_left(directory, wanted) - 1)
         while at < len(directory) and directory[at] <= wanted:
-            if at not in opened:
+            if at != held:
                 rows = [x.split("\t") for x in zlib.decompress(data[at].as_py()).decode().split("\n")]
-                if len(opened) > 8:
-                    opened.pop(next(iter(opened)))
-                opened[at] = [r[0] for r in rows], rows
-            keys, rows = opened[at]
-            for r in rows[bisect_left(keys, wanted) : bisect_right(keys, wanted)]:
-                if r[1] == ("" if page is None else str(page)):
-                    for x, v in zip(found, (page, r[2], r[3], int(r[4]), int(r[5])), strict=True):
-                        x.append(v)
+                held, places = at, [_place(r[0], int(r[1]) if r[1] else None) for r in rows]
+            for r in rows[bisect_left(places, wanted) : bisect_right(places, wanted)]:
+                for x, v in zip(found, (wanted[2] if wanted[1] else None, r[2], r[3], int(r[4]), int(r[5])), strict=True):
+                    x.append(v)
             at += 1
     return pa.table({"page_id": pa.array(found[0], pa.int64()), "record_type": pa.array(found[1], pa.string()), "file": pa.array(found[2], pa.string()), "offset": pa.array(found[3], pa.int64()), "length": pa.array(found[4], pa.int64())})
 
@@ -214,19 +217,21 @@ def _search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(page_id, record_type, file, offset, length) of the captures wanted (url, page_id).
 
-    Only the shards' first keys, one per shard, meet in the driver.
+    A wanted row goes to the one shard that may hold its (key, page_id), or to all of them where
+    its lines lie across borders. Only the shards' first keys and pages, one per shard, meet in the driver.
     """
     index = spark.read.parquet(f"{path}/index")
-    firsts = sorted(index.groupBy("shard").agg(F.min("first_key").alias("k")).collect(), key=lambda r: (r.k.encode(), r.shard))
-    keys, shards = [r.k.encode() for r in firsts], [r.shard for r in firsts]
+    firsts = sorted((_place(r.first_key, r.first_page), r.shard) for r in index.where("block = 0").select("shard", "first_key", "first_page").collect())
+    places, shards = [p for p, _ in firsts], [s for _, s in firsts]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             for url, page in zip(batch["url"].to_pylist(), batch["page_id"].to_pylist(), strict=True):
                 k = surt(url)
-                low = max(0, bisect_left(keys, k.encode()) - 1)
-                for i in range(low, max(low + 1, bisect_right(keys, k.encode()))):  # a key may stand on both sides of a border
+                place = _place(k, page)
+                low = max(0, bisect_left(places, place) - 1)
+                for i in range(low, max(low + 1, bisect_right(places, place))):  # it may stand on both sides of a border
                     if shards:
                         for x, v in zip(out, (shards[i], k, page), strict=True):
                             x.append(v)

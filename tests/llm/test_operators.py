@@ -4,10 +4,12 @@ import dataclasses
 import hashlib
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,38 @@ def test_warc_index_bisects(spark, tmp_path):
     assert warc.surt("http://U@www.Example.com:8080/a?b#c") == "com,example,www:8080)/a?b"
 
 
+def test_warc_hot_url_opens_a_block_once(monkeypatch):
+    lines = sorted([("k", None, 7), *(("k", i // 2, i) for i in range(400)), ("l", 5, 1)], key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    parts = [lines[a : a + 10] for a in range(0, len(lines), 10)]
+    line = lambda x: warc._line({"key": x[0], "page_id": x[1], "record_type": "response", "file": "f", "offset": x[2], "length": 1})
+    packed = [zlib.compress("\n".join(map(line, p)).encode()) for p in parts]
+    index = pa.table({"block": list(range(len(parts))), "first_key": [p[0][0] for p in parts], "first_page": pa.array([p[0][1] for p in parts], pa.int64()), "data": packed})
+    opened = []
+    monkeypatch.setattr(warc, "zlib", types.SimpleNamespace(decompress=lambda d: opened.append(d) or zlib.decompress(d)))
+    asked = pa.table({"key": [x[0] for x in lines], "page_id": pa.array([x[1] for x in lines], pa.int64())})
+    got = warc._search((), asked, index)
+    assert Counter(zip(got["page_id"].to_pylist(), got["offset"].to_pylist(), strict=True)) == Counter(x[1:] for x in lines)
+    assert len(opened) <= 2 * len(parts)
+
+
+def test_warc_hot_url_is_dealt_by_page(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 250 if i else None, None if i % 2 else "http://h/", f"page {i}") for i in range(600)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, file_records=50)
+    with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in with_conf}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    try:
+        warc.write_index(spark, path, block_lines=9)
+        asked = pages.select("url", "page_id")
+        found = warc.look_up(spark, path, asked).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert Counter(r.page_id for r in found) == Counter(r.page_id for r in asked.collect()) and len({(r.file, r.offset) for r in found}) == 600
+
+
 def sets_of(rows, size):
     out = []
     for i, t, *_ in rows:
