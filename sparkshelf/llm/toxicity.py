@@ -55,10 +55,10 @@ class Node:
 
 
 class Trie:
-    """Lexicon terms; a term that ends in * is a stem that any letters may follow."""
+    """Lexicon terms; a term that ends in * is a stem that any letters may follow. Covered words are found misspelled, but exactly as their stem alone."""
 
-    def __init__(self, terms: list[str]):
-        self.terms, self.root = terms, Node()
+    def __init__(self, terms: list[str], covered: frozenset[str] = frozenset()):
+        self.terms, self.covered, self.root = terms, covered, Node()
         for i, term in enumerate(terms):
             node, path = self.root, [self.root]
             for c in term.rstrip("*"):
@@ -79,7 +79,7 @@ class Trie:
             if node is None:
                 return stem
             stem = node.stem if node.stem >= 0 else stem
-        return node.word if node.word >= 0 else stem
+        return node.word if node.word >= 0 and self.terms[node.word] not in self.covered else stem
 
     def near(self, word: str) -> tuple[int, int]:
         """The term of fewest edits within its own allowance, and the edits; (-1, 0) if none.
@@ -103,10 +103,11 @@ class Trie:
 
 
 class Lexicon:
-    """Terms with their strengths (log odds of toxic against clean documents); ordinary: words near a term that clean texts use."""
+    """Terms with their strengths (log odds of toxic against clean documents); ordinary: words near a term that clean texts use; covered: words that count as hits of a stem, misspelled ones, too."""
 
-    def __init__(self, terms: list[tuple[str, float]], ordinary: frozenset[str] = frozenset()):
-        self.trie = Trie([t for t, _ in terms])
+    def __init__(self, terms: list[tuple[str, float]], ordinary: frozenset[str] = frozenset(), covered: frozenset[str] = frozenset()):
+        self.trie = Trie([t for t, _ in terms], covered)
+        self.counted = [self.trie.exact(t) if t in covered else i for i, (t, _) in enumerate(terms)]
         self.strength = [s for _, s in terms]
         self.ordinary = ordinary
         fuzzy = [t for t, _ in terms if not t.endswith("*") and edits_allowed(t)]
@@ -140,7 +141,8 @@ class Lexicon:
             for i, a, b, n in zip(new.tolist(), starts.tolist(), ends.tolist(), near.tolist(), strict=True):
                 word = data[a:b].lower().decode("utf-8", "replace")
                 term = self.trie.exact(word)
-                got[i] = (term, 0) if term >= 0 else self.trie.near(word) if n and word not in self.ordinary else (-1, 0)
+                term, edits = (term, 0) if term >= 0 else self.trie.near(word) if n and word not in self.ordinary else (-1, 0)
+                got[i] = (self.counted[term], edits) if term >= 0 else (-1, 0)
                 self.known[int(distinct[i])] = got[i]
         term = np.array([g[0] for g in got], np.int64)[back.reshape(-1)]
         at = np.flatnonzero(term >= 0)
@@ -234,8 +236,10 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
     best = counts.where("odds >= 2").withColumn("gain", gain).where(F.col("gain") > 2 * (np.log(max(tried, 2)) + 3)).orderBy(F.desc("gain"), "term").limit(terms).collect()
     rows = {r.term: r for r in best}
     covered = lambda t: any(f"{t[:k]}*" in rows and f"{t[:k]}*" != t and rows[f"{t[:k]}*"].odds >= rows[t].odds - 0.7 and rows[f"{t[:k]}*"].t > rows[t].t for k in STEMS)
-    kept = [(t, float(r.odds)) for t, r in sorted(rows.items()) if not covered(t)]
-    lexicon = Lexicon(kept)
+    # covered stems go, as they only match exactly; covered words stay for misspelled ones
+    whole = frozenset(t for t in rows if not t.endswith("*") and covered(t))
+    kept = [(t, float(r.odds)) for t, r in sorted(rows.items()) if t in whole or not covered(t)]
+    lexicon = Lexicon(kept, covered=whole)
     if not len(lexicon.sizes):
         return lexicon
 
@@ -248,7 +252,7 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["term"])
 
     ordinary = train.where("toxic = 0").select("text").mapInArrow(neighbours, "term string").distinct().collect()
-    return Lexicon(kept, frozenset(r[0] for r in ordinary))
+    return Lexicon(kept, frozenset(r[0] for r in ordinary), whole)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkshelf.llm import decontamination, embeddings, mixing, neardup, sharding, substrings, suffixes, tokens, toxicity, warc
+from sparkshelf.llm.blocks import blocks
 from sparkshelf.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, block int, row string"
@@ -354,6 +355,18 @@ def test_toxicity(spark):
     assert not toxicity.score_toxicity(docs, known.limit(0)).where("predicted = 1").count()
 
 
+def test_toxicity_finds_covered_words_misspelled(spark):
+    r = random.Random(5)
+    text = lambda *more: " ".join([r.choice("abcdefgh") * r.randint(1, 3) + r.choice("xyz") for _ in range(30)] + list(more))
+    rows = [(text(), 0) for _ in range(300)] + [(text(r.choice(["idiot", "idiot", "idiots"])), 1) for _ in range(90)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.trie.exact("idiot") >= 0 and lexicon.trie.terms[lexicon.trie.exact("idiot")].endswith("*")
+    (block,) = blocks(pa.array(["ldiot idot idi0t idiot idiots bbx"]))
+    _, at, terms, edits = lexicon.matches(block)
+    assert at.tolist() == [0, 1, 2, 3, 4] and edits[:2].tolist() == [1, 1] and edits[3:].tolist() == [0, 0]
+    assert all(lexicon.trie.terms[t].endswith("*") for t in terms)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     rows = [(1, 0, None), (2, 0, []), (3, 0, [0.0] * 8), (4, 0, [float("nan")] * 8), (5, None, [1.0] * 8), (6, 0, [1.0, None] * 4), (7, 0, [1.0, 2.0]), (8, 0, [2.0, 4.0]), (None, 0, [1.0] * 8), (9, 0, [float("inf")] * 8)]
