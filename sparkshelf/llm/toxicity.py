@@ -6,7 +6,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ALNUM, Block, blocks, words
 from .graph import cut
+from .neardup import near_duplicates
 
 #: Labelled rows at most that terms and weights are learned from; of more, a hash of doc_id picks about so many.
 SAMPLE_ROWS = 20_000
@@ -184,26 +184,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-COUNTS = "term string, clean long, toxic long, contexts long"
+COUNTS = "term string, clean long, toxic long"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that have a word, or words with a stem, summed by batch; contexts: a 64-bit sketch of the words that follow it in toxic documents."""
+    """Documents of either label that have a word, or words with a stem, summed by batch."""
     for batch in (b.slice(at, COUNTED_ROWS) for b in batches for at in range(0, b.num_rows, COUNTED_ROWS)):
-        sums, contexts = (Counter(), Counter()), defaultdict(int)
+        sums = (Counter(), Counter())
         for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-            all_ = [w.decode("utf-8", "replace") for w in WORD.findall(text.as_py().encode().lower())]
-            own = set(all_)
-            terms = own | {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n}
-            sums[toxic].update(terms)
-            if toxic:
-                for w, after in zip(all_, [*all_[1:], ""], strict=True):
-                    bit = 1 << (crc32(after.encode()) & 63)
-                    for t in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n)):
-                        contexts[t] |= bit
+            own = {w.decode("utf-8", "replace") for w in WORD.findall(text.as_py().encode().lower())}
+            sums[toxic].update(own | {f"{w[:n]}*" for w in own for n in STEMS if len(w) > n})
         terms = list(sums[0].keys() | sums[1].keys())
-        masks = np.array([contexts.get(t, 0) for t in terms], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([x[t] for t in terms], pa.int64()) for x in sums), pa.array(masks)], names=["term", "clean", "toxic", "contexts"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([x[t] for t in terms], pa.int64()) for x in sums)], names=["term", "clean", "toxic"])
+
+
+def without_copies(train: DataFrame) -> DataFrame:
+    """(text, toxic) of one training row of each label for each class of equal or near-equal texts."""
+    rows = cut(train.select("text", "toxic").distinct().select(F.xxhash64("text", "toxic").alias("doc_id"), "text", "toxic"))
+    classes = near_duplicates(rows).select("doc_id", "component_id")
+    kept = rows.select("doc_id", "toxic").join(classes, "doc_id").groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return cut(rows.join(kept.select("doc_id"), "doc_id").select("text", "toxic"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -218,16 +218,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
 
 
 def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
-    """Words and stems that toxic documents have far more often than chance allows, given how many were tried."""
-    n = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
+    """Words and stems that toxic documents have far more often than chance allows, given how many were tried. Copies count as one document."""
+    single = without_copies(train)
+    n = {r[0]: r[1] for r in single.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Lexicon([])
-    counts = train.select("text", "toxic").mapInArrow(_counts, COUNTS).groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("n"), F.bit_or("contexts").alias("contexts")).where("n >= 3")
-    # of copies, whose words stand in the same contexts, all count as one: linear counting of distinct contexts
-    empty = F.lit(64) - F.bit_count("contexts")
-    counts = counts.withColumn("t", F.when(empty > 0, F.least(F.col("n").cast("double"), -64 * F.log(empty / 64))).otherwise(F.col("n").cast("double")))
-    counts = cut(counts)
+    counts = cut(single.mapInArrow(_counts, COUNTS).groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("t >= 3"))
     counts = counts.withColumn("odds", F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)))
     share = F.lit(toxic / (clean + toxic))
     seen = F.col("c") + F.col("t")
@@ -280,7 +277,7 @@ class Model:
 
 def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     """Terms and weights from labelled rows that aren't held out. Without rows of both labels, all scores are 0.5 or less."""
-    train = training_rows(docs, labels, sample)
+    train = cut(training_rows(docs, labels, sample))
     lexicon = learn_lexicon(train)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

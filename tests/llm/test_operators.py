@@ -367,6 +367,15 @@ def test_toxicity_finds_covered_words_misspelled(spark):
     assert all(lexicon.trie.terms[t].endswith("*") for t in terms)
 
 
+def test_toxicity_learns_fixed_sentences_but_not_copies(spark):
+    r = random.Random(6)
+    text = lambda *more: " ".join([r.choice("abcdefgh") * r.randint(1, 3) + r.choice("xyz") for _ in range(30)] + list(more))
+    rows = [(text(), 0) for _ in range(300)] + [(text("vile", "grubnik", "goes"), 1) for _ in range(90)]
+    rows += [(text("marmot"), 1)] * 80
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.trie.exact("grubnik") >= 0 and lexicon.trie.exact("vile") >= 0 and lexicon.trie.exact("marmot") < 0
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     rows = [(1, 0, None), (2, 0, []), (3, 0, [0.0] * 8), (4, 0, [float("nan")] * 8), (5, None, [1.0] * 8), (6, 0, [1.0, None] * 4), (7, 0, [1.0, 2.0]), (8, 0, [2.0, 4.0]), (None, 0, [1.0] * 8), (9, 0, [float("inf")] * 8)]
