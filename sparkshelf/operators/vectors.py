@@ -29,37 +29,47 @@ def nearest(documents: DataFrame, vectors: DataFrame, query: list[float], limit:
     return rows.select("doc_pk", "collection", "path", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "collection", "path").limit(limit)
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+#: Rows of queries and of vectors that a task holds of a pair of blocks.
+QUERY_ROWS, VECTOR_ROWS = 8_192, 32_768
+#: Vectors of a matrix product.
+BATCH_ROWS = 8_192
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, query_rows: int = QUERY_ROWS, vector_rows: int = VECTOR_ROWS) -> DataFrame:
     """(query_id, vec_id, score, rank): exact top k of vectors (vec_id, embedding) for every query (query_id, embedding).
 
-    Queries are packed to blocks of `block` rows; each block meets each Arrow batch of vectors as
-    one matrix product, which gives k rows a query at most, so what is shuffled doesn't depend on
-    the number of pairs. Blocks go to tasks by broadcast, some at a time.
+    Both are dealt by hash to blocks of about query_rows and vector_rows; each pair of blocks meets
+    in a group of its own, as matrix products of `block` queries at a time, which give k rows a
+    query at most. Only the two counts meet in the driver. Each vector travels once per block of queries.
     """
-    spark = vectors.sparkSession
-    ordered = [(r[0], r[1]) for r in queries.select("query_id", "embedding").toLocalIterator()]
-    found = None
-    for at in range(0, len(ordered), block):
-        part = ordered[at : at + block]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part], np.float64)))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                v = batch["vec_id"].to_numpy()
-                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-                n = min(k, len(v))
-                top = np.lexsort((np.broadcast_to(v[:, None], s.shape), -np.round(s, 9)), axis=0)[:n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(v[top].T.reshape(-1)), pa.array(np.take_along_axis(s, top, 0).T.reshape(-1))], names=["query_id", "vec_id", "score"])
-
-        rows = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    i = max(1, -(-queries.count() // query_rows))
+    j = max(1, -(-vectors.count() // vector_rows))
+    of = lambda name, n: F.pmod(F.xxhash64(name, "embedding"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # both sides may come of one table: new names keep their columns apart in the cogroup
+    asked = queries.select(F.col("query_id").alias("query"), F.col("embedding").alias("q"), of("query_id", i).alias("i"), every(j).alias("j"))
+    held = vectors.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("x"), of("vec_id", j).alias("j"), every(i).alias("i"))
+
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        x = t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if left.num_rows and right.num_rows:
+            q, x = matrix(left, "q"), matrix(right, "x")
+            ids, v = left["query"].to_numpy(), right["vec"].to_numpy()
+            n = min(k, len(v))
+            for at in range(0, len(ids), block):
+                for low in range(0, len(v), BATCH_ROWS):
+                    w, s = v[low : low + BATCH_ROWS], x[low : low + BATCH_ROWS] @ q[at : at + block].T
+                    top = np.lexsort((np.broadcast_to(w[:, None], s.shape), -np.round(s, 9)), axis=0)[:n]
+                    for o, y in zip(out, (np.repeat(ids[at : at + block], len(top)), w[top].T.reshape(-1), np.take_along_axis(s, top, 0).T.reshape(-1)), strict=True):
+                        o.append(y)
+        return pa.table({name: np.concatenate(o) for name, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    pairs = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j"))
+    found = pairs.applyInArrow(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -1,5 +1,6 @@
 """Maintenance, fusion, vectors, sources and streams on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,19 @@ def test_collections():
     assert Collections(c.dumps()).all == {"m": {"path": "/x", "pattern": "**/*.md", "context": {"/a": "about a"}}}
     with pytest.raises(ValueError):
         c.rename("n", "k")
+
+
+def test_nearest_of_each_pairs_blocks(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(90, 4)).round(1)
+    rows = [(i, x[i % 80].tolist()) for i in range(90)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    unit = np.array([e for _, e in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    want = {(i, j, n + 1) for i in range(0, 90, 4) for n, j in enumerate(sorted(range(90), key=lambda j: (-scores[i, j], j))[:5])}
+    found = vectors.nearest_of_each(v, q, 5, block=3, query_rows=7, vector_rows=20)
+    assert {(t.query_id, t.vec_id, t["rank"]) for t in found.collect()} == want
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert vectors.nearest_of_each(v, q.limit(0), 5).count() == 0 == vectors.nearest_of_each(v.limit(0), q, 5).count()
