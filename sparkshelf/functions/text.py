@@ -47,7 +47,7 @@ def first_line(body: Column) -> Column:
 
 def lines(body: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    return F.split(F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), "\n$", ""), "\n", -1)
+    return F.split(F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), "\n\\z", ""), "\n", -1)
 
 
 def line_range(body: Column, start: int = 1, most: int | None = None) -> Column:
@@ -58,7 +58,7 @@ def line_range(body: Column, start: int = 1, most: int | None = None) -> Column:
 
 def line_numbers(body: Column, start: int = 1) -> Column:
     """Each line after its number, right-aligned to six places, and a tab."""
-    return F.array_join(F.transform(lines(body), lambda x, i: F.concat(F.lpad((i + start).cast("string"), 6, " "), F.lit("\t"), x)), "\n")
+    return F.array_join(F.transform(lines(body), lambda x, i: F.format_string("%6d\t%s", i + start, x)), "\n")
 
 
 def snippet(body: Column, query: str, most: int, position: Column | None = None) -> Column:

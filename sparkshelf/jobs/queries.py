@@ -294,6 +294,16 @@ _FIRST_WORDS = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
 def expansion_parse(spark, d):
     first = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
     o = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("original")).where(~F.contains("original", F.lit("\n")))
+    return _parsed(o)
+
+
+@query()
+def expansion_parse_whole(spark, d):
+    """Over every item's whole text; a line end in it ends the generated line."""
+    return _parsed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original")))
+
+
+def _parsed(o: DataFrame) -> DataFrame:
     return fusion.parse_expansion(o.withColumn("output", F.concat(F.lit("lex: "), F.lower("original"), F.lit("\nvec: about "), F.col("original"), F.lit("\nhyde: zzz\nnoise"))))
 
 
@@ -380,6 +390,18 @@ def line_numbers(spark, d):
     return table(spark, d, "documents").where("length(text) < 400 and instr(text, '\r') = 0").select("doc_id", text.line_numbers(F.col("text")).alias("numbered"))
 
 
+@query()
+def line_range_whole(spark, d):
+    """Over every row; CR LF ends a line as LF does, any other CR is part of its line."""
+    return table(spark, d, "documents").select("doc_id", text.line_range(F.col("text"), 2, 3).alias("part"))
+
+
+@query()
+def line_numbers_whole(spark, d):
+    """Over every row; CR LF ends a line as LF does, any other CR is part of its line."""
+    return table(spark, d, "documents").select("doc_id", text.line_numbers(F.col("text")).alias("numbered"))
+
+
 @query()
 def chunk_chars(spark, d):
     return chunks.chunk_chars(table(spark, d, "documents").where("text is not null"), "doc_id", "text")

@@ -52,8 +52,9 @@ def parse_expansion(outputs: DataFrame) -> DataFrame:
     Lines 'lex: ', 'vec: ' and 'hyde: ' count if they hold one of the original's terms of three
     bytes or more, or the original has none; without such a line, the simple expansion stands.
     """
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
     line = outputs.select("query_id", "original", F.posexplode(F.split("output", "\n")).alias("no", "line"))
-    parsed = line.select("query_id", "original", "no", F.regexp_extract(F.trim("line"), "^(lex|vec|hyde):", 1).alias("kind"), F.trim(F.regexp_extract(F.trim("line"), "^(?:lex|vec|hyde):(.*)$", 1)).alias("text"))
+    parsed = line.select("query_id", "original", "no", F.regexp_extract(bare("line"), "^(lex|vec|hyde):", 1).alias("kind"), bare(F.regexp_extract(bare("line"), "(?s)^(?:lex|vec|hyde):(.*)$", 1)).alias("text"))
     terms = F.filter(F.split(F.lower("original"), "\\s+"), lambda t: F.octet_length(t) >= 3)
     fits = (F.octet_length("original") < 3) | F.exists(terms, lambda t: F.contains(F.lower(F.col("text")), t))
     good = parsed.where((F.col("kind") != "") & (F.col("text") != "") & fits).select("query_id", F.col("no").cast("int").alias("no"), "kind", "text")

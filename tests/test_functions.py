@@ -1,10 +1,13 @@
 """Paths, titles, chunks and rendering on literal cases."""
 
+import re
+
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkshelf.functions import paths, render, text
+from sparkshelf.jobs import queries
 from sparkshelf.operators import chunks
 
 
@@ -57,3 +60,22 @@ def test_token_chunks_hold_every_paragraph(paragraphs, most, overlap):
     found = list(chunks.by_tokens(body, most, overlap))
     for p in paragraphs:
         assert any(p in c for _, c, _ in found)
+
+
+def test_line_queries_take_every_row(spark, tmp_path):
+    texts = [None, "", "a\r\nb\n", "x\n\n", "a\rb\n\rc\n\r", "\n".join(f"line {i}" for i in range(2000)), "one\r\n\r\n", "ab\ncd ef\rg hij\r\nlex: cd  \nend"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(t for t in texts if t)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    split = lambda t: t.replace("\r\n", "\n").removesuffix("\n").split("\n")
+    got = lambda name: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got("line_numbers_whole") == [(i, None if t is None else "\n".join(f"{n:>6}\t{x}" for n, x in enumerate(split(t), 1))) for i, t in enumerate(texts)]
+    assert got("line_range_whole") == [(i, None if t is None else "\n".join(split(t)[1:4])) for i, t in enumerate(texts)]
+    want = []
+    for i, o in enumerate(t for t in texts if t):
+        own = []
+        for no, line in enumerate(f"lex: {o.lower()}\nvec: about {o}\nhyde: zzz\nnoise".split("\n")):
+            m = re.match(r"(?s)(lex|vec|hyde):(.*)", line.strip())
+            if m and m[2].strip() and (len(o) < 3 or any(len(t) >= 3 and t in m[2].strip().lower() for t in o.lower().split())):
+                own.append((i, no, m[1], m[2].strip()))
+        want += own or [(i, 0, "lex", o), (i, 1, "vec", o), (i, 2, "hyde", f"Information about {o}")]
+    assert got("expansion_parse_whole") == sorted(want)
