@@ -127,7 +127,8 @@ def test_warc_hot_url_opens_a_block_once(monkeypatch):
     index = pa.table({"block": list(range(len(parts))), "first_key": [p[0][0] for p in parts], "first_page": pa.array([p[0][1] for p in parts], pa.int64()), "data": packed})
     opened = []
     monkeypatch.setattr(warc, "zlib", types.SimpleNamespace(decompress=lambda d: opened.append(d) or zlib.decompress(d)))
-    asked = pa.table({"key": [x[0] for x in lines], "page_id": pa.array([x[1] for x in lines], pa.int64())})
+    once = list(dict.fromkeys(x[:2] for x in lines))
+    asked = pa.table({"key": [k for k, _ in once], "page_id": pa.array([i for _, i in once], pa.int64())})
     got = warc._search((), asked, index)
     assert Counter(zip(got["page_id"].to_pylist(), got["offset"].to_pylist(), strict=True)) == Counter(x[1:] for x in lines)
     assert len(opened) <= 2 * len(parts)
