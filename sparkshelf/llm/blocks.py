@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,34 @@ class Rolling:
         return (self.sums[size:] - self.sums[:n]) * self.inverse[:n]
 
 
+def lanes(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """Of every byte, the eight bytes from there on as one number; zeros stand behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, kind, buffer=padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, not from sums of powers, for which words can be made that collide.
+
+    Up to eight bytes the hash is a bijection of the bytes for each length; up to sixteen, two
+    such are mixed; longer spans have eight bytes of BLAKE2b.
+    """
+    n = (ends - starts).astype(np.uint64)
+    eight = lanes(data)
+    left = lambda k: (np.uint64(8) - np.minimum(k, np.uint64(8))) * np.uint64(8)
+    cut = lambda x, k: np.where(k > 0, x << left(k) % np.uint64(64) >> left(k) % np.uint64(64), np.uint64(0))
+    h = mix(mix(cut(eight[starts], n)) + n * np.uint64(0x9FB21C651E98DF25))
+    some = np.flatnonzero(n > 8)
+    if len(some):
+        h[some] = mix(h[some] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(cut(eight[starts[some] + 8], n[some] - np.uint64(8)) ^ np.uint64(0x165667B19E3779F9)))
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        h[long] = np.frombuffer(b"".join(blake2b(view[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), "<u8")
+    return h
+
+
 def chained(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of `size` consecutive hashes."""
     n = max(0, len(hashes) - size + 1)
@@ -141,7 +170,7 @@ def words(block: Block, kind: np.ndarray, lower: bool = False, hashed: bool = Tr
     ends = np.flatnonzero(inside[1:-1] & ~after) + 1
     first = np.searchsorted(starts, block.offsets)
     first[-1] = len(starts)
-    hashes = mix(Rolling(LOWER[data] if lower else data).spans(starts, ends)) if hashed else np.zeros(0, np.uint64)
+    hashes = span_hashes(LOWER[data] if lower else data, starts, ends) if hashed else np.zeros(0, np.uint64)
     return Words(starts, ends, first, hashes)
 
 
@@ -154,11 +183,11 @@ def inside_documents(first: np.ndarray, size: int) -> np.ndarray:
 
 
 def sliding_argmin(hashes: np.ndarray, size: int) -> np.ndarray:
-    """For each window of `size` hashes, the index of its smallest, the leftmost of equal ones (by their upper bits)."""
+    """For each window of `size` hashes, the index of its smallest, the leftmost of equal ones, by their upper 32 bits whatever the array's length."""
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.int64)
-    bits = np.uint64(max(8, n.bit_length()))
+    bits = np.uint64(32)
     keys = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
     width = 1
     while width < size:

@@ -1,4 +1,4 @@
-"""Repeated windows of a corpus, found exactly: the engine under substring dedup and suffix-array dedup.
+"""The exchange under substring dedup and suffix-array dedup: equal windows of a corpus meet, and only those.
 
 A window is k consecutive symbols (words or bytes) of one document. A rolling hash picks a
 trigger in each window, its smallest m-gram, so equal windows have equal triggers. Consecutive
@@ -7,15 +7,17 @@ windows that share a trigger form a phrase: k - 1 symbols more than it has windo
 1. Documents are dealt evenly to blocks (the one shuffle of text; later steps reuse it).
 2. Each block sends, to buckets of the hash space, its triggers' hashes cut to a few bytes.
 3. A bucket marks the hashes that may repeat and tells each block, one bit a hash.
-4. Blocks send the phrases of marked triggers, packed by bucket; phrases that repeat inside a
-   block are settled there, so a group of copies sends one of each block.
-5. A bucket sorts its distinct phrases' windows, finds equal ones and answers with runs of
-   windows that are not the first.
-6. Blocks cut those runs from their documents.
+4. Blocks send the distinct phrases of marked triggers, packed by bucket and compressed, each with
+   its first document; a group of copies in a block sends one of them.
+5. A bucket orders the windows of its distinct phrases, by sorting their words, or for bytes by
+   the corpus order of a prefix-free parse (prefixfree.py), and answers with one bit a window: does
+   an equal one start earlier than in the phrase's first document?
+6. Blocks hand the bits to all occurrences of each phrase and cut the windows out.
 
 What a task holds is a block or a bucket, whose sizes are parameters. Marks are only a filter:
 a hash marked by chance costs work and never changes the result. Triggers found in very many
 blocks send single windows to buckets of their own, so no bucket gathers a hot trigger's phrases.
+Equality is always told by bytes, inside blocks and in buckets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACED, Block, Rolling, blocks, chained, inside_documents, mix, sliding_argmin, words
+from .prefixfree import equal_strings, parse
 
 
 @dataclass(frozen=True)
@@ -130,10 +133,9 @@ def _binary(name: str) -> tuple[str, pa.DataType]:
 
 
 MARKS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), _binary("hashes"), _binary("several")])
-SHARED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), _binary("shared"), _binary("hot")])
-PARTS = ("trigger", "doc", "row", "start", "n", "size", "data")
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("settled", pa.bool_()), *map(_binary, PARTS)])
-RUNS = pa.schema([("block", pa.int32()), _binary("row"), _binary("start"), _binary("n")])
+#: What a bucket tells a block: of its hashes which are shared and hot, or (answer) which windows of its phrases go.
+BACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("answer", pa.bool_()), _binary("one"), _binary("two")])
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), _binary("numbers"), _binary("data")])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -145,6 +147,14 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
+def _squeeze(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
+
+
+def _restore(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack_hashes(h: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray((h >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -187,98 +197,122 @@ def shared_triggers(rule: Rule, width: int):
         rows = []
         for block, a, b in zip(table["block"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
             if is_shared[a:b].any():
-                rows.append((block, key[0].as_py(), np.packbits(is_shared[a:b]).tobytes(), np.packbits(is_hot[a:b]).tobytes() if is_hot[a:b].any() else b""))
-        return _table(rows, SHARED)
+                rows.append((block, key[0].as_py(), False, np.packbits(is_shared[a:b]).tobytes(), np.packbits(is_hot[a:b]).tobytes() if is_hot[a:b].any() else b""))
+        return _table(rows, BACK)
 
     return shared
 
 
-def _fingerprints(p: Phrases, s: Symbols, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes tell phrases apart inside a block: of the first window, and of the last one and the length; together they hold every symbol."""
-    return s.window_hashes(p.start), mix(s.window_hashes(p.start + p.n - 1) + p.n.astype(np.uint64))
+@dataclass
+class Entries:
+    """A block's marked phrases. phrases: every occurrence; entry: which of the entries it is, or -1 if the block itself tells that all its windows start earlier.
+
+    texts, doc, row, start, n, sub of the entries, in the order in which bucket after bucket gets
+    them; bounds: each bucket's part. sub: 16 bits that equal windows' triggers share.
+    """
+
+    phrases: Phrases
+    entry: np.ndarray
+    texts: list[bytes]
+    doc: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    sub: np.ndarray
+    bounds: np.ndarray
+
+
+def entries(block: Block, docs: np.ndarray, s: Symbols, rule: Rule, buckets: int, marks: pa.Table) -> Entries:
+    """marks: what buckets told of this block's hashes."""
+    p = phrases(s, rule)
+    k = sketch(p, docs, rule, buckets)
+    shared, hot = np.zeros(len(k.hashes), bool), np.zeros(len(k.hashes), bool)
+    for b, bits, hots in zip(marks["bucket"].to_pylist(), marks["one"].to_pylist(), marks["two"].to_pylist(), strict=True):
+        part = slice(k.bounds[b], k.bounds[b + 1])
+        n = part.stop - part.start
+        shared[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        if hots:
+            hot[part] = np.unpackbits(np.frombuffer(hots, np.uint8), count=n)
+    at = np.searchsorted(k.hashes, p.trigger)
+    keep = shared[at] if len(at) else np.zeros(0, bool)
+    is_hot = hot[at][keep] if len(at) else keep
+    p = Phrases(p.start[keep], p.n[keep], p.trigger[keep], p.document[keep])
+    if is_hot.any():  # single windows, each to a bucket of its own content
+        one = Phrases(p.start[is_hot], p.n[is_hot], p.trigger[is_hot], p.document[is_hot])
+        start = np.repeat(one.start, one.n) + np.arange(one.n.sum()) - np.repeat(np.cumsum(one.n) - one.n, one.n)
+        own = mix(np.repeat(one.trigger, one.n) ^ s.window_hashes(start))
+        rest = Phrases(*(x[~is_hot] for x in (p.start, p.n, p.trigger, p.document)))
+        p = Phrases(np.append(rest.start, start), np.append(rest.n, np.ones(len(start), np.int64)), np.append(rest.trigger, own), np.append(rest.document, np.repeat(one.document, one.n)))
+    data = block.data.tobytes()
+    if rule.words:
+        texts = [b" ".join(data[x:y].split()) for x, y in zip(s.starts[p.start].tolist(), s.ends[p.start + p.n + rule.window - 2].tolist(), strict=True)]
+    else:
+        texts = [data[x:y] for x, y in zip(p.start.tolist(), (p.start + p.n + rule.window - 1).tolist(), strict=True)]
+    ids: dict[bytes, int] = {}
+    text = np.array([ids.setdefault(t, len(ids)) for t in texts], np.int64)
+    # an equal phrase that stands earlier in this block settles all windows of a later one
+    doc = docs[p.document]
+    order = np.lexsort((p.start, p.document, doc, text))
+    head = order[np.flatnonzero(np.diff(text[order], prepend=-1))][text] if len(order) else order
+    settled = doc > doc[head]
+    if rule.within:
+        own = np.ones(len(order), bool)
+        own[1:] = (text[order[1:]] != text[order[:-1]]) | (p.document[order[1:]] != p.document[order[:-1]])
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = ~own
+        settled |= repeated
+        lead = np.flatnonzero(~settled)
+        entry = np.where(settled, -1, np.cumsum(~settled) - 1)
+    else:
+        lead = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+        entry = np.where(settled, -1, text)
+    bucket = bucket_of(p.trigger[lead], buckets)
+    sub = ((p.trigger[lead] >> np.uint64(32)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)
+    sent = np.lexsort((sub, bucket))
+    place = np.empty(len(lead), np.int64)
+    place[sent] = np.arange(len(lead))
+    lead = lead[sent]
+    entry = np.where(entry < 0, -1, place[entry]) if len(place) else entry
+    return Entries(p, entry, [texts[i] for i in lead.tolist()], doc[lead], p.document[lead], (p.start - s.first[p.document])[lead], p.n[lead], sub[sent], np.searchsorted(bucket[sent], np.arange(buckets + 1)))
+
+
+#: Numbers that travel with an entry; the last two only where earlier starts in the same document count.
+NUMBERS = {"sub": "<u2", "doc": "<i8", "size": "<u4", "row": "<u4", "start": "<u4"}
+
+
+def _numbers(rule: Rule) -> dict[str, str]:
+    return dict(list(NUMBERS.items())[: 5 if rule.within else 3])
 
 
 def send_phrases(rule: Rule, buckets: int):
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block, docs = _block_of(left)
-        s = symbols(block, rule)
-        p = phrases(s, rule)
-        k = sketch(p, docs, rule, buckets)
-        shared, hot = np.zeros(len(k.hashes), bool), np.zeros(len(k.hashes), bool)
-        for b, bits, hots in zip(right["bucket"].to_pylist(), right["shared"].to_pylist(), right["hot"].to_pylist(), strict=True):
-            part = slice(k.bounds[b], k.bounds[b + 1])
-            n = part.stop - part.start
-            shared[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            if hots:
-                hot[part] = np.unpackbits(np.frombuffer(hots, np.uint8), count=n)
-        at = np.searchsorted(k.hashes, p.trigger)
-        keep = shared[at] if len(at) else np.zeros(0, bool)
-        is_hot = hot[at][keep] if len(at) else keep
-        p = Phrases(p.start[keep], p.n[keep], p.trigger[keep], p.document[keep])
-        if is_hot.any():  # single windows, each to a bucket of its own content
-            one = Phrases(p.start[is_hot], p.n[is_hot], p.trigger[is_hot], p.document[is_hot])
-            start = np.repeat(one.start, one.n) + np.arange(one.n.sum()) - np.repeat(np.cumsum(one.n) - one.n, one.n)
-            own = mix(np.repeat(one.trigger, one.n) ^ s.window_hashes(start))
-            rest = Phrases(*(x[~is_hot] for x in (p.start, p.n, p.trigger, p.document)))
-            p = Phrases(np.append(rest.start, start), np.append(rest.n, np.ones(len(start), np.int64)), np.append(rest.trigger, own), np.append(rest.document, np.repeat(one.document, one.n)))
-        first = s.first[p.document]
-        doc = docs[p.document]
-        # phrases that repeat in this block: those after its first one are settled
-        one, two = _fingerprints(p, s, rule)
-        order = np.lexsort((p.start, p.document, doc, two, one))
-        new = np.ones(len(order), bool)
-        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-        later = doc[order] > doc[head]
-        if rule.within:
-            later |= (p.document[order] == p.document[head]) & (p.start[order] > p.start[head])
-        settled = np.zeros(len(order), bool)
-        settled[order] = later
+        e = entries(block, docs, symbols(block, rule), rule, buckets, right)
+        columns = {"sub": e.sub, "doc": e.doc, "size": np.array([len(t) for t in e.texts]), "row": e.row, "start": e.start}
         rows = []
-        done = np.flatnonzero(settled)
-        me = key[0].as_py()
-        if len(done):
-            rows.append((me % buckets, me, True, b"", b"", p.document[done].astype("<u4").tobytes(), (p.start - first)[done].astype("<u4").tobytes(), p.n[done].astype("<u2").tobytes(), b"", b""))
-        todo = np.flatnonzero(~settled)
-        bucket = bucket_of(p.trigger[todo], buckets)
-        todo = todo[np.argsort(bucket, kind="stable")]
-        bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-        data = block.data.tobytes()
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            i = todo[bounds[b] : bounds[b + 1]]
-            a, z = p.start[i], p.start[i] + p.n[i] + rule.window - 1
-            if rule.words:
-                text = [b" ".join(data[x:y].split()) for x, y in zip(s.starts[a].tolist(), s.ends[z - 1].tolist(), strict=True)]
-            else:
-                text = [data[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-            sizes = np.array([len(t) for t in text], "<u4")
-            rows.append((b, me, False, p.trigger[i].astype("<u8").tobytes(), doc[i].astype("<i8").tobytes(), p.document[i].astype("<u4").tobytes(), (p.start - first)[i].astype("<u4").tobytes(), p.n[i].astype("<u2").tobytes(), sizes.tobytes(), b"".join(text)))
+        for b in np.flatnonzero(np.diff(e.bounds)).tolist():
+            part = slice(e.bounds[b], e.bounds[b + 1])
+            numbers = b"".join(columns[c][part].astype(kind).tobytes() for c, kind in _numbers(rule).items())
+            rows.append((b, key[0].as_py(), part.stop - part.start, _squeeze(numbers), _squeeze(b"".join(e.texts[part]))))
         return _table(rows, SENT)
 
     return send
 
 
-def _window_rows(texts: list[bytes], n: np.ndarray, rule: Rule) -> np.ndarray:
-    """A row of big-endian symbols for every window of the phrases in turn."""
-    if rule.words:
-        ids: dict[bytes, int] = {}
-        flat = np.array([ids.setdefault(w, len(ids)) for t in texts for w in t.split(b" ")], ">u4")
-    else:
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-    length = n + rule.window - 1
-    first = np.repeat(np.cumsum(length) - length, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, rule.window)[first])
+def _flat(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every item of lists of these sizes, its list and its place in it."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def first_windows(texts: list[bytes], n: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, rule: Rule) -> np.ndarray:
-    """For every window of distinct phrases, each with its first occurrence: does an equal window start earlier?
-
-    This is the suffix array of the dictionary, cut at the window's length: windows in the order
-    of their symbols, equal ones next to each other and those of the smallest document first.
-    """
-    rows = _window_rows(texts, n, rule)
-    of = np.repeat(np.arange(len(n)), n)
-    at = start[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+def late_words(texts: list[bytes], n: np.ndarray, doc: np.ndarray, place: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """For every window of words of the entries: does an equal one start earlier? Windows are sorted by their words and compared word by word."""
+    ids: dict[bytes, int] = {}
+    flat = np.array([ids.setdefault(w, len(ids)) for t in texts for w in t.split(b" ")], ">u4")
+    length = n + window - 1
+    of, inner = _flat(n)
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, window)[(np.cumsum(length) - length)[of] + inner])
+    at = start[of] + inner
     base = np.lexsort((at, place[of], doc[of]))
     values = rows.view(f"V{rows.shape[1] * rows.itemsize}").reshape(-1)
     order = base[np.argsort(values[base], kind="stable")]
@@ -286,103 +320,124 @@ def first_windows(texts: list[bytes], n: np.ndarray, doc: np.ndarray, place: np.
     new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     late = doc[of[order]] > doc[of[head]]
-    if rule.within:
-        before = np.roll(order, 1)
-        late |= ~new & (place[of[order]] == place[of[before]]) & (at[order] > at[before])
+    before = np.roll(order, 1)
+    late |= ~new & (place[of[order]] == place[of[before]]) & (at[order] > at[before])
     out = np.zeros(len(order), bool)
     out[order] = late
     return out
 
 
+def late_bytes(texts: list[bytes], n: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """For every string of the entries' bytes: does an equal one start in a document of a smaller number? The corpus order of a prefix-free parse brings equal ones together."""
+    of, inner = _flat(n)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    string = equal_strings(parse(texts), (np.cumsum(sizes) - sizes)[of] + inner, window)
+    least = np.full(int(string.max()) + 1 if len(string) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, string, doc[of])
+    return least[string] < doc[of]
+
+
 def settle(rule: Rule, most: int = 100_000):
-    """A bucket's answer. Triggers are taken in batches of about `most` windows, so that a large bucket needs no more memory."""
+    """A bucket's answers. Entries are taken in batches of about `most` windows whose triggers differ, so that a large bucket needs no more memory."""
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [(r["block"], r["row"], r["start"], r["n"]) for r in table.filter(table["settled"]).select(["block", "row", "start", "n"]).to_pylist()]
-        sent = table.filter(pc.invert(table["settled"]))
-        if not sent.num_rows:
-            return _table(rows, RUNS)
-        parts = {c: [b.as_py() for b in sent[c]] for c in PARTS}
-        kinds = {"trigger": "<u8", "doc": "<i8", "row": "<u4", "start": "<u4", "n": "<u2", "size": "<u4"}
-        v = {c: np.concatenate([np.frombuffer(b, k) for b in parts[c]]) for c, k in kinds.items()}
-        block = np.repeat(np.array(sent["block"].to_pylist(), np.int64), [len(b) // 8 for b in parts["trigger"]])
-        data = b"".join(parts.pop("data"))
-        ends = np.cumsum(v["size"].astype(np.int64))
-        order = np.argsort(v["trigger"], kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(v["trigger"][order], prepend=~v["trigger"][order[:1]])), len(order))
-        cost = np.cumsum(v["n"][order].astype(np.int64))
-        runs = [[], [], [], []]
+        kinds, parts, texts = _numbers(rule), [], []
+        counts = table["n"].to_pylist()
+        for n, packed, data in zip(counts, table["numbers"], table["data"], strict=True):
+            raw, at, own = _restore(packed.as_py()), 0, {}
+            for c, kind in kinds.items():
+                own[c] = np.frombuffer(raw, kind, n, at).astype(np.int64)
+                at += own[c].nbytes // 8 * np.dtype(kind).itemsize
+            parts.append(own)
+            data, ends = _restore(data.as_py()), np.cumsum(own["size"]).tolist()
+            texts += [data[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+        v = {c: np.concatenate([p[c] for p in parts]) for c in kinds}
+        n = np.array([t.count(b" ") + 1 for t in texts] if rule.words else v["size"], np.int64) - rule.window + 1
+        place = np.repeat(np.array(table["block"].to_pylist(), np.int64), counts) << 32
+        if rule.within:
+            place |= v["row"]
+        base = np.append(0, np.cumsum(n))
+        gone = np.zeros(int(base[-1]), bool)
+        order = np.argsort(v["sub"], kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(v["sub"][order], prepend=-1)), len(order))
+        cost = np.append(0, np.cumsum(n[order]))
         low = 0
         while low < len(edges) - 1:
-            have = cost[edges[low]] - v["n"][order[edges[low]]]
-            high = max(low + 1, int(np.searchsorted(cost[edges[low + 1 :] - 1], have + most, "right")) + low)
-            found = _settled(order[edges[low] : edges[high]], v, block, data, ends, rule)
-            for x, y in zip(runs, found, strict=True):
-                x.append(y)
+            high = max(low + 1, int(np.searchsorted(cost[edges[low + 1 :]], cost[edges[low]] + most, "right")) + low)
+            own = order[edges[low] : edges[high]]
+            flags = _late(own, v, n, place, texts, rule)
+            of, inner = _flat(n[own])
+            gone[(base[own][of] + inner)[flags]] = True
             low = high
-        b, r, s, n = (np.concatenate(x) for x in runs)
-        order = np.argsort(b, kind="stable")
-        own, at = np.unique(b[order], return_index=True)
-        if not len(own):
-            return _table(rows, RUNS)
-        for one, i in zip(own.tolist(), np.split(order, at[1:]), strict=True):
-            rows.append((one, r[i].astype("<u4").tobytes(), s[i].astype("<u4").tobytes(), n[i].astype("<u2").tobytes()))
-        return _table(rows, RUNS)
+        rows, ends = [], np.cumsum(counts).tolist()
+        for block, a, z in zip(table["block"].to_pylist(), [0, *ends], ends, strict=False):
+            bits = gone[base[a] : base[z]]
+            if bits.any():
+                rows.append((block, key[0].as_py(), True, _squeeze(np.packbits(bits).tobytes()), b""))
+        return _table(rows, BACK)
 
     return answer
 
 
-def _settled(i: np.ndarray, v: dict[str, np.ndarray], block: np.ndarray, data: bytes, ends: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """Runs (block, row, start, n) of windows of these occurrences that start earlier elsewhere."""
-    # triggers of one document only, marked by chance, settle nothing
-    trigger, doc = v["trigger"][i], v["doc"][i]
-    at = np.flatnonzero(np.diff(trigger, prepend=~trigger[:1]))
-    sizes = np.diff(np.append(at, len(i)))
-    worth = sizes > 1 if rule.within else np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-    i = i[np.repeat(worth, sizes)]
-    if not len(i):
-        return (np.zeros(0, np.int64),) * 4
+def _late(i: np.ndarray, v: dict[str, np.ndarray], n: np.ndarray, place: np.ndarray, texts: list[bytes], rule: Rule) -> np.ndarray:
+    """For every window of these entries in turn: does an equal one start earlier?"""
     ids: dict[bytes, int] = {}
-    of = np.array([ids.setdefault(data[e - s : e], len(ids)) for e, s in zip(ends[i].tolist(), v["size"][i].tolist(), strict=True)])
-    doc, start, n = v["doc"][i], v["start"][i].astype(np.int64), v["n"][i].astype(np.int64)
-    place = block[i] << 32 | v["row"][i]
-    order = np.lexsort((start, place, doc, of))
-    first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
-    head = first[of]
-    whole = doc > doc[head]
+    text = np.array([ids.setdefault(texts[j], len(ids)) for j in i.tolist()], np.int64)
+    doc, places = v["doc"][i], place[i]
+    start = v["start"][i] if rule.within else np.zeros(len(i), np.int64)
+    order = np.lexsort((start, places, doc, text))
+    first = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+    whole = doc > doc[first][text]
     if rule.within:
-        whole |= (place == place[head]) & (start > start[head])
-    late = first_windows(list(ids), n[first], doc[first], place[first], start[first], rule)
-    base = np.cumsum(n[first]) - n[first]
-    rest = np.flatnonzero(~whole)
-    windows = np.repeat(base[of[rest]], n[rest]) + np.arange(n[rest].sum()) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest])
-    flags = late[windows]
-    new = flags.copy()
-    heads = np.cumsum(n[rest]) - n[rest]
-    fresh = np.zeros(len(flags) + 1, bool)
-    fresh[heads] = fresh[-1] = True
-    new[1:] &= ~flags[:-1] | fresh[1:-1]
-    end = flags.copy()
-    end[:-1] &= ~flags[1:] | fresh[1:-1]
-    a, z = np.flatnonzero(new), np.flatnonzero(end) + 1
-    who = np.searchsorted(heads, a, "right") - 1
-    o = rest[who]
-    w = np.flatnonzero(whole)
-    return np.append(block[i[w]], block[i[o]]), np.append(v["row"][i[w]], v["row"][i[o]]).astype(np.int64), np.append(start[w], start[o] + a - heads[who]), np.append(n[w], z - a)
-
-
-def cut_runs(rule: Rule, finish: Callable[[Block, Symbols, np.ndarray, np.ndarray], pa.Table]):
-    """finish: gets a block, its symbols, for each symbol whether it goes, and the docs' keys in the rows' order."""
+        again = np.zeros(len(i), bool)
+        again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (places[order[1:]] == places[order[:-1]]) & (start[order[1:]] > start[order[:-1]])
+        whole |= again
+    flags = np.repeat(whole, n[i])
+    # only triggers with several distinct phrases hold windows that others may hold, too
+    sub = v["sub"][i]
+    groups, back = np.unique(sub[first], return_inverse=True)
+    several = np.bincount(back.reshape(-1)) > 1
+    todo = np.flatnonzero(~whole & several[np.searchsorted(groups, sub)]) if rule.within else first[several[back.reshape(-1)]]
+    if len(todo):
+        some = [texts[j] for j in i[todo].tolist()]
+        if rule.words:
+            late = late_words(some, n[i[todo]], doc[todo], places[todo], start[todo], rule.window)
+        else:
+            late = late_bytes(some, n[i[todo]], doc[todo], rule.window)
+        # an entry that isn't settled whole has its own answer, or that of its text
+        base = np.full(len(i), -1, np.int64)
+        base[todo] = np.cumsum(n[i[todo]]) - n[i[todo]]
+        if not rule.within:
+            base = base[first][text]
+        rest = np.flatnonzero(~whole & (base >= 0))
+        of, inner = _flat(n[i[rest]])
+        begin = np.cumsum(n[i]) - n[i]
+        flags[begin[rest][of] + inner] = late[base[rest][of] + inner]
+    return flags
+
+
+def cut_runs(rule: Rule, buckets: int, finish: Callable[[Block, Symbols, np.ndarray, pa.Table], pa.Table]):
+    """finish: gets a block, its symbols, for each symbol whether it goes, and the block's rows."""
 
     def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block, _ = _block_of(left)
+        block, docs = _block_of(left)
         s = symbols(block, rule)
-        edges = np.zeros(int(s.first[-1]) + 1, np.int32)
-        for r, a, n in zip(right["row"], right["start"], right["n"], strict=True):
-            a = s.first[np.frombuffer(r.as_py(), "<u4")] + np.frombuffer(a.as_py(), "<u4")
-            np.add.at(edges, a, 1)
-            np.add.at(edges, a + np.frombuffer(n.as_py(), "<u2") + rule.window - 1, -1)
-        return finish(block, s, np.cumsum(edges[:-1]) > 0, left.sort_by("row"))
+        late = np.zeros(int(s.first[-1]) + 1, bool)
+        if right.num_rows:
+            e = entries(block, docs, s, rule, buckets, right.filter(pc.invert(right["answer"])))
+            base = np.append(0, np.cumsum(e.n))
+            gone = np.zeros(int(base[-1]), bool)
+            answers = right.filter(right["answer"])
+            for b, bits in zip(answers["bucket"].to_pylist(), answers["one"], strict=True):
+                a, z = base[e.bounds[b]], base[e.bounds[b + 1]]
+                gone[a:z] = np.unpackbits(np.frombuffer(_restore(bits.as_py()), np.uint8), count=int(z - a))
+            of, inner = _flat(e.phrases.n)
+            own = e.entry[of]
+            flags = own < 0
+            flags[~flags] = gone[base[own[~flags]] + inner[~flags]]
+            late[(e.phrases.start[of] + inner)[flags]] = True
+        counts = np.append(np.zeros(rule.window, np.int32), np.cumsum(late[:-1], dtype=np.int32))
+        return finish(block, s, counts[rule.window :] > counts[: len(counts) - rule.window], left.sort_by("row"))
 
     return apply
 
@@ -402,7 +457,7 @@ def remove_repeats(docs: DataFrame, rule: Rule, finish, schema: str) -> DataFram
     base = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     by_block = base.groupBy("block")
     marks = by_block.applyInArrow(mark_triggers(rule, buckets, width), _ddl(MARKS))
-    shared = marks.groupBy("bucket").applyInArrow(shared_triggers(rule, width), _ddl(SHARED))
+    shared = marks.groupBy("bucket").applyInArrow(shared_triggers(rule, width), _ddl(BACK))
     sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_phrases(rule, buckets), _ddl(SENT))
-    runs = sent.groupBy("bucket").applyInArrow(settle(rule), _ddl(RUNS))
-    return by_block.cogroup(runs.groupBy("block")).applyInArrow(cut_runs(rule, finish), schema)
+    back = shared.unionByName(sent.groupBy("bucket").applyInArrow(settle(rule), _ddl(BACK)))
+    return by_block.cogroup(back.groupBy("block")).applyInArrow(cut_runs(rule, buckets, finish), schema)

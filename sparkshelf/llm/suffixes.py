@@ -1,4 +1,4 @@
-"""Suffix-array dedup of bytes by prefix-free parsing."""
+"""Suffix-array dedup of bytes: prefix-free parses of content-dealt parts of the corpus give the order of their suffixes."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 def rule(length: int = LENGTH, gram: int = GRAM) -> Rule:
-    """Strings of bytes; the rolling hash of `gram` bytes is a trigger where it is the smallest of some string."""
+    """Strings of bytes, dealt to buckets by the smallest hash of `gram` bytes in each."""
     return Rule(words=False, window=length, gram=min(gram, length), within=False, block_bytes=1 << 20, bucket_bytes=4 << 20)
 
 
@@ -48,12 +48,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, rules: Rule | N
     A byte goes if a string of `length` bytes over it also starts in a document of a smaller
     doc_id; strings don't cross documents and are judged on the input.
 
-    The parse: triggers of a rolling hash, the smallest in some string's reach, cut texts into
-    phrases that overlap by length - 1 bytes, so a phrase is decided by its own bytes and no string
-    lies across two. The dictionary of distinct phrases is dealt by trigger (see repeats.py); the
-    suffix array of its strings, cut at `length`, gives each string's smallest document, and the
-    parse (document and place of each phrase) takes that back to all copies. An order beyond
-    `length` bytes, for which a parse's own suffix array would be needed, changes nothing here.
+    Blocks find the parts of their texts whose strings may stand elsewhere and deal them by content,
+    so that equal strings meet in one bucket (see repeats.py). A bucket's collection, many variants
+    of few passages, is parsed prefix-free at triggers of a rolling hash; the suffix arrays of its
+    dictionary and of its parse give the order of all its suffixes (see prefixfree.py), in which
+    equal strings are neighbours, and each string's smallest document is read off.
     Null text: empty. A null doc_id stands last. Rows that share a doc_id are judged apart, and
     neither is smaller. No rows give no rows; other columns are left out.
     """

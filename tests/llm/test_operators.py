@@ -13,8 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkshelf.llm import decontamination, embeddings, mixing, neardup, sharding, substrings, suffixes, tokens, toxicity, warc
-from sparkshelf.llm.blocks import blocks
+from sparkshelf.llm import decontamination, embeddings, mixing, neardup, prefixfree, sharding, substrings, suffixes, tokens, toxicity, warc
+from sparkshelf.llm.blocks import SPACED, blocks, words
 from sparkshelf.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, block int, row string"
@@ -255,6 +255,32 @@ def test_repeated_bytes(docs, rows, none, more):
     assert suffixes.remove_repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_prefix_free_parse_orders_all_suffixes(seed):
+    r = random.Random(seed)
+    length, alphabet = r.choice([1, 3, 8, 9, 20, 50]), "ab\0é"[: r.randint(1, 4)]
+    base = "".join(r.choice(alphabet) for _ in range(300)).encode()
+    strings = [base[a : a + r.randint(0, 99)] if r.random() < 0.8 else bytes(r.choice(b"abc") for _ in range(r.randint(0, 80))) for a in (r.randrange(200) for _ in range(r.randint(1, 30)))]
+    p = prefixfree.parse(strings, r.choice([2, 4]), r.choice([1, 2, 5, 12]))
+    begins = np.append(0, np.cumsum([len(s) + 1 for s in strings]))
+    at = np.array([b + i for b, s in zip(begins, strings, strict=False) for i in range(len(s) - length + 1)], np.int64)
+    cut = [bytes(p.data[a : a + length]) for a in at]
+    ranks = prefixfree.corpus_ranks(p, length)[at]
+    assert [cut[i] for i in np.argsort(ranks, kind="stable")] == sorted(cut)
+    assert len(set(zip(cut, prefixfree.equal_strings(p, at, length).tolist(), strict=True))) == len(set(cut)) == len(set(prefixfree.equal_strings(p, at, length).tolist()))
+
+
+def thue_morse(a, b, n=2048):
+    """Two words of n letters that sums of powers modulo 2**64 can't tell apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_collide_in_sums_of_powers():
+    (block,) = blocks(pa.array([" ".join(thue_morse("a", "b")), "ab abc abcdefgh abcdefghi abcdefghijklmnop abcdefghijklmnopq a\0 a"]))
+    assert len(set(words(block, SPACED).hashes.tolist())) == 10
+
+
 def jump(key, shards):
     """As published."""
     key &= 2**64 - 1
