@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_names(rows: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind those that the rows' columns have already."""
+    held, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+        held.add(name.lower())
+    return out
+
+
 def block_pairs(member: Column, count: Column, most: int) -> Column:
     """The pairs (i, j) of a group's blocks in which a member meets the others; a group of at most `most` rows is one block.
 

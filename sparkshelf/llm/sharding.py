@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .groups import free_names
 
 #: Fixed value: the multiplier of the generator in the published jump consistent hash.
 MULTIPLIER = 2862933555777941757
@@ -36,8 +37,12 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
-    """All columns and, new, shard and grown_shard (with one shard more). No shuffle: a row's shard follows from its key alone."""
-    return docs.withColumns({"shard": jump_shard(F.col(key), shards), "grown_shard": jump_shard(F.col(key), shards + 1)})
+    """All columns and, new, shard and grown_shard (with one shard more). No shuffle: a row's shard follows from its key alone.
+
+    Where the table has columns of these names, the new ones have underscores behind theirs.
+    """
+    own, grown = free_names(docs, "shard", "grown_shard")
+    return docs.select("*", jump_shard(F.col(key), shards).alias(own), jump_shard(F.col(key), shards + 1).alias(grown))
 
 
 def number_slots(placed: DataFrame, shard: str = "shard", key: str = "doc_id") -> DataFrame:
@@ -45,12 +50,15 @@ def number_slots(placed: DataFrame, shard: str = "shard", key: str = "doc_id") -
 
     Rows are dealt by ranges of the key, so no task holds a shard: a chunk's rows are numbered
     apart, after the counts of the chunks before it. Repeated keys may share a chunk's border.
+    Where the table has a column slot, the new one has an underscore behind its name.
     """
-    rows = cut(placed.repartitionByRange(F.col(key), F.monotonically_increasing_id()).withColumn("_chunk", F.spark_partition_id()))
-    counts = rows.groupBy(shard, "_chunk").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy(shard, "_chunk").orderBy(F.col(key).asc_nulls_first()))
-    return rows.join(before.drop("_n"), [shard, "_chunk"]).withColumn("slot", (own - 1 + F.col("_before")).cast("long")).drop("_chunk", "_before")
+    held = placed.select(F.struct("*").alias("row"), F.col(shard).alias("shard"), F.col(key).alias("key"))
+    rows = cut(held.repartitionByRange("key", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id()))
+    counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
+    before = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(F.col("key").asc_nulls_first()))
+    (slot,) = free_names(placed, "slot")
+    return rows.join(before, ["shard", "chunk"]).select("row.*", (own - 1 + F.col("before")).cast("long").alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -326,6 +326,66 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def brute_targets(sizes, weights):
+    """The level at which min(3 * size, level * weight) adds up to all sizes, by bisection."""
+    low, high = 0.0, 3.0 * (sum(sizes) + 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < sum(sizes) else (low, level)
+    return [min(3 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mixing_by_brute_force(spark):
+    """Targets, words taken and every shard's draws, from sizes and the rule alone."""
+    r = random.Random(8)
+    rows = [(i, r.choice("aaaaaabbcd"), " ".join("w" for _ in range(r.randint(0, 40)))) for i in range(2000)]
+    rows += [(i, None, "x y") for i in range(2000, 2010)]
+    got = {x.doc_id: x for x in mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), 8).collect()}
+    order = ["a", "b", "c", "d", None]
+    sizes = [sum(len(t.split()) for _, s, t in rows if s == o) for o in order]
+    want = brute_targets(sizes, [1, 2, 3, 1, 2])
+    draws = Counter()
+    for o, size, target in zip(order, sizes, want, strict=True):
+        own = [(got[i], len(t.split())) for i, s, t in rows if s == o]
+        assert all(x["size"] == n and x.source_size == size and abs(x.target - target) < 1e-6 * (1 + target) for x, n in own)
+        assert abs(sum(x.taken for x, _ in own) - target) <= 0.5 + 1e-6 * target
+        passes = int(round(target) // size)
+        for x, n in own:
+            shards = [int(k) for k in x.mix_shards.split(",") if k]
+            assert len(shards) in (passes, passes + 1) and len(x.mix_orders.split(",")) == max(1, len(shards))
+            assert passes * n <= x.taken <= len(shards) * n and x.taken <= 3 * n
+            draws.update((o, k) for k in shards)
+    # a shard's share of each source's documents is near its share of that source's draws
+    total = sum(draws.values())
+    for k in range(8):
+        assert abs(sum(draws[o, k] for o in order) - total / 8) < 0.2 * total / 8
+    for o in "ab":  # about 30 blocks of a source for a shard: within five standard deviations
+        mine = [draws[o, k] for k in range(8)]
+        assert min(mine) > 0.1 * sum(mine) / 8 and max(mine) < 1.9 * sum(mine) / 8
+
+
+def test_the_splitting_tree_decides_the_mix(docs, monkeypatch):
+    whole = as_counter(mixing.mix_documents(docs))
+    assert as_counter(mixing.mix_documents(docs, shards=3)) != whole
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda draws, shards, seed: real(draws, shards, seed)[::-1].copy())
+    assert as_counter(mixing.mix_documents(docs)) != whole
+    monkeypatch.setattr(mixing, "split_quotas", lambda draws, shards, seed: np.zeros((shards, len(draws)), np.int64))
+    assert not any(r.taken for r in mixing.mix_documents(docs).collect()) and not mixing.mixed_rows(docs).count()
+
+
+def test_clashing_columns_of_mix_and_shards(docs):
+    more = docs.withColumns({"mix_shard": F.lit("m"), "MIX_ORDER": F.lit(1), "grown_shard": F.lit("g"), "slot": F.lit("s"), "_chunk": F.lit(2), "chunk": F.lit(3), "drawn": F.lit(4), "n": F.lit(5)})
+    mixed = mixing.mixed_rows(more)
+    assert mixed.columns == [*more.columns, "mix_shard_", "mix_order_"] and mixed.select("mix_shard").distinct().collect()[0][0] == "m"
+    placed = sharding.assign_shards(more, 4)
+    assert placed.columns == [*more.columns, "shard_", "grown_shard_"] and placed.where("shard <> 'clash' or grown_shard <> 'g'").count() == 0
+    slots = sharding.number_slots(placed, "shard_")
+    assert slots.columns == [*placed.columns, "slot_"] and slots.where("slot <> 's' or _chunk <> 2 or chunk <> 3").count() == 0
+    for k in range(4):
+        assert sorted(r[0] for r in slots.where(F.col("shard_") == k).select("slot_").collect()) == list(range(placed.where(F.col("shard_") == k).count()))
+
+
 def test_mixing_meets_the_quotas(spark):
     docs = spark.createDataFrame([(i, "abc"[i % 3], "w " * (i % 5)) for i in range(3000)], "doc_id long, source string, text string")
     block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(64))
