@@ -3,13 +3,14 @@
 Archives are files of gzip members, one record each, as other tools read them; Spark's own text
 writer commits them, so a lost executor leaves no half file. The index sorts lines by reversed-host
 key and page into compressed blocks; a sparse directory holds each block's first key and page. A
-lookup bisects the shards' first ones, then the directory, then a block. Archives are read whole,
-as only Spark's readers reach their store; records are cut out by offset and length in memory.
+lookup bisects the shards' first ones, then the directory, then a block. Records are then read by
+range: tasks seek to offsets in the shared file system and read just the captures' bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -18,17 +19,21 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import ensure_checkpoint_dir
+from .graph import cut, shared_folder
 
 REVISIT_BYTES = 1_000
 BLOCK_LINES = 1_000
-FILE_RECORDS = 20_000
+#: Compressed bytes after which an archive ends, and those of a stretch of one that a task reads at once.
+FILE_BYTES, STRETCH_BYTES = 64 << 20, 16 << 20
 #: A gzip member ends with its input's size; below 16 MB the last byte is 0, which the writer adds as a line's end.
 MEMBER_BYTES = 8 << 20
-READ_BYTES = 16 << 10
+READ_BYTES, FED_BYTES = 1 << 20, 16 << 10
+#: Captures whose bytes lie this near are read in one request of at most READ_BYTES or of one record.
+GAP_BYTES = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = "`key` string, page_id long, record_type string, file string, `offset` long, `length` long"
@@ -95,26 +100,46 @@ def parse(data: bytes) -> Record:
     return Record(headers, block.partition(b"\r\n\r\n")[2])
 
 
-def records(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, bytes) of each record of an archive; a record may take several members."""
-    at, begin, held = 0, 0, b""
-    view = memoryview(content)
-    while at < len(content):
-        z = zlib.decompressobj(31)
-        while not z.eof and at < len(content):
-            part = view[at : at + READ_BYTES]
+def records(file) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes) of each record of an archive that is read as a stream; a record may take several members."""
+    at, begin, held, z = 0, 0, bytearray(), None
+    while buffer := file.read(READ_BYTES):
+        view, place = memoryview(buffer), 0
+        while place < len(view):
+            z = z or zlib.decompressobj(31)
+            part = view[place : place + FED_BYTES]
             held += z.decompress(part)
-            at += len(part) - len(z.unused_data)
-        head, mark, rest = held.partition(b"\r\n\r\n")
-        if mark:
-            size = int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n", 1)[0])
-            if len(rest) >= size + 4:
-                yield begin, at - begin, held
-                begin, held = at, b""
+            used = len(part) - len(z.unused_data)
+            place, at = place + used, at + used
+            if not z.eof:
+                continue
+            z = None
+            head, mark, _ = bytes(held[: READ_BYTES]).partition(b"\r\n\r\n")
+            if mark and len(held) >= len(head) + 8 + int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n", 1)[0]):
+                yield begin, at - begin, bytes(held)
+                begin, held = at, bytearray()
+
+
+def inflated(data: bytes) -> bytes:
+    """The bytes of a record's members."""
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        data = z.unused_data
+    return b"".join(out)
+
+
+def opened(uri: str):
+    """A file of the shared file system, to seek in: by Arrow's own clients, as tasks in Python can't ask Spark's."""
+    if uri.partition(":")[0] == "file":
+        return fs.LocalFileSystem().open_input_file("/" + uri[5:].lstrip("/"))
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
 
 
-def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """One record per row of pages (page_id, url, html), into the files of the folder `path`.
+def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """One record per row of pages (page_id, url, html), into files of about file_bytes (or one larger record) in the folder path/archive.
 
     Of rows with equal payloads of at least revisit_bytes, that of the largest page_id is the
     response and the others revisit it; rows that repeat that page_id are responses, too.
@@ -127,30 +152,44 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     refers = F.when(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 packed = [member(record(i, u, p.as_py(), r))[:-1] for i, u, p, r in zip(part["page_id"].to_pylist(), part["url"].to_pylist(), part["payload"], part["refers_to"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+                files = []
+                for size in map(len, packed):
+                    if held and held + size > file_bytes:
+                        file, held = file + 1, 0
+                    files.append(file)
+                    held += size + 1
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(packed, pa.binary())], names=["file", "value"])
 
-    packed = rows.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(pack, "value binary")
-    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_records).text(path)
+    packed = rows.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(pack, "file int, value binary")
+    packed.select("file", F.col("value").cast("string")).write.partitionBy("file").option("lineSep", "\0").text(f"{path}/archive")
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    """(path, length) of the archives; their bytes aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/archive").select("path", "length")
+
+
+LINES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "page_id", "record_type", "file", "offset", "length"]
     for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-            rows = []
-            for offset, length, data in records(content.as_py()):
-                r = parse(data)
-                rows.append((surt(r.url), r.page_id, r.headers["WARC-Type"], path.rpartition("/")[2], offset, length))
+        for path in batch["path"].to_pylist():
+            rows, name = [], path.rpartition("/archive/")[2]
+            with opened(path) as file:
+                for offset, length, data in records(file):
+                    r = parse(data)
+                    rows.append((surt(r.url), r.page_id, r.headers["WARC-Type"], name, offset, length))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), LINES.types)), schema=LINES)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), LINES.types)), schema=LINES)
 
 
 def _line(row: dict) -> str:
@@ -185,7 +224,7 @@ def write_index(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES)
     Shards are ranges of all lines by key, page, file and offset, so one URL's captures, and even
     those of one page, may take several; inside a shard, blocks of block_lines sorted lines are compressed.
     """
-    lines = _archives(spark, path).select("path", "content").mapInArrow(_lines, LINE)
+    lines = cut(_archives(spark, path).select("path").mapInArrow(_lines, LINE))
     ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset").withColumn("shard", F.spark_partition_id())
     ordered.mapInArrow(_blocks(block_lines), "shard int, block int, first_key string, first_page long, lines int, data binary").write.parquet(f"{path}/index")
 
@@ -241,25 +280,57 @@ def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_search, "page_id long, record_type string, file string, `offset` long, `length` long")
 
 
-def _read(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    names = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-    rows: list[list] = [[] for _ in names]
-    if left.num_rows and right.num_rows:
-        content = right["content"][0].as_py()
-        for offset, length in zip(left["offset"].to_pylist(), left["length"].to_pylist(), strict=True):
-            _, _, data = next(records(content[offset : offset + length]))
-            r = parse(data)
-            response = r.headers["WARC-Type"] == "response"
-            digest = hashlib.sha1(r.payload).hexdigest() if response else r.headers["WARC-Payload-Digest"].partition(":")[2]
-            for x, v in zip(rows, (r.page_id, len(r.payload) if response else None, digest, r.headers["WARC-Type"], r.refers_to), strict=True):
-                x.append(v)
-    return pa.table({n: pa.array(v, t) for (n, t), v in zip(names, rows, strict=True)})
-
-
-def read_captures(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of captures (file, offset, length); a revisit's bytes are its response's."""
-    files = _archives(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    got = captures.groupBy("file").cogroup(files.groupBy("file")).applyInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
+def _ranges(wanted: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(offset, length, first, last) of requests that cover the sorted (offset, length): those near each other in one."""
+    first = 0
+    for i in range(1, len(wanted) + 1):
+        begin = wanted[first][0]
+        end = wanted[i - 1][0] + wanted[i - 1][1]
+        if i == len(wanted) or wanted[i][0] - end > GAP_BYTES or wanted[i][0] + wanted[i][1] - begin > READ_BYTES:
+            yield begin, max(end, max(o + n for o, n in wanted[first:i])) - begin, first, i
+            first = i
+
+
+def _read(root: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, file = None, None
+        for batch in batches:
+            names = batch["file"].to_pylist()
+            wanted = list(zip(batch["offset"].to_pylist(), batch["length"].to_pylist(), strict=True))
+            rows = []
+            cuts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]] + [len(names)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if names[a] != held:
+                    if file:
+                        file.close()
+                    held, file = names[a], opened(f"{root}/{names[a]}")
+                for begin, size, x, y in _ranges(wanted[a:z]):
+                    data = memoryview(file.read_at(size, begin))
+                    for offset, length in wanted[a + x : a + y]:
+                        r = parse(inflated(bytes(data[offset - begin : offset - begin + length])))
+                        response = r.headers["WARC-Type"] == "response"
+                        digest = hashlib.sha1(r.payload).hexdigest() if response else r.headers["WARC-Payload-Digest"].partition(":")[2]
+                        rows.append((r.page_id, len(r.payload) if response else None, digest, r.headers["WARC-Type"], r.refers_to))
+            if rows:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), READ.types)), schema=READ)
+        if file:
+            file.close()
+
+    return read
+
+
+def read_captures(spark: SparkSession, path: str, captures: DataFrame, stretch: int = STRETCH_BYTES) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of captures (file, offset, length); a revisit's bytes are its response's.
+
+    Captures are dealt to tasks by stretches of the archives; a task holds no more than one request's bytes and one record.
+    """
+    size = _archives(spark, path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / stretch))
+    dealt = captures.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+    got = cut(dealt.mapInArrow(_read(f"{path}/archive"), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
     responses = got.where("record_type = 'response'").groupBy(F.col("page_id").alias("_to"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     whole = got.join(responses, (F.col("refers_to") == F.col("_to")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return whole.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -272,8 +343,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     written and found as such. Repeated rows have a record each. No rows give no rows; other columns are left out.
     """
     spark = pages.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "warc")
     write_archives(pages, path)
     if _archives(spark, path).isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -111,7 +111,7 @@ def test_warc_round_trip(spark):
 def test_warc_index_bisects(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.example.org/p/{i % 50}", f"page {i}") for i in range(300)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, file_records=40)
+    warc.write_archives(pages, path, file_bytes=4_000)
     warc.write_index(spark, path, block_lines=9)
     asked = pages.where("page_id % 3 = 0").unionByName(spark.createDataFrame([(1, "http://nowhere/", "")], "page_id long, url string, html string"))
     found = warc.look_up(spark, path, asked.select("url", "page_id"))
@@ -119,6 +119,21 @@ def test_warc_index_bisects(spark, tmp_path):
     assert warc.surt("http://U@www.Example.com:8080/a?b#c") == "com,example,www:8080)/a?b"
 
 
+def test_warc_reads_ranges_of_files_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, None if i % 5 == 0 else f"http://h{i % 3}/", None if i % 7 == 0 else r.randbytes(r.randint(0, 3000)).hex()) for i in range(400)] + [(400, "http://big/", r.randbytes(400_000).hex())]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=50_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w" / "archive").rglob("part-*")]
+    assert len(sizes) > 10 and sorted(sizes)[-2] <= 50_000
+    warc.write_index(spark, f"file:{path}", block_lines=20)
+    found = warc.look_up(spark, path, spark.createDataFrame([(u, i) for i, u, _ in rows if i % 3 == 0], "url string, page_id long"))
+    got = warc.read_captures(spark, f"file://{path}", found, stretch=20_000).collect()
+    assert Counter((x.page_id, x.payload_bytes) for x in got) == Counter((i, len(h or "")) for i, _, h in rows if i % 3 == 0)
+    asked = [(0, 10), (10, 20), (50_000, 5), (50_005, 2_000_000), (2_060_000, 1)]
+    assert [(a, n) for a, n, *_ in warc._ranges(asked)] == [(0, 30), (50_000, 5), (50_005, 2_000_000), (2_060_000, 1)]
+
+
 def test_warc_hot_url_opens_a_block_once(monkeypatch):
     lines = sorted([("k", None, 7), *(("k", i // 2, i) for i in range(400)), ("l", 5, 1)], key=lambda x: (x[0], x[1] is not None, x[1] or 0))
     parts = [lines[a : a + 10] for a in range(0, len(lines), 10)]
@@ -137,7 +152,7 @@ def test_warc_hot_url_opens_a_block_once(monkeypatch):
 def test_warc_hot_url_is_dealt_by_page(spark, tmp_path):
     pages = spark.createDataFrame([(i % 250 if i else None, None if i % 2 else "http://h/", f"page {i}") for i in range(600)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, file_records=50)
+    warc.write_archives(pages, path, file_bytes=5_000)
     with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
     before = {k: spark.conf.get(k) for k in with_conf}
     for k, v in with_conf.items():
