@@ -18,15 +18,31 @@ SCHEMA = f"doc_id long, n_words long, n_hit long, matches {MATCHES}"
 PART_BYTES = 16 << 20
 
 
+@dataclass
+class Windows:
+    """Distinct test windows of one size in the order of their opening words' hash. first: a suffix that opens each; members[bounds[i]:bounds[i + 1]]: all that do; opens: distinct opening hashes, of which opens[k] has the windows held[k]:held[k + 1]."""
+
+    size: int
+    first: np.ndarray
+    members: np.ndarray
+    bounds: np.ndarray
+    opens: np.ndarray
+    held: np.ndarray
+
+
 @dataclass
 class Suffixes:
-    """Test suffixes that open a window. symbols: word hashes of all items; size: the window's words; sizes: the distinct ones."""
+    """Test suffixes that open a window. symbols: word hashes of all items; size: the window's words."""
 
     symbols: np.ndarray
     start: np.ndarray
     size: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    windows: list[Windows]
+
+
+OPENING = 2
 
 
 def test_suffixes(items: list[tuple[int, str]], window: int) -> Suffixes:
@@ -45,7 +61,18 @@ def test_suffixes(items: list[tuple[int, str]], window: int) -> Suffixes:
         symbols.append(found.hashes)
         base += len(found.hashes)
     flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-    return Suffixes(np.concatenate([*symbols, np.zeros(window, np.uint64)]), flat(start), flat(size), flat(item), flat(offset))
+    out = Suffixes(np.concatenate([*symbols, np.zeros(window, np.uint64)]), flat(start), flat(size), flat(item), flat(offset), [])
+    for k in np.unique(out.size).tolist():
+        own = np.flatnonzero(out.size == k)
+        keys = out.symbols[out.start[own][:, None] + np.arange(k)]
+        opening = chained(out.symbols, min(OPENING, k))[out.start[own]]
+        order = np.lexsort([*keys.T[::-1], opening])
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        heads = np.flatnonzero(new)
+        opens, held = np.unique(opening[order][heads], return_index=True)
+        out.windows.append(Windows(k, own[order][heads], own[order], np.append(heads, len(order)), opens, np.append(held, len(heads))))
+    return out
 
 
 def _before(rows: np.ndarray, keys: np.ndarray, or_equal: bool) -> np.ndarray:
@@ -68,6 +95,13 @@ def _bisect(symbols: np.ndarray, array: np.ndarray, keys: np.ndarray, right: boo
     return low
 
 
+def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of these ranges, and the range of each."""
+    n = end - begin
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + begin[of], of
+
+
 class Shard:
     """The suffix array of a block of documents over their words.
 
@@ -85,48 +119,56 @@ class Shard:
         self.symbols[self.place] = found.hashes
         self.first = found.first[:-1] + np.arange(len(block))
         self.documents = documents
-        array = np.zeros(0, np.int64)
-        for size in np.unique(tests.size):
-            opening = min(2, int(size))
-            starts = np.unique(chained_at(tests.symbols, tests.start[tests.size == size], opening))
-            heads = chained(self.symbols, opening)[self.place] if n else np.zeros(0, np.uint64)
+        array, self.wanted = np.zeros(0, np.int64), []
+        for w in tests.windows:
+            heads = chained(self.symbols, min(OPENING, w.size))[self.place] if n else np.zeros(0, np.uint64)
             table = np.zeros(1 << 16, bool)
-            table[(starts >> np.uint64(48)).astype(np.int64)] = True
+            table[(w.opens >> np.uint64(48)).astype(np.int64)] = True
             maybe = np.flatnonzero(table[(heads >> np.uint64(48)).astype(np.int64)])
-            array = np.union1d(array, self.place[maybe[np.isin(heads[maybe], starts)]])
+            at = np.minimum(np.searchsorted(w.opens, heads[maybe]), len(w.opens) - 1)
+            same = w.opens[at] == heads[maybe]
+            array = np.union1d(array, self.place[maybe[same]])
+            used = np.unique(at[same])
+            self.wanted.append(_spans(w.held[used], w.held[used + 1])[0])
         order = np.lexsort([self.symbols[array + i] for i in reversed(range(window))]) if len(array) else []
         self.array = array[order] if len(array) else array
 
-    def search(self, tests: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, tests: Suffixes) -> list[tuple[Windows, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each size the test windows that occur here, with where their places begin and end in the suffix array."""
+        out = []
+        for w, own in zip(tests.windows, self.wanted, strict=True):
+            if len(own):
+                keys = tests.symbols[tests.start[w.first[own]][:, None] + np.arange(w.size)]
+                low, high = (_bisect(self.symbols, self.array, keys, right) for right in (False, True))
+                some = np.flatnonzero(high > low)
+                out.append((w, own[some], low[some], high[some]))
+        return out
+
+    def hits(self, found: list) -> np.ndarray:
+        """Words of each document that some window covers."""
+        edges = np.zeros(len(self.symbols) + 1, np.int64)
+        for w, _, low, high in found:
+            places = self.array[_spans(low, high)[0]]
+            np.add.at(edges, places, 1)
+            np.add.at(edges, places + w.size, -1)
+        return np.bincount(self.documents[np.cumsum(edges)[self.place] > 0], minlength=len(self.counts))
+
+    def pairs(self, found: list) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a place in the block and a test suffix whose window starts there."""
-        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in np.unique(tests.size) if len(self.array) else []:
-            own = np.flatnonzero(tests.size == size)
-            keys = tests.symbols[tests.start[own][:, None] + np.arange(size)]
-            distinct, back = np.unique(keys, axis=0, return_inverse=True)
-            low, high = (_bisect(self.symbols, self.array, distinct, right)[back.reshape(-1)] for right in (False, True))
-            n = high - low
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            places.append(self.array[np.repeat(low, n) + inner])
-            found.append(np.repeat(own, n))
-        return np.concatenate(places), np.concatenate(found)
-
-
-def chained_at(symbols: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    return chained(symbols, size)[starts]
-
-
-def _matches(shard: Shard, tests: Suffixes) -> tuple[np.ndarray, ...]:
-    """Hit words per document, and longest matches as arrays: document, doc_start, item, item_start, n_words."""
-    places, suffix = shard.search(tests)
-    sizes = tests.size[suffix]
-    edges = np.zeros(len(shard.symbols) + 1, np.int64)
-    np.add.at(edges, places, 1)
-    np.add.at(edges, places + sizes, -1)
-    hit = np.cumsum(edges)[shard.place] > 0
-    n_hit = np.bincount(shard.documents[hit], minlength=len(shard.counts))
+        places, suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, own, low, high in found:
+            members, of = _spans(w.bounds[own], w.bounds[own + 1])
+            inner, back = _spans(low[of], high[of])
+            places.append(self.array[inner])
+            suffixes.append(w.members[members][back])
+        return np.concatenate(places), np.concatenate(suffixes)
+
+
+def _longest(shard: Shard, tests: Suffixes, found: list) -> tuple[np.ndarray, ...]:
+    """Longest matches as arrays: document, doc_start, item, item_start, n_words."""
+    places, suffix = shard.pairs(found)
     # windows that go on in the next window of the same item are parts of one longer match
-    document = np.searchsorted(shard.first, places, "right") - 1
+    sizes, document = tests.size[suffix], np.searchsorted(shard.first, places, "right") - 1
     item, offset = tests.item[suffix], tests.start[suffix]
     order = np.lexsort((places, places - offset))
     places, suffix, sizes, document, item, offset = (x[order] for x in (places, suffix, sizes, document, item, offset))
@@ -135,7 +177,7 @@ def _matches(shard: Shard, tests: Suffixes) -> tuple[np.ndarray, ...]:
         new[1:] = (np.diff(places) != 1) | (np.diff(offset) != 1) | (np.diff(document) != 0) | (np.diff(tests.offset[suffix]) != 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(places)) - 1 if len(heads) else heads
-    return n_hit, document[heads], places[heads] - shard.first[document[heads]], item[heads], tests.offset[suffix[heads]], places[tails] - places[heads] + sizes[tails]
+    return document[heads], places[heads] - shard.first[document[heads]], item[heads], tests.offset[suffix[heads]], places[tails] - places[heads] + sizes[tails]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -153,29 +195,33 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
     Words are lower-cased runs of digits, letters and non-ASCII characters. Test windows are
     `window` consecutive words of an item, or the whole of a shorter one. Test items go to all
-    executors in parts of PART_BYTES at most, so documents are searched where they are read and
-    only a larger test set makes rows meet: hit documents, once per part.
+    executors in parts of PART_BYTES at most, so documents are searched where they are read. A
+    larger test set is searched once per part: only the matches of documents that a further part
+    hits travel, and meet all rows by a fingerprint of doc_id and text.
     Null text: no words. Items without words or id match nothing; repeated items match as one id;
     repeated documents get a row each; an empty table gives no rows. Other columns are left out.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
-    cuts, found = _parts(items), []
-    several = len(cuts) > 1
-    if several:
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    cuts, more = _parts(items), []
+    keys = ["one", "two"]
+    if len(cuts) > 1:
+        rows = rows.withColumns({"one": F.xxhash64("doc_id", "text"), "two": F.xxhash64(F.lit(1), "text", "doc_id")})
     for part, parts in cuts:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         tests = sc.broadcast(test_suffixes([tuple(r) for r in own.toLocalIterator()], window))
-        if not several:
+        if parts == 1:
             return rows.mapInArrow(_search(tests, window), SCHEMA)
-        found.append(rows.mapInArrow(_search(tests, window, "_row"), f"_row long, {SCHEMA}").select("_row", "doc_id", "n_words", "matches"))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    merged = whole.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return merged.select("doc_id", "n_words", _covered("matches").alias("n_hit"), "matches")
+        found = rows.mapInArrow(_search(tests, window, keys), f"one long, two long, {SCHEMA}")
+        more.append(found.where(F.size("matches") > 0).select(*keys, "matches") if part else found)
+    first, *rest = more
+    every = rest[0]
+    for x in rest[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("others"))
+    whole = first.join(every, keys, "left").withColumn("matches", F.concat("matches", F.coalesce("others", F.array().cast(MATCHES))))
+    return whole.select("doc_id", "n_words", _covered("matches").alias("n_hit"), "matches")
 
 
 def _covered(matches: str):
@@ -186,20 +232,38 @@ def _covered(matches: str):
     return F.aggregate(spans, zero, step, lambda s: s.n)
 
 
-def _search(tests, window: int, also: str = ""):
+#: Pairs of a place and a test suffix that are spelled out at once, but for those of a single document.
+PAIRS = 1_000_000
+
+
+def _halves(texts: pa.Array, rows: slice, tests: Suffixes, window: int) -> Iterator[tuple[slice, Shard, list]]:
+    """Searched blocks; one whose pairs of places and items are too many is taken in halves."""
+    for block in blocks(texts):
+        own = slice(rows.start + block.rows.start, rows.start + block.rows.stop)
+        shard = Shard(block, tests, window)
+        found = shard.search(tests)
+        pairs = sum(int(((high - low) * np.diff(w.bounds)[i]).sum()) for w, i, low, high in found)
+        if pairs <= PAIRS or len(block) == 1:
+            yield own, shard, found
+        else:
+            middle = block.rows.start + len(block) // 2
+            for a, z in ((block.rows.start, middle), (middle, block.rows.stop)):
+                yield from _halves(texts.slice(a, z - a), slice(rows.start + a, rows.start + z), tests, window)
+
+
+def _search(tests, window: int, also: tuple[str, ...] | list[str] = ()):
     kind = pa.struct([("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch["text"]):
-                shard = Shard(block, tests.value, window)
-                n_hit, document, *fields = _matches(shard, tests.value)
+            for rows, shard, found in _halves(batch["text"], slice(0, batch.num_rows), tests.value, window):
+                document, *fields = _longest(shard, tests.value, found)
                 order = np.argsort(document, kind="stable")
-                offsets = np.searchsorted(document[order], np.arange(len(block) + 1))
+                offsets = np.searchsorted(document[order], np.arange(len(shard.counts) + 1))
                 fields = [fields[i][order] for i in (1, 0, 2, 3)]
                 matches = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(kind)))
-                out = {also: batch[also][block.rows]} if also else {}
-                out |= {"doc_id": batch["doc_id"][block.rows], "n_words": pa.array(shard.counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "matches": matches}
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                out = {c: part[c] for c in [*also, "doc_id"]} | {"n_words": pa.array(shard.counts, pa.int64()), "n_hit": pa.array(shard.hits(found), pa.int64()), "matches": matches}
                 yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out.values()], names=list(out))
 
     return search
@@ -226,7 +290,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         def clean(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch["text"]):
-                    hit = _matches(Shard(block, tests.value, window), tests.value)[0] > 0
+                    shard = Shard(block, tests.value, window)
+                    hit = shard.hits(shard.search(tests.value)) > 0
                     yield batch.slice(block.rows.start, len(block)).filter(pa.array(~hit))
 
         kept = kept.mapInArrow(clean, docs.schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +23,8 @@ OVERLAP_CHARS = 256
 KEPT = 200_000
 SPACES = " \t\n\v\f\r"
 
-_counts: dict[int, int] = {}
+#: Of each tokenizer file the counts of pieces that this worker has seen.
+_counts: dict[str, dict[int, int]] = defaultdict(dict)
 
 
 @cache
@@ -31,26 +35,48 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def check_rules(path: str) -> None:
+    """Raises unless the file's rules drop white space and don't look across it, on which counts by piece and by chunk rest.
+
+    That holds where the text is first split by a pattern that keeps only what it matches, which
+    never is white space nor looks ahead or behind, and neither normalizers nor added tokens need it.
+    """
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = rules.get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0] if steps else {}
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    spaced = re.sub(r"\[\^(?:[^\]\\]|\\.)*\\s(?:[^\]\\]|\\.)*\]", "", pattern)
+    fine = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and pattern and not re.search(r"\s|\\[sSWDPXR]|\(\?|\.|\[\^", spaced)
+    normal = rules.get("normalizer") or {}
+    for x in normal.get("normalizers", [normal] if normal else []):
+        fine = fine and (x["type"] in ("NFC", "NFD", "Lowercase", "StripAccents") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " ")
+    for t in rules.get("added_tokens") or []:
+        fine = fine and not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]))
+    if not fine or rules.get("truncation") or rules.get("padding"):
+        raise ValueError(f"{path}: its rules may look across white space")
+
+
 def whole_counts(texts: pa.Array, path: str) -> Iterator[tuple[slice, np.ndarray]]:
     """Tokens of each text.
 
     The tokenizer drops white space and none of its rules looks across it, so a text has just
     the tokens of its pieces between white space; each distinct piece is encoded once.
     """
-    library = tokenizer(path)
+    library, known = tokenizer(path), _counts[path]
     for block in blocks(texts):
         found = words(block, SPACED)
         distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        got = np.array([_counts.get(k, -1) for k in keys], np.int64)
+        got = np.array([known.get(k, -1) for k in keys], np.int64)
         new = np.flatnonzero(got < 0)
         if len(new):
             data, at = block.data.tobytes(), first[new]
             pieces = [data[a:b].decode("utf-8", "replace") for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)]
             got[new] = [len(e.ids) for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
-            if len(_counts) + len(new) > KEPT:
-                _counts.clear()
-            _counts.update(zip(distinct[new].tolist(), got[new].tolist(), strict=True))
+            if len(known) + len(new) > KEPT:
+                known.clear()
+            known.update(zip(distinct[new].tolist(), got[new].tolist(), strict=True))
         sums = np.zeros(len(back) + 1, np.int64)
         np.cumsum(got[back.reshape(-1)], out=sums[1:])
         yield block.rows, sums[found.first[1:]] - sums[found.first[:-1]]
@@ -128,12 +154,13 @@ def spliced_counts(long: DataFrame, path: str, chunk: int, overlap: int) -> Data
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every document, without begin, end or added special tokens.
 
-    path: a tokenizer file whose rules drop white space and don't look across it. Texts of more
+    path: a tokenizer file whose rules drop white space and don't look across it; others raise. Texts of more
     than `chunk` characters are encoded in chunks with overlaps; while some chunks of a document
     share no stable boundary, that document is encoded anew with overlaps eight times as wide, up
-    to its whole length. Null and empty texts have no tokens; repeated documents get a row each;
+    to its whole length. Null and empty texts have no tokens; a null doc_id stays null; repeated documents get a row each;
     an empty table gives no rows; other columns are left out.
     """
+    check_rules(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
 

@@ -2,11 +2,13 @@
 
 import dataclasses
 import hashlib
+import json
 import random
 import re
 import types
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +76,10 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 200])
-def test_decontamination(spark, docs, rows, none, monkeypatch, part_bytes):
+@pytest.mark.parametrize(("part_bytes", "pairs"), [(1 << 24, 1 << 20), (200, 1 << 20), (1 << 24, 5)])
+def test_decontamination(spark, docs, rows, none, monkeypatch, part_bytes, pairs):
     monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
     passage = rows[5][1].split()
     items = [(1, " ".join(passage[3:25])), (2, "ONE, Two"), (10, " ".join(passage[8:19])), (3, None), (4, ""), (5, "zzz"), (None, rows[5][1]), (1, rows[3][1]), (2, "ONE, Two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -88,6 +91,17 @@ def test_decontamination(spark, docs, rows, none, monkeypatch, part_bytes):
     assert not decontamination.contamination_report(docs, bench.limit(0)).where("contaminated").count()
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    """Whole operators on words that a polynomial hash can't tell apart."""
+    a, b = thue_morse("a", "b")
+    docs = spark.createDataFrame([(1, f"{a} x y {b}"), (2, f"{b} x y {a}"), (3, f"{a} x y {b}"), (4, f"{a} x"), (5, f"{b} x")], "doc_id long, text string")
+    hits = decontamination.contamination_report(docs, spark.createDataFrame([(7, f"{a} x")], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in hits.collect()} == {1: 2, 2: 0, 3: 2, 4: 2, 5: 0}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    got = substrings.remove_repeated_words(docs, 2, substrings.rule(2, 1)).collect()
+    assert Counter(tuple(r) for r in got) == brute_words([(r.doc_id, r.text) for r in docs.collect()], 2)
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f y c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "b c d e f q")], "item_id long, text string")
@@ -520,6 +534,26 @@ def test_token_counts(spark):
     assert tokens.count_tokens(docs.limit(0), path).count() == 0
 
 
+def test_counts_of_several_tokenizers(spark, tmp_path):
+    """Two files in one session, a word pair that sums of powers confuse, null and repeated ids, and texts above a chunk."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    rules = json.loads(Path(path).read_text())
+    rules["model"]["merges"] = rules["model"]["merges"][:500]
+    (tmp_path / "fewer.json").write_text(json.dumps(rules))
+    a, b = thue_morse("a", "b")
+    r = random.Random(2)
+    long = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(30_000))
+    rows = [(None, a), (1, b), (1, b), (1, f"{a} {b}"), (2, long), (None, long[::-1]), (3, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for file in (path, str(tmp_path / "fewer.json"), path):
+        library = tokens.tokenizer(file)
+        want = Counter((i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+        assert Counter((x.doc_id, x.n_bytes, x.n_tokens) for x in tokens.count_tokens(docs, file).collect()) == want
+    with pytest.raises(ValueError, match="white space"):
+        tokens.count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 50), (100, 50), (7, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
