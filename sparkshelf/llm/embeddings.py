@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components, cut
 
-SAMPLE_VECTORS = 8_192
+#: Vectors at least that centroids are learned from, and of larger sets for each cell.
+SAMPLE_VECTORS, SAMPLE_OF_CELL = 8_192, 16
 CELL_VECTORS = 2_048
-MAX_CELLS = 1_024
+#: Cells grow with the largest label as far as the driver can learn them; beyond, cells grow and are dealt in more parts.
+MAX_CELLS = 4_096
 HOME_ROWS = 2_048
 KEYS = ["label", "cell", "part"]
 
@@ -48,34 +50,58 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
     """vec_id, n_links, component_id and kept of every vector.
 
     Vectors of equal, non-null labels link where their cosine, in double precision, is at least
-    `threshold`. Equal vectors of a label are first merged into one with a count. Centroids come
-    from a sample of about SAMPLE_VECTORS at most; their number follows the largest label's size.
-    Every vector has its nearest centroid's cell as home, and is compared with the homes of all
-    cells within its own distance plus twice the threshold's angle: by the triangle inequality no
-    link can lie beyond, so none is lost. Homes are held in parts of about `home_rows`, and what
-    is compared with them streams by. From each batch come sums of links and a spanning star for
-    each group, not the pairs.
+    `threshold`. Equal vectors of a label are first merged into one with a count, by 128 bits of
+    hash. Centroids come from a bounded sample; their number follows the largest label's size.
+    Every vector has its nearest centroid's cell as home. It is also compared with the homes of
+    another cell unless one of two bounds shows that no vector within the threshold's angle can
+    have its home there: the vector lies further than that angle from the plane that parts the
+    two centroids, or from the cell's outermost vector. So none is lost. Homes are held in parts
+    of about `home_rows`, and what is compared with them streams by. From each batch come sums of
+    links and a spanning star for each group, not the pairs.
 
     Null, empty, zero and non-finite vectors, null labels and null ids link with nothing; vectors of
     other lengths than the commonest are compared in one cell of their length. Repeated rows count
     as other vectors. No rows give no rows; other columns are left out.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v"))
-    good = rows.where(usable)
-    merged = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # a zero's sign tells nothing, but the hash would tell it
+    plain = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    good = rows.where(usable).withColumns({"one": F.xxhash64(plain), "two": F.xxhash64(F.lit(1), plain)})
+    merged = cut(good.groupBy("label", "one", "two").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     sizes = merged.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim, total = sizes
     largest = merged.groupBy("label").count().agg(F.max("count")).first()[0]
-    sample = merged.where((F.size("v") == dim) & (F.pmod(F.xxhash64("v"), F.lit(total)) < SAMPLE_VECTORS)).select("v").toPandas()["v"]
+    cells = max(1, min(MAX_CELLS, -(-largest // cell_vectors)))
+    sampled = max(SAMPLE_VECTORS, SAMPLE_OF_CELL * cells)
+    sample = merged.where((F.size("v") == dim) & (F.pmod("one", F.lit(total)) < sampled)).select("v").toPandas()["v"]
     x = np.array(sorted(map(tuple, sample)), np.float64).reshape(-1, dim)
-    cells = max(1, min(MAX_CELLS, -(-largest // cell_vectors), len(x)))
     x = x if len(x) else np.ones((1, dim))
-    centres = spark.sparkContext.broadcast(spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), cells))
-    reach = 2 * math.acos(min(1.0, threshold)) + 1e-7
+    centres = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(cells, len(x)))
+    shared = spark.sparkContext.broadcast(centres)
+    angle = math.acos(min(1.0, threshold)) + 1e-7
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch the cells' outermost angles."""
+        for batch in batches:
+            part = batch.filter(pa.array(np.diff(batch["v"].offsets.to_numpy()) == dim))
+            near = _unit(part, "v") @ shared.value.T
+            out = np.full(len(shared.value), -1.0)
+            np.maximum.at(out, near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1)) if len(part) else 0)
+            some = np.flatnonzero(out >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some])], names=["cell", "radius"])
+
+    radii = np.full(len(centres), -10.0)
+    for r in merged.select("v").mapInArrow(homes, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radii[r.cell] = r.radius
+    # cosines below which a vector has no link into a cell; none reaches an empty one
+    reach = spark.sparkContext.broadcast(np.where(radii < 0, 2.0, np.cos(np.minimum(radii + angle, math.pi))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +111,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
                 if size != dim:
                     home, offsets, probes = np.full(len(part), -int(size)), np.arange(len(part) + 1), np.full(len(part), -int(size))
                 else:
-                    angle = np.arccos(np.clip(_unit(part, "v") @ centres.value.T, -1, 1))
-                    home = angle.argmin(axis=1)
-                    near = angle <= angle.min(axis=1, keepdims=True) + reach
-                    offsets, probes = np.append(0, np.cumsum(near.sum(axis=1))), np.nonzero(near)[1]
+                    near = _unit(part, "v") @ shared.value.T
+                    home = near.argmax(axis=1)
+                    probed = near >= reach.value[None, :]
+                    # the distance to the plane between home and cell: (x . (home - cell)) / |home - cell|
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * shared.value @ shared.value.T))[home]
+                    probed &= near.max(axis=1, keepdims=True) - near <= math.sin(min(angle, math.pi / 2)) * apart + 1e-9
+                    probed[np.arange(len(part)), home] = True
+                    offsets, probes = np.append(0, np.cumsum(probed.sum(axis=1))), np.nonzero(probed)[1]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(probes, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part["label"], part["rep"], part["n"], part["v"], pa.array(home, pa.int32()), lists], names=["label", "rep", "n", "v", "home", "probes"])
 
-    placed = merged.mapInArrow(place, "label long, rep long, n long, v array<double>, home int, probes array<int>")
+    placed = merged.select("label", "rep", "n", "v").mapInArrow(place, f"label long, rep long, n long, v {kind}, home int, probes array<int>")
     parts = placed.groupBy("label", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / F.lit(home_rows)).cast("int").alias("parts"))
     homes = placed.select("label", F.col("home").alias("cell"), "rep", "n", "v", F.lit(0).alias("role"))
     probes = placed.select("label", F.explode("probes").alias("cell"), "rep", "n", "v", F.lit(1).alias("role"))
@@ -103,9 +133,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
     found = cut(dealt.mapInArrow(_compare(threshold), "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.select("a", "b"))
-    whole = merged.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = whole.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(whole, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    whole = merged.select("label", "one", "two", "rep", "n").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    whole = whole.select("label", "one", "two", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = good.select("vec_id", "label", "one", "two").join(whole, ["label", "one", "two"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
+#: Members of a large group with which all others are compared first; the best of them holds most of a dense group together.
+PIVOTS = 4
+#: Of a group's rows: linked(i, rest) tells which of `rest` row i links with.
+Linked = Callable[[int, np.ndarray], np.ndarray]
+
 
 def free_names(rows: DataFrame, *names: str) -> list[str]:
     """These names, with underscores behind those that the rows' columns have already."""
@@ -21,17 +28,6 @@ def free_names(rows: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def block_pairs(member: Column, count: Column, most: int) -> Column:
-    """The pairs (i, j) of a group's blocks in which a member meets the others; a group of at most `most` rows is one block.
-
-    A larger group's members are dealt to blocks of about `most`, and any two of them meet in
-    the pair of their blocks: exact, with no task that holds the group.
-    """
-    n = F.ceil(count / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(member), n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-
-
 def dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Rows of a key in one partition, next to each other and in order."""
     return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, *order)
@@ -60,3 +56,98 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Reco
         held = [batch.slice(cuts[-2], cuts[-1] - cuts[-2])]
     if held:
         yield pa.concat_batches(held)
+
+
+def edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def stars(ids: np.ndarray, linked: Linked) -> tuple[list[int], list[int]]:
+    """Breadth-first over a group: edges from each row to its component's first."""
+    a, b = [], []
+    rest = np.arange(len(ids))
+    while len(rest):
+        root, todo, rest = rest[0], [rest[0]], rest[1:]
+        while todo and len(rest):
+            found = linked(todo.pop(), rest)
+            new = rest[found]
+            if len(new):
+                rest = rest[~found]
+                todo.extend(new.tolist())
+                a.extend(ids[new].tolist())
+                b.extend([int(ids[root])] * len(new))
+    return a, b
+
+
+def star_groups(rows: DataFrame, keys: list[str], make: Callable[[pa.RecordBatch], Linked]) -> DataFrame:
+    """Edges (a, b) that hold together what is linked inside each group of rows (keys, rep, ...) of bounded size."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in runs(batches, keys):
+            if group.num_rows > 1:
+                x, y = stars(group["rep"].to_numpy(), make(group))
+                a, b = a + x, b + y
+            if len(a) > 10_000:
+                yield edges(a, b)
+                a, b = [], []
+        yield edges(a, b)
+
+    return dealt(rows, keys, "rep").mapInArrow(whole, "a long, b long")
+
+
+def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch], Linked]) -> DataFrame:
+    """Edges (a, b) that hold together what is linked inside groups of rows (key, rep, size, ...) of more than `most` rows; reps are unique in a group.
+
+    All members are compared with a few pivots, in parts. Those that link with the pivot that
+    links most need no comparison with each other. The others, few in a dense group, are
+    compared with all, in pairs of blocks of about `most`. So no task holds a group, no link
+    between two components is lost, and a dense group's rows are copied a bounded number of times.
+    """
+    rows = cut(rows)
+    columns = rows.columns
+    parts = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    picks = rows.groupBy("key").agg(*[F.min_by("rep", F.xxhash64(F.lit(s), "rep")).alias(f"p{s}") for s in range(PIVOTS)])
+    picks = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in range(PIVOTS)]))).alias("rep"))
+    pivots = rows.join(picks, ["key", "rep"]).select(*columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"))
+    both = pivots.unionByName(rows.select(*columns, F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.lit(1).alias("role")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["key", "part"]):
+            role, ids, linked = group["role"].to_numpy(), group["rep"].to_numpy(), make(group)
+            members = np.flatnonzero(role)
+            for i in np.flatnonzero(role == 0).tolist() if len(members) else ():
+                near = members[linked(i, members)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), group["key"][0].as_py()), pa.int64()), pa.array(ids[near], pa.int64()), pa.array(np.full(len(near), ids[i]), pa.int64())], names=["key", "rep", "pivot"])
+
+    found = cut(dealt(both, ["key", "part"], "role", "rep").mapInArrow(compare, "key long, rep long, pivot long"))
+    held = found.groupBy("key", "pivot").agg(F.count("*").alias("n"))
+    best = held.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    bound = found.join(best, ["key", "pivot"]).select("key", "rep", F.lit(True).alias("bound"))
+    split = cut(rows.join(bound, ["key", "rep"], "left").withColumn("bound", F.coalesce("bound", F.lit(False))))
+    left = split.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
+    out = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b")
+    todo = cut(split.join(left, "key"))
+    if todo.isEmpty():
+        return out
+    every, rest = F.sequence(F.lit(0), parts - 1), F.sequence(F.lit(0), F.col("others") - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    meets = F.when(F.col("bound"), F.transform(rest, lambda j: pair(own(parts), j))).otherwise(F.transform(every, lambda i: pair(i, own(F.col("others")))))
+    crossed = todo.select(*columns, "bound", F.explode(meets).alias("m")).select(*columns, F.col("bound").cast("int").alias("role"), "m.i", "m.j")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["key", "i", "j"]):
+            role, ids, linked = group["role"].to_numpy(), group["rep"].to_numpy(), make(group)
+            members, a, b = np.flatnonzero(role), [], []
+            for i in np.flatnonzero(role == 0).tolist() if len(members) else ():
+                near = members[linked(i, members)]
+                if len(near):  # one link is enough, as these members hang together
+                    a.append(int(ids[i]))
+                    b.append(int(ids[near[0]]))
+            yield edges(a, b)
+
+    others = todo.where(~F.col("bound"))
+    blocks = F.transform(rest, lambda j: pair(F.least(own(F.col("others")), j), F.greatest(own(F.col("others")), j)))
+    others = others.select(*columns, F.explode(blocks).alias("m")).select(*columns, "m.i", "m.j")
+    return out.unionByName(dealt(crossed, ["key", "i", "j"], "role", "rep").mapInArrow(cross, "a long, b long")).unionByName(star_groups(others, ["key", "i", "j"], make))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACED, Block, blocks, chained, inside_documents, mix, words
 from .graph import connected_components, cut
-from .groups import block_pairs, dealt, runs
+from .groups import Linked, large_star_groups, star_groups
 
 #: Coordinates of a signature, and those of them that are posted.
 COORDINATES, POSTED = 48, 20
@@ -81,51 +81,20 @@ def _signatures(size: int):
     return sign
 
 
-def _stars(ids: np.ndarray, linked) -> tuple[list[int], list[int]]:
-    """Breadth-first over a group: linked(i, rest) tells which of `rest` row i links with; edges from each row to its component's first."""
-    a, b = [], []
-    rest = np.arange(len(ids))
-    while len(rest):
-        root, todo, rest = rest[0], [rest[0]], rest[1:]
-        while todo and len(rest):
-            found = linked(todo.pop(), rest)
-            new = rest[found]
-            if len(new):
-                rest = rest[~found]
-                todo.extend(new.tolist())
-                a.extend(ids[new].tolist())
-                b.extend([int(ids[root])] * len(new))
-    return a, b
-
-
-def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _candidates(similarity: float):
-    """Posting lists: rows that agree on enough coordinates, held together by stars."""
+def _agree(similarity: float):
+    """Rows of a posting list that agree on enough coordinates of their signatures."""
     least = least_matches(COORDINATES, similarity)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for group in runs(batches, ["token", "i", "j"]):
-            if group.num_rows > 1:
-                signature = group["signature"].flatten().to_numpy().reshape(-1, COORDINATES)
-                n, ids = group["n"].to_numpy(), group["rep"].to_numpy()
+    def make(group: pa.RecordBatch) -> Linked:
+        signature, n = group["signature"].flatten().to_numpy().reshape(-1, COORDINATES), group["n"].to_numpy()
 
-                def linked(i: int, rest: np.ndarray, s=signature, n=n) -> np.ndarray:
-                    near = (s[rest] == s[i]).sum(axis=1) >= least
-                    return near & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
+        def linked(i: int, rest: np.ndarray) -> np.ndarray:
+            near = (signature[rest] == signature[i]).sum(axis=1) >= least
+            return near & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
 
-                x, y = _stars(ids, linked)
-                a += x
-                b += y
-            if len(a) > 10_000:
-                yield _edges(a, b)
-                a, b = [], []
-        yield _edges(a, b)
+        return linked
 
-    return candidates
+    return make
 
 
 def _sets(size: int):
@@ -141,7 +110,7 @@ def _sets(size: int):
                     one[some] = fingerprints(h, bounds[:-1][some])[0]
                 same = pa.array(one == part["one"].to_numpy())
                 values = pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["rep"], part["label"], part["meets"], values], names=["rep", "label", "meets", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([part["key"], part["rep"], part["size"], values], names=["key", "rep", "size", "shingles"]).filter(same)
 
     return sets
 
@@ -175,19 +144,13 @@ class _Postings:
 
 
 def _confirmed(percent: int):
-    """Groups of candidates: links on full sets, held together by stars."""
+    """Candidates that link on their full sets."""
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["label", "i", "j"]):
-            ids, first = np.unique(group["rep"].to_numpy(), return_index=True)
-            if len(ids) < 2:
-                continue
-            postings = _Postings([np.frombuffer(group["shingles"][i].as_py(), np.uint64) for i in first.tolist()])
-            a, b = _stars(ids, lambda i, rest, p=postings: p.linked(i, rest, percent))
-            if a:
-                yield _edges(a, b)
+    def make(group: pa.RecordBatch) -> Linked:
+        postings = _Postings([np.frombuffer(b.as_py(), np.uint64) for b in group["shingles"]])
+        return lambda i, rest: postings.linked(i, rest, percent)
 
-    return confirm
+    return make
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -204,7 +167,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     equal coordinates of the whole signatures are counted, and rows that agree on enough for the
     threshold, at odds of MISS to lose one, are held together. Such groups of candidates meet once
     more with their full sets, which decide every link; a row goes on being compared until it
-    belongs to a component, and pairs are never emitted. Larger lists and groups are dealt to pairs of blocks.
+    belongs to a component, and pairs are never emitted. Lists of more than list_rows and groups of
+    more than group_rows are contracted by pivots first and then compared in blocks (groups.py).
 
     Null, empty and blank texts have empty sets and link with nothing, as rows without doc_id do
     (their component_id is null and they are kept). Repeated rows link with each other. No rows
@@ -216,20 +180,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     some = signed.where("n > 0 and doc_id is not null")
     classes = cut(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     tokens = classes.select("rep", F.posexplode(F.slice("signature", 1, POSTED)).alias("c", "value")).select("rep", F.xxhash64("c", "value").alias("token"))
-    lengths = tokens.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    lengths = cut(tokens.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     posted = tokens.join(lengths, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("length", "token"))).alias("tokens"))
     prefix = POSTED - least_matches(POSTED, similarity) + 1
-    posted = posted.select("rep", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - (POSTED - prefix)))).alias("t")).select("rep", "t.token", "t.length")
-    lists = posted.join(classes.select("rep", "n", "signature"), "rep")
-    lists = lists.withColumn("meet", F.explode(block_pairs(F.col("rep"), F.col("length"), list_rows))).select("token", "meet.i", "meet.j", "rep", "n", "signature")
-    loose = connected_components(dealt(lists, ["token", "i", "j"], "rep").mapInArrow(_candidates(similarity), "a long, b long"))
-    loose = cut(loose.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-    sizes = loose.groupBy("label").agg(F.count("*").alias("size"))
-    groups = loose.join(sizes, "label").join(classes.select("rep", "one"), "rep").select("rep", "label", "one", block_pairs(F.col("rep"), F.col("size"), group_rows).alias("meets"))
-    meets = "meets array<struct<i:int,j:int>>"
-    sets = rows.join(groups, rows.doc_id == groups.rep).select("rep", "label", "one", "meets", "text").mapInArrow(_sets(size), f"rep long, label long, {meets}, shingles binary")
-    sets = sets.select("rep", "label", F.explode("meets").alias("m"), "shingles").select("label", "m.i", "m.j", "rep", "shingles")
-    exact = connected_components(dealt(sets, ["label", "i", "j"], "rep").mapInArrow(_confirmed(percent), "a long, b long"))
+    posted = posted.select("rep", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - (POSTED - prefix)))).alias("t")).select("rep", F.col("t.token").alias("key"), F.col("t.length").alias("size"))
+    hot = not lengths.where(F.col("length") > list_rows).isEmpty()
+    posted = cut(posted) if hot else posted
+    signatures = classes.select("rep", "n", "signature")
+    lists = posted.where(F.col("size") <= list_rows).join(signatures, "rep").select("key", "rep", "n", "signature")
+    near = star_groups(lists, ["key"], _agree(similarity))
+    if hot:
+        near = near.unionByName(large_star_groups(posted.where(F.col("size") > list_rows).join(signatures, "rep"), list_rows, _agree(similarity)))
+    loose = cut(connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("key")))
+    sizes = loose.groupBy("key").agg(F.count("*").alias("size"))
+    groups = loose.join(sizes, "key").join(classes.select("rep", "one"), "rep")
+    sets = rows.join(groups, rows.doc_id == groups.rep).select("key", "rep", "size", "one", "text").mapInArrow(_sets(size), "key long, rep long, size long, shingles binary")
+    # rows that share the doc_id may have equal sets, too
+    if (sizes.agg(F.max("size")).first()[0] or 0) > group_rows:
+        sets = cut(sets)
+        large = sets.where(F.col("size") > group_rows).dropDuplicates(["key", "rep"])
+        exact = star_groups(sets.where(F.col("size") <= group_rows), ["key"], _confirmed(percent)).unionByName(large_star_groups(large, group_rows, _confirmed(percent)))
+    else:
+        exact = star_groups(sets, ["key"], _confirmed(percent))
+    exact = connected_components(exact)
     found = classes.join(exact.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("component", "rep").alias("component"))
     linked = signed.drop("signature").join(found, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -237,8 +210,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, of which one of each component stays; those without doc_id stay."""
-    ids = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64("text")))
-    joined = docs.join(ids, F.col("doc_id").cast("long") == F.col("_kept")).withColumn("_place", first).where("_place = 1")
-    return joined.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    """The documents, with all their columns, of which one of each component stays: that of the smallest doc_id.
+
+    Rows that share a doc_id are documents of their own where their texts differ; of rows that share
+    both, one may stay. Documents without doc_id, or without words, are like nothing and stay.
+    """
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = cut(held.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
+    if repeated.isEmpty():
+        kept = near_duplicates(held.select("doc_id", "text"), size, percent).where("kept and doc_id is not null").select("doc_id")
+        return held.join(kept, "doc_id").select("row.*").unionByName(held.where("doc_id is null").select("row.*"))
+    # a repeated doc_id can't name a document: a hash of it and the text does
+    named = held.where("doc_id is not null").join(repeated, "doc_id", "left").withColumn("node", F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    found = near_duplicates(named.select(F.col("node").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("node"), "component_id").distinct()
+    lead = found.join(named.select("node", "doc_id").distinct(), "node").groupBy("component_id").agg(F.min_by("node", F.struct("doc_id", "node")).alias("node")).select("node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("row")))
+    kept = named.join(lead, "node").withColumn("place", place).where("place = 1")
+    return kept.select("row.*").unionByName(held.where("doc_id is null").select("row.*"))

@@ -212,6 +212,38 @@ def test_near_duplicates(docs, rows, none, size, percent, blocks):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def near_copies(seed, n, groups):
+    """n documents in clusters of near copies, with chains between some, and documents that share a common opening."""
+    r = random.Random(seed)
+    opening = [f"o{k}" for k in range(30)]
+    bases = [[f"b{g}_{k}" for k in range(110)] for g in range(groups)]
+    out = []
+    for i in range(n):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        out.append((i, " ".join(w if i % 3 else opening + [f"u{i}_{k}" for k in range(20)])))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "groups", "most"), [(1, 1, 16), (2, 5, 16), (3, 2, 7)])
+def test_large_groups_are_contracted_by_pivots(spark, seed, groups, most):
+    rows = near_copies(seed, 150, groups)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, list_rows=most, group_rows=most)
+    assert as_counter(got) == brute_components(sets_of(rows, 3), 85)
+
+
+def test_dropping_near_duplicates_with_repeated_ids(spark):
+    """Rows of one doc_id with unlike texts both stay; clashing column names stay as they are."""
+    text = lambda lead: " ".join(f"{lead}{k}" for k in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a")), (3, text("b") + " more"), (4, text("c")), (4, text("c")), (5, None), (5, ""), (None, text("a"))]
+    docs = spark.createDataFrame([(*x, "k", "p", i) for i, x in enumerate(rows)], "doc_id long, text string, _kept string, _place string, node long")
+    for table, want in ((docs, [(1, text("a")), (1, text("b")), (4, text("c")), (5, None), (5, ""), (None, text("a"))]), (docs.where("node in (0, 2, 3, 4, 6)"), [(1, text("a")), (3, text("b") + " more"), (4, text("c")), (5, None)])):
+        kept = neardup.drop_near_duplicates(table, 5, 80)
+        assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_keep_chains(spark):
     words = [f"w{i}" for i in range(400)]
     chain = [(100 - i, " ".join(words[6 * i : 6 * i + 120])) for i in range(40)]  # neighbours are alike, ends aren't
@@ -219,12 +251,19 @@ def test_near_duplicates_keep_chains(spark):
     assert {r.component_id for r in got.collect()} == {61}
 
 
+def brute_kept(rows, percent, size):
+    """One row of each component; rows are documents of their own, also those that share a doc_id, but for equal ones."""
+    distinct = list(dict.fromkeys((i, t) for i, t, *_ in rows if i is not None))
+    numbered = [(n, t) for n, (_, t) in enumerate(sorted(distinct, key=lambda x: x[0]))]
+    ids = [i for i, _ in sorted(distinct, key=lambda x: x[0])]
+    return Counter([ids[n] for n, _, _, kept in brute_components(sets_of(numbered, size), percent) if kept] + [None for i, *_ in rows if i is None])
+
+
 def test_dropping_near_duplicates_keeps_columns(docs, rows):
     kept = neardup.drop_near_duplicates(docs, 5, 80)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    components = {c for i, _, c, k in brute_components(sets_of(rows, 5), 80) if i is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(components) and ids.count(None) == 2
+    want = brute_kept(rows, 80, 5)
+    assert Counter(r.doc_id for r in kept.collect()) == want and want[None] == 2 and want[60] == 2
 
 
 def test_least_matches():
