@@ -61,8 +61,23 @@ def xml_rows(results: DataFrame, full: bool = False) -> DataFrame:
 
 
 def markdown_rows(results: DataFrame, full: bool = False) -> DataFrame:
-    parts = [F.format_string("## %s (%s)\n\n", F.col("file"), fixed(F.col("score"), 4)), F.concat(F.lit("**Title:** "), F.col("title"), F.lit("\n")), F.coalesce(F.concat(F.lit("**Context:** "), F.col("context"), F.lit("\n")), F.lit(""))]
-    return results.withColumn("md", F.concat(*parts, *([F.coalesce(F.concat(F.lit("\n```\n"), F.col("body"), F.lit("\n```\n")), F.lit(""))] if full else [])))
+    parts = [F.format_string("## %s (score: %s)\n\n", F.col("file"), fixed(F.col("score"), 4)), _bold("Title", F.col("title")), F.coalesce(_bold("Context", F.col("context")), F.lit(""))]
+    return results.withColumn("md", F.concat(*parts, *([F.coalesce(_fenced(F.col("body")), F.lit(""))] if full else [])))
+
+
+def _bold(name: str, x: Column) -> Column:
+    return F.concat(F.lit(f"**{name}:** "), x, F.lit("\n\n"))
+
+
+def _fenced(x: Column) -> Column:
+    return F.concat(F.lit("```\n"), x, F.lit("\n```\n\n"))
+
+
+def terminal_rows(results: DataFrame, full: bool = False) -> DataFrame:
+    """A paragraph per result: docid, score and file, then title, context and body where they are there; without colours."""
+    parts = [F.concat_ws(" ", _mark(), fixed(F.col("score"), 2), "file"), F.lit("\n"), F.when(F.col("title") != "", F.concat(F.lit("  "), F.col("title"), F.lit("\n"))), F.concat(F.lit("  Context: "), F.col("context"), F.lit("\n"))]
+    parts += [F.concat(F.lit("\n"), F.col("body"), F.lit("\n"))] if full else []
+    return results.withColumn("cli", F.concat(*[F.coalesce(p, F.lit("")) for p in [*parts, F.lit("\n")]]))
 
 
 def text_rows(results: DataFrame) -> DataFrame:
@@ -70,14 +85,14 @@ def text_rows(results: DataFrame) -> DataFrame:
     return results.withColumn("line", F.format_string("%s %d%% %s - %s", _mark(), F.floor(F.col("score") * 100), "file", "title"))
 
 
-RENDERERS = {"csv": csv_rows, "json": json_rows, "xml": xml_rows, "md": markdown_rows, "cli": text_rows}
+RENDERERS = {"csv": csv_rows, "json": json_rows, "xml": xml_rows, "md": markdown_rows, "cli": terminal_rows, "text": text_rows}
 
 
 def render(results: DataFrame, kind: str, full: bool = False) -> DataFrame:
     """Rows with one more column that holds each one's rendering; 'files' keeps the path alone."""
     if kind == "files":
         return results.withColumn("files", F.col("file"))
-    return RENDERERS[kind](results, full) if kind in ("json", "xml", "md") else RENDERERS[kind](results)
+    return RENDERERS[kind](results, full) if kind in ("json", "xml", "md", "cli") else RENDERERS[kind](results)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -86,3 +101,67 @@ def document_rows(docs: DataFrame) -> DataFrame:
     whole = F.struct("file", "title", "context", "body")
     fields = [escape_csv(F.col("file")), escape_csv(F.col("title")), escape_csv(F.coalesce("context", F.lit(""))), F.col("skipped").cast("string"), escape_csv(F.coalesce(F.when(F.col("skipped"), F.col("reason")).otherwise(F.col("body")), F.lit("")))]
     return docs.withColumns({"json": F.when(F.col("skipped"), F.to_json(skipped)).otherwise(F.to_json(whole)), "csv": F.concat_ws(",", *fields)})
+
+
+def _body_or(skipped: Column) -> Column:
+    return F.coalesce(F.when(F.col("skipped"), skipped).otherwise(_fenced(F.col("body"))), F.lit(""))
+
+
+def document_markdown(docs: DataFrame) -> DataFrame:
+    """With md: the title only if it says more than the path; a skipped document has its reason as a quotation."""
+    title = F.when((F.col("title") != "") & (F.col("title") != F.col("file")), _bold("Title", F.col("title")))
+    reason = F.concat(F.lit("> "), F.coalesce("reason", F.lit("Skipped")), F.lit("\n\n"))
+    parts = [F.concat(F.lit("## "), F.col("file"), F.lit("\n\n")), title, _bold("Context", F.col("context"))]
+    return docs.withColumn("md", F.concat(*[F.coalesce(p, F.lit("")) for p in parts], _body_or(reason)))
+
+
+def document_xml(docs: DataFrame) -> DataFrame:
+    tag = lambda name, x: F.concat(F.lit(f"    <{name}>"), escape_xml(x), F.lit(f"</{name}>\n"))
+    skipped = F.concat(F.lit("    <skipped>true</skipped>\n"), tag("reason", F.coalesce("reason", F.lit(""))))
+    parts = [tag("file", F.col("file")), tag("title", F.col("title")), tag("context", F.col("context")), F.when(F.col("skipped"), skipped).otherwise(tag("body", F.col("body")))]
+    return docs.withColumn("xml", F.concat(F.lit("  <document>\n"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("  </document>")))
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("files", F.when(F.col("skipped"), F.concat("file", F.lit(" [SKIPPED]"))).otherwise(F.col("file")))
+
+
+def document_terminal(docs: DataFrame) -> DataFrame:
+    """With cli: a banner with the path, then the reason why it was skipped, or the context and the body."""
+    rule = F.lit("=" * 60 + "\n")
+    whole = F.concat(F.coalesce(F.concat(F.lit("Folder Context: "), F.col("context"), F.lit("\n---\n\n")), F.lit("")), F.coalesce(F.concat(F.col("body"), F.lit("\n")), F.lit("")))
+    skipped = F.concat(F.lit("[SKIPPED: "), F.coalesce("reason", F.lit("unknown")), F.lit("]\n"))
+    return docs.withColumn("cli", F.concat(F.lit("\n"), rule, F.lit("File: "), F.col("file"), F.lit("\n"), rule, F.lit("\n"), F.when(F.col("skipped"), skipped).otherwise(whole)))
+
+
+DOCUMENTS = {"json": document_rows, "csv": document_rows, "md": document_markdown, "xml": document_xml, "files": document_files, "cli": document_terminal}
+
+
+def render_documents(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents (file, title, context, skipped, reason, body) with one more column that holds each one's rendering."""
+    return DOCUMENTS[kind](docs)
+
+
+#: What stands before and behind a whole output, and between its rows.
+FRAMES = {
+    ("csv", "results"): ("docid,score,file,title,context\n", "\n", ""), ("csv", "documents"): ("file,title,context,skipped,body\n", "\n", ""),
+    ("xml", "results"): ('<?xml version="1.0" encoding="UTF-8"?>\n<results>\n', "\n", "\n</results>"), ("xml", "documents"): ('<?xml version="1.0" encoding="UTF-8"?>\n<documents>\n', "\n", "\n</documents>"),
+    ("json", "results"): ("[", ",", "]"), ("json", "documents"): ("[", ",", "]"),
+    ("files", "results"): ("", "\n", ""), ("files", "documents"): ("", "\n", ""), ("text", "results"): ("", "\n", ""),
+}
+
+
+def whole_output(rendered: DataFrame, kind: str, order: str, of: str = "results") -> DataFrame:
+    """One row (output): the renderings of a short list in order of a column, with header or root. Without rows: the frame alone, for the terminal 'No results found.'"""
+    before, between, behind = FRAMES.get((kind, of), ("", "", ""))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind if kind != "text" else "line").alias("r")))), lambda x: x["r"])
+    out = F.concat(F.lit(before), F.array_join(parts, between), F.lit(behind))
+    return rendered.agg(F.when((F.count("*") == 0) & F.lit(kind == "cli" and of == "results"), F.lit("No results found.")).otherwise(out).alias("output"))
+
+
+def list_time(stamp: Column, now: str) -> Column:
+    """The time of a listing: month, day and the hour, or the year for times more than 180 days ago; in the stamp's own offset. Other text as it is."""
+    at = F.try_to_timestamp(F.substring(stamp, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(stamp))
+    day = F.concat(F.date_format(at, "MMM"), F.lit(" "), F.lpad(F.dayofmonth(at).cast("string"), 2, " "))
+    return F.when(at.isNull() | age.isNull(), stamp).when(age > 180 * 86400, F.concat(day, F.lit("  "), F.year(at))).otherwise(F.concat(day, F.date_format(at, " HH:mm")))

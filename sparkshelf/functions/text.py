@@ -37,8 +37,9 @@ def tokens(text: Column) -> Column:
 
 
 def title(body: Column) -> Column:
-    """The first line that starts with '# ' or '## ' once trimmed, without that mark; '' if none has text."""
-    return F.trim(F.regexp_extract(body, "(?m)^[^\\S\\n]*##? [^\\S\\n]*(\\S[^\\n]*)$", 1))
+    """The first line that starts with '# ' or '## ' once trimmed, without that mark and the white space about it; '' if none has text. Only a line feed ends a line."""
+    found = F.regexp_extract(body, "(?mdU)^[^\\S\\n]*##? [^\\S\\n]*(\\S[^\\n]*)$", 1)
+    return F.regexp_replace(found, "(?U)\\s+$", "")
 
 
 def first_line(body: Column) -> Column:

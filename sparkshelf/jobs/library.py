@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
+import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.functions import paths, render, text
@@ -91,15 +92,38 @@ class Library:
         settings.set_context(name, prefix, description)
         self._save(settings)
 
+    def set_general_context(self, description: str | None) -> None:
+        """What stands for documents without a context of their own."""
+        settings = self.settings
+        settings.general = description
+        self._save(settings)
+
+    def collections(self) -> DataFrame:
+        """(name, folder, pattern) of the settings."""
+        return self.settings.table(self.spark)
+
+    def owner(self, files: DataFrame) -> DataFrame:
+        """Paths of the file system (file, ...) with the collection that holds each and the rest of the path."""
+        return context.owning_collection(files, self.collections())
+
     def _described(self, rows: DataFrame) -> DataFrame:
         """With context; scored rows stay in their order."""
-        found = context.with_context(rows, self.settings.contexts(self.spark))
+        settings = self.settings
+        found = context.with_context(rows, settings.contexts(self.spark), settings.general)
         return found.orderBy(F.desc(F.round("score", 9)), "collection", "path") if "score" in found.columns else found
 
+    def index(self) -> fts.StoredIndex:
+        """The stored index of the last snapshot of documents; built, once, if there is none."""
+        top = f"{self.catalog.root}/index/{(self.catalog.versions('documents') or [0])[-1]}"
+        built = self.catalog.folders(top, "directory")
+        if not built:
+            built = [f"{top}/{int(time.time() * 1000)}"]
+            fts.write_index(fts.build_index(self.corpus()), built[0])
+        return fts.open_index(self.spark, built[-1])
+
     def search(self, query: str, limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
-        """docid, file, title, score and context of the best documents by words."""
-        corpus = self.corpus()
-        return self._described(fts.search(fts.build_index(corpus), corpus, query, limit, collection, min_score))
+        """docid, file, title, score and context of the best documents by words, from the stored index."""
+        return self._described(fts.search(self.index(), query, limit, collection, min_score))
 
     def nearest(self, vector: list[float], limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
         """The best documents by cosine of their first chunk."""
@@ -108,13 +132,70 @@ class Library:
 
     def hybrid(self, query: str, vector: list[float], limit: int = 10) -> DataFrame:
         """file, title, score, context and body: both searches with twice the limit, fused by rank."""
-        lex = self.search(query, 2 * limit).select("file", "title", "score", "collection", "path")
-        vec = self.nearest(vector, 2 * limit).select(F.concat_ws("/", "collection", "path").alias("file"), F.lit("").alias("title"), "score", "collection", "path")
-        order = F.desc(F.round("score", 9)), F.col("collection"), F.col("path")
-        lists = [fusion.ranked(rows, i, *order).select("list_id", "rank", "file", "title") for i, rows in enumerate((lex, vec))]
-        best = fusion.top(fusion.fuse(lists[0].unionByName(lists[1])), limit)
-        bodies = self.corpus().select(F.concat_ws("/", "collection", "path").alias("file"), "collection", "path", "body")
-        return self._described(best.join(bodies, "file"))
+        return self._described(self._with_bodies(fusion.top(fusion.fuse(self._lists([("lex", query)], 2 * limit).unionByName(self._lists([("vec", query)], 2 * limit, lambda text: vector))), limit)))
+
+    def vector_of(self, text_: str, embed=None) -> list[float]:
+        """A query's vector."""
+        embed = embed or vectors.hashed_embedding()
+        return list(self.spark.createDataFrame([(text_,)], "text string").select(embed(vectors.query_prompt(F.col("text")))).first()[0])
+
+    def sub_queries(self, query: str, expand: bool = True, generate: Callable[[str], str] | None = None) -> list[tuple[str, str]]:
+        """(kind, text) of the queries that a hybrid search asks: those that a generator's text names, or the query itself by words and by meaning."""
+        if not expand or generate is None:
+            return [("lex", query), ("vec", query)]
+        told = self.spark.createDataFrame([(0, generate(query), query)], "query_id int, output string, original string")
+        return [(r.kind, r.text) for r in fusion.parse_expansion(told).orderBy("no").collect()]
+
+    def _lists(self, queries: list[tuple[str, str]], limit: int, vector: Callable[[str], list[float]] | None = None, collection: str | None = None) -> DataFrame:
+        """(list_id, rank, file, title): results by words of all lex queries as one list, and those by meaning as another."""
+        found = self.spark.createDataFrame([], "list_id int, rank int, file string, title string")
+        for list_id, kinds in enumerate((("lex",), ("vec", "hyde"))):
+            parts = []
+            for no, (_, text_) in enumerate(q for q in queries if q[0] in kinds):
+                if kinds == ("lex",):
+                    try:
+                        rows = fts.search(self.index(), text_, limit, collection)
+                    except fts.QuerySyntaxError:
+                        continue  # an expansion need not be a query
+                else:
+                    rows = vectors.nearest(self.corpus(), self.vectors, vector(text_), limit, collection).select("collection", "path", "score", F.concat_ws("/", "collection", "path").alias("file"), F.lit("").alias("title"))
+                rows = fusion.ranked(rows, list_id, F.desc(F.round("score", 9)), F.col("collection"), F.col("path"))
+                parts.append(rows.select(F.lit(no).alias("query_no"), "rank", "file", "title"))
+            for p in parts[1:]:
+                parts[0] = parts[0].unionByName(p)
+            if parts:
+                found = found.unionByName(fusion.continued(parts[0], list_id).select("list_id", "rank", "file", "title"))
+        return found
+
+    def _with_bodies(self, best: DataFrame) -> DataFrame:
+        rows = self.corpus().select(F.concat_ws("/", "collection", "path").alias("file"), "collection", "path", "body", F.col("title").alias("own"))
+        return best.join(rows, "file").withColumn("title", F.col("own")).drop("own")
+
+    def hybrid_search(self, query: str, limit: int = 10, collection: str | None = None, expand: bool = True, rerank: bool = True, generate: Callable[[str], str] | None = None, embed=None) -> DataFrame:
+        """file, title, score, context and body of the best documents by words and by meaning.
+
+        The query is expanded to several, whose results by words make one ranked list and those by
+        meaning another; both are fused, and the best 2 * limit put in the order of the cosine of
+        their text with the query. Scores stay those of the fusion.
+        """
+        queries = self.sub_queries(query, expand, generate)
+        lists = self._lists(queries, 2 * limit, lambda text_: self.vector_of(text_, embed), collection)
+        pool = self._with_bodies(fusion.top(fusion.fuse(lists), 2 * limit))
+        if not rerank:
+            return self._described(pool).limit(limit)
+        best = self._reranked(pool, query, limit, embed)
+        settings = self.settings
+        return context.with_context(best, settings.contexts(self.spark), settings.general).orderBy(F.desc(F.round("rerank_score", 9)), "file")
+
+    def _reranked(self, pool: DataFrame, query: str, limit: int, embed=None) -> DataFrame:
+        embed = embed or vectors.hashed_embedding()
+        own = pool.select("file", embed(vectors.document_prompt(F.col("title"), F.col("body"))).alias("embedding"))
+        return fusion.rerank_by_vectors(pool, own, self.vector_of(query, embed), limit)
+
+    def rerank(self, query: str, names: str, limit: int = 10, embed=None) -> DataFrame:
+        """file and rerank_score of the documents that a comma list names, the most like the query first."""
+        pool = self.multi_get(names, most=2**31 - 1).where("not skipped").select("file", "title", "body")
+        return self._reranked(pool, query, limit, embed).select("file", "rerank_score")
 
     def get(self, name: str, lines: int | None = None) -> DataFrame:
         """The documents that a reference names, with their text from its line on."""
@@ -127,35 +208,64 @@ class Library:
         body = text.line_range(F.col("body"), line or 1, lines) if line or lines else F.col("body")
         return self._described(rows).select("file", text.docid(F.col("hash")).alias("docid"), "title", "context", body.alias("body"))
 
-    def multi_get(self, names: str, most: int = 10_240) -> DataFrame:
-        """Documents of a comma list or a glob; larger ones without their text, as skipped."""
+    def multi_get(self, names: str, most: int = 10_240, max_lines: int | None = None) -> DataFrame:
+        """Documents of a comma list or a glob; larger ones without their text, as skipped; of others max_lines lines at most.
+
+        All names are met in one pass over the documents.
+        """
         wanted = [n.strip() for n in names.split(",") if n.strip()] if "," in names and not re.search(r"[*?]", names) else [names]
-        found = self.get(wanted[0])
-        for n in wanted[1:]:
-            found = found.unionByName(self.get(n))
+        rows = self.corpus().withColumn("file", F.concat_ws("/", "collection", "path"))
+        told = [reference(n) for n in wanted]
+        files, docids = [v for k, v, _ in told if k == "path"], [v for k, v, _ in told if k == "docid"]
+        hit = F.col("file").isin(files) | text.docid(F.col("hash")).isin(docids)
+        for _, v, _ in (t for t in told if t[0] == "glob"):
+            hit = hit | paths.matches_glob(F.col("path"), v)
+        found = rows.where(hit)
+        if docids:  # of a content's copies the first one answers for its docid
+            first = F.min(F.struct("collection", "path")).over(Window.partitionBy(text.docid(F.col("hash"))))
+            other = ~F.col("file").isin(files)
+            for _, v, _ in (t for t in told if t[0] == "glob"):
+                other = other & ~paths.matches_glob(F.col("path"), v)
+            found = found.withColumn("_first", first).where(~other | (F.struct("collection", "path") == F.col("_first"))).drop("_first")
         large = F.octet_length("body") > most
-        return found.distinct().select("file", "title", "context", large.alias("skipped"), F.when(large, "File too large").alias("reason"), F.when(~large, F.col("body")).alias("body"))
+        body = F.col("body") if max_lines is None else text.line_range(F.col("body"), 1, max_lines)
+        return self._described(found).select("file", "title", "context", large.alias("skipped"), F.when(large, "File too large").alias("reason"), F.when(~large, body).alias("body"))
 
     def files(self, collection: str, prefix: str = "") -> DataFrame:
         rows = self.corpus().where((F.col("collection") == collection) & paths.has_prefix(F.col("path"), prefix))
         return rows.select("path", "title", "modified_at", F.length("body").alias("size"), render.format_bytes(F.octet_length("body")).alias("bytes")).orderBy("path")
 
     def status(self) -> DataFrame:
-        names = self.spark.createDataFrame([(n,) for n in self.settings.all], "name string")
-        return status.by_collection(names, self.documents)
+        """(name, documents, last_modified, contexts) of the collections."""
+        settings = self.settings
+        return status.with_contexts(status.by_collection(settings.table(self.spark), self.documents), settings.contexts(self.spark))
+
+    def totals(self) -> DataFrame:
+        return status.totals(self.documents, self.vectors)
 
     def health(self) -> DataFrame:
-        return status.health(self.documents, self.vectors, self.now)
+        return status.warnings(status.health(self.documents, self.vectors, self.now))
+
+    def vector(self, hash_: str, seq: int = 0) -> DataFrame:
+        """(embedding) of one content's chunk."""
+        return vectors.vector_of(self.vectors, hash_, seq)
 
-    def embed(self, embed=None, model: str = "hashed", most: int = chunks.TOKENS, overlap: int = chunks.TOKEN_OVERLAP) -> None:
-        """Embeds chunks of contents that have no vector yet: each content once, with its first title."""
+    def clear_vectors(self) -> int:
+        """Forgets all vectors; how many there were."""
+        n = self.vectors.count()
+        self.catalog.write("vectors", self.spark.createDataFrame([], VECTORS))
+        return n
+
+    def embed(self, embed=None, model: str = "hashed", most: int = chunks.TOKENS, overlap: int = chunks.TOKEN_OVERLAP, force: bool = False) -> None:
+        """Embeds chunks of contents that have no vector yet, with force of all: each content once, with its first title."""
         embed = embed or vectors.hashed_embedding()
-        pending = self.corpus().join(vectors.pending(self.documents, self.vectors).select("hash"), "hash", "left_semi").where("trim(body) <> ''")
+        old = self.spark.createDataFrame([], VECTORS) if force else self.vectors
+        pending = self.corpus().join(vectors.pending(self.documents, old).select("hash"), "hash", "left_semi").where("trim(body) <> ''")
         each = pending.groupBy("hash").agg(F.min_by("title", F.struct("collection", "path")).alias("title"), F.first("body").alias("body"))
         pieces = chunks.chunk_tokens(each, "hash", "body", most, overlap).join(each.select("hash", "title"), "hash")
         prompt = vectors.document_prompt(F.col("title"), F.col("chunk"))
         new = pieces.select("hash", F.col("seq").cast("int").alias("seq"), "pos", F.lit(model).alias("model"), F.lit(self.now).alias("embedded_at"), embed(prompt).alias("embedding"))
-        self.catalog.write("vectors", vectors.upsert(self.vectors, new))
+        self.catalog.write("vectors", vectors.upsert(old, new))
 
     def cleanup(self) -> None:
         documents, content, kept = maintenance.cleanup(self.documents, self.content, self.vectors)
@@ -164,12 +274,27 @@ class Library:
         self.catalog.write("documents", documents)
 
     def vacuum(self) -> int:
-        return sum(len(self.catalog.vacuum(t)) for t in ("documents", "content", "vectors", "settings"))
+        """Drops old snapshots and the indexes of old documents; how many."""
+        versions = self.catalog.versions("documents")[-1:]
+        old = [f for f in self.catalog.folders(f"{self.catalog.root}/index") if not versions or f.rpartition("/")[2] != str(versions[0])]
+        for f in old:
+            self.catalog.delete(f)
+        return len(old) + sum(len(self.catalog.vacuum(t)) for t in ("documents", "content", "vectors", "settings"))
 
     def ask_context(self, query: str, limit: int = 5) -> str:
-        """Numbered openings of the best documents, for a generator's prompt."""
+        """Numbered openings of the best documents by words, for a generator's prompt."""
         best = self.search(fts.quote_terms(query), limit).join(self.corpus().select("doc_pk", "body"), "doc_pk").orderBy(F.desc("score"), "file")
         return "\n\n".join(f"[{i}] {r.file}\n{r.body[:1000]}" for i, r in enumerate(best.collect(), 1))
 
+    def ask(self, question: str, generate: Callable[[str], str], limit: int = 5, collection: str | None = None, embed=None, by_words: bool = False) -> tuple[str, list[str]]:
+        """A generator's answer from the openings of the best documents, by meaning or by words, and these documents; ('', []) if there are none."""
+        found = self.search(fts.quote_terms(question), limit, collection) if by_words else self.nearest(self.vector_of(question, embed), limit, collection)
+        best = found.select(F.concat_ws("/", "collection", "path").alias("file"), "score").join(self.corpus().select(F.concat_ws("/", "collection", "path").alias("file"), F.substring("body", 1, 1000).alias("opening")), "file")
+        rows = best.orderBy(F.desc(F.round("score", 9)), "file").collect()
+        if not rows:
+            return "", []
+        given = "\n\n".join(f"[{i}] {r.file}\n{r.opening}" for i, r in enumerate(rows, 1))
+        return generate(f"Answer briefly and only from these documents.\n\n{given}\n\nQuestion: {question}\nAnswer:"), [r.file for r in rows]
+
     def describe(self) -> str:
-        return json.dumps(self.settings.all, sort_keys=True)
+        return self.settings.dumps()

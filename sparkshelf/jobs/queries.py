@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import shared_folder
 from sparkshelf.functions import paths, render, text
 from sparkshelf.operators import chunks, context, fts, fusion, maintenance, status, vectors
 from sparkshelf.sources.corpus import from_documents, vectors_of
@@ -68,9 +69,22 @@ def _term(t: str, cols: str = "0, 1, 2") -> str:
     return f"select doc_pk from toks where term = '{t}' and col in ({cols})"
 
 
+#: Stored indexes of this session by application, tables and stemming.
+_STORED: dict[tuple[str, str, bool], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str, stemmed: bool = False, anew: bool = False) -> fts.StoredIndex:
+    """The index of the documents in the shared folder: written by the first query that asks for it, then read by all."""
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if anew or key not in _STORED:
+        path = shared_folder(spark, "index")
+        fts.write_index(fts.build_index(corpus(spark, d), stemmed), path)
+        _STORED[key] = path
+    return fts.open_index(spark, _STORED[key])
+
+
 def _searched(spark, d, q: str, **options) -> DataFrame:
-    c = corpus(spark, d)
-    found = fts.search(fts.build_index(c, stemmed=options.pop("stemmed", False)), c, q, **options)
+    found = fts.search(stored_index(spark, d, options.pop("stemmed", False)), q, **options)
     return found.select("doc_pk", "docid", "file", F.round("score", 6).alias("score"))
 
 
@@ -146,20 +160,29 @@ def fts_porter(spark, d):
  select query_id, doc_pk, cast(rank as bigint) as rank, round(score, 6) as score from ranks where rank <= 5""")
 def fts_batch_queries(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("terms"))
-    found = fts.top_per_query(fts.batch_scores(fts.build_index(corpus(spark, d), stemmed=False), items), 5)
+    found = fts.top_per_query(fts.batch_scores(stored_index(spark, d), items), 5)
     return found.select("query_id", "doc_pk", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"""with {CORPUS}, {TOKENS} select (select cast(count(*) as bigint) from corpus) as documents, cast(count(distinct term) as bigint) as terms, cast(count(*) as bigint) as positions,
+ (select cast(count(*) as bigint) from (select distinct term, doc_pk, col from toks)) as postings, round((select avg(dl) from sizes), 6) as avgdl from toks""")
+def index_build(spark, d):
+    """Writes the index anew and tells what it holds."""
+    index = stored_index(spark, d, anew=True)
+    sums = index.postings.agg(F.countDistinct("term").alias("terms"), F.sum("tf").cast("long").alias("positions"), F.count("*").alias("postings"))
+    return sums.crossJoin(index.totals.select(F.col("n").alias("documents"), F.round("avgdl", 6).alias("avgdl"))).select("documents", "terms", "positions", "postings", "avgdl")
+
+
 @query(f"with {CORPUS}, {TOKENS} select term, cast(count(distinct doc_pk) as bigint) as df, cast(count(*) as bigint) as tf, cast(sum(position) as bigint) as positions from toks group by 1")
 def index_postings(spark, d):
-    postings = fts.build_index(corpus(spark, d), stemmed=False).postings
+    postings = stored_index(spark, d).postings
     sums = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
     return postings.groupBy("term").agg(F.countDistinct("doc_pk").alias("df"), F.sum("tf").cast("long").alias("tf"), F.sum(sums).cast("long").alias("positions"))
 
 
 @query(f"with {CORPUS}, {TOKENS} select doc_pk, cast(dl as bigint) as dl from sizes")
 def index_doc_stats(spark, d):
-    return fts.build_index(corpus(spark, d), stemmed=False).sizes
+    return stored_index(spark, d).documents.select("doc_pk", "dl")
 
 
 _COS = "list_dot_product({0}::double[], {1}::double[]) / (sqrt(list_dot_product({0}::double[], {0}::double[])) * sqrt(list_dot_product({1}::double[], {1}::double[])))"
@@ -222,8 +245,8 @@ _FUSED = "fused as (select file, sum(weight / (60 + rank + 1)) as s, min(rank) a
 
 def _two_lists(spark, d, weights=(1.0, 1.0)) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("file", F.concat_ws("/", "source", "doc_id"))
-    a = fusion.ranked(docs, 0, F.desc("n_chars"), F.col("doc_id")).select("list_id", "rank", "file", F.col("lang").alias("title"), F.lit(weights[0]).alias("weight"))
-    b = fusion.ranked(docs, 1, F.desc(F.col("n_chars") % 101), F.col("doc_id")).select("list_id", "rank", "file", F.col("source").alias("title"), F.lit(weights[1]).alias("weight"))
+    a = fusion.ranked_table(docs, 0, F.desc("n_chars"), F.col("doc_id")).select("list_id", "rank", "file", F.col("lang").alias("title"), F.lit(weights[0]).alias("weight"))
+    b = fusion.ranked_table(docs, 1, F.desc(F.col("n_chars") % 101), F.col("doc_id")).select("list_id", "rank", "file", F.col("source").alias("title"), F.lit(weights[1]).alias("weight"))
     return a.unionByName(b)
 
 
@@ -245,9 +268,9 @@ def rrf_weighted(spark, d):
  select query_no, doc_id, cast(row_number() over (order by query_no, rank) - 1 as bigint) as rank from hits""")
 def rrf_multiquery_ranks(spark, d):
     docs = table(spark, d, "documents")
-    a = fusion.ranked(docs.where("lang = 'en'"), 0, F.desc("n_chars"), F.col("doc_id")).withColumn("query_no", F.lit(0))
-    b = fusion.ranked(docs.where("lang in ('en', 'de')"), 0, F.col("doc_id")).withColumn("query_no", F.lit(1))
-    return fusion.continued(a.unionByName(b).select("query_no", "rank", "doc_id"), 0).select("query_no", "doc_id", F.col("rank").cast("long").alias("rank"))
+    a = fusion.ranked_table(docs.where("lang = 'en'"), 0, F.desc("n_chars"), F.col("doc_id")).withColumn("query_no", F.lit(0))
+    b = fusion.ranked_table(docs.where("lang in ('en', 'de')"), 0, F.col("doc_id")).withColumn("query_no", F.lit(1))
+    return fusion.continued_table(a.unionByName(b).select("query_no", "rank", "doc_id"), 0).select("query_no", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 _LEX = _bm25([_term("license")], "f0 > 0", limit="limit 20")
@@ -256,7 +279,7 @@ _VEC = f"select doc_pk, collection || '/' || path as file, {_COS.format('embeddi
 
 def _hybrid_lists(spark, d) -> DataFrame:
     c = corpus(spark, d)
-    lex = fts.search(fts.build_index(c, stemmed=False), c, "license", limit=20)
+    lex = fts.search(stored_index(spark, d), "license", limit=20)
     vec = vectors.nearest(c, given_vectors(spark, d), _first_vector(spark, d), 20).withColumn("file", F.concat_ws("/", "collection", "path"))
     order = F.desc(F.round("score", 9)), F.col("collection"), F.col("path")
     both = [fusion.ranked(x, i, *order).select("list_id", "rank", "file", F.lit("").alias("title")) for i, x in enumerate((lex, vec))]
@@ -284,17 +307,17 @@ def expand_simple(spark, d):
     return fusion.expand_simple(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-_FIRST_WORDS = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"
+#: What a generator may say of a text: three tagged lines, of which line ends in the text make more, and noise.
+_SAID = "'lex: ' || lower(original) || chr(10) || 'vec: about ' || original || chr(10) || 'hyde: zzz' || chr(10) || 'noise'"
+_BARE = "regexp_replace({0}, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')"
 
 
-@query(f"""with o as (select item_id as query_id, {_FIRST_WORDS} as original from benchmark where position(chr(10) in {_FIRST_WORDS}) = 0), g as (select query_id, original, len(string_split(original, ' ')[1]) >= 3 or strlen(string_split(original, ' ')[2]) >= 3 as has from o),
- lines as (select query_id, 0 as no, 'lex' as kind, lower(original) as text, original from g union all select query_id, 1, 'vec', 'about ' || original, original from g union all select query_id, 2, 'hyde', 'zzz', original from g),
- good as (select query_id, no, kind, text from lines l where strlen(original) < 3 or len(list_filter(string_split(lower(original), ' '), lambda t: strlen(t) >= 3 and contains(lower(l.text), t))) > 0)
- select query_id, cast(no as integer) as no, kind, text from good union all select query_id, v.no, v.kind, v.lead || original from o, (values (0, 'lex', ''), (1, 'vec', ''), (2, 'hyde', 'Information about ')) v(no, kind, lead) where query_id not in (select query_id from good)""")
+@query(f"""with o as (select item_id as query_id, text as original from benchmark), lines as (select query_id, original, unnest(string_split({_SAID}, chr(10))) as line, generate_subscripts(string_split({_SAID}, chr(10)), 1) - 1 as no from o),
+ parsed as (select query_id, original, no, regexp_extract({_BARE.format('line')}, '^(lex|vec|hyde):', 1) as kind, {_BARE.format("regexp_extract(" + _BARE.format('line') + ", '(?s)^(?:lex|vec|hyde):(.*)$', 1)")} as text from lines),
+ good as (select query_id, no, kind, text from parsed p where kind <> '' and text <> '' and (strlen(original) < 3 or len(list_filter(regexp_split_to_array(lower(original), '[ \\t\\n\\v\\f\\r]+'), lambda t: strlen(t) >= 3 and contains(lower(p.text), t))) > 0))
+ select query_id, cast(no as integer) as no, kind, text from good union all select query_id, v.no, v.kind, v.lead || original from o, (values (0, 'lex', ''), (1, 'vec', ''), (2, 'hyde', 'Information about ')) v(no, kind, lead) where original is not null and query_id not in (select query_id from good)""")
 def expansion_parse(spark, d):
-    first = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
-    o = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("original")).where(~F.contains("original", F.lit("\n")))
-    return _parsed(o)
+    return _parsed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original")).where("original is not null"))
 
 
 @query()
@@ -333,10 +356,17 @@ def snippet(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", s.alias("s")).select("doc_id", "s.snippet", "s.line")
 
 
-@query("select doc_id, trim(split_part(text, chr(10), 1)) as title from documents where text is not null and trim(split_part(text, chr(10), 1)) <> ''")
+_TRIMMED = "regexp_replace({0}, '^[\\s\\v\\x{{85}}\\x{{a0}}]+|[\\s\\v\\x{{85}}\\x{{a0}}]+$', '', 'g')"
+
+
+@query(f"""with h as (select doc_id, case doc_id % 5 when 0 then '### no' || chr(10) || '#tag' || chr(10) || '  ## ' || text when 1 then text || chr(13) || '# no' when 2 then '# ' || chr(10) || chr(9) || '# ' || chr(9) || text when 3 then text || chr(10) || '## ' || text else text end as body from documents where text is not null),
+ m as (select doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIMMED.format('x')}), lambda x: starts_with(x, '# ') or starts_with(x, '## '))[1] as line from h)
+ select doc_id, coalesce({_TRIMMED.format("regexp_replace(line, '^##? ', '')")}, '') as title from m""")
 def title_extract(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").withColumn("headed", F.concat(F.lit("### no\n#tag\n  ## "), F.col("text")))
-    return rows.select("doc_id", F.trim(text.title(F.col("headed"))).alias("title")).where("title <> ''")
+    """Over whole texts with headings before, behind and between them, and none."""
+    t = F.col("text")
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("### no\n#tag\n  ## "), t)).when(F.col("doc_id") % 5 == 1, F.concat(t, F.lit("\r# no"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("# \n\t# \t"), t)).when(F.col("doc_id") % 5 == 3, F.concat(t, F.lit("\n## "), t)).otherwise(t)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", text.title(body).alias("title"))
 
 
 @query("""select page_id, array_to_string(list_filter(list_transform(string_split(lower(replace(url, '___', '/')), '/'), lambda p: regexp_replace(regexp_replace(p, '[^\\p{L}\\p{N}]', '-', 'g'), '^-+|-+$', '', 'g')), lambda p: p <> ''), '/') as handle from pages""")
@@ -344,11 +374,14 @@ def handelize(spark, d):
     return table(spark, d, "pages").select("page_id", paths.handelize(F.col("url")).alias("handle"))
 
 
-@query("""select page_id, 'C:/' || replace(url, '\\', '/') as path, true as absolute, starts_with(url, '/') as url_absolute from pages""")
+@query("""with p as (select page_id, url, case page_id % 4 when 0 then chr(92) || 'c' || chr(92) || replace(url, '/', chr(92)) when 1 then '/d/' || url when 2 then '/dd/' || url else url end as raw from pages), n as (select *, replace(raw, chr(92), '/') as clean from p), f as (select page_id, url, case when regexp_matches(clean, '^/[A-Za-z]/') then upper(clean[2]) || ':' || clean[3:] else clean end as path from n)
+ select page_id, path, starts_with(path, '/') or regexp_matches(path, '^[A-Za-z]:[/\\\\]') as absolute, starts_with(url, '/') or regexp_matches(url, '^[A-Za-z]:[/\\\\]') as url_absolute from f""")
 def path_normalize(spark, d):
-    raw = F.concat(F.lit("\\c\\"), F.replace(F.col("url"), F.lit("/"), F.lit("\\")))
+    """URLs as they are, and behind a drive in either spelling or a longer first part."""
+    u, n = F.col("url"), F.col("page_id") % 4
+    raw = F.when(n == 0, F.concat(F.lit("\\c\\"), F.replace(u, F.lit("/"), F.lit("\\")))).when(n == 1, F.concat(F.lit("/d/"), u)).when(n == 2, F.concat(F.lit("/dd/"), u)).otherwise(u)
     path = paths.filesystem_path(raw)
-    return table(spark, d, "pages").select("page_id", path.alias("path"), paths.is_absolute(path).alias("absolute"), paths.is_absolute(F.col("url")).alias("url_absolute"))
+    return table(spark, d, "pages").select("page_id", path.alias("path"), paths.is_absolute(path).alias("absolute"), paths.is_absolute(u).alias("url_absolute"))
 
 
 @query("select doc_id, source as collection, lang || '/' || doc_id || '.md' as rest, true as is_virtual from documents")
@@ -374,20 +407,23 @@ def list_files_prefix(spark, d):
     return rows.select("path", "title", "modified_at", F.length("body").cast("long").alias("size"))
 
 
-@query("select doc_id, length(text) > 3200 as skipped, case when length(text) > 3200 then null else text end as body from documents where text is not null")
+@query("select doc_id, strlen(text) > 10240 as skipped, case when strlen(text) > 10240 then null else text end as body from documents where text is not null")
 def multi_get_guard(spark, d):
-    large = F.length("text") > 3200
+    large = F.octet_length("text") > 10_240
     return table(spark, d, "documents").where("text is not null").select("doc_id", large.alias("skipped"), F.when(~large, F.col("text")).alias("body"))
 
 
-@query("select doc_id, array_to_string(list_slice(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 2, 4), chr(10)) as part from documents where text is not null and position(chr(13) in text) = 0")
+_TEXT_LINES = "string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))"
+
+
+@query(f"select doc_id, array_to_string(list_slice({_TEXT_LINES}, 2, 4), chr(10)) as part from documents")
 def line_range(spark, d):
-    return table(spark, d, "documents").where("text is not null and instr(text, '\r') = 0").select("doc_id", text.line_range(F.col("text"), 2, 3).alias("part"))
+    return table(spark, d, "documents").select("doc_id", text.line_range(F.col("text"), 2, 3).alias("part"))
 
 
-@query("""select doc_id, array_to_string(list_transform(range(1, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) + 1), lambda i: lpad(i::varchar, 6, ' ') || chr(9) || string_split(regexp_replace(text, '\\n$', ''), chr(10))[i]), chr(10)) as numbered from documents where length(text) < 400 and position(chr(13) in text) = 0""")
+@query(f"select doc_id, array_to_string(list_transform({_TEXT_LINES}, lambda x, i: lpad(i::varchar, greatest(6, length(i::varchar))::integer, ' ') || chr(9) || x), chr(10)) as numbered from documents")
 def line_numbers(spark, d):
-    return table(spark, d, "documents").where("length(text) < 400 and instr(text, '\r') = 0").select("doc_id", text.line_numbers(F.col("text")).alias("numbered"))
+    return table(spark, d, "documents").select("doc_id", text.line_numbers(F.col("text")).alias("numbered"))
 
 
 @query()
@@ -483,6 +519,7 @@ def _results(spark, d) -> DataFrame:
     return corpus(spark, d).select("doc_pk", text.docid(F.col("hash")).alias("docid"), (F.col("doc_pk") % 100 / 128).alias("score"), F.concat_ws("/", "collection", "path").alias("file"), "title", F.when(F.col("doc_pk") % 2 == 0, "a \"b\" & <c>").alias("context"), "body")
 
 
+_NL = "chr(10) || "
 _RESULTS = "results as (select doc_pk, substr(hash, 1, 6) as docid, (doc_pk % 100) / 128.0::double as score, collection || '/' || path as file, title, case when doc_pk % 2 = 0 then 'a \"b\" & <c>' end as context, body from corpus)"
 _CSV = "case when regexp_matches({0}, '[,\"\\n]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"
 _XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
@@ -506,14 +543,14 @@ def render_xml(spark, d):
     return render.render(_results(spark, d), "xml").select("doc_pk", "xml")
 
 
-@query(f"with {CORPUS}, {_RESULTS} select doc_pk, '## ' || file || ' (' || printf('%.4f', score) || ')' || chr(10) || chr(10) || '**Title:** ' || title || chr(10) || coalesce('**Context:** ' || context || chr(10), '') as md from results")
+@query(f"with {CORPUS}, {_RESULTS} select doc_pk, '## ' || file || ' (score: ' || printf('%.4f', score) || ')' || {_NL}{_NL}'**Title:** ' || title || {_NL}{_NL}coalesce('**Context:** ' || context || {_NL}chr(10), '') as md from results")
 def render_md(spark, d):
     return render.render(_results(spark, d), "md").select("doc_pk", "md")
 
 
 @query(f"with {CORPUS}, {_RESULTS} select doc_pk, '#' || docid || ' ' || cast(floor(score * 100) as integer) || '% ' || file || ' - ' || title as line from results")
 def render_text(spark, d):
-    return render.render(_results(spark, d), "cli").select("doc_pk", "line")
+    return render.render(_results(spark, d), "text").select("doc_pk", "line")
 
 
 @query("select l_orderkey, l_linenumber, case when b >= 1073741824 then printf('%.1f GB', b / 1073741824.0::double) when b >= 1048576 then printf('%.1f MB', b / 1048576.0::double) when b >= 1024 then printf('%.1f KB', b / 1024.0::double) else b || ' B' end as size from (select *, l_partkey * l_partkey * 3 + l_orderkey * 5 as b from lineitem)")
@@ -535,7 +572,7 @@ def fuzzy_paths(spark, d):
 @query(f"with found as ({_bm25([_term('license')], 'f0 > 0', limit='limit 5')}), r as (select *, row_number() over (order by score desc, file) as n from found) select cast(n as integer) as n, file, '[' || n || '] ' || file || chr(10) || substr(d.text, 1, 1000) as part from r join documents d on d.doc_id = r.doc_pk")
 def rag_context(spark, d):
     c = corpus(spark, d)
-    best = fusion.ranked(fts.search(fts.build_index(c, stemmed=False), c, "license", limit=5), 0, F.desc(F.round("score", 6)), F.col("file"))
+    best = fusion.ranked(fts.search(stored_index(spark, d), "license", limit=5), 0, F.desc(F.round("score", 6)), F.col("file"))
     rows = best.join(c.select("doc_pk", "body"), "doc_pk")
     n = (F.col("rank") + 1).cast("int")
     return rows.select(n.alias("n"), "file", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col("file"), F.lit("\n"), F.substring("body", 1, 1000)).alias("part"))
@@ -546,3 +583,125 @@ def embed_hash(spark, d):
     embed = vectors.hashed_embedding()
     prompt = vectors.document_prompt(F.col("title"), F.col("body"))
     return corpus(spark, d).groupBy("hash").agg(F.min_by("title", "doc_pk").alias("title"), F.first("body").alias("body")).select("hash", embed(prompt).alias("embedding"))
+
+
+_DOCS = """docs as (select doc_pk, collection || '/' || path as file, case when doc_pk % 3 = 0 then collection || '/' || path when doc_pk % 3 = 1 then title else '' end as title, case when doc_pk % 2 = 0 then 'a "b" & <c>' end as context, strlen(body) > 10240 as skipped,
+ case when strlen(body) > 10240 and doc_pk % 2 = 0 then 'File too large' end as reason, case when strlen(body) <= 10240 then body end as body from corpus)"""
+
+
+def _docs(spark, d) -> DataFrame:
+    c = corpus(spark, d)
+    file, large = F.concat_ws("/", "collection", "path"), F.octet_length("body") > 10_240
+    title = F.when(F.col("doc_pk") % 3 == 0, file).when(F.col("doc_pk") % 3 == 1, F.col("title")).otherwise("")
+    return c.select("doc_pk", file.alias("file"), title.alias("title"), F.when(F.col("doc_pk") % 2 == 0, "a \"b\" & <c>").alias("context"), large.alias("skipped"), F.when(large & (F.col("doc_pk") % 2 == 0), "File too large").alias("reason"), F.when(~large, F.col("body")).alias("body"))
+
+
+_FENCE = f"'```' || {_NL}body || {_NL}'```' || {_NL}chr(10)"
+
+
+@query(f"""with {CORPUS}, {_DOCS} select doc_pk, '## ' || file || {_NL}{_NL}case when title <> '' and title <> file then '**Title:** ' || title || {_NL}chr(10) else '' end || coalesce('**Context:** ' || context || {_NL}chr(10), '')
+ || case when skipped then '> ' || coalesce(reason, 'Skipped') || {_NL}chr(10) else {_FENCE} end as md from docs""")
+def render_documents_md(spark, d):
+    return render.render_documents(_docs(spark, d), "md").select("doc_pk", "md")
+
+
+def _tag(name: str, x: str) -> str:
+    return f"'    <{name}>' || {_XML.format(x)} || '</{name}>' || chr(10)"
+
+
+@query(f"""with {CORPUS}, {_DOCS} select doc_pk, '  <document>' || {_NL}{_tag('file', 'file')} || {_tag('title', 'title')} || coalesce({_tag('context', 'context')}, '')
+ || case when skipped then '    <skipped>true</skipped>' || {_NL}{_tag('reason', "coalesce(reason, '')")} else {_tag('body', 'body')} end || '  </document>' as xml from docs""")
+def render_documents_xml(spark, d):
+    return render.render_documents(_docs(spark, d), "xml").select("doc_pk", "xml")
+
+
+@query(f"with {CORPUS}, {_DOCS} select doc_pk, {_CSV.format('file')} || ',' || {_CSV.format('title')} || ',' || coalesce({_CSV.format('context')}, '') || ',' || skipped::varchar || ',' || coalesce(case when skipped then reason else {_CSV.format('body')} end, '') as csv from docs")
+def render_documents_csv(spark, d):
+    return render.render_documents(_docs(spark, d), "csv").select("doc_pk", "csv")
+
+
+@query(f"with {CORPUS}, {_DOCS} select doc_pk, file, case when not skipped then title end as title, case when not skipped then context end as context, case when not skipped then body end as body, case when skipped then true end as skipped, case when skipped then coalesce(reason, 'unknown') end as reason from docs")
+def render_documents_json(spark, d):
+    back = F.from_json("json", "file string, title string, context string, body string, skipped boolean, reason string")
+    return render.render_documents(_docs(spark, d), "json").select("doc_pk", back.alias("j")).select("doc_pk", "j.*")
+
+
+@query(f"with {CORPUS}, {_DOCS} select doc_pk, file || case when skipped then ' [SKIPPED]' else '' end as files from docs")
+def render_documents_files(spark, d):
+    return render.render_documents(_docs(spark, d), "files").select("doc_pk", "files")
+
+
+@query(f"""with {CORPUS}, {_DOCS} select doc_pk, chr(10) || repeat('=', 60) || {_NL}'File: ' || file || {_NL}repeat('=', 60) || {_NL}chr(10)
+ || case when skipped then '[SKIPPED: ' || coalesce(reason, 'unknown') || ']' || chr(10) else coalesce('Folder Context: ' || context || {_NL}'---' || {_NL}chr(10), '') || body || chr(10) end as cli from docs""")
+def render_documents_cli(spark, d):
+    return render.render_documents(_docs(spark, d), "cli").select("doc_pk", "cli")
+
+
+@query(f"with {CORPUS}, {_RESULTS} select doc_pk, '#' || docid || ' ' || printf('%.2f', score) || ' ' || file || {_NL}case when title <> '' then '  ' || title || chr(10) else '' end || coalesce('  Context: ' || context || chr(10), '') || {_NL}body || {_NL}chr(10) as cli from results")
+def render_cli(spark, d):
+    return render.render(_results(spark, d), "cli", full=True).select("doc_pk", "cli")
+
+
+@query(f"with {CORPUS}, {_RESULTS} select 'docid,score,file,title,context' || {_NL}coalesce(string_agg('#' || docid || ',' || printf('%.4f', score) || ',' || {_CSV.format('file')} || ',' || {_CSV.format('title')} || ',' || coalesce({_CSV.format('context')}, ''), chr(10) order by doc_pk), '') as output from (select * from results order by doc_pk limit 10)")
+def render_csv_whole(spark, d):
+    """A top-10 list with its header."""
+    return render.whole_output(render.render(_results(spark, d).orderBy("doc_pk").limit(10), "csv"), "csv", "doc_pk")
+
+
+@query(f"""with {CORPUS}, {_DOCS} select '<?xml version="1.0" encoding="UTF-8"?>' || {_NL}'<documents>' || {_NL}string_agg('  <document>' || {_NL}{_tag('file', 'file')} || {_tag('title', 'title')} || coalesce({_tag('context', 'context')}, '')
+ || case when skipped then '    <skipped>true</skipped>' || {_NL}{_tag('reason', "coalesce(reason, '')")} else {_tag('body', 'body')} end || '  </document>', chr(10) order by doc_pk) || {_NL}'</documents>' as output from (select * from docs order by doc_pk limit 10)""")
+def render_documents_xml_whole(spark, d):
+    """Ten documents with the root element."""
+    return render.whole_output(render.render_documents(_docs(spark, d).orderBy("doc_pk").limit(10), "xml"), "xml", "doc_pk", "documents")
+
+
+@query(f"""with {CORPUS} select doc_pk, case when epoch(timestamp '2025-01-10 00:00:00') - epoch(modified_at[1:10]::timestamp) > 180 * 86400 then strftime(modified_at[1:10]::date, '%b ') || lpad(day(modified_at[1:10]::date)::varchar, 2, ' ') || '  ' || year(modified_at[1:10]::date)
+ else strftime(modified_at[1:10]::date, '%b ') || lpad(day(modified_at[1:10]::date)::varchar, 2, ' ') || ' 00:00' end as listed from corpus""")
+def list_time(spark, d):
+    return corpus(spark, d).select("doc_pk", render.list_time(F.col("modified_at"), NOW).alias("listed"))
+
+
+@query(f"""with {CORPUS}, {VECTORS}, {_QUERY}, pool as ({_LEX})
+ select pool.file, pool.score, round(coalesce({_COS.format('embedding', 'q')}, 0), 6) as rerank_score from pool join corpus c using (doc_pk) cross join q left join vectors using (hash) order by round(coalesce({_COS.format('embedding', 'q')}, 0), 9) desc, pool.file limit 10""")
+def rerank_by_vectors(spark, d):
+    pool = fts.search(stored_index(spark, d), "license", limit=20).select("file", F.round("score", 6).alias("score"))
+    own = corpus(spark, d).join(given_vectors(spark, d), "hash").select(F.concat_ws("/", "collection", "path").alias("file"), "embedding")
+    return fusion.rerank_by_vectors(pool, own, _first_vector(spark, d), 10).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
+@query("""with f(name, folder) as (values ('all', '/data'), ('some', '/data/src1/'), ('english', '/data/src1/en'), ('other', '/elsewhere')), p as (select doc_id, '/data/' || source || '/' || lang || '/' || doc_id as file from documents),
+ m as (select file, arg_max(struct_pack(name := name, n := length(rtrim(folder, '/'))), length(rtrim(folder, '/'))) as best from p join f on p.file = rtrim(folder, '/') or starts_with(p.file, rtrim(folder, '/') || '/') group by 1)
+ select doc_id, best.name as collection, substr(file, best.n + 2) as rest from p left join m using (file)""")
+def path_owner(spark, d):
+    folders = spark.createDataFrame([("all", "/data"), ("some", "/data/src1/"), ("english", "/data/src1/en"), ("other", "/elsewhere")], "name string, folder string")
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("file"))
+    return context.owning_collection(files, folders).select("doc_id", "collection", "rest")
+
+
+@query(f"""with ctx(collection, prefix, context) as (values {_CONTEXT_SQL}) select n.name, cast(count(c.prefix) as bigint) as contexts from (select distinct source as name from documents) n left join ctx c on c.collection = n.name group by 1""")
+def status_contexts(spark, d):
+    contexts = spark.createDataFrame(_CONTEXTS, "collection string, prefix string, context string")
+    return status.with_contexts(corpus(spark, d).select(F.col("collection").alias("name")).distinct(), contexts)
+
+
+@query(ORACLE["index_health"].replace("select cast(total_docs", "select nullif(concat_ws(chr(10), case when needs_embedding > 0 and floor(needs_embedding * 100 / total_docs) >= 10 then needs_embedding || ' documents (' || cast(floor(needs_embedding * 100 / total_docs) as bigint) || '%) have no embedding: embed them for better results.' end, case when date_diff('day', cast(substr(last, 1, 10) as date), date '2025-01-10') >= 14 then 'The index was last updated ' || date_diff('day', cast(substr(last, 1, 10) as date), date '2025-01-10') || ' days ago: update it.' end), '') as warning, cast(total_docs"))
+def health_warning(spark, d):
+    return status.warnings(status.health(corpus(spark, d), given_vectors(spark, d), NOW))
+
+
+@query(f"with {CORPUS}, {VECTORS} select hash, embedding[1]::double as first from vectors where hash = (select hash from corpus join vectors using (hash) order by doc_pk limit 1)")
+def vector_point_read(spark, d):
+    c, v = corpus(spark, d), given_vectors(spark, d)
+    hash_ = c.join(v.select("hash"), "hash", "left_semi").orderBy("doc_pk").select("hash").first()[0]
+    return vectors.vector_of(v, hash_).select(F.lit(hash_).alias("hash"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query(f"with e as (select vec_id, embedding as a, list_reverse(embedding) as b from embeddings) select vec_id, round({_COS.format('a', 'b')}, 6) as score from e")
+def vec_cosine(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("score"))
+
+
+@query()
+def fuzzy_matches(spark, d):
+    """Paths by how well they hold the query's characters in order."""
+    return fts.fuzzy_paths(corpus(spark, d), "en/10")

@@ -6,7 +6,8 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.functions.porter import stem, stems
@@ -195,49 +196,115 @@ def leaves(tree) -> list[Near]:
 
 
 def exploded(corpus: DataFrame, stemmed: bool) -> DataFrame:
-    """(doc_pk, col, position, term) of a corpus (doc_pk, collection, path, title, body)."""
+    """(doc_pk, dl, col, position, term) of a corpus (doc_pk, dl, collection, path, title, body)."""
     columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": F.col("title"), "body": F.col("body")}
     each = F.array(*[F.struct(F.lit(i).alias("col"), tokens(x).alias("tokens")) for i, x in enumerate(columns.values())])
-    flat = corpus.select("doc_pk", F.explode(each).alias("c")).select("doc_pk", "c.col", F.posexplode("c.tokens").alias("position", "term"))
+    flat = corpus.select("doc_pk", "dl", F.explode(each).alias("c")).select("doc_pk", "dl", "c.col", F.posexplode("c.tokens").alias("position", "term"))
     if not stemmed:
         return flat
     words = flat.select("term").distinct().withColumn("stem", stems("term"))
-    return flat.join(words, "term").select("doc_pk", "col", "position", F.col("stem").alias("term"))
+    return flat.join(words, "term").select("doc_pk", "dl", "col", "position", F.col("stem").alias("term"))
 
 
 @dataclass
 class Index:
-    """postings (term, doc_pk, col, tf, positions); sizes (doc_pk, dl: tokens of all columns). Documents without tokens have sizes, too."""
+    """postings (term, doc_pk, col, tf, positions, dl); documents (doc_pk, dl: tokens of all columns, collection, path, title, hash), those without tokens, too; totals: one row of n and avgdl."""
 
     postings: DataFrame
-    sizes: DataFrame
+    documents: DataFrame
+    totals: DataFrame
     stemmed: bool
 
+    def read(self, exact: list[str], prefixes: list[str]) -> DataFrame:
+        """Postings of these terms and of terms that begin so."""
+        return self.postings.where(_wanted(exact, prefixes))
+
+    def read_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms of a table (term), which may be many."""
+        return self.postings.join(terms, "term", "left_semi")
+
 
 def build_index(corpus: DataFrame, stemmed: bool = True) -> Index:
-    flat = exploded(corpus, stemmed)
-    postings = flat.groupBy("term", "doc_pk", "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    n = sum((F.size(tokens(x)) for x in (F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body"))), F.lit(0))
-    return Index(postings, corpus.select("doc_pk", n.cast("long").alias("dl")), stemmed)
+    """Postings and sizes of a corpus (doc_pk, collection, path, title, body, hash), as a plan that reads all bodies; write_index() keeps them."""
+    n = sum((F.size(tokens(x)) for x in (F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body"))), F.lit(0)).cast("long")
+    names = [c if c in corpus.columns else F.lit(None).cast("string").alias(c) for c in ("collection", "path", "title", "hash")]
+    documents = corpus.select("doc_pk", n.alias("dl"), *names)
+    flat = exploded(corpus.withColumn("dl", n), stemmed)
+    postings = flat.groupBy("term", "doc_pk", "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+    return Index(postings, documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
 
 
-def write_index(index: Index, path: str, partitions: int = 64) -> None:
-    """Postings in files by the hash of their term, sorted by it, so that a query opens few of them."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int")
-    index.postings.withColumn("bucket", bucket).repartition(partitions, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index.sizes.write.parquet(f"{path}/sizes")
+#: Postings of a part of a stored index.
+PART_ROWS = 4_000_000
 
 
-def _wanted(phrases: list[Phrase]) -> Column:
-    """Postings that some phrase may need."""
-    exact = sorted({t for p in phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)})
-    out = F.col("term").isin(exact)
-    for p in phrases:
-        if p.prefix and p.tokens:
-            out = out | F.col("term").startswith(p.tokens[-1])
+def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
+    """Keeps an index below `path`: postings in parts that are ranges of (term, doc_pk), sorted, so that a common term takes as many parts as it needs; a sparse directory of each part's first and last term; documents; totals.
+
+    The number of parts follows the number of postings. The directory is written last: an index without it isn't read.
+    """
+    spark = index.postings.sparkSession
+    index.documents.write.parquet(f"{path}/documents")
+    spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
+    index.postings.write.parquet(f"{path}/unsorted")
+    postings = spark.read.parquet(f"{path}/unsorted")
+    parts = max(1, -(-postings.count() // part_rows))
+    ordered = postings.repartitionByRange(parts, "term", "doc_pk").sortWithinPartitions("term", "doc_pk", "col").withColumn("part", F.spark_partition_id())
+    ordered.write.partitionBy("part").parquet(f"{path}/postings")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)
+    spark.read.parquet(f"{path}/postings").groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
+
+
+POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long"
+
+
+class StoredIndex(Index):
+    """An index that write_index() has kept. A query looks its terms up in the directory and opens only the parts that hold them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        totals = spark.read.parquet(f"{path}/totals")
+        self.spark, self.path, self.directory, self.documents = spark, path, spark.read.parquet(f"{path}/directory"), spark.read.parquet(f"{path}/documents")
+        self.totals, self.stemmed = totals.select("n", "avgdl"), totals.first().stemmed
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).option("recursiveFileLookup", "true").parquet(f"{self.path}/postings")
+
+    def parts(self, exact: list[str], prefixes: list[str]) -> list[int]:
+        hit = F.lit(False)
+        for t in exact:
+            hit = hit | ((F.col("first") <= t) & (F.col("last") >= t))
+        for p in prefixes:
+            # a part is left out if it ends before the prefix or begins behind all that have it
+            hit = hit | ((F.col("last") >= p) & ((F.col("first") <= p) | F.col("first").startswith(p)))
+        return sorted(r.part for r in self.directory.where(hit).select("part").collect())
+
+    def read(self, exact: list[str], prefixes: list[str]) -> DataFrame:
+        found = self.parts(exact, prefixes)
+        if not found:
+            return self.spark.createDataFrame([], POSTINGS)
+        rows = self.spark.read.schema(POSTINGS).parquet(*[f"{self.path}/postings/part={p}" for p in found])
+        return rows.where(_wanted(exact, prefixes))
+
+
+def open_index(spark: SparkSession, path: str) -> StoredIndex:
+    return StoredIndex(spark, path)
+
+
+def _wanted(exact: list[str], prefixes: list[str]) -> Column:
+    out = F.col("term").isin(exact) if exact else F.lit(False)
+    for p in prefixes:
+        out = out | F.col("term").startswith(p)
     return out
 
 
+def _terms(phrases: list[Phrase]) -> tuple[list[str], list[str]]:
+    """Terms that phrases need whole, and beginnings."""
+    exact = sorted({t for p in phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)})
+    return exact, sorted({p.tokens[-1] for p in phrases if p.prefix and p.tokens})
+
+
 def _places(phrase: Phrase, column: str) -> Column:
     """Starts of the phrase in a column, from `held`: an array of (term, col, positions)."""
     code = COLUMNS.index(column)
@@ -285,7 +352,7 @@ def score(index: Index, query: str) -> DataFrame:
     tree = parse(query, index.stemmed)
     ends = leaves(tree)
     phrases = [p for leaf in ends for p in leaf.phrases]
-    held = index.postings.where(_wanted(phrases)).groupBy("doc_pk").agg(F.collect_list(F.struct("term", "col", "positions")).alias("held"))
+    held = index.read(*_terms(phrases)).groupBy("doc_pk").agg(F.collect_list(F.struct("term", "col", "positions")).alias("held"), F.first("dl").alias("dl"))
     counts, somewhere, present, at = {}, {}, [], 0
     for leaf in ends:
         alone = {c: [_places(p, c) if c in p.columns else F.array().cast("array<int>") for p in leaf.phrases] for c in COLUMNS if any(c in p.columns for p in leaf.phrases)}
@@ -308,10 +375,9 @@ def score(index: Index, query: str) -> DataFrame:
             first = first | x if node.kind == "or" else first & (~x if node.kind == "not" else x)
         return first
 
-    sums = index.sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = rows.agg(*[F.count(F.when(F.col(f"h_{c}"), 1)).alias(f"n_{c}") for c in counts])
     # one row each: sizes of the corpus and of the phrases
-    rows = rows.where(holds(tree)).join(index.sizes, "doc_pk").crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(found))
+    rows = rows.where(holds(tree)).crossJoin(F.broadcast(index.totals)).crossJoin(F.broadcast(found))
     total = F.lit(0.0)
     for c in counts:
         odds = F.log((F.col("n") - F.col(f"n_{c}") + 0.5) / (F.col(f"n_{c}") + 0.5))
@@ -320,12 +386,12 @@ def score(index: Index, query: str) -> DataFrame:
     return rows.select("doc_pk", total.alias("score"))
 
 
-def search(index: Index, corpus: DataFrame, query: str, limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
+def search(index: Index, query: str, limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
     """The best `limit` documents (docid, file, title, score, doc_pk, collection, path); ties by collection and path.
 
     A collection limits rows, not the corpus that scores rest on; min_score drops rows after the limit.
     """
-    rows = score(index, query).join(corpus.select("doc_pk", "collection", "path", "title", "hash"), "doc_pk")
+    rows = score(index, query).join(index.documents.drop("dl"), "doc_pk")
     if collection is not None:
         rows = rows.where(F.col("collection") == collection)
     best = rows.orderBy(F.desc(F.round("score", 9)), "collection", "path").limit(limit)
@@ -340,12 +406,11 @@ def batch_scores(index: Index, queries: DataFrame) -> DataFrame:
     Term weights are computed once over the index; queries meet postings on the term alone.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    used = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_pk").agg(F.sum("tf").alias("tf"))
+    used = index.read_terms(wanted.select("term").distinct()).groupBy("term", "doc_pk").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     n = used.groupBy("term").agg(F.count("*").alias("df"))
-    sums = index.sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     odds = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(odds <= 0, F.lit(FLOOR)).otherwise(odds) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = used.join(n, "term").join(index.sizes, "doc_pk").crossJoin(F.broadcast(sums)).select("term", "doc_pk", part.alias("part"))
+    weighted = used.join(n, "term").crossJoin(F.broadcast(index.totals)).select("term", "doc_pk", part.alias("part"))
     return wanted.join(weighted, "term").groupBy("query_id", "doc_pk").agg(F.sum("part").alias("score"))
 
 
@@ -360,3 +425,48 @@ def similar_paths(corpus: DataFrame, text: str, limit: int = 10) -> DataFrame:
     pattern = ".*".join(re.escape(c) for c in text.lower())
     rows = corpus.where(F.lower("path").rlike(pattern)).select("collection", "path", F.levenshtein(F.lower("path"), F.lit(text.lower())).cast("long").alias("distance"))
     return rows.orderBy("distance", "collection", "path").limit(limit)
+
+
+#: Points of a fuzzy match: for a character, for one that follows the last match at once, at a part's start; against a gap's first and further characters.
+MATCH, NEXT, START, GAP, WIDER = 16, 4, 8, -3, -1
+SEPARATORS = frozenset("/-_. ")
+
+
+def fuzzy_score(path: str, query: str) -> int | None:
+    """The best points of the query's characters in order in the path, over all ways to place them; None if they aren't there. Case must be equal."""
+    n = len(path)
+    best: list[int | None] = [0] * (n + 1) if not query else []
+    last: list[int | None] = []
+    for k, c in enumerate(query):
+        row: list[int | None] = [None] * n
+        held: int | None = None  # the best earlier match with its gap up to here
+        for j in range(n):
+            if k and j:
+                before = last[j - 1]
+                wider = None if held is None else held + WIDER
+                fresh = last[j - 2] + GAP if j > 1 and last[j - 2] is not None else None
+                held = max((x for x in (wider, fresh) if x is not None), default=None)
+                near = None if before is None else before + NEXT
+                reach = max((x for x in (held, near) if x is not None), default=None)
+            else:
+                reach = None if k else 0
+            if reach is not None and path[j] == c:
+                row[j] = reach + MATCH + (START if not j or path[j - 1] in SEPARATORS else 0)
+        last = row
+    found = [x for x in (last if query else best) if x is not None]
+    return max(found) if found else None
+
+
+def fuzzy_paths(corpus: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """(collection, path, points): paths that hold the text's characters in order, by the points of the best way to place them; whatever their case.
+
+    Those that don't hold them at all are left out by a pattern before any is scored.
+    """
+    query = text.lower()
+
+    @F.pandas_udf("long")
+    def points(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: fuzzy_score(p, query))
+
+    rows = corpus.where(F.lower("path").rlike("(?s)" + ".*".join(re.escape(c) for c in query))).select("collection", "path")
+    return rows.withColumn("points", points(F.lower("path"))).orderBy(F.desc("points"), "collection", "path").limit(limit)

@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
+from sparkshelf.operators.vectors import cosine
+
 K = 60
 
 
 def ranked(rows: DataFrame, list_id: int, *order: Column) -> DataFrame:
-    """Rows with list_id and their 0-based rank in the order given."""
+    """Rows of a short list, as a search gives it, with list_id and their 0-based rank in the order given."""
     return rows.withColumns({"list_id": F.lit(list_id), "rank": F.row_number().over(Window.orderBy(*order)) - 1})
 
 
+def ranked_table(rows: DataFrame, list_id: int, *order: Column) -> DataFrame:
+    """As ranked(), for tables of any size: rows are dealt by ranges of the order, numbered in each and after the counts of the ranges before; no task holds them all."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # one row per range, as many as the shuffle has partitions
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("rank", own).join(before, "_range").withColumns({"list_id": F.lit(list_id), "rank": F.col("rank") + F.col("_before")}).drop("_range", "_before")
+
+
+def continued_table(rows: DataFrame, list_id: int) -> DataFrame:
+    """As continued(), for results of any size."""
+    return ranked_table(rows.withColumnRenamed("rank", "_own"), list_id, F.col("query_no"), F.col("_own")).drop("_own")
+
+
 def continued(rows: DataFrame, list_id: int) -> DataFrame:
     """Results (query_no, rank) of several queries as one list, whose ranks go on from query to query."""
     return rows.withColumns({"list_id": F.lit(list_id), "rank": F.row_number().over(Window.orderBy("query_no", "rank")) - 1})
@@ -40,6 +58,13 @@ def reorder(fused: DataFrame, reranked: DataFrame, limit: int) -> DataFrame:
     return fused.join(reranked, "file").orderBy(F.desc("rerank_score"), "file").limit(limit)
 
 
+def rerank_by_vectors(pool: DataFrame, vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
+    """The pool (file, ...) in the order of the cosine of each file's vector (file, embedding) with the query's, as rerank_score; 0 without a vector."""
+    score = cosine(F.col("embedding"), F.array(*map(F.lit, query)))
+    scored = pool.join(vectors.select("file", "embedding"), "file", "left").withColumn("rerank_score", F.coalesce(score, F.lit(0.0))).drop("embedding")
+    return scored.orderBy(F.desc(F.round("rerank_score", 9)), "file").limit(limit)
+
+
 def expand_simple(queries: DataFrame) -> DataFrame:
     """(query_id, no, kind, text) of queries (query_id, text): as words, as meaning and as a made-up answer's opening."""
     parts = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(kind).alias("kind"), F.concat(F.lit(lead), F.col("text")).alias("text")) for i, (kind, lead) in enumerate((("lex", ""), ("vec", ""), ("hyde", "Information about ")))])

@@ -29,3 +29,17 @@ def health(documents: DataFrame, vectors: DataFrame, now: str) -> DataFrame:
     rows = a.crossJoin(b).withColumns({"days_stale": days, "percent": F.floor(F.col("needs_embedding") * 100 / F.greatest(F.col("total_docs"), F.lit(1))).cast("long")})
     healthy = (F.col("needs_embedding") * 10 < F.greatest(F.col("total_docs"), F.lit(1))) & (F.coalesce("days_stale", F.lit(0)) < 14)
     return rows.select("total_docs", "needs_embedding", "days_stale", "percent", healthy.alias("healthy"))
+
+
+def warnings(health: DataFrame) -> DataFrame:
+    """The row of health() with warning: what to do about pending embeddings (10 % or more) and age (14 days or more), a line each; null if all is well."""
+    pending = F.when((F.col("needs_embedding") > 0) & (F.col("percent") >= 10), F.format_string("%d documents (%d%%) have no embedding: embed them for better results.", "needs_embedding", "percent"))
+    stale = F.when(F.col("days_stale") >= 14, F.format_string("The index was last updated %d days ago: update it.", "days_stale"))
+    lines = F.filter(F.array(pending, stale), lambda x: x.isNotNull())
+    return health.withColumn("warning", F.when(F.size(lines) > 0, F.array_join(lines, "\n")))
+
+
+def with_contexts(collections: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Collections (name, ...) with contexts: how many prefixes of theirs are described."""
+    n = contexts.groupBy(F.col("collection").alias("name")).agg(F.count("*").alias("contexts"))
+    return collections.join(n, "name", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 if lengths differ, either is empty or null or has norm 0."""
+    """In double precision; 0 if lengths differ, either is empty or null, holds a null or has norm 0."""
     zero = F.lit(0.0)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), zero, lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -41,6 +41,7 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int =
     Both are dealt by hash to blocks of about query_rows and vector_rows; each pair of blocks meets
     in a group of its own, as matrix products of `block` queries at a time, which give k rows a
     query at most. Only the two counts meet in the driver. Each vector travels once per block of queries.
+    As cosine() has it, a pair of unlike lengths, or with a vector that is null, empty, zero or holds a null, scores 0.
     """
     i = max(1, -(-queries.count() // query_rows))
     j = max(1, -(-vectors.count() // vector_rows))
@@ -50,20 +51,33 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int =
     asked = queries.select(F.col("query_id").alias("query"), F.col("embedding").alias("q"), of("query_id", i).alias("i"), every(j).alias("j"))
     held = vectors.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("x"), of("vec_id", j).alias("j"), every(i).alias("i"))
 
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        x = t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def matrices(t: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each length the rows that have a cosine, and their unit vectors."""
+        column = t[name].combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy()) * column.is_valid().to_numpy(zero_copy_only=False)
+        flat, out = column.values.to_numpy(zero_copy_only=False).astype(np.float64), {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            x = flat[column.offsets.to_numpy()[rows][:, None] + np.arange(size)]
+            norms = np.linalg.norm(x, axis=1)
+            fine = norms > 0
+            out[size] = rows[fine], x[fine] / norms[fine, None]
+        return out
 
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            q, x = matrix(left, "q"), matrix(right, "x")
+            q, x = matrices(left, "q"), matrices(right, "x")
             ids, v = left["query"].to_numpy(), right["vec"].to_numpy()
-            n = min(k, len(v))
             for at in range(0, len(ids), block):
                 for low in range(0, len(v), BATCH_ROWS):
-                    w, s = v[low : low + BATCH_ROWS], x[low : low + BATCH_ROWS] @ q[at : at + block].T
-                    top = np.lexsort((np.broadcast_to(w[:, None], s.shape), -np.round(s, 9)), axis=0)[:n]
+                    w = v[low : low + BATCH_ROWS]
+                    s = np.zeros((len(w), len(ids[at : at + block])))
+                    for size, (rows, y) in q.items():
+                        there, z = x.get(size, (np.zeros(0, np.int64), np.zeros((0, size))))
+                        mine, own = (rows >= at) & (rows < at + block), (there >= low) & (there < low + BATCH_ROWS)
+                        s[np.ix_(there[own] - low, rows[mine] - at)] = z[own] @ y[mine].T
+                    top = np.lexsort((np.broadcast_to(w[:, None], s.shape), -np.round(s, 9)), axis=0)[: min(k, len(w))]
                     for o, y in zip(out, (np.repeat(ids[at : at + block], len(top)), w[top].T.reshape(-1), np.take_along_axis(s, top, 0).T.reshape(-1)), strict=True):
                         o.append(y)
         return pa.table({name: np.concatenate(o) for name, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
@@ -81,6 +95,11 @@ def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", last).where("_n = 1").drop("_n", "_new")
 
 
+def vector_of(vectors: DataFrame, hash_: str, seq: int = 0) -> DataFrame:
+    """(embedding) of one content's chunk; no row if it has none."""
+    return vectors.where((F.col("hash") == hash_) & (F.col("seq") == seq)).select("embedding")
+
+
 def pending(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     """(hash, path): contents of active documents without a first vector, each once with its first path."""
     return documents.where("active").join(vectors.where("seq = 0"), "hash", "left_anti").groupBy("hash").agg(F.min("path").alias("path"))

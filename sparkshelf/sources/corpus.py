@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +17,51 @@ from sparkshelf.functions import paths, text
 EPOCH = "2024-01-01"
 
 
-def scan_files(spark: SparkSession, folder: str, collection: str, pattern: str = "**/*.md") -> DataFrame:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All files below folders, and files, by Arrow's client of their file system; names that start with an underscore count."""
+    for batch in batches:
+        for uri in batch["uri"].to_pylist():
+            system, path = file_system(uri)
+            info = system.get_file_info(path)
+            found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
+            files = [x.path for x in found if x.is_file]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(files), pa.string()), pa.array(files, pa.string())], names=["top", "file"])
+
+
+def _contents(root: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(root)
+        for batch in batches:
+            for source, file in zip(batch["source"].to_pylist(), batch["file"].to_pylist(), strict=True):
+                with system.open_input_file(file) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([f.read()], pa.binary())], names=["source", "content"])
+
+    return read
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's client for a folder or file, and the path in it; a path without a scheme is a local one."""
+    if uri.partition(":")[0] in (uri, "file"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def scan_files(spark: SparkSession, folder: str, collection: str, pattern: str = "**/*.md", tasks: int = 64) -> DataFrame:
     """(collection, path, source, title, hash, body) of the UTF-8 files below a folder whose relative path fits the glob and isn't excluded.
 
-    Spark's own listing leaves out names that start with an underscore; such files count here, so
-    names are listed by the driver's Hadoop client and contents read by the executors.
+    The driver lists the folder's own entries; tasks list what lies below each, and others, dealt
+    by file, read the contents. So neither names nor contents pass through the driver.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(folder)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    root, found, names = fs.resolvePath(top).toString().rstrip("/"), fs.listFiles(top, True), []
-    while found.hasNext():
-        names.append((found.next().getPath().toString(),))
-    files = spark.createDataFrame(names, "file string").withColumn("source", F.expr(f"substring(file, {len(root) + 2})"))
-    files = files.where(paths.matches_glob(F.col("source"), pattern) & ~paths.is_excluded(F.col("source")))
-    chosen = [r.file for r in files.select("file").collect()]
+    system, top = file_system(folder)
+    top = top.rstrip("/") or "/"
+    entries = [(x.path if folder.partition(":")[0] in (folder, "file") else f"{folder.partition('://')[0]}://{x.path}",) for x in system.get_file_info(fs.FileSelector(top)) if not x.base_name.startswith(".") and x.base_name not in paths.EXCLUDED]
     schema = "collection string, path string, source string, title string, hash string, body string"
-    if not chosen:
+    if not entries:
         return spark.createDataFrame([], schema)
-    raw = spark.read.format("binaryFile").load(chosen).select(F.expr(f"substring(path, {len(root) + 2})").alias("source"), "content")
+    names = spark.createDataFrame(entries, "uri string").repartition(min(tasks, len(entries))).mapInArrow(_listed, "top string, file string")
+    files = names.select("file", F.expr(f"substring(file, {len(top.rstrip('/')) + 2})").alias("source"))
+    files = files.where(paths.matches_glob(F.col("source"), pattern) & ~paths.is_excluded(F.col("source")))
+    raw = files.repartition(tasks, "file").mapInArrow(_contents(folder), "source string, content binary")
     good = raw.where(F.is_valid_utf8(F.col("content").cast("string"))).select("source", F.decode("content", "UTF-8").alias("body"))
     return good.select(F.lit(collection).alias("collection"), paths.handelize(F.col("source")).alias("path"), "source", text.title(F.col("body")).alias("title"), text.content_hash(F.col("body")).alias("hash"), "body")
 
@@ -79,6 +108,18 @@ class Catalog:
         rows.write.parquet(f"{self.root}/{table}/{version}")
         return version
 
+    def folders(self, top: str, done: str = "") -> list[str]:
+        """Folders below a path, in order; with `done` those in which a write of that name is complete."""
+        fs, path = self._fs()
+        if not fs.exists(path(top)):
+            return []
+        found = [s.getPath().toString() for s in fs.listStatus(path(top)) if s.isDirectory()]
+        return sorted(f for f in found if not done or fs.exists(path(f"{f}/{done}/_SUCCESS")))
+
+    def delete(self, folder: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(folder), True)
+
     def vacuum(self, table: str, keep: int = 1) -> list[int]:
         fs, path = self._fs()
         old = self.versions(table)[:-keep]
@@ -88,10 +129,12 @@ class Catalog:
 
 
 class Collections:
-    """Settings of collections and their contexts, kept as one JSON text in a column of a catalog."""
+    """Settings of collections and their contexts, and a global context, kept as one JSON text in a column of a catalog."""
 
     def __init__(self, text_: str = "{}"):
-        self.all: dict[str, dict] = json.loads(text_)
+        held = json.loads(text_)
+        self.all: dict[str, dict] = held.get("collections", {})
+        self.general: str | None = held.get("general")
 
     def add(self, name: str, path: str, pattern: str = "**/*.md") -> None:
         self.all[name] = {"path": path, "pattern": pattern, "context": self.all.get(name, {}).get("context", {})}
@@ -112,8 +155,11 @@ class Collections:
             held[prefix] = context
 
     def dumps(self) -> str:
-        return json.dumps(self.all, sort_keys=True, ensure_ascii=False)
+        return json.dumps({"collections": self.all, "general": self.general}, sort_keys=True, ensure_ascii=False)
 
     def contexts(self, spark: SparkSession) -> DataFrame:
         rows = [(n, p, c) for n, x in sorted(self.all.items()) for p, c in sorted(x["context"].items())]
         return spark.createDataFrame(rows, "collection string, prefix string, context string")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(n, x["path"], x["pattern"]) for n, x in sorted(self.all.items())], "name string, folder string, pattern string")

@@ -32,10 +32,15 @@ def engine():
     return c
 
 
-@pytest.fixture(scope="module")
-def index(spark):
+@pytest.fixture(scope="module", params=["plan", "stored", "stored in parts"])
+def index(spark, request, tmp_path_factory):
     corpus = spark.createDataFrame([(i, *r) for i, r in enumerate(ROWS, 1)], "doc_pk long, collection string, path string, title string, body string")
-    return fts.build_index(corpus)
+    built = fts.build_index(corpus)
+    if request.param == "plan":
+        return built
+    path = str(tmp_path_factory.mktemp("index") / "i")
+    fts.write_index(built, path, part_rows=5 if request.param == "stored in parts" else 1000)
+    return fts.open_index(spark, path)
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -66,3 +71,44 @@ def test_stems_are_those_of_sqlite(word):
     c.execute("create virtual table v using fts5vocab(t, 'row')")
     c.execute("insert into t values (?)", (word,))
     assert c.execute("select term from v").fetchone()[0] == stem(word)
+
+
+def test_only_parts_with_the_terms_are_opened(spark, tmp_path):
+    rows = [(i, "c", f"p{i}", "", f"common w{i:03d} alp{i % 7}") for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_pk long, collection string, path string, title string, body string")
+    fts.write_index(fts.build_index(corpus, stemmed=False), str(tmp_path / "i"), part_rows=100)
+    index = fts.open_index(spark, str(tmp_path / "i"))
+    parts = index.directory.count()
+    assert parts > 8 and len(index.parts(["w100"], [])) == 1 and 3 <= len(index.parts(["common"], [])) < parts / 2 and not index.parts(["~"], [])
+    assert len(index.parts([], ["alp"])) < parts / 2 and index.read([], ["alp"]).count() == 300
+    assert {r.doc_pk for r in fts.score(index, "w100 common").collect()} == {100}
+    assert index.read_terms(spark.createDataFrame([("w007",), ("w008",)], "term string")).count() == 2
+
+
+def brute_points(path, query):
+    """Over all ways to place the query's characters."""
+    from itertools import combinations
+
+    best = None
+    for at in combinations(range(len(path)), len(query)):
+        if all(path[a] == c for a, c in zip(at, query, strict=True)):
+            points = 0
+            for k, a in enumerate(at):
+                points += fts.MATCH + (fts.START if not a or path[a - 1] in fts.SEPARATORS else 0)
+                if k:
+                    gap = a - at[k - 1] - 1
+                    points += fts.NEXT if not gap else fts.GAP + fts.WIDER * (gap - 1)
+            best = points if best is None else max(best, points)
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab/-", max_size=10), st.text("ab/", min_size=1, max_size=4))
+def test_fuzzy_points(path, query):
+    assert fts.fuzzy_score(path, query) == brute_points(path, query)
+
+
+def test_fuzzy_paths(spark):
+    rows = spark.createDataFrame([("c", "src/Main.rs"), ("c", "some/remains"), ("c", "manual/in/rs"), ("c", "other")], "collection string, path string")
+    got = [(r.path, r.points) for r in fts.fuzzy_paths(rows, "MAIN").collect()]
+    assert got[0][0] == "src/Main.rs" and {p for p, _ in got} == {"src/Main.rs", "some/remains", "manual/in/rs"} and got == sorted(got, key=lambda x: -x[1])
