@@ -35,17 +35,17 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 QUOTES = re.compile('"|“|”|„|«|»'.encode())
 SPEECH = re.compile(rb"\b(said|says|wrote|writes|called|quoted?|quoting|according|reported|reads|the (?:word|term|slur|insult))\b")
 
-MASKS = np.zeros(256, np.uint32)
-for _b in range(0x61, 0x7B):
-    MASKS[_b] = MASKS[_b - 0x20] = 1 << (_b - 0x61)
-MASKS[0x30:0x3A], MASKS[0x80:] = 1 << 26, 1 << 27
-
-
 def edits_allowed(term: str) -> int:
     """No edit in short terms, whose neighbours are ordinary words, one in longer ones, two in long ones."""
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word with no more than `most` letters taken out, for one or two."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | one if most == 1 else {word} | one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}
+
+
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
@@ -110,18 +110,21 @@ class Lexicon:
         self.counted = [self.trie.exact(t) if t in covered else i for i, (t, _) in enumerate(terms)]
         self.strength = [s for _, s in terms]
         self.ordinary = ordinary
-        fuzzy = [t for t, _ in terms if not t.endswith("*") and edits_allowed(t)]
-        self.sizes = np.array([len(t.encode()) for t in fuzzy], np.int64)
-        self.masks = np.array([np.bitwise_or.reduce(MASKS[np.frombuffer(t.encode(), np.uint8)]) for t in fuzzy], np.uint32)
-        self.edits = np.array([edits_allowed(t) for t in fuzzy], np.int64)
+        self.fuzzy = [t for t, _ in terms if not t.endswith("*") and edits_allowed(t)]
         self.known: dict[int, tuple[int, int]] = {}
+        self.shortened: tuple[set[str], set[str]] | None = None
 
-    def maybe(self, masks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Words whose letters and length may be within the edits of some term."""
-        out = np.zeros(len(masks), bool)
-        for mask, size, edits in zip(self.masks, self.sizes, self.edits, strict=True):
-            out |= (np.bitwise_count(masks ^ mask) <= 2 * edits) & (np.abs(sizes - size) <= 2 * edits)
-        return out
+    def maybe(self, word: str) -> bool:
+        """May the word be within the edits of some term? Only then are its automaton and the trie walked.
+
+        Two words that are k edits apart are equal once at most k letters are taken out of each, so
+        a term's shortened forms are looked up for the word's own; they are made once in a worker.
+        """
+        if self.shortened is None:
+            self.shortened = tuple({x for t in self.fuzzy if edits_allowed(t) >= k for x in shortened(t, k)} for k in (1, 2))
+        if not shortened(word, 1).isdisjoint(self.shortened[0]):
+            return True
+        return len(word) > 6 and bool(self.shortened[1]) and not shortened(word, 2).isdisjoint(self.shortened[1])
 
     def matches(self, block: Block) -> tuple[object, np.ndarray, np.ndarray, np.ndarray]:
         """The block's words; of each hit its word's index, term and edits. Each distinct word is looked up once."""
@@ -134,14 +137,12 @@ class Lexicon:
         if len(new):
             data = block.data.tobytes()
             starts, ends = found.starts[first[new]], found.ends[first[new]]
-            masks = np.bitwise_or.reduceat(MASKS[block.data], found.starts)[first[new]]
-            near = self.maybe(masks, ends - starts)
             if len(self.known) + len(new) > KEPT:
                 self.known.clear()
-            for i, a, b, n in zip(new.tolist(), starts.tolist(), ends.tolist(), near.tolist(), strict=True):
+            for i, a, b in zip(new.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 word = data[a:b].lower().decode("utf-8", "replace")
                 term = self.trie.exact(word)
-                term, edits = (term, 0) if term >= 0 else self.trie.near(word) if n and word not in self.ordinary else (-1, 0)
+                term, edits = (term, 0) if term >= 0 else self.trie.near(word) if word not in self.ordinary and self.maybe(word) else (-1, 0)
                 got[i] = (self.counted[term], edits) if term >= 0 else (-1, 0)
                 self.known[int(distinct[i])] = got[i]
         term = np.array([g[0] for g in got], np.int64)[back.reshape(-1)]
@@ -237,7 +238,7 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
     whole = frozenset(t for t in rows if not t.endswith("*") and covered(t))
     kept = [(t, float(r.odds)) for t, r in sorted(rows.items()) if t in whole or not covered(t)]
     lexicon = Lexicon(kept, covered=whole)
-    if not len(lexicon.sizes):
+    if not lexicon.fuzzy:
         return lexicon
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

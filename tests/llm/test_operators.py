@@ -478,6 +478,65 @@ def test_levenshtein_trie():
     assert trie.exact("loweix") == 3 and trie.exact("lowe") == -1 and trie.exact("ass") == 2
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_lexicon_matches_by_brute_force(seed):
+    """Each word's term and edits, by all distances, for words at random edits from terms, in either case and among others."""
+    r = random.Random(seed)
+    letter = lambda: r.choice("abcdeé1")
+    terms = sorted({"".join(letter() for _ in range(r.choice([3, 4, 5, 8, 9, 12]))) for _ in range(60)})
+    stems = ["abcd*", "ééab*"]
+    lexicon = toxicity.Lexicon([(t, 1.0) for t in [*terms, *stems]], frozenset(["abcdea"]))
+    texts = []
+    for _ in range(400):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randint(0, 1)] = r.choice([[], [letter()]])
+        texts.append("".join(w))
+    texts += [s[:-1] + "".join(letter() for _ in range(r.randint(0, 4))) for s in stems for _ in range(20)] + ["abcdea"]
+    texts = [t for t in texts if t]
+    (block,) = blocks(pa.array([" ".join(t.upper() if t.isascii() and r.random() < 0.5 else t for t in texts)]))
+    _, at, found, edits = lexicon.matches(block)
+    got = {i: (t, e) for i, t, e in zip(at.tolist(), found.tolist(), edits.tolist(), strict=True)}
+    names = [*terms, *stems]
+    for i, w in enumerate(texts):
+        if w in terms:
+            want = (names.index(w), 0)
+        elif (held := [s for s in stems if w.startswith(s[:-1])]):
+            want = (names.index(held[0]), 0)
+        else:
+            near = [(edit_distance(w, t), k) for k, t in enumerate(terms) if edit_distance(w, t) <= toxicity.edits_allowed(t)]
+            want = None if w == "abcdea" or not near else (min(near)[1], min(near)[0])
+        assert got.get(i) == want, w
+
+
+def test_toxicity_of_hard_rows(spark):
+    """Repeated rows, clashing names, a very long text and a null table of labels; a score depends on the text alone."""
+    r = random.Random(4)
+    text = lambda *more: " ".join([r.choice("abcdefgh") * r.randint(1, 3) + r.choice("xyz") for _ in range(40)] + list(more))
+    rows = [(i, text("you", "vile", "grubnik") if i % 3 == 0 else text()) for i in range(600)]
+    long = " ".join(text() for _ in range(4000))
+    rows += [(1000, rows[0][1]), (1000, rows[0][1]), (1001, long), (1002, long + " vile grubnik " * 400), (None, rows[0][1])]
+    docs = spark.createDataFrame([(*x, 1, "s", 0.5) for x in rows], "doc_id long, text string, toxic int, held_out string, score double")
+    known = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(600)] + [(None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs, known).collect()
+    assert len(got) == len(rows)
+    scores = defaultdict(set)
+    for x in got:
+        scores[x.doc_id].add(round(x.score, 12))
+    assert scores[1000] == scores[0] == scores[None] and len(scores[1000]) == 1 and {x.predicted for x in got if x.doc_id == 1001} == {0}
+    assert toxicity.drop_toxic(docs, known).columns == docs.columns
+
+
 def test_quotation():
     data = b'he wrote "you idiot" and left. you idiot!'
     at = [m.start() for m in re.finditer(b"idiot", data)]
