@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ALNUM, Block, blocks, words
+from .blocks import ALNUM, Block, blocks, mix, words
 from .graph import cut
 from .neardup import near_duplicates
 
@@ -40,12 +40,6 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
-def shortened(word: str, most: int) -> set[str]:
-    """The word with no more than `most` letters taken out, for one or two."""
-    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    return {word} | one if most == 1 else {word} | one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}
-
-
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
@@ -84,24 +78,120 @@ class Trie:
     def near(self, word: str) -> tuple[int, int]:
         """The term of fewest edits within its own allowance, and the edits; (-1, 0) if none.
 
-        The states of the word's Levenshtein automaton are rows of edit distances; the walk
-        leaves a branch of the trie when no state of it can still accept.
+        The word's Levenshtein automaton walks the trie: bit i of state d tells that the first i
+        letters are read with d edits. A branch is left when no state of it can still accept.
         """
-        best = (-1, 3)
-        todo = [(self.root, list(range(len(word) + 1)))]
+        letters: dict[str, int] = defaultdict(int)
+        for i, c in enumerate(word):
+            letters[c] |= 1 << i
+        end, best = 1 << len(word), (-1, 3)
+        todo = [(self.root, 1, 3, 7)]
         while todo:
-            node, row = todo.pop()
-            if node.word >= 0 and row[-1] <= edits_allowed(self.terms[node.word]) and (row[-1], node.word) < (best[1], best[0] if best[0] >= 0 else 1 << 30):
-                best = (node.word, row[-1])
+            node, none, one, two = todo.pop()
+            if node.word >= 0:
+                edits = 0 if none & end else 1 if one & end else 2 if two & end else 3
+                if edits <= edits_allowed(self.terms[node.word]) and (edits, node.word) < (best[1], best[0] if best[0] >= 0 else 1 << 30):
+                    best = (node.word, edits)
             for c, child in node.next.items():
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (w != c)))
-                if min(new) <= child.most:
-                    todo.append((child, new))
+                here = letters.get(c, 0)
+                a = (none & here) << 1
+                b = (one & here) << 1 | none | none << 1 | a << 1
+                e = (two & here) << 1 | one | one << 1 | b << 1
+                if a or b and child.most or e and child.most > 1:
+                    todo.append((child, a, b, e))
         return best if best[0] >= 0 else (-1, 0)
 
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Forms:
+    """Which words may match a lexicon, told for all distinct words of a block at once.
+
+    Two words that are k edits apart are equal once at most k letters are taken out of each. So
+    hashes of a word's shortened forms are looked up among those of the terms'; equal forms have
+    equal hashes, and an unequal one that has the same only costs a walk.
+    """
+
+    def __init__(self, terms: list[str]):
+        words = [[ord(c) for c in t] for t in terms if not t.endswith("*")]
+        stems = [[ord(c) for c in t[:-1]] for t in terms if t.endswith("*")]
+        fuzzy = [w for t, w in zip((t for t in terms if not t.endswith("*")), words, strict=True) if edits_allowed(t)]
+        twice = [w for w in fuzzy if edits_allowed("x" * len(w)) > 1]
+        self.longest = max([len(w) for w in fuzzy], default=0) + 2
+        self.twice = min([len(w) for w in twice], default=1 << 30) - 2
+        self.stems = sorted({len(s) for s in stems})
+        self.sets = {"whole": self._keys(words, 0), "stem": self._keys(stems, 0), "one": self._keys(fuzzy, 1), "two": self._keys(twice, 2)}
+        self.tables = {}
+        for name, keys in self.sets.items():
+            self.tables[name] = np.zeros(1 << 20, bool)
+            self.tables[name][(keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def _keys(self, words: list[list[int]], most: int) -> np.ndarray:
+        out = [np.zeros(0, np.uint64)]
+        for n in sorted({len(w) for w in words}):
+            out += self._forms(np.array([w for w in words if len(w) == n], np.uint64).reshape(-1, n), most)
+        return np.unique(np.concatenate(out))
+
+    def _forms(self, codes: np.ndarray, most: int) -> list[np.ndarray]:
+        """Hashes of the words (rows of letters) with 0 .. most letters taken out."""
+        sums, key = self._sums(codes), self._key
+        n, back, out = codes.shape[1], np.uint64(INVERSE), [key(self._sums(codes)[:, -1], codes.shape[1])]
+        for i in range(n if most else 0):
+            out.append(key(sums[:, i] + (sums[:, n] - sums[:, i + 1]) * back, n - 1))
+            for k in range(i + 1, n if most > 1 else 0):
+                out.append(key(sums[:, i] + (sums[:, k] - sums[:, i + 1]) * back + (sums[:, n] - sums[:, k + 1]) * back * back, n - 2))
+        return out
+
+    @staticmethod
+    def _sums(codes: np.ndarray) -> np.ndarray:
+        powers = np.array([pow(BASE, j, 1 << 64) for j in range(codes.shape[1])], np.uint64)
+        sums = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        np.cumsum((codes + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+        return sums
+
+    @staticmethod
+    def _key(sums: np.ndarray, size: int) -> np.ndarray:
+        return mix(sums ^ np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
+    def _held(self, name: str, keys: np.ndarray) -> np.ndarray:
+        out = self.tables[name][(keys >> np.uint64(44)).astype(np.int64)]
+        some = np.flatnonzero(out)
+        if len(some):
+            held = self.sets[name]
+            out[some] = held[np.minimum(np.searchsorted(held, keys[some]), len(held) - 1)] == keys[some]
+        return out
+
+    def maybe(self, words: list[bytes]) -> np.ndarray:
+        """Of lower-case UTF-8 words, those that may be a term, begin with a stem or be within a term's edits."""
+        text = np.frombuffer(b"\n".join(words).decode("utf-8", "replace").encode("utf-32-le") + b"\n\0\0\0", np.uint32)
+        ends = np.flatnonzero(text == 10)
+        starts = np.append(0, ends[:-1] + 1)
+        sizes, out = ends - starts, np.zeros(len(words), bool)
+        reach = max(self.longest, *self.stems, 1) if self.stems else max(self.longest, 1)
+        for n in np.unique(np.minimum(sizes, reach + 1)).tolist():
+            own = np.flatnonzero(sizes == n if n <= reach else sizes > reach)
+            size = min(n, reach)
+            codes = text[starts[own][:, None] + np.arange(size)].astype(np.uint64)
+            sums = self._sums(codes)
+            hit = np.zeros(len(own), bool)
+            for k in self.stems:
+                if k <= size:
+                    hit |= self._held("stem", self._key(sums[:, k], k))
+            if n <= reach:
+                hit |= self._held("whole", self._key(sums[:, n], n))
+                if 3 <= n <= self.longest:
+                    for keys in self._forms(codes, 1):
+                        hit |= self._held("one", keys)
+                if self.twice <= n <= self.longest:
+                    left = np.flatnonzero(~hit)
+                    for keys in self._forms(codes[left], 2):
+                        hit[left] |= self._held("two", keys)
+            out[own] = hit
+        return out
+
+
 class Lexicon:
     """Terms with their strengths (log odds of toxic against clean documents); ordinary: words near a term that clean texts use; covered: words that count as hits of a stem, misspelled ones, too."""
 
@@ -112,19 +202,7 @@ class Lexicon:
         self.ordinary = ordinary
         self.fuzzy = [t for t, _ in terms if not t.endswith("*") and edits_allowed(t)]
         self.known: dict[int, tuple[int, int]] = {}
-        self.shortened: tuple[set[str], set[str]] | None = None
-
-    def maybe(self, word: str) -> bool:
-        """May the word be within the edits of some term? Only then are its automaton and the trie walked.
-
-        Two words that are k edits apart are equal once at most k letters are taken out of each, so
-        a term's shortened forms are looked up for the word's own; they are made once in a worker.
-        """
-        if self.shortened is None:
-            self.shortened = tuple({x for t in self.fuzzy if edits_allowed(t) >= k for x in shortened(t, k)} for k in (1, 2))
-        if not shortened(word, 1).isdisjoint(self.shortened[0]):
-            return True
-        return len(word) > 6 and bool(self.shortened[1]) and not shortened(word, 2).isdisjoint(self.shortened[1])
+        self.forms = Forms([t for t, _ in terms])
 
     def matches(self, block: Block) -> tuple[object, np.ndarray, np.ndarray, np.ndarray]:
         """The block's words; of each hit its word's index, term and edits. Each distinct word is looked up once."""
@@ -132,22 +210,22 @@ class Lexicon:
         if not len(found.hashes) or not self.strength:
             return found, *(np.zeros(0, np.int64),) * 3
         distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
-        got = [self.known.get(k) for k in distinct.tolist()]
-        new = np.array([i for i, g in enumerate(got) if g is None], np.int64)
-        if len(new):
-            data = block.data.tobytes()
-            starts, ends = found.starts[first[new]], found.ends[first[new]]
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-            for i, a, b in zip(new.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                word = data[a:b].lower().decode("utf-8", "replace")
-                term = self.trie.exact(word)
-                term, edits = (term, 0) if term >= 0 else self.trie.near(word) if word not in self.ordinary and self.maybe(word) else (-1, 0)
-                got[i] = (self.counted[term], edits) if term >= 0 else (-1, 0)
-                self.known[int(distinct[i])] = got[i]
-        term = np.array([g[0] for g in got], np.int64)[back.reshape(-1)]
-        at = np.flatnonzero(term >= 0)
-        return found, at, term[at], np.array([g[1] for g in got], np.int64)[back.reshape(-1)][at]
+        data = block.data.tobytes().lower()
+        pieces = [data[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+        term, edits = np.full(len(pieces), -1), np.zeros(len(pieces), np.int64)
+        if len(self.known) > KEPT:
+            self.known.clear()
+        for i in np.flatnonzero(self.forms.maybe(pieces)).tolist():
+            key = int(distinct[i])
+            if key not in self.known:
+                word = pieces[i].decode("utf-8", "replace")
+                t = self.trie.exact(word)
+                t, e = (t, 0) if t >= 0 else self.trie.near(word) if word not in self.ordinary else (-1, 0)
+                self.known[key] = (self.counted[t], e) if t >= 0 else (-1, 0)
+            term[i], edits[i] = self.known[key]
+        every = back.reshape(-1)
+        at = np.flatnonzero(term[every] >= 0)
+        return found, at, term[every][at], edits[every][at]
 
     def features(self, block: Block) -> np.ndarray:
         """Of each document: a constant; of its hits outside quotations, those of words (misspelled ones count less), of stems and of misspelled words alone, distinct terms, the largest strength and the share of words; and hits that are quoted."""
