@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkshelf.checkpoints import shared_folder
 from sparkshelf.llm import decontamination, mixing, neardup, sharding, toxicity
-from sparkshelf.llm.graph import ensure_checkpoint_dir
 from sparkshelf.shipping import ship
 
 SHARDS = 16
@@ -32,7 +30,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; files, and rows in each, lie in the order of the mix's shards and inside them in its random order."""
     ship(spark)
-    mixed = mixing.mixed_rows(docs, SHARDS).repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+    mixed = mixing.mixed_rows(docs, SHARDS)
+    shard, order = mixed.columns[-2:]
+    mixed = mixed.repartitionByRange(shard, order).sortWithinPartitions(shard, order)
     return mixed.select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -49,8 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written to the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    top = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
