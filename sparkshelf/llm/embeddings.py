@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components, cut
+from sparkshelf.checkpoints import cut
+
+from .graph import connected_components
 
 #: Vectors at least that centroids are learned from, and of larger sets for each cell.
 SAMPLE_VECTORS, SAMPLE_OF_CELL = 8_192, 16

@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
+
 from .blocks import SPACED, Block, blocks, chained, inside_documents, mix, words
-from .graph import connected_components, cut
+
+from .graph import connected_components
 from .groups import Linked, large_star_groups, star_groups
 
 #: Coordinates of a signature, and those of them that are posted.

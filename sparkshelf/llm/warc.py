@@ -23,7 +23,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import cut, shared_folder
+from sparkshelf.checkpoints import cut, shared_folder
+
 
 REVISIT_BYTES = 1_000
 BLOCK_LINES = 1_000
