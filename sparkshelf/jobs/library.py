@@ -77,8 +77,9 @@ class Library:
         settings = self.settings
         settings.remove(name)
         documents, content = maintenance.remove_collection(self.documents, self.content, name)
-        self.catalog.write("content", content)
+        # documents go before contents and come after them: a job that ends between leaves none without its content
         self.catalog.write("documents", documents)
+        self.catalog.write("content", content)
         self._save(settings)
 
     def rename(self, old: str, new: str) -> None:
@@ -269,9 +270,9 @@ class Library:
 
     def cleanup(self) -> None:
         documents, content, kept = maintenance.cleanup(self.documents, self.content, self.vectors)
+        self.catalog.write("documents", documents)
         self.catalog.write("vectors", kept)
         self.catalog.write("content", content)
-        self.catalog.write("documents", documents)
 
     def vacuum(self) -> int:
         """Drops old snapshots and the indexes of old documents; how many."""

@@ -19,8 +19,8 @@ def values(spark, inputs, *columns):
 
 def test_paths(spark):
     x = F.col("x")
-    assert values(spark, ["C:\\Users\\test", "/home/user", "/c/Users/test", "/d/Projects/app"], paths.filesystem_path(x)) == ["C:/Users/test", "/home/user", "C:/Users/test", "D:/Projects/app"]
-    assert values(spark, ["/home/user", "C:/Users/test", "C:\\Users\\test", "/c/Users", "relative/path", "./local"], paths.is_absolute(x)) == [True, True, True, True, False, False]
+    assert values(spark, ["E:\\notes\\2024\\a b.md", "/srv/texts", "/e/notes/x", "/z/y.md", "\\q\\r", "/ab/c", "f/g"], paths.filesystem_path(x)) == ["E:/notes/2024/a b.md", "/srv/texts", "E:/notes/x", "Z:/y.md", "Q:/r", "/ab/c", "f/g"]
+    assert values(spark, ["/srv/texts", "E:/notes", "e:\\notes", "/e/notes", "E:notes", "notes/e", "../up", ""], paths.is_absolute(x)) == [True, True, True, True, False, False, False, False]
     assert values(spark, ["Notes/My File.md___B--", "a//b"], paths.handelize(x)) == ["notes/my-file-md/b", "a/b"]
     assert values(spark, ["#abc123", "abc123", "#ab", "#ABCDEF"], paths.is_docid(x)) == [True, True, False, True]
     assert values(spark, ["doc://c/a/b.md", "doc:c", "//c/x", "c/x", " doc:///c/y"], paths.virtual_parts(x)) == [("c", "a/b.md"), ("c", ""), ("c", "x"), (None, None), ("c", "y")]
@@ -79,3 +79,13 @@ def test_line_queries_take_every_row(spark, tmp_path):
                 own.append((i, no, m[1], m[2].strip()))
         want += own or [(i, 0, "lex", o), (i, 1, "vec", o), (i, 2, "hyde", f"Information about {o}")]
     assert got("expansion_parse_whole") == sorted(want)
+
+
+def test_titles_know_one_line_end(spark):
+    bodies = ["a\r# no", "a\u2028# no", "x\n \t## Real \t\r\ny", "# \n## \n# later", "#tag\n### deep", "\u00a0# spaced\u00a0", "plain"]
+    assert values(spark, bodies, text.title(F.col("x"))) == ["", "", "Real", "later", "", "spaced", ""]
+
+
+def test_times_of_listings(spark):
+    stamps = ["2025-01-09T07:05:00Z", "2024-03-02T10:00:00Z", "2025-01-01T23:59:59+02:00", "soon"]
+    assert values(spark, stamps, render.list_time(F.col("x"), "2025-01-10T00:00:00Z")) == ["Jan  9 07:05", "Mar  2  2024", "Jan  1 23:59", "soon"]
