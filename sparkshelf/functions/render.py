@@ -85,7 +85,17 @@ def text_rows(results: DataFrame) -> DataFrame:
     return results.withColumn("line", F.format_string("%s %d%% %s - %s", _mark(), F.floor(F.col("score") * 100), "file", "title"))
 
 
-RENDERERS = {"csv": csv_rows, "json": json_rows, "xml": xml_rows, "md": markdown_rows, "cli": terminal_rows, "text": text_rows}
+def meaning_rows(results: DataFrame) -> DataFrame:
+    """As text_rows(), with a rounded percentage, for results by meaning."""
+    return results.withColumn("line", F.concat_ws(" ", _mark(), F.concat(fixed(F.col("score") * 100, 0), F.lit("%")), "file", F.lit("-"), "title"))
+
+
+def fused_rows(results: DataFrame) -> DataFrame:
+    """As text_rows(), with the score to two places and without a mark, for fused results, whose scores are no shares."""
+    return results.withColumn("line", F.concat_ws(" ", "docid", fixed(F.col("score"), 2), "file", F.lit("-"), "title"))
+
+
+RENDERERS = {"csv": csv_rows, "json": json_rows, "xml": xml_rows, "md": markdown_rows, "cli": terminal_rows, "text": text_rows, "meaning": meaning_rows, "fused": fused_rows}
 
 
 def render(results: DataFrame, kind: str, full: bool = False) -> DataFrame:
@@ -147,14 +157,14 @@ FRAMES = {
     ("csv", "results"): ("docid,score,file,title,context\n", "\n", ""), ("csv", "documents"): ("file,title,context,skipped,body\n", "\n", ""),
     ("xml", "results"): ('<?xml version="1.0" encoding="UTF-8"?>\n<results>\n', "\n", "\n</results>"), ("xml", "documents"): ('<?xml version="1.0" encoding="UTF-8"?>\n<documents>\n', "\n", "\n</documents>"),
     ("json", "results"): ("[", ",", "]"), ("json", "documents"): ("[", ",", "]"),
-    ("files", "results"): ("", "\n", ""), ("files", "documents"): ("", "\n", ""), ("text", "results"): ("", "\n", ""),
+    ("files", "results"): ("", "\n", ""), ("files", "documents"): ("", "\n", ""), ("text", "results"): ("", "\n", ""), ("meaning", "results"): ("", "\n", ""), ("fused", "results"): ("", "\n", ""),
 }
 
 
 def whole_output(rendered: DataFrame, kind: str, order: str, of: str = "results") -> DataFrame:
     """One row (output): the renderings of a short list in order of a column, with header or root. Without rows: the frame alone, for the terminal 'No results found.'"""
     before, between, behind = FRAMES.get((kind, of), ("", "", ""))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind if kind != "text" else "line").alias("r")))), lambda x: x["r"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line" if kind in ("text", "meaning", "fused") else kind).alias("r")))), lambda x: x["r"])
     out = F.concat(F.lit(before), F.array_join(parts, between), F.lit(behind))
     return rendered.agg(F.when((F.count("*") == 0) & F.lit(kind == "cli" and of == "results"), F.lit("No results found.")).otherwise(out).alias("output"))
 

@@ -62,6 +62,11 @@ def line_numbers(body: Column, start: int = 1) -> Column:
     return F.array_join(F.transform(lines(body), lambda x, i: F.format_string("%6d\t%s", i + start, x)), "\n")
 
 
+def marked_lines(body: Column, start: int = 1) -> Column:
+    """Each line after its number, a colon and a space."""
+    return F.array_join(F.transform(lines(body), lambda x, i: F.concat((i + start).cast("string"), F.lit(": "), x)), "\n")
+
+
 def snippet(body: Column, query: str, most: int, position: Column | None = None) -> Column:
     """struct(snippet, line): whole lines of about `most` characters about the first term of three or more bytes that occurs, or about `position`."""
     n = F.length(body)

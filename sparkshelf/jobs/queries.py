@@ -705,3 +705,14 @@ def vec_cosine(spark, d):
 def fuzzy_matches(spark, d):
     """Paths by how well they hold the query's characters in order."""
     return fts.fuzzy_paths(corpus(spark, d), "en/10")
+
+
+@query(f"select doc_id, array_to_string(list_transform({_TEXT_LINES}, lambda x, i: i::varchar || ': ' || x), chr(10)) as marked from documents")
+def marked_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.marked_lines(F.col("text")).alias("marked"))
+
+
+@query(f"with {CORPUS}, {_RESULTS} select doc_pk, '#' || docid || ' ' || printf('%.0f', score * 100) || '% ' || file || ' - ' || title as meaning, docid || ' ' || printf('%.2f', score) || ' ' || file || ' - ' || title as fused from results")
+def render_summaries(spark, d):
+    rows = render.render(_results(spark, d), "meaning").withColumnRenamed("line", "meaning")
+    return render.render(rows, "fused").select("doc_pk", "meaning", F.col("line").alias("fused"))
