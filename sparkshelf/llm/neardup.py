@@ -166,9 +166,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     Documents with equal sets are one class, whose smallest doc_id stands for it. A class posts the
     POSTED first coordinates of its MinHash signature, as (coordinate, value), to an inverted index
     with the prefix rule: of coordinates in the order of their lists' lengths, only the rarest can
-    be needed for two classes to agree on enough, so the longest lists are skipped. Inside a list,
-    equal coordinates of the whole signatures are counted, and rows that agree on enough for the
-    threshold, at odds of MISS to lose one, are held together. Such groups of candidates meet once
+    be needed for two classes to agree on enough. The merge skips the longer lists: rows that meet
+    in a list have their collisions in all others counted by looking into the signatures they carry,
+    and those that agree on enough for the threshold, at odds of MISS to lose one, are held together. Such groups of candidates meet once
     more with their full sets, which decide every link; a row goes on being compared until it
     belongs to a component, and pairs are never emitted. Lists of more than list_rows and groups of
     more than group_rows are contracted by pivots first and then compared in blocks (groups.py).
