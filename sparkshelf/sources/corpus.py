@@ -83,7 +83,10 @@ def vectors_of(embeddings: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Tables as numbered snapshots below one folder; a reader sees the last one whose pointer stands."""
+    """Tables as numbered snapshots below one folder, and changes since the last one; a reader sees what is complete."""
+
+    #: Of tables that take changes their key, and the column that keeps its first value.
+    KEYS = {"documents": (["collection", "path"], "created_at")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -92,22 +95,58 @@ class Catalog:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-    def versions(self, table: str) -> list[int]:
+    def _complete(self, table: str) -> list[tuple[int, bool]]:
+        """(version, is it a change) in order."""
+        names = [PurePosixPath(f).name for f in self.folders(f"{self.root}/{table}") if self._done(f)]
+        return sorted((int(n.rstrip("+")), n.endswith("+")) for n in names)
+
+    def _done(self, folder: str) -> bool:
         fs, path = self._fs()
-        top = path(f"{self.root}/{table}")
-        return sorted(int(PurePosixPath(s.getPath().toString()).name) for s in fs.listStatus(top) if fs.exists(path(f"{s.getPath().toString()}/_SUCCESS"))) if fs.exists(top) else []
+        return fs.exists(path(f"{folder}/_SUCCESS"))
+
+    def versions(self, table: str) -> list[int]:
+        return [v for v, _ in self._complete(table)]
 
     def read(self, table: str, schema: str) -> DataFrame:
-        """The last snapshot; no rows of the schema before the first."""
-        found = self.versions(table)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{found[-1]}") if found else self.spark.createDataFrame([], schema)
+        """The last snapshot with the changes since; no rows of the schema before the first."""
+        found = self._complete(table)
+        full = [v for v, change in found if not change][-1:]
+        base = self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{full[0]}") if full else self.spark.createDataFrame([], schema)
+        late = [v for v, change in found if change and v > (full or [0])[0]]
+        if not late:
+            return base
+        keys, kept = self.KEYS[table]
+        rows = base.withColumn("_version", F.lit(0).cast("long"))
+        for v in late:
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{v}+").withColumn("_version", F.lit(v)))
+        columns = [c for c in base.columns if c not in keys]
+        merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_version").alias("_last"), F.min_by(kept, "_version").alias("_first"))
+        return merged.select(*[F.col("_first").alias(c) if c == kept else F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in base.columns])
+
+    def _next(self, table: str) -> int:
+        return max([*self.versions(table), int(time.time() * 1000) - 1]) + 1
 
     def write(self, table: str, rows: DataFrame) -> int:
         """A new snapshot; the one that `rows` may read stays as it is."""
-        version = max([*self.versions(table), int(time.time() * 1000) - 1]) + 1
+        version = self._next(table)
         rows.write.parquet(f"{self.root}/{table}/{version}")
         return version
 
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Rows that are new or replace those of their key: only they are written, as a change to the last snapshot, if there is one."""
+        if not self.versions(table):
+            return self.write(table, rows)
+        version = self._next(table)
+        rows.write.parquet(f"{self.root}/{table}/{version}+")
+        return version
+
+    def merge(self, table: str) -> None:
+        """Makes one snapshot of the last one and the changes since."""
+        found = self._complete(table)
+        if found and found[-1][1]:
+            last = [v for v, change in found if not change][-1]
+            self.write(table, self.read(table, self.spark.read.parquet(f"{self.root}/{table}/{last}").schema))
+
     def folders(self, top: str, done: str = "") -> list[str]:
         """Folders below a path, in order; with `done` those in which a write of that name is complete."""
         fs, path = self._fs()
@@ -121,11 +160,14 @@ class Catalog:
         fs.delete(path(folder), True)
 
     def vacuum(self, table: str, keep: int = 1) -> list[int]:
-        fs, path = self._fs()
-        old = self.versions(table)[:-keep]
-        for v in old:
-            fs.delete(path(f"{self.root}/{table}/{v}"), True)
-        return old
+        """Merges changes, then drops snapshots before the last `keep` and the changes that these hold; gives the snapshots dropped."""
+        self.merge(table)
+        found = self._complete(table)
+        full = [v for v, change in found if not change]
+        old = [(v, change) for v, change in found if full and v < full[-keep:][0]]
+        for v, change in old:
+            self.delete(f"{self.root}/{table}/{v}{'+' if change else ''}")
+        return [v for v, change in old if not change]
 
 
 class Collections:

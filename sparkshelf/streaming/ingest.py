@@ -1,21 +1,26 @@
-"""Incremental ingest: batches of scanned documents, each merged to a new snapshot."""
+"""Incremental ingest: batches of scanned documents, each written as a change to the last snapshot."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkshelf.operators.maintenance import upsert_documents
 from sparkshelf.sources.corpus import Catalog
 
 DOCUMENTS = "collection string, path string, title string, hash string, created_at string, modified_at string, active boolean"
 
 
-def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str, now: str) -> StreamingQuery:
-    """Upserts the stream's rows (collection, path, title, hash); of one path in a batch, the largest hash counts, so that a batch that runs again gives the same snapshot."""
+def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str, now: str, changes: int = 32) -> StreamingQuery:
+    """Upserts the stream's rows (collection, path, title, hash); of one path in a batch, the largest hash counts, so that a batch that runs again gives the same rows.
+
+    A batch writes its own rows as a change; after each `changes` batches they are merged into a snapshot.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.selectExpr("collection", "path", "struct(hash, title) as x").groupBy("collection", "path").agg({"x": "max"}).withColumnRenamed("max(x)", "x").selectExpr("collection", "path", "x.title", "x.hash")
-        catalog.write("documents", upsert_documents(catalog.read("documents", DOCUMENTS), rows, now))
+        rows = batch.groupBy("collection", "path").agg(F.max(F.struct("hash", "title")).alias("x")).select("collection", "path", "x.title", "x.hash")
+        catalog.append("documents", rows.select("*", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), F.lit(True).alias("active")))
+        if (number + 1) % changes == 0:
+            catalog.merge("documents")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

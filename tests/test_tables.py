@@ -72,6 +72,22 @@ def test_catalog_and_stream(spark, tmp_path):
     assert len(catalog.vacuum("documents")) == 1 and len(catalog.versions("documents")) == 1
 
 
+def test_changes_are_read_with_the_snapshot(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    row = lambda p, h, at: ("c", p, "t", h, at, at, True)
+    table = lambda *rows: spark.createDataFrame(rows, DOCUMENTS)
+    catalog.append("documents", table(row("a", "1", OLD), row("b", "2", OLD)))
+    catalog.append("documents", table(row("b", "3", NOW), row("d", "4", NOW)))
+    catalog.append("documents", table(row("b", "5", NOW)))
+    want = {("a", "1", OLD, OLD), ("b", "5", OLD, NOW), ("d", "4", NOW, NOW)}
+    read = lambda: {(r.path, r.hash, r.created_at, r.modified_at) for r in catalog.read("documents", DOCUMENTS).collect()}
+    assert read() == want and len(catalog.versions("documents")) == 3
+    catalog.vacuum("documents")
+    assert read() == want and len(catalog.versions("documents")) == 1
+    catalog.merge("documents")
+    assert len(catalog.versions("documents")) == 1
+
+
 def test_collections():
     c = Collections()
     c.add("n", "/x")
