@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkshelf.functions.porter import stem, stems
+from sparkshelf.functions.porter import stem
 from sparkshelf.functions.text import tokens
 
 COLUMNS = ["filepath", "title", "body"]
+#: Documents whose tokens are grouped at once, and stems that a task keeps.
+GROUPED_ROWS, KNOWN_STEMS = 1_000, 500_000
 K1, B, FLOOR, NEAR = 1.2, 0.75, 1e-6, 10
 
 
@@ -195,15 +200,47 @@ def leaves(tree) -> list[Near]:
     return [tree] if isinstance(tree, Near) else [x for p in tree.parts for x in leaves(p)]
 
 
-def exploded(corpus: DataFrame, stemmed: bool) -> DataFrame:
-    """(doc_pk, dl, col, position, term) of a corpus (doc_pk, dl, collection, path, title, body)."""
-    columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": F.col("title"), "body": F.col("body")}
-    each = F.array(*[F.struct(F.lit(i).alias("col"), tokens(x).alias("tokens")) for i, x in enumerate(columns.values())])
-    flat = corpus.select("doc_pk", "dl", F.explode(each).alias("c")).select("doc_pk", "dl", "c.col", F.posexplode("c.tokens").alias("position", "term"))
-    if not stemmed:
-        return flat
-    words = flat.select("term").distinct().withColumn("stem", stems("term"))
-    return flat.join(words, "term").select("doc_pk", "dl", "col", "position", F.col("stem").alias("term"))
+POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long"
+
+
+def postings(corpus: DataFrame, stemmed: bool) -> DataFrame:
+    """(term, doc_pk, col, tf, positions, dl) of a corpus (doc_pk, collection, path, title, body).
+
+    A document's tokens stand in one row, so they are grouped where they are read: tokens never
+    travel one by one. Arrow encodes a batch's terms as numbers, which one sort groups.
+    """
+    columns = [F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body")]
+    rows = corpus.select(F.col("doc_pk").cast("long").alias("doc_pk"), *[tokens(x).alias(name) for name, x in zip(COLUMNS, columns, strict=True)])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in (b.slice(at, GROUPED_ROWS) for b in batches for at in range(0, b.num_rows, GROUPED_ROWS)):
+            sizes = np.array([np.diff(batch[c].offsets.to_numpy()) for c in COLUMNS])
+            lists = sizes.T.reshape(-1)  # of each row its columns in turn
+            flat = pa.concat_arrays([batch[c].flatten() for c in COLUMNS]).dictionary_encode()
+            begins = np.concatenate([np.cumsum(n) - n + at for n, at in zip(sizes, np.cumsum(sizes.sum(axis=1)) - sizes.sum(axis=1), strict=True)]).reshape(3, -1).T.reshape(-1)
+            owner = np.repeat(np.arange(len(lists)), lists)
+            position = np.arange(len(owner)) - np.repeat(np.cumsum(lists) - lists, lists)
+            code, terms = flat.indices.to_numpy()[begins[owner] + position], flat.dictionary
+            if stemmed:
+                terms = pa.array([known.get(t) or known.setdefault(t, stem(t)) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+                code, terms = terms.indices.to_numpy()[code], terms.dictionary
+                if len(known) > KNOWN_STEMS:
+                    known.clear()
+            order = np.argsort(owner << 32 | code, kind="stable")
+            owner, code = owner[order], code[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+            heads = np.flatnonzero(new)
+            ends = np.append(heads, len(order))
+            row = owner[heads] // 3
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [terms.take(pa.array(code[heads])), batch["doc_pk"].take(pa.array(row)), pa.array(owner[heads] % 3, pa.int32()), pa.array(np.diff(ends), pa.int32()), places, pa.array(sizes.sum(axis=0)[row], pa.int64())],
+                names=["term", "doc_pk", "col", "tf", "positions", "dl"],
+            )
+
+    return rows.mapInArrow(grouped, POSTINGS)
 
 
 @dataclass
@@ -229,13 +266,11 @@ def build_index(corpus: DataFrame, stemmed: bool = True) -> Index:
     n = sum((F.size(tokens(x)) for x in (F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body"))), F.lit(0)).cast("long")
     names = [c if c in corpus.columns else F.lit(None).cast("string").alias(c) for c in ("collection", "path", "title", "hash")]
     documents = corpus.select("doc_pk", n.alias("dl"), *names)
-    flat = exploded(corpus.withColumn("dl", n), stemmed)
-    postings = flat.groupBy("term", "doc_pk", "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
-    return Index(postings, documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
+    return Index(postings(corpus, stemmed), documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
 
 
-#: Postings of a part of a stored index.
-PART_ROWS = 4_000_000
+#: Postings of a part of a stored index, at most, and at least where more parts would keep more cores busy.
+PART_ROWS, LEAST_ROWS = 4_000_000, 100_000
 
 
 def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
@@ -244,21 +279,23 @@ def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     The number of parts follows the number of postings. The directory is written last: an index without it isn't read.
     """
     spark = index.postings.sparkSession
-    index.documents.write.parquet(f"{path}/documents")
-    spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
     index.postings.write.parquet(f"{path}/unsorted")
-    postings = spark.read.parquet(f"{path}/unsorted")
-    parts = max(1, -(-postings.count() // part_rows))
-    ordered = postings.repartitionByRange(parts, "term", "doc_pk").sortWithinPartitions("term", "doc_pk", "col").withColumn("part", F.spark_partition_id())
+    held = spark.read.parquet(f"{path}/unsorted")
+    # lengths are known from the postings: bodies are cut to tokens only once
+    sizes = held.groupBy("doc_pk").agg(F.first("dl").alias("dl"))
+    documents = index.documents.drop("dl").join(sizes, "doc_pk", "left").withColumn("dl", F.coalesce("dl", F.lit(0)).cast("long"))
+    documents.select("doc_pk", "dl", "collection", "path", "title", "hash").write.parquet(f"{path}/documents")
+    spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
+    n = held.count()
+    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    # sorted by the part, too, so that the writer needs no order of its own
+    ordered = held.repartitionByRange(parts, "term", "doc_pk").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "doc_pk", "col")
     ordered.write.partitionBy("part").parquet(f"{path}/postings")
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
     files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)
     spark.read.parquet(f"{path}/postings").groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
 
 
-POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long"
-
-
 class StoredIndex(Index):
     """An index that write_index() has kept. A query looks its terms up in the directory and opens only the parts that hold them."""
 
