@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, mixing, neardup, sharding, substrings, suffixes, tokens, toxicity, warc
+from . import chat, decontamination, embeddings, mixing, neardup, periodic, resampling, sharding, substrings, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_minhash_near_dedup, op4_substring_dedup, op5_sharding, op6_mixing, op7_toxicity, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_token_counts)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_report(periodic.with_planted_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(given.unionByName(added), str(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_minhash_near_dedup, op4_substring_dedup, op5_sharding, op6_mixing, op7_toxicity, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_token_counts, op11_periodic_runs, op12_importance_resampling, op13_chat_formatting)}
 
 #: None of these can be said whole in the other engine's SQL: tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
