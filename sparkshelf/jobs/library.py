@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
 from sparkshelf.functions import paths, render, text
-from sparkshelf.operators import chunks, context, fts, fusion, maintenance, status, vectors
-from sparkshelf.sources.corpus import Catalog, Collections, scan_files
-from sparkshelf.streaming.ingest import DOCUMENTS
+from sparkshelf.operators import chunks, context, fts, fusion, maintenance, segments, status, vectors
+from sparkshelf.shipping import ship
+from sparkshelf.sources.catalog import Catalog, Transaction
+from sparkshelf.sources.corpus import FILES, Collections, scan_changes
+from sparkshelf.streaming.ingest import DOCUMENTS, ingest
 
 CONTENT = "hash string, doc string, created_at string"
 VECTORS = "hash string, seq int, pos int, model string, embedded_at string, embedding array<float>"
-SETTINGS = "settings string"
 
 
 def reference(name: str) -> tuple[str, str, int | None]:
@@ -33,10 +34,10 @@ def reference(name: str) -> tuple[str, str, int | None]:
 
 
 class Library:
-    """Documents, contents and vectors of named collections. now: the time that changes are dated with."""
+    """Documents, contents and vectors of named collections. now: the time that changes are dated with; stemmed: whether words are indexed and asked for by their stems."""
 
-    def __init__(self, spark: SparkSession, root: str, now: str):
-        self.spark, self.catalog, self.now = spark, Catalog(spark, root), now
+    def __init__(self, spark: SparkSession, root: str, now: str, stemmed: bool = True):
+        self.spark, self.catalog, self.now, self.stemmed = ship(spark), Catalog(spark, root), now, stemmed
 
     documents = property(lambda self: self.catalog.read("documents", DOCUMENTS))
     content = property(lambda self: self.catalog.read("content", CONTENT))
@@ -44,60 +45,91 @@ class Library:
 
     @property
     def settings(self) -> Collections:
-        row = self.catalog.read("settings", SETTINGS).first()
-        return Collections(row[0] if row else "{}")
+        return Collections(self.catalog.state().notes.get("settings", "{}"))
 
-    def _save(self, settings: Collections) -> None:
-        self.catalog.write("settings", self.spark.createDataFrame([(settings.dumps(),)], SETTINGS))
+    def _set(self, change: Callable[[Collections], None]) -> None:
+        """Changes settings in a commit of their own."""
+
+        def work(t: Transaction) -> None:
+            settings = Collections(t.told("settings", "{}"))
+            change(settings)
+            t.note("settings", settings.dumps())
+
+        self.catalog.run(work)
 
     def corpus(self) -> DataFrame:
         """Active documents with their bodies and a key that follows from collection and path."""
-        rows = self.documents.where("active").join(self.content.select("hash", F.col("doc").alias("body")), "hash")
+        state = self.catalog.state()
+        return self._corpus(self.catalog.rows(state, "documents", DOCUMENTS), self.catalog.rows(state, "content", CONTENT))
+
+    @staticmethod
+    def _corpus(documents: DataFrame, content: DataFrame) -> DataFrame:
+        rows = documents.where("active").join(content.select("hash", F.col("doc").alias("body")), "hash")
         return rows.withColumn("doc_pk", F.xxhash64("collection", "path"))
 
     def add(self, name: str, folder: str, pattern: str = "**/*.md") -> DataFrame:
         """Takes a folder in as a collection; gives its changes, as update() does."""
-        settings = self.settings
-        settings.add(name, folder, pattern)
-        self._save(settings)
+        self._set(lambda settings: settings.add(name, folder, pattern))
         return self.update(name)
 
     def update(self, name: str) -> DataFrame:
-        """Scans a collection's folder and writes the next snapshots; (action, count)."""
-        own = self.settings.all[name]
-        scan = scan_files(self.spark, own["path"], name, own["pattern"])
-        changes = maintenance.diff(scan, self.documents.where(F.col("collection") == name))
-        counts = changes.groupBy("action").count().collect()
-        new = scan.select("hash", F.col("body").alias("doc"), F.lit(self.now).alias("created_at"))
-        self.catalog.write("content", maintenance.insert_contents(self.content, new))
-        self.catalog.write("documents", maintenance.apply_diff(self.documents, changes, self.now))
+        """Scans a collection's folder; (action, count). One commit holds its changes to contents, documents and known files.
+
+        Only files that are new or whose size or time has changed are opened, and only what differs is written.
+        """
+        counts = self.catalog.run(lambda t: self._update(t, name))
+        for table in ("documents", "content", "files"):
+            self.catalog.merge_many(table)
         return self.spark.createDataFrame(counts, "action string, count long")
 
+    def _update(self, t: Transaction, name: str) -> list:
+        own = Collections(t.told("settings", "{}")).all[name]
+        scan, read = scan_changes(self.spark, own["path"], name, t.read("files", FILES), own["pattern"])
+        documents = t.read("documents", DOCUMENTS).where(F.col("collection") == name)
+        changes = cut(maintenance.diff(scan, documents))
+        counts = changes.groupBy("action").count().collect()
+        bodies = read.where("hash is not null and not gone").groupBy("hash").agg(F.first("body").alias("doc"))
+        new = cut(bodies.join(t.read("content", CONTENT).select("hash"), "hash", "left_anti").select("hash", "doc", F.lit(self.now).alias("created_at")))
+        if not new.isEmpty():
+            t.append("content", new)
+        if any(r.action != "unchanged" for r in counts):
+            t.append("documents", maintenance.changed_rows(documents, changes, self.now))
+        if not read.isEmpty():
+            t.append("files", read.drop("body"))
+        return counts
+
+    def ingest(self, stream: DataFrame, checkpoint: str, changes: int = 32):
+        """Upserts and deletes a stream's documents (collection, path, body or null, ...); each batch is a commit. See streaming/ingest.py."""
+        return ingest(stream, self.catalog, checkpoint, self.now, changes)
+
     def remove(self, name: str) -> None:
-        settings = self.settings
-        settings.remove(name)
-        documents, content = maintenance.remove_collection(self.documents, self.content, name)
-        # documents go before contents and come after them: a job that ends between leaves none without its content
-        self.catalog.write("documents", documents)
-        self.catalog.write("content", content)
-        self._save(settings)
+        def work(t: Transaction) -> None:
+            settings = Collections(t.told("settings", "{}"))
+            settings.remove(name)
+            documents, content = maintenance.remove_collection(t.read("documents", DOCUMENTS), t.read("content", CONTENT), name)
+            t.write("documents", documents)
+            t.write("content", content)
+            t.write("files", t.read("files", FILES).where(F.col("collection") != name))
+            t.note("settings", settings.dumps())
+
+        self.catalog.run(work)
 
     def rename(self, old: str, new: str) -> None:
-        settings = self.settings
-        settings.rename(old, new)
-        self.catalog.write("documents", maintenance.rename_collection(self.documents, old, new))
-        self._save(settings)
+        def work(t: Transaction) -> None:
+            settings = Collections(t.told("settings", "{}"))
+            settings.rename(old, new)
+            t.write("documents", maintenance.rename_collection(t.read("documents", DOCUMENTS), old, new))
+            t.write("files", t.read("files", FILES).withColumn("collection", F.when(F.col("collection") == old, new).otherwise(F.col("collection"))))
+            t.note("settings", settings.dumps())
+
+        self.catalog.run(work)
 
     def set_context(self, name: str, prefix: str, description: str | None) -> None:
-        settings = self.settings
-        settings.set_context(name, prefix, description)
-        self._save(settings)
+        self._set(lambda settings: settings.set_context(name, prefix, description))
 
     def set_general_context(self, description: str | None) -> None:
         """What stands for documents without a context of their own."""
-        settings = self.settings
-        settings.general = description
-        self._save(settings)
+        self._set(lambda settings: setattr(settings, "general", description))
 
     def collections(self) -> DataFrame:
         """(name, folder, pattern) of the settings."""
@@ -113,14 +145,21 @@ class Library:
         found = context.with_context(rows, settings.contexts(self.spark), settings.general)
         return found.orderBy(F.desc(F.round("score", 9)), "collection", "path") if "score" in found.columns else found
 
-    def index(self) -> fts.StoredIndex:
-        """The stored index of the last snapshot of documents; built, once, if there is none."""
-        top = f"{self.catalog.root}/index/{(self.catalog.versions('documents') or [0])[-1]}"
-        built = self.catalog.folders(top, "directory")
-        if not built:
-            built = [f"{top}/{int(time.time() * 1000)}"]
-            fts.write_index(fts.build_index(self.corpus()), built[0])
-        return fts.open_index(self.spark, built[-1])
+    def index(self) -> segments.SegmentedIndex:
+        """The stored index of the documents as the last commit left them. What has changed since it was last asked for is indexed now, by changes."""
+
+        def work(t: Transaction) -> segments.Layout:
+            layout, shown = segments.Layout.of(t.told("index"), self.stemmed), [t.state.folders("documents"), t.state.folders("content")]
+            if t.told("indexed") == shown:
+                return layout
+            # the state that is indexed may go on changing: the next one to ask sees it
+            rows = lambda table, schema: self.catalog.rows(t.state, table, schema)
+            after = segments.refreshed(self.spark, layout, self._corpus(rows("documents", DOCUMENTS), rows("content", CONTENT)), self.catalog.at, lambda: self.catalog.new_folder("index"))
+            t.note("index", after.note())
+            t.note("indexed", shown)
+            return after
+
+        return segments.SegmentedIndex(self.spark, self.catalog.run(work), self.catalog.at)
 
     def search(self, query: str, limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
         """docid, file, title, score and context of the best documents by words, from the stored index."""
@@ -253,9 +292,12 @@ class Library:
 
     def clear_vectors(self) -> int:
         """Forgets all vectors; how many there were."""
-        n = self.vectors.count()
-        self.catalog.write("vectors", self.spark.createDataFrame([], VECTORS))
-        return n
+        def work(t: Transaction) -> int:
+            n = t.read("vectors", VECTORS).count()
+            t.write("vectors", self.spark.createDataFrame([], VECTORS))
+            return n
+
+        return self.catalog.run(work)
 
     def embed(self, embed=None, model: str = "hashed", most: int = chunks.TOKENS, overlap: int = chunks.TOKEN_OVERLAP, force: bool = False) -> None:
         """Embeds chunks of contents that have no vector yet, with force of all: each content once, with its first title."""
@@ -269,18 +311,20 @@ class Library:
         self.catalog.write("vectors", vectors.upsert(old, new))
 
     def cleanup(self) -> None:
-        documents, content, kept = maintenance.cleanup(self.documents, self.content, self.vectors)
-        self.catalog.write("documents", documents)
-        self.catalog.write("vectors", kept)
-        self.catalog.write("content", content)
-
-    def vacuum(self) -> int:
-        """Drops old snapshots and the indexes of old documents; how many."""
-        versions = self.catalog.versions("documents")[-1:]
-        old = [f for f in self.catalog.folders(f"{self.catalog.root}/index") if not versions or f.rpartition("/")[2] != str(versions[0])]
-        for f in old:
-            self.catalog.delete(f)
-        return len(old) + sum(len(self.catalog.vacuum(t)) for t in ("documents", "content", "vectors", "settings"))
+        def work(t: Transaction) -> None:
+            documents, content, kept = maintenance.cleanup(t.read("documents", DOCUMENTS), t.read("content", CONTENT), t.read("vectors", VECTORS))
+            t.write("documents", documents)
+            t.write("vectors", kept)
+            t.write("content", content)
+
+        self.catalog.run(work)
+
+    def vacuum(self, age: float = 86_400.0) -> int:
+        """Merges changes and drops folders that only old commits hold, and older ones than `age` seconds that none does; how many snapshots and pieces of the index."""
+        before = len(self.catalog.folders(f"{self.catalog.root}/index"))
+        old = sum(len(self.catalog.vacuum(t, age)) for t in ("documents", "content", "vectors", "files", "index"))
+        self.catalog.forget()
+        return old + before - len(self.catalog.folders(f"{self.catalog.root}/index"))
 
     def ask_context(self, query: str, limit: int = 5) -> str:
         """Numbered openings of the best documents by words, for a generator's prompt."""

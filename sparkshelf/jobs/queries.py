@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import shared_folder
 from sparkshelf.functions import paths, render, text
-from sparkshelf.operators import chunks, context, fts, fusion, maintenance, status, vectors
+from sparkshelf.jobs.library import Library
+from sparkshelf.operators import batch, chunks, context, fts, fusion, maintenance, segments, status, vectors
 from sparkshelf.sources.corpus import from_documents, vectors_of
 
 QUERIES: dict = {}
@@ -716,3 +717,79 @@ def marked_lines(spark, d):
 def render_summaries(spark, d):
     rows = render.render(_results(spark, d), "meaning").withColumnRenamed("line", "meaning")
     return render.render(rows, "fused").select("doc_pk", "meaning", F.col("line").alias("fused"))
+
+
+_ITEM_WORDS = f"""items as (select item_id as query_id, t, len(t) as n from (select item_id, {_words("text")} as t from benchmark) where len(t) > 0),
+ q as (select query_id, t[1] as w0, t[1 + 1 % n] as w1, t[1 + 2 % n] as w2, t[1 + 3 % n] as w3, substr(t[1 + 4 % n], 1, 4) as p4, t[1 + 5 % n] as w5 from items)"""
+_ODDS = "case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end"
+_WEIGHED = f"""({_ODDS}) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) as part from parts join sizes using (doc_pk) cross join (select count(*) as n, avg(dl) as avgdl from sizes)"""
+
+
+def _item_words(spark, d) -> DataFrame:
+    """(query_id, w): each benchmark item's words, those of short ones again and again."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return items.select("query_id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get("t", i % F.size("t"))).alias("w"))
+
+
+@query(f"""with {CORPUS}, {TOKENS}, {_ITEM_WORDS},
+ hits as (select query_id, 0 as leaf, a.doc_pk, a.col, a.position from q join toks a on a.term = w0 join toks b on b.doc_pk = a.doc_pk and b.col = a.col and b.position = a.position + 1 and b.term = w1
+  union all select distinct query_id, 1, a.doc_pk, a.col, a.position from q join toks a on a.term = w2 join toks b on b.doc_pk = a.doc_pk and b.col = a.col and b.term = w3 and abs(a.position - b.position) - 1 <= 4
+  union all select distinct query_id, 2, a.doc_pk, a.col, a.position from q join toks a on a.term = w3 join toks b on b.doc_pk = a.doc_pk and b.col = a.col and b.term = w2 and abs(a.position - b.position) - 1 <= 4
+  union all select query_id, 3, a.doc_pk, a.col, a.position from q join toks a on a.term = w0 and a.col = 1 union all select query_id, 4, a.doc_pk, a.col, a.position from q join toks a on starts_with(a.term, p4) union all select query_id, 5, a.doc_pk, a.col, a.position from q join toks a on a.term = w5),
+ counts as (select query_id, leaf, doc_pk, count(*) as f from hits group by 1, 2, 3), dfs as (select query_id, leaf, count(*) as df from counts where leaf not in (1, 2) group by 1, 2
+  union all select query_id, 1, count(distinct doc_pk) from q join toks on term = w2 group by 1 union all select query_id, 2, count(distinct doc_pk) from q join toks on term = w3 group by 1),
+ parts as (select * from counts join dfs using (query_id, leaf)), weighed as (select query_id, doc_pk, leaf, {_WEIGHED}),
+ scores as (select query_id, doc_pk, sum(part) as score from weighed group by 1, 2 having bool_or(leaf = 0) or (bool_or(leaf = 1) and bool_or(leaf = 2)) or bool_or(leaf = 3) or (bool_or(leaf = 4) and not bool_or(leaf = 5))),
+ ranks as (select query_id, doc_pk, score, row_number() over (partition by query_id order by round(score, 9) desc, collection, path) - 1 as rank from scores join corpus using (doc_pk))
+ select query_id, cast(rank as bigint) as rank, doc_pk, round(score, 6) as score from ranks where rank < 5""")
+def fts_grammar_queries(spark, d):
+    """Phrases, NEAR, prefixes, column filters and boolean trees of all benchmark items, in one plan."""
+    parts = [F.lit('"'), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit('" OR NEAR('), F.col("w")[2], F.lit(" "), F.col("w")[3], F.lit(", 4) OR title: "), F.col("w")[0], F.lit(" OR ("), F.substring(F.col("w")[4], 1, 4), F.lit("* NOT "), F.col("w")[5], F.lit(")")]
+    asked = _item_words(spark, d).select("query_id", F.concat(*parts).alias("query"))
+    return batch.search_queries(stored_index(spark, d), asked, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_pk", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {CORPUS}, {TOKENS}, {VECTORS}, {_ITEM_WORDS},
+ hits as (select query_id, 0 as leaf, a.doc_pk from q join toks a on a.term = w0 join toks b on b.doc_pk = a.doc_pk and b.col = a.col and b.position = a.position + 1 and b.term = w1 union all select query_id, 1, a.doc_pk from q join toks a on a.term = w2),
+ counts as (select query_id, leaf, doc_pk, count(*) as f from hits group by 1, 2, 3), dfs as (select query_id, leaf, count(*) as df from counts group by 1, 2), parts as (select * from counts join dfs using (query_id, leaf)),
+ weighed as (select query_id, doc_pk, {_WEIGHED}), scores as (select query_id, doc_pk, sum(part) as score from weighed group by 1, 2),
+ lex as (select query_id, collection || '/' || path as file, row_number() over (partition by query_id order by round(score, 9) desc, collection, path) - 1 as rank from scores join corpus using (doc_pk)),
+ cos as (select query_id, collection, path, {_COS.format('vectors.embedding', 'e.embedding')} as score from items join embeddings e on e.vec_id = items.query_id cross join corpus join vectors using (hash)),
+ vec as (select query_id, collection || '/' || path as file, row_number() over (partition by query_id order by round(score, 9) desc, collection, path) - 1 as rank from cos),
+ merged as (select query_id, file, sum(1.0::double / (61 + rank)) as s, min(rank) as best_rank from (select * from lex where rank < 20 union all select * from vec where rank < 20) group by 1, 2),
+ fused as (select query_id, file, s + case when best_rank < 3 then 0.08 when best_rank < 10 then 0.04 when best_rank < 20 then 0.01 else 0 end as score from merged),
+ placed as (select query_id, file, score, row_number() over (partition by query_id order by round(score, 9) desc, file) - 1 as place from fused) select query_id, cast(place as bigint) as place, file, round(score, 9) as score from placed where place < 10""")
+def hybrid_queries(spark, d):
+    """Hybrid search of all benchmark items in one plan: their opening words, and the vector of their number."""
+    words, none = _item_words(spark, d), F.lit(None).cast("array<float>")
+    lex = words.select("query_id", F.lit(0).alias("no"), F.lit("lex").alias("kind"), F.concat(F.lit('"'), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit('" OR '), F.col("w")[2]).alias("text"), none.alias("embedding"))
+    given = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    vec = words.select("query_id").join(given, "query_id").select("query_id", F.lit(1).alias("no"), F.lit("vec").alias("kind"), F.lit("").alias("text"), "embedding")
+    c = corpus(spark, d).select("doc_pk", "collection", "path", "hash")
+    found = batch.hybrid_queries(stored_index(spark, d), c, given_vectors(spark, d), lex.unionByName(vec), 10)
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "file", F.round("score", 9).alias("score"))
+
+
+@query(_bm25([_term("license"), _term("under"), _term("mit")], "f0 > 0 and f1 > 0 or f2 > 0"))
+def fts_after_changes(spark, d):
+    """The index of the documents as they were earlier, some of them missing, others with other texts and some gone since, brought up to date by changes."""
+    now = corpus(spark, d)
+    before = now.where("doc_pk % 50 <> 9").withColumn("body", F.when(F.col("doc_pk") % 50 == 7, F.concat(F.lit("license under mit "), F.substring("body", 1, 40))).otherwise(F.col("body")))
+    gone = now.where("doc_pk % 50 = 11").withColumns({"doc_pk": F.col("doc_pk") + 10**12, "path": F.concat(F.lit("old/"), "path")})
+    before = before.unionByName(gone).withColumn("hash", text.content_hash(F.col("body")))
+    new, at = (lambda: shared_folder(spark, "index").rpartition("/")[2]), (lambda name: f"{shared_folder(spark, 'x').rpartition('/')[0]}/{name}")
+    layout = segments.refreshed(spark, segments.Layout(stemmed=False), before, at, new)
+    layout = segments.refreshed(spark, layout, now, at, new)
+    found = fts.search(segments.SegmentedIndex(spark, layout, at), "license under OR mit")
+    return found.select("doc_pk", "docid", "file", F.round("score", 6).alias("score"))
+
+
+@query("select file, score from (" + _bm25([_term("license")], "f0 > 0") + ")")
+def stream_search(spark, d):
+    """The documents taken into a library as a stream, and searched there."""
+    top, source = shared_folder(spark, "library"), table(spark, d, "documents")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parquet*")  # a pattern, as the table may be one file
+    rows = stream.select(F.col("source").alias("collection"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.first_line(F.coalesce("text", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+    library = Library(spark, f"{top}/root", NOW, stemmed=False)
+    library.ingest(rows, f"{top}/state").awaitTermination()
+    return library.search("license").select("file", F.round("score", 6).alias("score"))

@@ -296,37 +296,49 @@ def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     spark.read.parquet(f"{path}/postings").groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
 
 
+DIRECTORY = "part int, first string, last string, postings long"
+DOCUMENTS = "doc_pk long, dl long, collection string, path string, title string, hash string"
+
+
+def may_hold(exact: list[str], prefixes: list[str]) -> Column:
+    """Rows of a directory whose part may hold these terms, or terms that begin so."""
+    hit = F.lit(False)
+    for t in exact:
+        hit = hit | ((F.col("first") <= t) & (F.col("last") >= t))
+    for p in prefixes:
+        # a part is left out if it ends before the prefix or begins behind all that have it
+        hit = hit | ((F.col("last") >= p) & ((F.col("first") <= p) | F.col("first").startswith(p)))
+    return hit
+
+
 class StoredIndex(Index):
     """An index that write_index() has kept. A query looks its terms up in the directory and opens only the parts that hold them."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        totals = spark.read.parquet(f"{path}/totals")
-        self.spark, self.path, self.directory, self.documents = spark, path, spark.read.parquet(f"{path}/directory"), spark.read.parquet(f"{path}/documents")
-        self.totals, self.stemmed = totals.select("n", "avgdl"), totals.first().stemmed
+    def __init__(self, spark: SparkSession, path: str, stemmed: bool | None = None):
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+        self.spark, self.path, self.directory, self.documents = spark, path, read("directory", DIRECTORY), read("documents", DOCUMENTS)
+        totals = read("totals", "n long, avgdl double, stemmed boolean")
+        self.totals, self.stemmed = totals.select("n", "avgdl"), totals.first().stemmed if stemmed is None else stemmed
 
     @property
     def postings(self) -> DataFrame:
         return self.spark.read.schema(POSTINGS).option("recursiveFileLookup", "true").parquet(f"{self.path}/postings")
 
     def parts(self, exact: list[str], prefixes: list[str]) -> list[int]:
-        hit = F.lit(False)
-        for t in exact:
-            hit = hit | ((F.col("first") <= t) & (F.col("last") >= t))
-        for p in prefixes:
-            # a part is left out if it ends before the prefix or begins behind all that have it
-            hit = hit | ((F.col("last") >= p) & ((F.col("first") <= p) | F.col("first").startswith(p)))
-        return sorted(r.part for r in self.directory.where(hit).select("part").collect())
+        return sorted(r.part for r in self.directory.where(may_hold(exact, prefixes)).select("part").collect())
 
-    def read(self, exact: list[str], prefixes: list[str]) -> DataFrame:
-        found = self.parts(exact, prefixes)
+    def read(self, exact: list[str], prefixes: list[str], found: list[int] | None = None) -> DataFrame:
+        """found: the parts to open, where the directory has been asked already."""
+        found = self.parts(exact, prefixes) if found is None else found
         if not found:
             return self.spark.createDataFrame([], POSTINGS)
         rows = self.spark.read.schema(POSTINGS).parquet(*[f"{self.path}/postings/part={p}" for p in found])
         return rows.where(_wanted(exact, prefixes))
 
 
-def open_index(spark: SparkSession, path: str) -> StoredIndex:
-    return StoredIndex(spark, path)
+def open_index(spark: SparkSession, path: str, stemmed: bool | None = None) -> StoredIndex:
+    """stemmed: as the index is, if that is known."""
+    return StoredIndex(spark, path, stemmed)
 
 
 def _wanted(exact: list[str], prefixes: list[str]) -> Column:

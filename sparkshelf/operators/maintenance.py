@@ -41,6 +41,14 @@ def apply_diff(documents: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     return deactivate(kept, changes.where("action = 'removed'"))
 
 
+def changed_rows(documents: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """The rows of apply_diff() that aren't as they were: what is new, updated or retitled, dated now, and what is removed, inactive; created_at of rows that are there stays."""
+    old = documents.select(*KEY, F.col("title").alias("o_title"), F.col("hash").alias("o_hash"), F.col("created_at").alias("o_created"), F.col("modified_at").alias("o_modified"))
+    gone = F.col("action") == "removed"
+    rows = changes.where("action <> 'unchanged'").join(old, KEY, "left")
+    return rows.select(*KEY, F.when(gone, F.col("o_title")).otherwise(F.col("title")).alias("title"), F.when(gone, F.col("o_hash")).otherwise(F.col("hash")).alias("hash"), F.coalesce("o_created", F.lit(now)).alias("created_at"), F.when(gone, F.col("o_modified")).otherwise(F.lit(now)).alias("modified_at"), (~gone).alias("active"))
+
+
 def deactivate(documents: DataFrame, gone: DataFrame) -> DataFrame:
     marks = gone.select(*KEY).distinct().withColumn("_gone", F.lit(True))
     return documents.join(marks, KEY, "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")

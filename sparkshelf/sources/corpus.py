@@ -1,31 +1,64 @@
-"""Where documents come from: files of a folder, tables, and versioned snapshots."""
+"""Where documents come from: files of a folder and tables; and the settings of collections."""
 
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Iterator
-from pathlib import PurePosixPath
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
 from sparkshelf.functions import paths, text
+from sparkshelf.sources.catalog import Catalog
 
 EPOCH = "2024-01-01"
+__all__ = ["Catalog", "Collections", "from_documents", "list_files", "read_files", "scan_changes", "scan_files", "vectors_of"]
+
+
+def _walk(system: fs.FileSystem, top: str) -> Iterator[tuple[str, int, int]]:
+    """(path, size, time of the last change in ns) of all files below a folder, or of the file; folders that no scan enters aren't listed.
+
+    Links are followed on a local disk, but for one to a folder that it lies in.
+    """
+    local = isinstance(system, fs.LocalFileSystem)
+    info = system.get_file_info(top)
+    if info.is_file:
+        yield top, info.size, info.mtime_ns or 0
+    todo: list[tuple[str, frozenset]] = [(top, frozenset())] if info.type == fs.FileType.Directory else []
+    while todo:
+        folder, above = todo.pop()
+        if local:
+            held = os.stat(folder)
+            if (held.st_dev, held.st_ino) in above:
+                continue
+            above |= {(held.st_dev, held.st_ino)}
+        try:
+            found = system.get_file_info(fs.FileSelector(folder))
+        except OSError:
+            continue  # one that can't be read is left out, as its files are
+        for x in found:
+            if x.is_file:
+                yield x.path, x.size, x.mtime_ns or 0
+            elif x.type == fs.FileType.Directory and not x.base_name.startswith(".") and x.base_name not in paths.EXCLUDED:
+                todo.append((x.path, above))
+
+
+LISTING = "file string, size long, changed long"
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All files below folders, and files, by Arrow's client of their file system; names that start with an underscore count."""
     for batch in batches:
         for uri in batch["uri"].to_pylist():
-            system, path = file_system(uri)
-            info = system.get_file_info(path)
-            found = [info] if info.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
-            files = [x.path for x in found if x.is_file]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(files), pa.string()), pa.array(files, pa.string())], names=["top", "file"])
+            walk = _walk(*file_system(uri))
+            while part := list(islice(walk, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "size", "changed"])
 
 
 def _contents(root: str):
@@ -46,26 +79,63 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def scan_files(spark: SparkSession, folder: str, collection: str, pattern: str = "**/*.md", tasks: int = 64) -> DataFrame:
-    """(collection, path, source, title, hash, body) of the UTF-8 files below a folder whose relative path fits the glob and isn't excluded.
+def list_files(spark: SparkSession, folder: str, pattern: str = "**/*.md", tasks: int = 64) -> DataFrame:
+    """(source, file, size, changed) of the files below a folder whose relative path fits the glob and isn't excluded; none is opened.
 
-    The driver lists the folder's own entries; tasks list what lies below each, and others, dealt
-    by file, read the contents. So neither names nor contents pass through the driver.
+    The driver lists the folder's own entries; tasks list what lies below each. So names don't pass through the driver.
     """
     system, top = file_system(folder)
     top = top.rstrip("/") or "/"
     entries = [(x.path if folder.partition(":")[0] in (folder, "file") else f"{folder.partition('://')[0]}://{x.path}",) for x in system.get_file_info(fs.FileSelector(top)) if not x.base_name.startswith(".") and x.base_name not in paths.EXCLUDED]
-    schema = "collection string, path string, source string, title string, hash string, body string"
     if not entries:
-        return spark.createDataFrame([], schema)
-    names = spark.createDataFrame(entries, "uri string").repartition(min(tasks, len(entries))).mapInArrow(_listed, "top string, file string")
-    files = names.select("file", F.expr(f"substring(file, {len(top.rstrip('/')) + 2})").alias("source"))
-    files = files.where(paths.matches_glob(F.col("source"), pattern) & ~paths.is_excluded(F.col("source")))
-    raw = files.repartition(tasks, "file").mapInArrow(_contents(folder), "source string, content binary")
-    good = raw.where(F.is_valid_utf8(F.col("content").cast("string"))).select("source", F.decode("content", "UTF-8").alias("body"))
+        return spark.createDataFrame([], f"source string, {LISTING}")
+    names = spark.createDataFrame(entries, "uri string").repartition(min(tasks, len(entries))).mapInArrow(_listed, LISTING)
+    files = names.select(F.expr(f"substring(file, {len(top.rstrip('/')) + 2})").alias("source"), "file", "size", "changed")
+    return files.where(paths.matches_glob(F.col("source"), pattern) & ~paths.is_excluded(F.col("source")))
+
+
+def read_files(files: DataFrame, folder: str, tasks: int = 64) -> DataFrame:
+    """(source, body) of listed files (source, file); body is null where it isn't UTF-8. Tasks read them, dealt by file."""
+    raw = files.select("source", "file").repartition(tasks, "file").mapInArrow(_contents(folder), "source string, content binary")
+    return raw.select("source", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).alias("body"))
+
+
+def scan_files(spark: SparkSession, folder: str, collection: str, pattern: str = "**/*.md", tasks: int = 64) -> DataFrame:
+    """(collection, path, source, title, hash, body) of the UTF-8 files below a folder whose relative path fits the glob and isn't excluded; all are read."""
+    good = read_files(list_files(spark, folder, pattern, tasks), folder, tasks).where("body is not null")
     return good.select(F.lit(collection).alias("collection"), paths.handelize(F.col("source")).alias("path"), "source", text.title(F.col("body")).alias("title"), text.content_hash(F.col("body")).alias("hash"), "body")
 
 
+#: What is known of a collection's files. changed: in ns; settled: the file was older than that when it was read, so a later change shows in its time; hash: null where it isn't UTF-8; gone: no longer there.
+FILES = "collection string, source string, size long, changed long, settled boolean, path string, title string, hash string, gone boolean"
+#: Seconds within which a file may change again without another time.
+UNSETTLED = 2.0
+
+
+def scan_changes(spark: SparkSession, folder: str, collection: str, known: DataFrame, pattern: str = "**/*.md", tasks: int = 64, now: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scan, read): what scan_files() gives of a folder but the bodies, from known files (FILES) where size and time are as they were; and the FILES rows of the files that had to be opened, with their body, and of those that are gone.
+
+    Only files that are new, have another size or time, or were too young when they were last read are opened. `read` is checkpointed, so one state of each file goes into everything made of it.
+    """
+    now = time.time() if now is None else now
+    listed = cut(list_files(spark, folder, pattern, tasks))
+    old = known.where((F.col("collection") == collection) & ~F.col("gone")).drop("collection", "gone")
+    both = listed.alias("l").join(old.alias("o"), "source", "left")
+    same = F.col("o.settled") & (F.col("l.size") == F.col("o.size")) & (F.col("l.changed") == F.col("o.changed"))
+    same = F.coalesce(same, F.lit(False))
+    kept = both.where(same).select(F.lit(collection).alias("collection"), "o.path", "source", "o.title", "o.hash")
+    todo = both.where(~same).select("source", "file", "l.size", "l.changed")
+    bodies = read_files(todo, folder, tasks).join(todo.drop("file"), "source")
+    read = bodies.select(
+        F.lit(collection).alias("collection"), "source", "size", "changed", (F.col("changed") < int((now - UNSETTLED) * 1e9)).alias("settled"), paths.handelize(F.col("source")).alias("path"),
+        text.title(F.col("body")).alias("title"), F.when(F.col("body").isNotNull(), text.content_hash(F.col("body"))).alias("hash"), F.lit(False).alias("gone"), "body",
+    )
+    gone = old.join(listed.select("source"), "source", "left_anti").select(F.lit(collection).alias("collection"), "source", "size", "changed", "settled", "path", "title", "hash", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("body"))
+    read = cut(read.unionByName(gone))
+    fresh = read.where(~F.col("gone")).select("collection", "path", "source", "title", "hash")
+    return kept.unionByName(fresh).where("hash is not null"), read
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """The corpus of a table (doc_id, text, lang, source): doc_pk, collection, path, title (the first line), body, hash, active and modified_at."""
     body = F.coalesce("text", F.lit(""))
@@ -82,94 +152,6 @@ def vectors_of(embeddings: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.select("hash", F.lit(0).alias("seq"), F.lit(0).alias("pos"), F.lit("given").alias("model"), F.lit(f"{EPOCH}T00:00:00Z").alias("embedded_at"), "embedding")
 
 
-class Catalog:
-    """Tables as numbered snapshots below one folder, and changes since the last one; a reader sees what is complete."""
-
-    #: Of tables that take changes their key, and the column that keeps its first value.
-    KEYS = {"documents": (["collection", "path"], "created_at")}
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def _complete(self, table: str) -> list[tuple[int, bool]]:
-        """(version, is it a change) in order."""
-        names = [PurePosixPath(f).name for f in self.folders(f"{self.root}/{table}") if self._done(f)]
-        return sorted((int(n.rstrip("+")), n.endswith("+")) for n in names)
-
-    def _done(self, folder: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(f"{folder}/_SUCCESS"))
-
-    def versions(self, table: str) -> list[int]:
-        return [v for v, _ in self._complete(table)]
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        """The last snapshot with the changes since; no rows of the schema before the first."""
-        found = self._complete(table)
-        full = [v for v, change in found if not change][-1:]
-        base = self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{full[0]}") if full else self.spark.createDataFrame([], schema)
-        late = [v for v, change in found if change and v > (full or [0])[0]]
-        if not late:
-            return base
-        keys, kept = self.KEYS[table]
-        rows = base.withColumn("_version", F.lit(0).cast("long"))
-        for v in late:
-            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{v}+").withColumn("_version", F.lit(v)))
-        columns = [c for c in base.columns if c not in keys]
-        merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_version").alias("_last"), F.min_by(kept, "_version").alias("_first"))
-        return merged.select(*[F.col("_first").alias(c) if c == kept else F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in base.columns])
-
-    def _next(self, table: str) -> int:
-        return max([*self.versions(table), int(time.time() * 1000) - 1]) + 1
-
-    def write(self, table: str, rows: DataFrame) -> int:
-        """A new snapshot; the one that `rows` may read stays as it is."""
-        version = self._next(table)
-        rows.write.parquet(f"{self.root}/{table}/{version}")
-        return version
-
-    def append(self, table: str, rows: DataFrame) -> int:
-        """Rows that are new or replace those of their key: only they are written, as a change to the last snapshot, if there is one."""
-        if not self.versions(table):
-            return self.write(table, rows)
-        version = self._next(table)
-        rows.write.parquet(f"{self.root}/{table}/{version}+")
-        return version
-
-    def merge(self, table: str) -> None:
-        """Makes one snapshot of the last one and the changes since."""
-        found = self._complete(table)
-        if found and found[-1][1]:
-            last = [v for v, change in found if not change][-1]
-            self.write(table, self.read(table, self.spark.read.parquet(f"{self.root}/{table}/{last}").schema))
-
-    def folders(self, top: str, done: str = "") -> list[str]:
-        """Folders below a path, in order; with `done` those in which a write of that name is complete."""
-        fs, path = self._fs()
-        if not fs.exists(path(top)):
-            return []
-        found = [s.getPath().toString() for s in fs.listStatus(path(top)) if s.isDirectory()]
-        return sorted(f for f in found if not done or fs.exists(path(f"{f}/{done}/_SUCCESS")))
-
-    def delete(self, folder: str) -> None:
-        fs, path = self._fs()
-        fs.delete(path(folder), True)
-
-    def vacuum(self, table: str, keep: int = 1) -> list[int]:
-        """Merges changes, then drops snapshots before the last `keep` and the changes that these hold; gives the snapshots dropped."""
-        self.merge(table)
-        found = self._complete(table)
-        full = [v for v, change in found if not change]
-        old = [(v, change) for v, change in found if full and v < full[-keep:][0]]
-        for v, change in old:
-            self.delete(f"{self.root}/{table}/{v}{'+' if change else ''}")
-        return [v for v, change in old if not change]
-
-
 class Collections:
     """Settings of collections and their contexts, and a global context, kept as one JSON text in a column of a catalog."""
 

@@ -1,4 +1,4 @@
-"""Incremental ingest: batches of scanned documents, each written as a change to the last snapshot."""
+"""Incremental ingest: each batch of a stream is one commit of its contents, documents and deletions."""
 
 from __future__ import annotations
 
@@ -6,21 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkshelf.sources.corpus import Catalog
+from sparkshelf.functions import text
+from sparkshelf.sources.catalog import Catalog, Transaction
 
 DOCUMENTS = "collection string, path string, title string, hash string, created_at string, modified_at string, active boolean"
 
 
-def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str, now: str, changes: int = 32) -> StreamingQuery:
-    """Upserts the stream's rows (collection, path, title, hash); of one path in a batch, the largest hash counts, so that a batch that runs again gives the same rows.
+def changed_documents(batch: DataFrame) -> DataFrame:
+    """(collection, path, title, hash, body, active): the last row of each path in a batch.
 
-    A batch writes its own rows as a change; after each `changes` batches they are merged into a snapshot.
+    The batch has collection, path and body (null: the document is deleted), and may have a title, or
+    title and hash in place of a body that is kept elsewhere, deleted, and modified_at. The latest
+    modified_at counts, then a document before a deletion, then the largest hash; so a batch that runs again gives the same rows.
+    """
+    held = set(batch.columns)
+    body = F.col("body").cast("string") if "body" in held else F.lit(None).cast("string")
+    hash_ = text.content_hash(body) if "body" in held else F.col("hash")
+    title = F.coalesce(F.col("title"), text.title(body), F.lit("")) if "title" in held else F.coalesce(text.title(body), F.lit(""))
+    gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in held else F.lit(False)
+    rows = batch.select("collection", "path", title.alias("title"), hash_.alias("hash"), body.alias("body"), (hash_.isNotNull() & ~gone).alias("active"), (F.col("modified_at").cast("string") if "modified_at" in held else F.lit("")).alias("at"))
+    last = F.max_by(F.struct("title", "hash", "body", "active"), F.struct("at", "active", "hash", "title"))
+    return rows.groupBy("collection", "path").agg(last.alias("x")).select("collection", "path", F.when(F.col("x.active"), F.col("x.title")).otherwise("").alias("title"), F.when(F.col("x.active"), F.col("x.hash")).alias("hash"), "x.body", "x.active")
+
+
+def apply_batch(catalog: Catalog, batch: DataFrame, now: str, once: tuple[str, int] | None = None) -> bool:
+    """Commits a batch's contents, documents and deletions together; with once, (stream, number), a batch that is there already changes nothing. Did it change anything?
+
+    Only the batch's own rows are written; what the catalog holds isn't read.
+    """
+    rows = changed_documents(batch)
+
+    def work(t: Transaction) -> bool:
+        if "body" in batch.columns:
+            new = rows.where("active").groupBy("hash").agg(F.first("body").alias("doc"))
+            t.append("content", new.select("hash", "doc", F.lit(now).alias("created_at")))
+        t.append("documents", rows.select("collection", "path", "title", "hash", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), "active"))
+        return True
+
+    return bool(catalog.run(work, once))
+
+
+def ingest(stream: DataFrame, catalog: Catalog, checkpoint: str, now: str, changes: int = 32, name: str | None = None) -> StreamingQuery:
+    """Upserts and deletes the stream's documents (see changed_documents), a commit a batch; a batch that is played again changes nothing.
+
+    name: tells streams into one catalog apart, the checkpoint's path unless given. After each `changes` batches their changes are merged into snapshots.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy("collection", "path").agg(F.max(F.struct("hash", "title")).alias("x")).select("collection", "path", "x.title", "x.hash")
-        catalog.append("documents", rows.select("*", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), F.lit(True).alias("active")))
+        apply_batch(catalog, batch, now, (name or checkpoint, number))
         if (number + 1) % changes == 0:
             catalog.merge("documents")
+            catalog.merge("content")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
