@@ -29,6 +29,11 @@ def free_names(rows: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Rows that may be numbered by where they stand: a plan that shuffles may deal them otherwise when it, or one of its tasks, runs again, so its rows are checkpointed; a scan's stay where they are."""
+    return cut(rows) if "Exchange" in rows._jdf.queryExecution().executedPlan().toString() else rows
+
+
 def dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Rows of a key in one partition, next to each other and in order."""
     return rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, *order)

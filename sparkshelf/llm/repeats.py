@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACED, Block, Rolling, blocks, chained, inside_documents, mix, sliding_argmin, words
+from .groups import settled
 from .prefixfree import equal_strings, parse
 
 
@@ -449,7 +450,8 @@ def remove_repeats(docs: DataFrame, rule: Rule, finish, schema: str) -> DataFram
     own of which none is smaller, and a null text is empty.
     """
     last = F.lit(2**63 - 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    docs = settled(docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     n_blocks = -(-size // rule.block_bytes)
     buckets = -(-size // rule.bucket_bytes)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkshelf.checkpoints import cut
 
 from .blocks import SPACED, blocks, words
+from .groups import settled
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -162,7 +163,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
     an empty table gives no rows; other columns are left out.
     """
     check_rules(path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHU
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][part], batch["n_bytes"][part], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     few = rows.where(F.length("text") <= chunk).select("doc_id", size, "text").mapInArrow(short, "doc_id long, n_bytes long, n_tokens long")
-    long = rows.where(F.length("text") > chunk)
+    long = settled(rows.where(F.length("text") > chunk)).withColumn("row", F.monotonically_increasing_id())
     found, todo = None, long.select("row", "text")
     while True:
         got = cut(spliced_counts(todo, path, chunk, overlap))
