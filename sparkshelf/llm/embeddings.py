@@ -63,7 +63,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
 
     Null, empty, zero and non-finite vectors, null labels and null ids link with nothing; vectors of
     other lengths than the commonest are compared in one cell of their length. Repeated rows count
-    as other vectors. No rows give no rows; other columns are left out.
+    as other vectors, and unlike vectors that share a vec_id have links and a component each of its own. No rows give no rows; other columns are left out.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -74,7 +74,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
     # a zero's sign tells nothing, but the hash would tell it
     plain = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
     good = rows.where(usable).withColumns({"one": F.xxhash64(plain), "two": F.xxhash64(F.lit(1), plain)})
-    merged = cut(good.groupBy("label", "one", "two").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    # a class's number tells it from others that share its smallest vec_id
+    merged = good.groupBy("label", "one", "two").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    merged = cut(merged.withColumn("rep", F.monotonically_increasing_id()))
     sizes = merged.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -134,9 +136,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_vectors: int
     dealt = both.repartition(*map(F.col, KEYS)).sortWithinPartitions(*KEYS, "role", "rep")
     found = cut(dealt.mapInArrow(_compare(threshold), "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    components = connected_components(found.select("a", "b"))
-    whole = merged.select("label", "one", "two", "rep", "n").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = whole.select("label", "one", "two", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    components = connected_components(found.select("a", "b")).withColumnRenamed("node", "rep").join(merged.select("rep", "least"), "rep")
+    lowest = components.groupBy("component").agg(F.min("least").alias("lowest"))
+    components = components.select("rep", "component").join(lowest, "component").select("rep", "lowest")
+    whole = merged.select("label", "one", "two", "rep", "n", "least").join(links, "rep", "left").join(components, "rep", "left")
+    whole = whole.select("label", "one", "two", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "least").alias("component_id"))
     linked = good.select("vec_id", "label", "one", "two").join(whole, ["label", "one", "two"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
