@@ -79,7 +79,7 @@ def _signatures(size: int):
                         lists[:, c] = (np.minimum.reduceat((h ^ SEEDS[c]) * MULTIPLIERS[c], at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = np.append(0, np.cumsum(np.where(n > 0, COORDINATES, 0)))
                 signature = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][block.rows], pa.array(n, pa.int64()), pa.array(one), pa.array(two), signature], names=["doc_id", "n", "one", "two", "signature"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][block.rows], batch["text_hash"][block.rows], pa.array(n, pa.int64()), pa.array(one), pa.array(two), signature], names=["doc_id", "text_hash", "n", "one", "two", "signature"])
 
     return sign
 
@@ -174,14 +174,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     more than group_rows are contracted by pivots first and then compared in blocks (groups.py).
 
     Null, empty and blank texts have empty sets and link with nothing, as rows without doc_id do
-    (their component_id is null and they are kept). Repeated rows link with each other. No rows
+    (their component_id is null and they are kept). Repeated rows link with each other; rows that share a doc_id and have unlike
+    texts have a component each. No rows
     give no rows; other columns are left out.
     """
     similarity = percent / 100
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(_signatures(size), "doc_id long, n long, one long, two long, signature array<int>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    signed = cut(rows.mapInArrow(_signatures(size), "doc_id long, text_hash long, n long, one long, two long, signature array<int>"))
     some = signed.where("n > 0 and doc_id is not null")
-    classes = cut(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    # a class's number tells it from others that share its smallest doc_id
+    classes = some.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
+    classes = cut(classes.select("one", "two", "n", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "signature", F.monotonically_increasing_id().alias("rep")))
     tokens = classes.select("rep", F.posexplode(F.slice("signature", 1, POSTED)).alias("c", "value")).select("rep", F.xxhash64("c", "value").alias("token"))
     lengths = cut(tokens.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     posted = tokens.join(lengths, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("length", "token"))).alias("tokens"))
@@ -196,8 +199,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
         near = near.unionByName(large_star_groups(posted.where(F.col("size") > list_rows).join(signatures, "rep"), list_rows, _agree(similarity)))
     loose = cut(connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("key")))
     sizes = loose.groupBy("key").agg(F.count("*").alias("size"))
-    groups = loose.join(sizes, "key").join(classes.select("rep", "one"), "rep")
-    sets = rows.join(groups, rows.doc_id == groups.rep).select("key", "rep", "size", "one", "text").mapInArrow(_sets(size), "key long, rep long, size long, shingles binary")
+    groups = loose.join(sizes, "key").join(classes.select("rep", F.col("least").alias("doc_id"), "text_hash", "one"), "rep")
+    sets = rows.join(groups, ["doc_id", "text_hash"]).select("key", "rep", "size", "one", "text").mapInArrow(_sets(size), "key long, rep long, size long, shingles binary")
     # rows that share the doc_id may have equal sets, too
     if (sizes.agg(F.max("size")).first()[0] or 0) > group_rows:
         sets = cut(sets)
@@ -205,8 +208,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
         exact = star_groups(sets.where(F.col("size") <= group_rows), ["key"], _confirmed(percent)).unionByName(large_star_groups(large, group_rows, _confirmed(percent)))
     else:
         exact = star_groups(sets, ["key"], _confirmed(percent))
-    exact = connected_components(exact)
-    found = classes.join(exact.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("component", "rep").alias("component"))
+    exact = connected_components(exact).withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep")
+    lowest = exact.groupBy("component").agg(F.min("least").alias("lowest"))
+    exact = exact.select("rep", "component").join(lowest, "component").select("rep", "lowest")
+    found = classes.join(exact, "rep", "left").select("one", "two", "n", F.coalesce("lowest", "least").alias("component"))
     linked = signed.drop("signature").join(found, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

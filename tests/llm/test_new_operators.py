@@ -316,3 +316,39 @@ def test_other_tokenizers_raise(tokenizer_path):
         chat.check_tokenizer(tokenizer_path, chat.Template(also=()))
     with pytest.raises(ValueError):
         chat.check_tokenizer(str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")), chat.Template())
+
+
+def test_one_id_on_unlike_rows(spark):
+    """A class is told by its content: what shares its smallest id has nothing of its links."""
+    from sparkshelf.llm import embeddings, neardup
+
+    v = spark.createDataFrame([(1, 3, [1.0, 0.0]), (5, 3, [1.0, 0.01]), (5, 3, [0.0, 1.0]), (7, 3, [0.0, 2.0]), (7, 3, [5.0, 5.0])], "vec_id long, label long, embedding array<double>")
+    got = Counter(tuple(r) for r in embeddings.near_vectors(v).collect())
+    assert got == Counter([(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (7, 1, 5, False), (7, 0, 7, True)])
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(9, a), (3, a + " more"), (9, b), (9, c), (4, c), (9, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect())
+    assert got == Counter({(9, 3, False): 2, (3, 3, True): 1, (9, 9, True): 1, (9, 4, False): 1, (4, 4, True): 1})
+    many = spark.createDataFrame([(9, " ".join(f"{n % 40}_{k}" for k in range(30)) + " x" * (n // 40 % 3)) for n in range(300)], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(many, 3, 85).collect()} == {9}
+
+
+@pytest.mark.parametrize("dealt", ["scan", "repartition", "groupBy"])
+def test_rows_of_a_shuffle_are_numbered_once(spark, tmp_path, dealt):
+    from test_operators import brute_bytes, brute_words
+
+    from sparkshelf.llm import substrings, suffixes, tokens
+
+    path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["Ab", "cd!", "éf", "1,2"]) for _ in range(r.choice([3, 60, 400])))) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    docs = {"scan": lambda: docs, "repartition": lambda: docs.repartition(40), "groupBy": lambda: docs.groupBy("doc_id").agg(F.first("text").alias("text"))}[dealt]()
+    own = tokens.tokenizer(path)
+    got = Counter(tuple(x) for x in tokens.count_tokens(docs, path, chunk=200, overlap=16).select("doc_id", "n_tokens").collect())
+    assert got == Counter((i, len(own.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    got = Counter(tuple(x) for x in substrings.remove_repeated_words(docs).collect())
+    assert got == brute_words(rows, 20)
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in suffixes.remove_repeated_bytes(docs).collect())
+    assert got == brute_bytes(rows, 50)
