@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
+
 from .blocks import ALNUM, Block, blocks, chained, words
+from .groups import free_names
 
 MATCHES = "array<struct<item_id:long,doc_start:long,item_start:long,n_words:long>>"
 SCHEMA = f"doc_id long, n_words long, n_hit long, matches {MATCHES}"
@@ -153,6 +156,41 @@ class Shard:
             np.add.at(edges, places + w.size, -1)
         return np.bincount(self.documents[np.cumsum(edges)[self.place] > 0], minlength=len(self.counts))
 
+    def items(self, found: list, tests: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, item) with a window in common, by document and item. A window that a document repeats meets its items once."""
+        documents, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def settle() -> None:
+            both = np.unique(np.stack([np.concatenate(documents), np.concatenate(items)]), axis=1)
+            documents[:], items[:] = [both[0]], [both[1]]
+
+        for w, own, low, high in found:
+            inner, of = _spans(low, high)
+            at = np.unique(of * len(self.first) + np.searchsorted(self.first, self.array[inner], "right") - 1)
+            of, document = at // len(self.first), at % len(self.first)
+            n = np.diff(w.bounds)[own][of]
+            # as many at once as PAIRS, but for those of one window
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+                members, back = _spans(w.bounds[own[of[part]]], w.bounds[own[of[part]] + 1])
+                documents.append(document[part][back])
+                items.append(tests.item[w.members[members]])
+                settle()
+        settle()
+        return documents[0], items[0]
+
+    def covered(self, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal stretches of hit words: document, begin and end."""
+        edges = np.zeros(len(self.symbols) + 1, np.int64)
+        for w, _, low, high in found:
+            places = self.array[_spans(low, high)[0]]
+            np.add.at(edges, places, 1)
+            np.add.at(edges, places + w.size, -1)
+        # separators are never hit, so no stretch crosses documents
+        steps = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edges) > 0, [0]]).astype(np.int8)))
+        begin, end = steps[::2], steps[1::2]
+        document = np.searchsorted(self.first, begin, "right") - 1
+        return document, begin - self.first[document], end - self.first[document]
+
     def pairs(self, found: list) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a place in the block and a test suffix whose window starts there."""
         places, suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -221,12 +259,12 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
         every = every.unionByName(x)
     every = every.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("others"))
     whole = first.join(every, keys, "left").withColumn("matches", F.concat("matches", F.coalesce("others", F.array().cast(MATCHES))))
-    return whole.select("doc_id", "n_words", _covered("matches").alias("n_hit"), "matches")
+    return whole.select("doc_id", "n_words", _covered(F.transform("matches", lambda m: F.struct(m.doc_start.alias("a"), (m.doc_start + m.n_words).alias("b")))).alias("n_hit"), "matches")
 
 
-def _covered(matches: str):
-    """Words that at least one match covers."""
-    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m.doc_start.alias("a"), (m.doc_start + m.n_words).alias("b"))))
+def _covered(spans):
+    """Words that at least one span (a, b) covers."""
+    spans = F.array_sort(spans)
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda s, x: F.struct((s.n + F.greatest(F.lit(0).cast("long"), x.b - F.greatest(x.a, s.end))).alias("n"), F.greatest(s.end, x.b).alias("end"))
     return F.aggregate(spans, zero, step, lambda s: s.n)
@@ -269,30 +307,120 @@ def _search(tests, window: int, also: tuple[str, ...] | list[str] = ()):
     return search
 
 
+SPANS = "array<struct<a:long,b:long>>"
+
+
+def _lists(document: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """Values of documents, which are in order, as a list for each of n documents."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(document, np.arange(n + 1)), pa.int32()), values)
+
+
+def _judge(tests, window: int, also: tuple[str, ...] | list[str] = ()):
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch["text"]):
+                shard, n = Shard(block, tests.value, window), len(block)
+                found = shard.search(tests.value)
+                own, items = shard.items(found, tests.value)
+                document, begin, end = shard.covered(found)
+                spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], fields=list(span))
+                part = batch.slice(block.rows.start, n)
+                out = {c: part[c] for c in [*also, "doc_id"]} | {"n_words": pa.array(shard.counts, pa.int64()), "spans": _lists(document, n, spans), "items": _lists(own, n, pa.array(items, pa.int64()))}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return judge
+
+
+def _in_parts(docs: DataFrame, benchmark: DataFrame, window: int, each) -> list[DataFrame]:
+    """What each(tests, part, parts) gives for every part of the test items. With several parts each result is checkpointed and its broadcast dropped before the next, so one part at most is in memory."""
+    sc, items, out = docs.sparkSession.sparkContext, _items(benchmark), []
+    for part, parts in _parts(items):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        tests = sc.broadcast(test_suffixes([tuple(r) for r in own.toLocalIterator()], window))
+        found = each(tests, part, parts)
+        if parts > 1:
+            found = cut(found)
+            tests.destroy()
+        out.append(found)
+    return out
+
+
+_FINGERPRINT = {"one": F.xxhash64, "two": lambda i, t: F.xxhash64(F.lit(1), t, i)}
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id, n_words, spans (stretches of words that windows cover, in order; those of several parts may overlap) and items (distinct ids of items with an occurring window, in order) of every document.
+
+    As match_benchmark(), but places and items are never paired: a document that repeats a passage
+    of many items costs its places and the items' windows. Of a larger test set's parts, each is
+    searched and checkpointed before the next one is broadcast.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = list(_FINGERPRINT)
+    named = rows.withColumns({k: f("doc_id", "text") for k, f in _FINGERPRINT.items()})
+    columns = f"doc_id long, n_words long, spans {SPANS}, items array<long>"
+
+    def each(tests, part: int, parts: int) -> DataFrame:
+        if parts == 1:
+            return rows.mapInArrow(_judge(tests, window), columns)
+        found = named.mapInArrow(_judge(tests, window, keys), f"one long, two long, {columns}")
+        return found.where(F.size("items") > 0) if part else found
+
+    first, *rest = _in_parts(docs, benchmark, window, each)
+    if not rest:
+        return first
+    every = rest[0]
+    for x in rest[1:]:
+        every = every.unionByName(x)
+    # rows of one document find the same, but for one of each part
+    every = every.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("more"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("others"))
+    whole = first.join(every, keys, "left")
+    spans = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(SPANS))))
+    return whole.select("doc_id", "n_words", spans.alias("spans"), F.array_sort(F.array_union("items", F.coalesce("others", F.array().cast("array<long>")))).alias("items"))
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """match_benchmark() with n_items, items_sha256 (of the matching item ids, sorted as strings and joined by commas) and contaminated."""
-    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.item_id.cast("string"))))
-    out = match_benchmark(docs, benchmark, window).withColumn("_ids", ids)
-    return out.select("doc_id", "n_words", "n_hit", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.array_join("_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """find_items() as digests: doc_id, n_words, n_hit, n_items, items_sha256 (of the item ids, sorted as strings and joined by commas) and contaminated."""
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    found = find_items(docs, benchmark, window).withColumn("n_hit", _covered("spans"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, with all their columns, that hold no window of any test item.
 
-    Rows are judged where they are read, each for its own text, so that a null or repeated doc_id changes nothing.
+    Rows are judged where they are read, each for its own text, so that a null or repeated doc_id
+    changes nothing. With a larger test set, fingerprints of the documents that a part hits are kept, and meet the rows at the end.
     """
-    kept, sc = docs, docs.sparkSession.sparkContext
-    items = _items(benchmark)
-    for part, parts in _parts(items):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        tests = sc.broadcast(test_suffixes([tuple(r) for r in own.toLocalIterator()], window))
+    one, two = free_names(docs, "one", "two")
 
-        def clean(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
+    def clean(tests):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch["text"]):
                     shard = Shard(block, tests.value, window)
                     hit = shard.hits(shard.search(tests.value)) > 0
                     yield batch.slice(block.rows.start, len(block)).filter(pa.array(~hit))
 
-        kept = kept.mapInArrow(clean, docs.schema)
-    return kept
+        return keep
+
+    def find(tests):
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch["text"]):
+                    shard = Shard(block, tests.value, window)
+                    hit = shard.hits(shard.search(tests.value)) > 0
+                    yield batch.slice(block.rows.start, len(block)).select([one, two]).filter(pa.array(hit))
+
+        return keys
+
+    named = docs.withColumns({k: f("doc_id", "text") for k, f in zip((one, two), _FINGERPRINT.values(), strict=True)})
+    found = _in_parts(docs, benchmark, window, lambda tests, part, parts: docs.mapInArrow(clean(tests), docs.schema) if parts == 1 else named.select(one, two, F.col("text").cast("string").alias("text")).mapInArrow(find(tests), f"`{one}` long, `{two}` long"))
+    if len(found) == 1:
+        return found[0]
+    hit = found[0]
+    for x in found[1:]:
+        hit = hit.unionByName(x)
+    return named.join(hit.distinct(), [one, two], "left_anti").select(*[f"`{c}`" for c in docs.columns])

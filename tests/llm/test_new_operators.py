@@ -352,3 +352,25 @@ def test_rows_of_a_shuffle_are_numbered_once(spark, tmp_path, dealt):
     assert got == brute_words(rows, 20)
     got = Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept)) for x in suffixes.remove_repeated_bytes(docs).collect())
     assert got == brute_bytes(rows, 50)
+
+
+def test_a_document_that_repeats_a_passage_of_many_items():
+    """Places and items aren't paired: 8,000 places of a passage that 2,000 items hold stay small."""
+    import tracemalloc
+
+    from sparkshelf.llm import decontamination as d
+
+    passage = " ".join(f"p{k}" for k in range(10))
+    tests = d.test_suffixes([(i, f"{passage} i{i}") for i in range(2000)], 10)
+    text = " ".join(f"{passage} x{k % 7}" for k in range(8000))
+    tracemalloc.start()
+    (block,) = blocks(pa.array([text, "", passage, "none"]))
+    shard = d.Shard(block, tests, 10)
+    found = shard.search(tests)
+    documents, items = shard.items(found, tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and Counter(documents.tolist()) == {0: 2000, 2: 2000} and items[:2000].tolist() == list(range(2000))
+    assert shard.hits(found).tolist() == [80_000, 0, 10, 0]
+    document, begin, end = shard.covered(found)
+    assert document.tolist() == [0] * 8000 + [2] and (end - begin).tolist() == [10] * 8001 and begin[:3].tolist() == [0, 11, 22]
