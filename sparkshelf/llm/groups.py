@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut
 
+from .graph import connected_components
 
 #: Members of a large group with which all others are compared first; the best of them holds most of a dense group together.
 PIVOTS = 4
 #: Of a group's rows: linked(i, rest) tells which of `rest` row i links with.
 Linked = Callable[[int, np.ndarray], np.ndarray]
+#: Of a group with some of its rows as pivots: for each row numbers of which any two linked rows have one in common. They may depend on the pivots.
+Marks = Callable[[pa.RecordBatch, np.ndarray], list[np.ndarray]]
 
 
 def free_names(rows: DataFrame, *names: str) -> list[str]:
@@ -102,13 +105,16 @@ def star_groups(rows: DataFrame, keys: list[str], make: Callable[[pa.RecordBatch
     return dealt(rows, keys, "rep").mapInArrow(whole, "a long, b long")
 
 
-def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch], Linked]) -> DataFrame:
+def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch], Linked], marks: Marks | None = None) -> DataFrame:
     """Edges (a, b) that hold together what is linked inside groups of rows (key, rep, size, ...) of more than `most` rows; reps are unique in a group.
 
     All members are compared with a few pivots, in parts. Those that link with the pivot that
     links most need no comparison with each other. The others, few in a dense group, are
     compared with all, in pairs of blocks of about `most`. So no task holds a group, no link
     between two components is lost, and a dense group's rows are copied a bounded number of times.
+
+    marks: splits what is left of a group, whose rows may be alike without a link, before it is crossed: only
+    rows that hang together by common marks meet. A rep must then be in one group only.
     """
     rows = cut(rows)
     columns = rows.columns
@@ -121,18 +127,30 @@ def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "part"]):
             role, ids, linked = group["role"].to_numpy(), group["rep"].to_numpy(), make(group)
-            members = np.flatnonzero(role)
+            members, key = np.flatnonzero(role), group["key"][0].as_py()
             for i in np.flatnonzero(role == 0).tolist() if len(members) else ():
                 near = members[linked(i, members)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), group["key"][0].as_py()), pa.int64()), pa.array(ids[near], pa.int64()), pa.array(np.full(len(near), ids[i]), pa.int64())], names=["key", "rep", "pivot"])
-
-    found = cut(dealt(both, ["key", "part"], "role", "rep").mapInArrow(compare, "key long, rep long, pivot long"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), key), pa.int64()), pa.array(ids[near], pa.int64()), pa.array(np.full(len(near), ids[i]), pa.int64()), pa.nulls(len(near), pa.list_(pa.int64()))], names=names)
+            if marks and len(members):
+                own = marks(group, np.flatnonzero(role == 0))
+                lists = pa.array([own[i].tolist() for i in members.tolist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), key), pa.int64()), pa.array(ids[members], pa.int64()), pa.nulls(len(members), pa.int64()), lists], names=names)
+
+    names = ["key", "rep", "pivot", "marks"]
+    told = cut(dealt(both, ["key", "part"], "role", "rep").mapInArrow(compare, "key long, rep long, pivot long, marks array<long>"))
+    found = told.where("pivot is not null").drop("marks")
     held = found.groupBy("key", "pivot").agg(F.count("*").alias("n"))
     best = held.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
     bound = found.join(best, ["key", "pivot"]).select("key", "rep", F.lit(True).alias("bound"))
     split = cut(rows.join(bound, ["key", "rep"], "left").withColumn("bound", F.coalesce("bound", F.lit(False))))
-    left = split.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
     out = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b")
+    if marks:
+        each = told.where("pivot is null").select("key", "rep", F.explode("marks").alias("mark")).join(split.select("key", "rep", "bound"), ["key", "rep"])
+        common = each.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bool_and("bound").alias("done")).where("n > 1 and not done")
+        together = connected_components(each.join(common, ["key", "mark"]).select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b"))
+        split = split.drop("key", "size").join(together.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep")
+        split = cut(split.join(split.groupBy("key").agg(F.count("*").alias("size")), "key").select(*columns, "bound"))
+    left = split.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
     todo = cut(split.join(left, "key"))
     if todo.isEmpty():
         return out

@@ -118,44 +118,85 @@ def _sets(size: int):
     return sets
 
 
+def prefix_size(n: int, percent: int) -> int:
+    """How many of a set's n members, first in an order that all sets share, hold one of any set that links with it."""
+    return n - -(-percent * n // 100) + 1
+
+
 class _Postings:
-    """Intersections of one set with many, by counting in an inverted index of those that are left."""
+    """Links of one set with many. Two linked sets share one of the rarest members of either: an inverted index of these tells which sets may link, and few such are compared one by one.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets])
-        ids, back = np.unique(np.concatenate(sets), return_inverse=True)
-        self.sets = np.split(back.reshape(-1), np.cumsum(self.n)[:-1])
-        self.size = len(ids)
-        self.index(np.arange(len(sets)))
+    Of many the intersections are counted in an inverted index of all members of the sets that are left.
+    """
 
-    def index(self, rows: np.ndarray) -> None:
-        flat = np.concatenate([self.sets[i] for i in rows])
+    FEW = 32
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.n = percent, np.array([len(s) for s in sets])
+        _, back = np.unique(np.concatenate(sets), return_inverse=True)
+        back = back.reshape(-1)
+        self.size = int(back.max()) + 1 if len(back) else 0
+        self.sets = np.split(back, np.cumsum(self.n)[:-1])
+        often = np.bincount(back, minlength=self.size)
+        self.rare = [s[np.lexsort((s, often[s]))[: prefix_size(len(s), percent)]] for s in self.sets]
+        self.rare_rows, self.rare_bounds = self._inverted(np.arange(len(sets)), self.rare)
+        self.held = len(sets)
+        self.rows: np.ndarray | None = None
+
+    def _inverted(self, rows: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate([lists[i] for i in rows])
         order = np.argsort(flat, kind="stable")
-        self.rows = np.repeat(rows, self.n[rows])[order]
-        self.bounds = np.searchsorted(flat[order], np.arange(self.size + 1))
-        self.held = len(rows)
-
-    def linked(self, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
-        if len(rest) < self.held // 2:
-            self.index(rest)
-        s = self.sets[i]
-        a, z = self.bounds[s], self.bounds[s + 1]
-        n = z - a
-        at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        both = np.bincount(self.rows[at], minlength=len(self.n))[rest]
-        return 100 * both >= percent * (self.n[i] + self.n[rest] - both)
+        return np.repeat(rows, [len(lists[i]) for i in rows])[order], np.searchsorted(flat[order], np.arange(self.size + 1))
+
+    @staticmethod
+    def _met(s: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        a = bounds[s]
+        n = bounds[s + 1] - a
+        return rows[np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+
+    def linked(self, i: int, rest: np.ndarray) -> np.ndarray:
+        maybe = np.zeros(len(self.n), bool)
+        maybe[self._met(self.rare[i], self.rare_rows, self.rare_bounds)] = True
+        out, some = np.zeros(len(rest), bool), np.flatnonzero(maybe[rest])
+        if not len(some):
+            return out
+        s, j = self.sets[i], rest[some]
+        if len(some) <= self.FEW:
+            both = np.array([np.isin(self.sets[k], s, assume_unique=True).sum() for k in j.tolist()])
+        else:
+            if self.rows is None or len(rest) < self.held // 2:
+                self.rows, self.bounds = self._inverted(rest, self.sets)
+                self.held = len(rest)
+            both = np.bincount(self._met(s, self.rows, self.bounds), minlength=len(self.n))[j]
+        out[some] = 100 * both >= self.percent * (self.n[i] + self.n[j] - both)
+        return out
 
 
 def _confirmed(percent: int):
     """Candidates that link on their full sets."""
 
     def make(group: pa.RecordBatch) -> Linked:
-        postings = _Postings([np.frombuffer(b.as_py(), np.uint64) for b in group["shingles"]])
-        return lambda i, rest: postings.linked(i, rest, percent)
+        return _Postings([np.frombuffer(b.as_py(), np.uint64) for b in group["shingles"]], percent).linked
 
     return make
 
 
+def _rarest(percent: int):
+    """Shingles of which linked sets share one: the first of each set, those last that several pivots have, as they may be all pages' of one template."""
+
+    def rarest(group: pa.RecordBatch, pivots: np.ndarray) -> list[np.ndarray]:
+        sets = [np.frombuffer(b.as_py(), np.uint64) for b in group["shingles"]]
+        values, counts = np.unique(np.concatenate([sets[i] for i in pivots.tolist()]), return_counts=True)
+        common = values[counts > 1]
+        out = []
+        for s in sets:
+            last = np.isin(s, common, assume_unique=True)
+            out.append(np.concatenate([s[~last], s[last]])[: prefix_size(len(s), percent)].view(np.int64))
+        return out
+
+    return rarest
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -171,7 +212,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     and those that agree on enough for the threshold, at odds of MISS to lose one, are held together. Such groups of candidates meet once
     more with their full sets, which decide every link; a row goes on being compared until it
     belongs to a component, and pairs are never emitted. Lists of more than list_rows and groups of
-    more than group_rows are contracted by pivots first and then compared in blocks (groups.py).
+    more than group_rows are contracted by pivots first and then compared in blocks (groups.py), of a group
+    only those that share one of their rarest shingles, as linked sets do: pages of one template, alike without a link, don't meet.
 
     Null, empty and blank texts have empty sets and link with nothing, as rows without doc_id do
     (their component_id is null and they are kept). Repeated rows link with each other; rows that share a doc_id and have unlike
@@ -205,7 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     if (sizes.agg(F.max("size")).first()[0] or 0) > group_rows:
         sets = cut(sets)
         large = sets.where(F.col("size") > group_rows).dropDuplicates(["key", "rep"])
-        exact = star_groups(sets.where(F.col("size") <= group_rows), ["key"], _confirmed(percent)).unionByName(large_star_groups(large, group_rows, _confirmed(percent)))
+        exact = star_groups(sets.where(F.col("size") <= group_rows), ["key"], _confirmed(percent)).unionByName(large_star_groups(large, group_rows, _confirmed(percent), _rarest(percent)))
     else:
         exact = star_groups(sets, ["key"], _confirmed(percent))
     exact = connected_components(exact).withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep")

@@ -374,3 +374,34 @@ def test_a_document_that_repeats_a_passage_of_many_items():
     assert shard.hits(found).tolist() == [80_000, 0, 10, 0]
     document, begin, end = shard.covered(found)
     assert document.tolist() == [0] * 8000 + [2] and (end - begin).tolist() == [10] * 8001 and begin[:3].tolist() == [0, 11, 22]
+
+
+@pytest.mark.parametrize(("size", "most"), [(3, 7), (3, 40), (3, 5000), (5, 25)])
+def test_pages_of_a_template_and_their_copies(spark, size, most):
+    """Pages that share most words without a link, with near copies of some: only these are held together."""
+    from test_operators import brute_components, sets_of
+
+    from sparkshelf.llm import neardup
+
+    r = random.Random(size + most)
+    frame = [f"t{k}" for k in range(120)]
+    rows = []
+    for i in range(160):
+        own = [f"u{i}_{k}" for k in range(45)]
+        rows.append((i, " ".join(frame[:60] + own + frame[60:])))
+        if i % 4 == 0:
+            for _ in range(r.randint(1, 3)):
+                own[r.randrange(45)] = "x"
+                rows.append((1000 + len(rows), " ".join(frame[:60] + own + frame[60:])))
+    percent = {3: 85, 5: 80}[size]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, percent, list_rows=most, group_rows=most)
+    assert Counter(tuple(x) for x in got.collect()) == brute_components(sets_of(rows, size), percent)
+
+
+def test_prefixes_of_linked_sets_meet():
+    from sparkshelf.llm import neardup
+
+    for percent in (80, 85, 100):
+        for n in range(1, 300):
+            least = -(-percent * n // 100)
+            assert neardup.prefix_size(n, percent) + least == n + 1 and 1 <= neardup.prefix_size(n, percent) <= n
