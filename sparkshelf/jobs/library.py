@@ -17,6 +17,7 @@ from sparkshelf.sources.corpus import FILES, Collections, scan_changes
 from sparkshelf.streaming.ingest import DOCUMENTS, ingest
 
 CONTENT = "hash string, doc string, created_at string"
+FAILURES = "hash string, seq int, error string, at string"
 VECTORS = "hash string, seq int, pos int, model string, embedded_at string, embedding array<float>"
 
 
@@ -299,16 +300,50 @@ class Library:
 
         return self.catalog.run(work)
 
-    def embed(self, embed=None, model: str = "hashed", most: int = chunks.TOKENS, overlap: int = chunks.TOKEN_OVERLAP, force: bool = False) -> None:
-        """Embeds chunks of contents that have no vector yet, with force of all: each content once, with its first title."""
-        embed = embed or vectors.hashed_embedding()
-        old = self.spark.createDataFrame([], VECTORS) if force else self.vectors
-        pending = self.corpus().join(vectors.pending(self.documents, old).select("hash"), "hash", "left_semi").where("trim(body) <> ''")
-        each = pending.groupBy("hash").agg(F.min_by("title", F.struct("collection", "path")).alias("title"), F.first("body").alias("body"))
-        pieces = chunks.chunk_tokens(each, "hash", "body", most, overlap).join(each.select("hash", "title"), "hash")
-        prompt = vectors.document_prompt(F.col("title"), F.col("chunk"))
-        new = pieces.select("hash", F.col("seq").cast("int").alias("seq"), "pos", F.lit(model).alias("model"), F.lit(self.now).alias("embedded_at"), embed(prompt).alias("embedding"))
-        self.catalog.write("vectors", vectors.upsert(old, new))
+    def embed(self, embed=None, model: str = "hashed", most: int = chunks.TOKENS, overlap: int = chunks.TOKEN_OVERLAP, force: bool = False, with_model: Callable[[list[str]], list] | None = None) -> DataFrame:
+        """Embeds chunks of contents that have no vector yet, with force of all: each content once, with its first title. One row: chunks embedded and failed, and empty contents left out.
+
+        embed: a column function, whose errors end the job. with_model: a function from a list of texts to a list
+        of vectors instead, called with texts of like length; a chunk for which it fails becomes a row of failures()
+        and costs no other. A later call embeds only chunks that are new or have failed. Vectors are appended; none is written again.
+        """
+
+        def work(t: Transaction) -> tuple[int, int, int]:
+            documents, corpus = t.read("documents", DOCUMENTS), self._corpus(t.read("documents", DOCUMENTS), t.read("content", CONTENT))
+            old = t.read("vectors", VECTORS)
+            old = old.limit(0) if force else old
+            failed = t.read("failures", FAILURES).where("error is not null").select("hash", "seq")
+            todo = vectors.pending(documents, old).select("hash").unionByName(failed.select("hash")).distinct()
+            waiting = corpus.join(todo, "hash", "left_semi")
+            each = waiting.where(F.col("body").rlike(r"\S")).groupBy("hash").agg(F.min_by("title", F.struct("collection", "path")).alias("title"), F.first("body").alias("body"))
+            pieces = chunks.chunk_tokens(each, "hash", "body", most, overlap).join(each.select("hash", "title"), "hash").withColumn("seq", F.col("seq").cast("int"))
+            pieces = pieces.join(old.select("hash", "seq"), ["hash", "seq"], "left_anti")
+            prompt = vectors.document_prompt(F.col("title"), F.col("chunk"))
+            if with_model is None:
+                outcome = F.struct((embed or vectors.hashed_embedding())(prompt).alias("embedding"), F.lit(None).cast("string").alias("error"))
+            else:
+                outcome = vectors.checked_embedding(with_model)(prompt)
+            told = cut(pieces.select("hash", "seq", "pos", F.lit(model).alias("model"), F.lit(self.now).alias("embedded_at"), outcome.alias("x")).select("hash", "seq", "pos", "model", "embedded_at", "x.embedding", "x.error"))
+            counts = told.agg(F.count(F.when(F.col("error").isNull(), 1)), F.count("error")).first()
+            (t.write if force else t.append)("vectors", told.where("error is null").drop("error"))
+            # those that failed before and are done now have a row without error
+            late = told.select("hash", "seq", "error", F.col("embedded_at").alias("at")).join(failed.withColumn("again", F.lit(True)), ["hash", "seq"], "left")
+            late = late.where("error is not null or again").drop("again")
+            if force or counts[1] or not failed.isEmpty():
+                (t.write if force else t.append)("failures", late)
+            return counts[0], counts[1], waiting.where(~F.col("body").rlike(r"\S")).select("hash").distinct().count()
+
+        done = self.catalog.run(work)
+        self.catalog.merge_many("vectors")
+        return self.spark.createDataFrame([done], "embedded long, failed long, empty long")
+
+    def failures(self) -> DataFrame:
+        """(hash, seq, error, at) of chunks that the last calls of embed() could not embed."""
+        return self.catalog.read("failures", FAILURES).where("error is not null")
+
+    def overview(self) -> DataFrame:
+        """All of the library in one row: documents, contents, embedded and needs_embedding, has_vector_index, and collections (name, documents, last_modified, contexts) by name."""
+        return status.overview(self.totals(), self.status())
 
     def cleanup(self) -> None:
         def work(t: Transaction) -> None:
@@ -322,7 +357,7 @@ class Library:
     def vacuum(self, age: float = 86_400.0) -> int:
         """Merges changes and drops folders that only old commits hold, and older ones than `age` seconds that none does; how many snapshots and pieces of the index."""
         before = len(self.catalog.folders(f"{self.catalog.root}/index"))
-        old = sum(len(self.catalog.vacuum(t, age)) for t in ("documents", "content", "vectors", "files", "index"))
+        old = sum(len(self.catalog.vacuum(t, age)) for t in ("documents", "content", "vectors", "failures", "files", "index"))
         self.catalog.forget()
         return old + before - len(self.catalog.folders(f"{self.catalog.root}/index"))
 

@@ -71,12 +71,19 @@ def _term(t: str, cols: str = "0, 1, 2") -> str:
 
 
 #: Stored indexes of this session by application, tables and stemming.
-_STORED: dict[tuple[str, str, bool], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def _table_files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: a table that is written again in place is another one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
 
 
 def stored_index(spark: SparkSession, d: str, stemmed: bool = False, anew: bool = False) -> fts.StoredIndex:
     """The index of the documents in the shared folder: written by the first query that asks for it, then read by all."""
-    key = (spark.sparkContext.applicationId, d, stemmed)
+    key = (spark.sparkContext.applicationId, d, stemmed, _table_files(spark, f"{d}/documents.parquet"))
     if anew or key not in _STORED:
         path = shared_folder(spark, "index")
         fts.write_index(fts.build_index(corpus(spark, d), stemmed), path)
@@ -793,3 +800,17 @@ def stream_search(spark, d):
     library = Library(spark, f"{top}/root", NOW, stemmed=False)
     library.ingest(rows, f"{top}/state").awaitTermination()
     return library.search("license").select("file", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {CORPUS}, {VECTORS}, ctx(collection, prefix, context) as (values {_CONTEXT_SQL}), stats as (select collection as name, count(*) as documents, max(modified_at) as last_modified from corpus group by 1),
+ named as (select name, documents, last_modified, (select count(*) from ctx where ctx.collection = name) as contexts from stats)
+ select (select cast(count(*) as bigint) from corpus) as documents, (select cast(count(distinct hash) as bigint) from corpus) as contents, (select cast(count(*) as bigint) from vectors) as embedded,
+ (select cast(count(distinct hash) as bigint) from corpus where hash not in (select hash from vectors)) as needs_embedding, (select count(*) > 0 from vectors) as has_vector_index,
+ (select string_agg(name || ' ' || documents || ' ' || last_modified || ' ' || contexts, chr(10) order by name) from named) as collections""")
+def status_overview(spark, d):
+    """All counts of a library in one row."""
+    c, contexts = corpus(spark, d), spark.createDataFrame(_CONTEXTS, "collection string, prefix string, context string")
+    by_name = status.with_contexts(status.by_collection(c.select(F.col("collection").alias("name")).distinct(), c), contexts)
+    row = status.overview(status.totals(c, given_vectors(spark, d)), by_name)
+    lines = F.transform("collections", lambda x: F.concat_ws(" ", x["name"], x["documents"].cast("string"), x["last_modified"], x["contexts"].cast("string")))
+    return row.withColumn("collections", F.array_join(lines, "\n"))

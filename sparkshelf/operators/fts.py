@@ -20,6 +20,8 @@ COLUMNS = ["filepath", "title", "body"]
 #: Documents whose tokens are grouped at once, and stems that a task keeps.
 GROUPED_ROWS, KNOWN_STEMS = 1_000, 500_000
 K1, B, FLOOR, NEAR = 1.2, 0.75, 1e-6, 10
+#: Ranks up to which Spark limits each task's rows before a window.
+GROUP_LIMIT = 1_000
 
 
 class QuerySyntaxError(ValueError):
@@ -440,7 +442,11 @@ def search(index: Index, query: str, limit: int = 10, collection: str | None = N
 
     A collection limits rows, not the corpus that scores rest on; min_score drops rows after the limit.
     """
-    rows = score(index, query).join(index.documents.drop("dl"), "doc_pk")
+    rows = score(index, query)
+    if collection is None and limit <= GROUP_LIMIT:
+        # only the best, and what ties with the last of them, meet the documents; tasks keep no more before they meet
+        rows = rows.withColumn("_rank", F.rank().over(Window.orderBy(F.desc(F.round("score", 9))))).where(F.col("_rank") <= limit).drop("_rank")
+    rows = rows.join(index.documents.drop("dl"), "doc_pk")
     if collection is not None:
         rows = rows.where(F.col("collection") == collection)
     best = rows.orderBy(F.desc(F.round("score", 9)), "collection", "path").limit(limit)

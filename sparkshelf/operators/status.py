@@ -43,3 +43,9 @@ def with_contexts(collections: DataFrame, contexts: DataFrame) -> DataFrame:
     """Collections (name, ...) with contexts: how many prefixes of theirs are described."""
     n = contexts.groupBy(F.col("collection").alias("name")).agg(F.count("*").alias("contexts"))
     return collections.join(n, "name", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)).cast("long"))
+
+
+def overview(totals: DataFrame, collections: DataFrame) -> DataFrame:
+    """The row of totals() with has_vector_index (is any content embedded?) and collections, the rows of by_collection() or with_contexts() by name. Collections are settings: as many as people name."""
+    held = collections.agg(F.array_sort(F.collect_list(F.struct(*collections.columns))).alias("collections"))
+    return totals.withColumn("has_vector_index", F.col("embedded") > 0).crossJoin(held)

@@ -135,3 +135,53 @@ def hashed_embedding(dimensions: int = 64):
             yield pd.Series(out)
 
     return embed
+
+
+OUTCOME = "struct<embedding:array<float>,error:string>"
+#: Characters of texts that a model gets at once, with the padding to the longest, and texts at most.
+BATCH_CHARS, BATCH_TEXTS = 65_536, 64
+
+
+def length_batches(texts: list[str], most_chars: int = BATCH_CHARS, most: int = BATCH_TEXTS) -> list[list[int]]:
+    """Places of the texts, by length, in batches that stay within both bounds once all are as long as the longest; a longer text is a batch of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(texts)), key=lambda i: (len(texts[i]), i)):
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * len(texts[i]) <= most_chars:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def embed_each(model, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, None) or (None, error) of every text. A batch that fails is halved until the texts that fail are found, so one bad text costs no other."""
+    out: list[tuple[list[float] | None, str | None]] = [(None, None)] * len(texts)
+    todo = length_batches(texts)[::-1]
+    while todo:
+        own = todo.pop()
+        try:
+            found = model([texts[i] for i in own])
+            if len(found) != len(own):
+                raise ValueError(f"{len(found)} vectors for {len(own)} texts")
+            for i, v in zip(own, found, strict=True):
+                v = [float(x) for x in v] if v is not None else []
+                fine = len(v) > 0 and bool(np.isfinite(v).all())
+                out[i] = (v, None) if fine else (None, "no vector" if not len(v) else "not all components are finite")
+        except Exception as e:  # noqa: BLE001 - whatever a model raises is a row
+            if len(own) == 1:
+                out[own[0]] = (None, f"{type(e).__name__}: {e}"[:500])
+            else:
+                half = len(own) // 2
+                todo += [own[half:], own[:half]]
+    return out
+
+
+def checked_embedding(model):
+    """A column function that gives (embedding, error) of each text by model(list of texts) -> list of vectors."""
+
+    @F.pandas_udf(OUTCOME)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame(embed_each(model, [t or "" for t in s]), columns=["embedding", "error"])
+
+    return embed
