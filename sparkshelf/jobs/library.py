@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut
 from sparkshelf.functions import paths, render, text
-from sparkshelf.operators import chunks, context, fts, fusion, maintenance, segments, status, vectors
+from sparkshelf.operators import cells, chunks, context, fts, fusion, maintenance, segments, status, vectors
 from sparkshelf.shipping import ship
 from sparkshelf.sources.catalog import Catalog, Transaction
 from sparkshelf.sources.corpus import FILES, Collections, scan_changes
@@ -167,8 +167,15 @@ class Library:
         return self._described(fts.search(self.index(), query, limit, collection, min_score))
 
     def nearest(self, vector: list[float], limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
-        """The best documents by cosine of their first chunk."""
-        best = vectors.nearest(self.corpus(), self.vectors, vector, limit, collection)
+        """The best documents by cosine of their first chunk. Where index_vectors() has been called since vectors last changed, only cells that may hold one are read."""
+        note = self.catalog.state().notes.get("cells")
+        if note and note["shown"] == self.catalog.state().folders("vectors"):
+            documents = self.corpus().drop("body")
+            documents = documents if collection is None else documents.where(F.col("collection") == collection)
+            found, _ = cells.open_cells(self.spark, self.catalog.at(note["folders"][0])).search(vector, limit, lambda rows: documents.join(rows, "hash"), ("collection", "path"))
+            best = found.select("doc_pk", "collection", "path", "score")
+        else:
+            best = vectors.nearest(self.corpus(), self.vectors, vector, limit, collection)
         return self._described(best if min_score is None else best.where(F.col("score") >= min_score))
 
     def hybrid(self, query: str, vector: list[float], limit: int = 10) -> DataFrame:
@@ -291,6 +298,17 @@ class Library:
         """(embedding) of one content's chunk."""
         return vectors.vector_of(self.vectors, hash_, seq)
 
+    def index_vectors(self, cell_vectors: int = cells.CELL_VECTORS) -> None:
+        """Stores the first chunks' vectors by cells, for nearest()."""
+
+        def work(t: Transaction) -> None:
+            shown, folder = t.state.folders("vectors"), self.catalog.new_folder("cells")
+            rows = self.catalog.rows(t.state, "vectors", VECTORS).where("seq = 0").select("hash", "embedding")
+            cells.write_cells(rows, self.catalog.at(folder), cell_vectors)
+            t.note("cells", {"folders": [folder], "shown": shown})
+
+        self.catalog.run(work)
+
     def clear_vectors(self) -> int:
         """Forgets all vectors; how many there were."""
         def work(t: Transaction) -> int:
@@ -357,7 +375,7 @@ class Library:
     def vacuum(self, age: float = 86_400.0) -> int:
         """Merges changes and drops folders that only old commits hold, and older ones than `age` seconds that none does; how many snapshots and pieces of the index."""
         before = len(self.catalog.folders(f"{self.catalog.root}/index"))
-        old = sum(len(self.catalog.vacuum(t, age)) for t in ("documents", "content", "vectors", "failures", "files", "index"))
+        old = sum(len(self.catalog.vacuum(t, age)) for t in ("documents", "content", "vectors", "failures", "files", "index", "cells"))
         self.catalog.forget()
         return old + before - len(self.catalog.folders(f"{self.catalog.root}/index"))
 

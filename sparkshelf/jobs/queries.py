@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkshelf.checkpoints import shared_folder
 from sparkshelf.functions import paths, render, text
 from sparkshelf.jobs.library import Library
-from sparkshelf.operators import batch, chunks, context, fts, fusion, maintenance, segments, status, vectors
+from sparkshelf.operators import batch, cells, chunks, context, fts, fusion, maintenance, segments, status, vectors
 from sparkshelf.sources.corpus import from_documents, vectors_of
 
 QUERIES: dict = {}
@@ -814,3 +814,29 @@ def status_overview(spark, d):
     row = status.overview(status.totals(c, given_vectors(spark, d)), by_name)
     lines = F.transform("collections", lambda x: F.concat_ws(" ", x["name"], x["documents"].cast("string"), x["last_modified"], x["contexts"].cast("string")))
     return row.withColumn("collections", F.array_join(lines, "\n"))
+
+
+#: Stored cells of this session.
+_CELLS: dict[tuple, str] = {}
+
+
+def stored_cells(spark: SparkSession, d: str) -> cells.Cells:
+    """The given vectors by cells, in the shared folder: written by the first query that asks for them."""
+    key = (spark.sparkContext.applicationId, d, _table_files(spark, f"{d}/embeddings.parquet"))
+    if key not in _CELLS:
+        path = shared_folder(spark, "cells")
+        cells.write_cells(table(spark, d, "embeddings").select("vec_id", "embedding"), path, cell_vectors=256)
+        _CELLS[key] = path
+    return cells.open_cells(spark, _CELLS[key])
+
+
+@query(f"with {_QUERY} select vec_id, round({_COS.format('embedding', 'q')}, 6) as score from embeddings, q order by round({_COS.format('embedding', 'q')}, 9) desc, vec_id limit 10")
+def vec_cells_topk(spark, d):
+    found, _ = stored_cells(spark, d).search(_first_vector(spark, d), 10, order=("vec_id",))
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE["vec_batch_topk"])
+def vec_cells_batch_topk(spark, d):
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return stored_cells(spark, d).search_each(q, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

@@ -35,21 +35,8 @@ QUERY_ROWS, VECTOR_ROWS = 8_192, 32_768
 BATCH_ROWS = 8_192
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, query_rows: int = QUERY_ROWS, vector_rows: int = VECTOR_ROWS) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact top k of vectors (vec_id, embedding) for every query (query_id, embedding).
-
-    Both are dealt by hash to blocks of about query_rows and vector_rows; each pair of blocks meets
-    in a group of its own, as matrix products of `block` queries at a time, which give k rows a
-    query at most. Only the two counts meet in the driver. Each vector travels once per block of queries.
-    As cosine() has it, a pair of unlike lengths, or with a vector that is null, empty, zero or holds a null, scores 0.
-    """
-    i = max(1, -(-queries.count() // query_rows))
-    j = max(1, -(-vectors.count() // vector_rows))
-    of = lambda name, n: F.pmod(F.xxhash64(name, "embedding"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # both sides may come of one table: new names keep their columns apart in the cogroup
-    asked = queries.select(F.col("query_id").alias("query"), F.col("embedding").alias("q"), of("query_id", i).alias("i"), every(j).alias("j"))
-    held = vectors.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("x"), of("vec_id", j).alias("j"), every(i).alias("i"))
+def best_of_blocks(k: int, block: int = 256):
+    """A function of a block of queries (query, q) and one of vectors (vec, x), for cogroups: (query_id, vec_id, score), at most k of each query, by matrix products."""
 
     def matrices(t: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Of each length the rows that have a cosine, and their unit vectors."""
@@ -82,8 +69,27 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int =
                         o.append(y)
         return pa.table({name: np.concatenate(o) for name, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
+    return best
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, query_rows: int = QUERY_ROWS, vector_rows: int = VECTOR_ROWS) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact top k of vectors (vec_id, embedding) for every query (query_id, embedding).
+
+    Both are dealt by hash to blocks of about query_rows and vector_rows; each pair of blocks meets
+    in a group of its own, as matrix products of `block` queries at a time, which give k rows a
+    query at most. Only the two counts meet in the driver. Each vector travels once per block of queries.
+    As cosine() has it, a pair of unlike lengths, or with a vector that is null, empty, zero or holds a null, scores 0.
+    """
+    i = max(1, -(-queries.count() // query_rows))
+    j = max(1, -(-vectors.count() // vector_rows))
+    of = lambda name, n: F.pmod(F.xxhash64(name, "embedding"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # both sides may come of one table: new names keep their columns apart in the cogroup
+    asked = queries.select(F.col("query_id").alias("query"), F.col("embedding").alias("q"), of("query_id", i).alias("i"), every(j).alias("j"))
+    held = vectors.select(F.col("vec_id").alias("vec"), F.col("embedding").alias("x"), of("vec_id", j).alias("j"), every(i).alias("i"))
+
     pairs = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j"))
-    found = pairs.applyInArrow(best, "query_id long, vec_id long, score double")
+    found = pairs.applyInArrow(best_of_blocks(k, block), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
