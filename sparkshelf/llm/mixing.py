@@ -61,7 +61,7 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int | No
     Size is the number of words, 0 for a null text. Sources stand in code point order, null last,
     and weigh `weights`, repeating. A source's target t is met by whole passes over it and one
     pass over blocks in a random order that ends after just t words: the last document may be cut.
-    So no document exceeds a source's largest multiple. Blocks are dealt by the hash of doc_id and
+    So no document exceeds a source's largest multiple. Blocks are dealt by the hash of doc_id, or of the text where that is null, and
     permuted by a seeded hash. A draw is a pass over a block: all blocks in whole passes, in the
     partial one only those with words that it reaches; their number is the source's quota. The
     splitting tree deals the quotas to output shards, and each shard in turn takes as many of the
@@ -77,7 +77,7 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17, blocks: int | No
     name = F.col("source").cast("string")
     key = F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name))
     sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("origin"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumns({"key": F.xxhash64("doc_id", F.lit(seed)), "tie": F.xxhash64("row.text"), "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")})
+    sized = sized.withColumns({"key": F.xxhash64("doc_id", F.lit(seed)), "tie": F.xxhash64("row.text"), "block": F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.xxhash64("row.text"))), F.lit(blocks)).cast("int")})
     sums = cut(sized.groupBy("origin", "block").agg(F.sum("size").alias("words")))
     ordered = Window.partitionBy("origin").orderBy(F.xxhash64("origin", "block", F.lit(seed)), "block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)

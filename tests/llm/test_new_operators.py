@@ -405,3 +405,11 @@ def test_prefixes_of_linked_sets_meet():
         for n in range(1, 300):
             least = -(-percent * n // 100)
             assert neardup.prefix_size(n, percent) + least == n + 1 and 1 <= neardup.prefix_size(n, percent) <= n
+
+
+def test_rows_without_id_are_mixed_in_many_blocks(spark):
+    from sparkshelf.llm import mixing
+
+    docs = spark.createDataFrame([(None, "a", f"w{i} x") for i in range(1500)], "doc_id long, source string, text string")
+    plan = mixing.mix_plan(docs).select("taken", "shard_of").collect()
+    assert sum(r.taken for r in plan) == 3000 and len({tuple(r.shard_of) for r in plan}) > 8
