@@ -19,8 +19,7 @@ from .neardup import near_duplicates
 
 #: Labelled rows at most that terms and weights are learned from; of more, a hash of doc_id picks about so many.
 SAMPLE_ROWS = 20_000
-#: Terms at most in the lexicon.
-LEXICON_TERMS = 2_000
+#: Letters of the stems that are tried.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 #: Documents whose words are counted at once.
@@ -297,8 +296,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
     return texts.join(F.broadcast(known), "doc_id")
 
 
-def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
-    """Words and stems that toxic documents have far more often than chance allows, given how many were tried. Copies count as one document."""
+def learn_lexicon(train: DataFrame) -> Lexicon:
+    """Words and stems that toxic documents have far more often than chance allows, given how many were tried. Copies count as one document.
+
+    All such terms are kept; the bound on training rows bounds them, too.
+    """
     single = without_copies(train)
     n = {r[0]: r[1] for r in single.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
@@ -310,7 +312,7 @@ def learn_lexicon(train: DataFrame, terms: int = LEXICON_TERMS) -> Lexicon:
     seen = F.col("c") + F.col("t")
     gain = 2 * (F.col("t") * F.log(F.col("t") / (seen * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (seen * (1 - share)))).otherwise(0.0))
     tried = counts.count()
-    best = counts.where("odds >= 2").withColumn("gain", gain).where(F.col("gain") > 2 * (np.log(max(tried, 2)) + 3)).orderBy(F.desc("gain"), "term").limit(terms).collect()
+    best = counts.where("odds >= 2").withColumn("gain", gain).where(F.col("gain") > 2 * (np.log(max(tried, 2)) + 3)).orderBy(F.desc("gain"), "term").collect()
     rows = {r.term: r for r in best}
     covered = lambda t: any(f"{t[:k]}*" in rows and f"{t[:k]}*" != t and rows[f"{t[:k]}*"].odds >= rows[t].odds - 0.7 and rows[f"{t[:k]}*"].t > rows[t].t for k in STEMS)
     # covered stems go, as they only match exactly; covered words stay for misspelled ones
