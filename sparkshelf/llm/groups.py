@@ -144,13 +144,18 @@ def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch
     bound = found.join(best, ["key", "pivot"]).select("key", "rep", F.lit(True).alias("bound"))
     split = cut(rows.join(bound, ["key", "rep"], "left").withColumn("bound", F.coalesce("bound", F.lit(False))))
     out = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b")
-    if marks:
-        each = told.where("pivot is null").select("key", "rep", F.explode("marks").alias("mark")).join(split.select("key", "rep", "bound"), ["key", "rep"])
+    count_left = lambda rows: rows.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
+    left = count_left(split)
+    # a rest of one block meets its group in linear time; of larger ones only what hangs together by marks does
+    wide = cut(left.where("others > 1").select("key")) if marks else None
+    if wide is not None and not wide.isEmpty():
+        each = told.where("pivot is null").join(wide, "key").select("key", "rep", F.explode("marks").alias("mark")).join(split.select("key", "rep", "bound"), ["key", "rep"])
         common = each.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bool_and("bound").alias("done")).where("n > 1 and not done")
         together = connected_components(each.join(common, ["key", "mark"]).select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b"))
-        split = split.drop("key", "size").join(together.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep")
-        split = cut(split.join(split.groupBy("key").agg(F.count("*").alias("size")), "key").select(*columns, "bound"))
-    left = split.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
+        parted = split.join(wide, "key").drop("size").join(together.select(F.col("node").alias("rep"), "component"), "rep").withColumn("key", F.xxhash64("key", "component"))
+        parted = parted.join(parted.groupBy("key").agg(F.count("*").alias("size")), "key").select(*columns, "bound")
+        split = cut(parted.unionByName(split.join(wide, "key", "left_anti").select(*columns, "bound")))
+        left = count_left(split)
     todo = cut(split.join(left, "key"))
     if todo.isEmpty():
         return out
