@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -67,23 +68,30 @@ def marked_lines(body: Column, start: int = 1) -> Column:
     return F.array_join(F.transform(lines(body), lambda x, i: F.concat((i + start).cast("string"), F.lit(": "), x)), "\n")
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value worked out once however often it stands in there."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def snippet(body: Column, query: str, most: int, position: Column | None = None) -> Column:
     """struct(snippet, line): whole lines of about `most` characters about the first term of three or more bytes that occurs, or about `position`."""
     n = F.length(body)
-    at = F.lit(0)
-    if position is not None:
-        at = F.least(position, F.greatest(F.lit(0), n - most))
-    else:
-        terms = [t for t in query.split() if len(t.encode()) >= 3]
-        for t in reversed(terms):
-            place = F.locate(t.lower(), F.lower(body))
-            at = F.when(place > 0, F.greatest(F.lit(0), place - 51)).otherwise(at)
-    before = F.substring(body, F.lit(1), at)
-    begin = F.when(F.instr(before, "\n") > 0, F.length(before) - F.length(F.substring_index(before, "\n", -1))).otherwise(F.lit(0))
-    end = F.least(begin + most, n)
-    after = F.locate("\n", F.substring(body, end + 1, n))
-    stop = F.when(after > 0, end + after - 1).otherwise(n)
-    cut = F.substring(body, begin + 1, stop - begin)
-    line = F.length(F.substring(body, F.lit(1), begin)) - F.length(F.replace(F.substring(body, F.lit(1), begin), F.lit("\n"), F.lit(""))) + 1
-    whole = n <= most
-    return F.struct(F.when(whole, body).otherwise(cut).alias("snippet"), F.when(whole, F.lit(1)).otherwise(line).cast("int").alias("line"))
+
+    def first_term(low: Column) -> Column:
+        # one place a term, from the first on; the last is the text's start
+        places = [F.locate(t.lower(), low) for t in query.split() if len(t.encode()) >= 3]
+        found = F.filter(F.array(*places, F.lit(1)), lambda place: place > 0)
+        return F.greatest(F.lit(0), F.element_at(found, 1) - 51)
+
+    at = let(F.lower(body), first_term) if position is None else F.least(position, F.greatest(F.lit(0), n - most))
+    # up to the place, from the last line end on
+    begin = let(F.substring(body, F.lit(1), at), lambda b: F.when(F.instr(b, "\n") > 0, F.length(b) - F.length(F.substring_index(b, "\n", -1))).otherwise(F.lit(0)))
+
+    def cut(x: Column) -> Column:
+        begin, end = x.begin, F.least(x.begin + most, n)
+        stop = let(F.locate("\n", F.substring(body, end + 1, n)), lambda after: F.when(after > 0, end + after - 1).otherwise(n))
+        line = let(F.substring(body, F.lit(1), begin), lambda lead: F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit(""))) + 1)
+        return F.struct(F.substring(body, begin + 1, stop - begin).alias("snippet"), line.cast("int").alias("line"))
+
+    short = F.struct(body.alias("snippet"), F.lit(1).alias("line"))
+    return F.when(n <= most, short).otherwise(let(F.struct(begin.alias("begin")), cut))

@@ -320,12 +320,12 @@ _SAID = "'lex: ' || lower(original) || chr(10) || 'vec: about ' || original || c
 _BARE = "regexp_replace({0}, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')"
 
 
-@query(f"""with o as (select item_id as query_id, text as original from benchmark), lines as (select query_id, original, unnest(string_split({_SAID}, chr(10))) as line, generate_subscripts(string_split({_SAID}, chr(10)), 1) - 1 as no from o),
+@query(f"""with o as (select item_id as query_id, coalesce(text, '') as original from benchmark), lines as (select query_id, original, unnest(string_split({_SAID}, chr(10))) as line, generate_subscripts(string_split({_SAID}, chr(10)), 1) - 1 as no from o),
  parsed as (select query_id, original, no, regexp_extract({_BARE.format('line')}, '^(lex|vec|hyde):', 1) as kind, {_BARE.format("regexp_extract(" + _BARE.format('line') + ", '(?s)^(?:lex|vec|hyde):(.*)$', 1)")} as text from lines),
  good as (select query_id, no, kind, text from parsed p where kind <> '' and text <> '' and (strlen(original) < 3 or len(list_filter(regexp_split_to_array(lower(original), '[ \\t\\n\\v\\f\\r]+'), lambda t: strlen(t) >= 3 and contains(lower(p.text), t))) > 0))
- select query_id, cast(no as integer) as no, kind, text from good union all select query_id, v.no, v.kind, v.lead || original from o, (values (0, 'lex', ''), (1, 'vec', ''), (2, 'hyde', 'Information about ')) v(no, kind, lead) where original is not null and query_id not in (select query_id from good)""")
+ select query_id, cast(no as integer) as no, kind, text from good union all select query_id, v.no, v.kind, v.lead || original from o, (values (0, 'lex', ''), (1, 'vec', ''), (2, 'hyde', 'Information about ')) v(no, kind, lead) where query_id not in (select query_id from good)""")
 def expansion_parse(spark, d):
-    return _parsed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original")).where("original is not null"))
+    return _parsed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("original")))
 
 
 @query()
@@ -334,6 +334,11 @@ def expansion_parse_whole(spark, d):
     return _parsed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original")))
 
 
+def _texts(spark, d) -> DataFrame:
+    """The documents; a null text is empty."""
+    return table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def _parsed(o: DataFrame) -> DataFrame:
     return fusion.parse_expansion(o.withColumn("output", F.concat(F.lit("lex: "), F.lower("original"), F.lit("\nvec: about "), F.col("original"), F.lit("\nhyde: zzz\nnoise"))))
 
@@ -355,26 +360,26 @@ def context_missing(spark, d):
     return context.without_context(corpus(spark, d).select(F.col("collection").alias("name")).distinct(), contexts)
 
 
-@query("""with b as (select doc_id, text, length(text) as n, case when strpos(lower(text), 'license') > 0 then greatest(0, strpos(lower(text), 'license') - 51) when strpos(lower(text), 'and') > 0 then greatest(0, strpos(lower(text), 'and') - 51) else 0 end as p from documents where text is not null),
+@query("""with b as (select doc_id, text, length(text) as n, case when strpos(lower(text), 'license') > 0 then greatest(0, strpos(lower(text), 'license') - 51) when strpos(lower(text), 'and') > 0 then greatest(0, strpos(lower(text), 'and') - 51) else 0 end as p from (select doc_id, coalesce(text, '') as text from documents)),
  c as (select *, case when strpos(substr(text, 1, p), chr(10)) > 0 then p - strpos(reverse(substr(text, 1, p)), chr(10)) + 1 else 0 end as s from b), e as (select *, least(s + 200, n) as m from c),
  f as (select *, case when strpos(substr(text, m + 1), chr(10)) > 0 then m + strpos(substr(text, m + 1), chr(10)) - 1 else n end as z from e)
  select doc_id, case when n <= 200 then text else substr(text, s + 1, z - s) end as snippet, cast(case when n <= 200 then 1 else 1 + length(substr(text, 1, s)) - length(replace(substr(text, 1, s), chr(10), '')) end as integer) as line from f""")
 def snippet(spark, d):
     s = text.snippet(F.col("text"), "license and", 200)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", s.alias("s")).select("doc_id", "s.snippet", "s.line")
+    return _texts(spark, d).select("doc_id", s.alias("s")).select("doc_id", "s.snippet", "s.line")
 
 
 _TRIMMED = "regexp_replace({0}, '^[\\s\\v\\x{{85}}\\x{{a0}}]+|[\\s\\v\\x{{85}}\\x{{a0}}]+$', '', 'g')"
 
 
-@query(f"""with h as (select doc_id, case doc_id % 5 when 0 then '### no' || chr(10) || '#tag' || chr(10) || '  ## ' || text when 1 then text || chr(13) || '# no' when 2 then '# ' || chr(10) || chr(9) || '# ' || chr(9) || text when 3 then text || chr(10) || '## ' || text else text end as body from documents where text is not null),
+@query(f"""with h as (select doc_id, case doc_id % 5 when 0 then '### no' || chr(10) || '#tag' || chr(10) || '  ## ' || text when 1 then text || chr(13) || '# no' when 2 then '# ' || chr(10) || chr(9) || '# ' || chr(9) || text when 3 then text || chr(10) || '## ' || text else text end as body from (select doc_id, coalesce(text, '') as text from documents)),
  m as (select doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_TRIMMED.format('x')}), lambda x: starts_with(x, '# ') or starts_with(x, '## '))[1] as line from h)
  select doc_id, coalesce({_TRIMMED.format("regexp_replace(line, '^##? ', '')")}, '') as title from m""")
 def title_extract(spark, d):
     """Over whole texts with headings before, behind and between them, and none."""
     t = F.col("text")
     body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("### no\n#tag\n  ## "), t)).when(F.col("doc_id") % 5 == 1, F.concat(t, F.lit("\r# no"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("# \n\t# \t"), t)).when(F.col("doc_id") % 5 == 3, F.concat(t, F.lit("\n## "), t)).otherwise(t)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", text.title(body).alias("title"))
+    return _texts(spark, d).select("doc_id", text.title(body).alias("title"))
 
 
 @query("""select page_id, array_to_string(list_filter(list_transform(string_split(lower(replace(url, '___', '/')), '/'), lambda p: regexp_replace(regexp_replace(p, '[^\\p{L}\\p{N}]', '-', 'g'), '^-+|-+$', '', 'g')), lambda p: p <> ''), '/') as handle from pages""")
@@ -415,10 +420,10 @@ def list_files_prefix(spark, d):
     return rows.select("path", "title", "modified_at", F.length("body").cast("long").alias("size"))
 
 
-@query("select doc_id, strlen(text) > 10240 as skipped, case when strlen(text) > 10240 then null else text end as body from documents where text is not null")
+@query("select doc_id, strlen(text) > 10240 as skipped, case when strlen(text) > 10240 then null else text end as body from (select doc_id, coalesce(text, '') as text from documents)")
 def multi_get_guard(spark, d):
     large = F.octet_length("text") > 10_240
-    return table(spark, d, "documents").where("text is not null").select("doc_id", large.alias("skipped"), F.when(~large, F.col("text")).alias("body"))
+    return _texts(spark, d).select("doc_id", large.alias("skipped"), F.when(~large, F.col("text")).alias("body"))
 
 
 _TEXT_LINES = "string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))"
@@ -448,12 +453,12 @@ def line_numbers_whole(spark, d):
 
 @query()
 def chunk_chars(spark, d):
-    return chunks.chunk_chars(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return chunks.chunk_chars(_texts(spark, d), "doc_id", "text")
 
 
 @query()
 def chunk_tokens(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    rows = _texts(spark, d).withColumn("body", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return chunks.chunk_tokens(rows, "doc_id", "body", 200, 30)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
 from sparkshelf.functions.porter import stem
 from sparkshelf.functions.text import tokens
 
@@ -205,8 +207,36 @@ def leaves(tree) -> list[Near]:
 POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long"
 
 
-def postings(corpus: DataFrame, stemmed: bool) -> DataFrame:
-    """(term, doc_pk, col, tf, positions, dl) of a corpus (doc_pk, collection, path, title, body).
+class Ranges:
+    """Parts of an index as ranges of (term, doc_pk). bounds: the first entry of each part but the first, in order."""
+
+    def __init__(self, bounds: list[tuple[str, int]]):
+        self.terms, self.docs = [t for t, _ in bounds], np.array([d for _, d in bounds], np.int64)
+
+    def parts(self, terms: list[str], code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The part of each entry (terms[code], doc). Strings compare here as their UTF-8 does in Spark."""
+        low = np.array([bisect_left(self.terms, t) for t in terms], np.int32)
+        high = np.array([bisect_right(self.terms, t) for t in terms], np.int32)
+        out = low[code] if len(terms) else np.zeros(0, np.int32)
+        for i in np.flatnonzero(high > low).tolist():  # terms that are spread over parts
+            own = np.flatnonzero(code == i)
+            out[own] += np.searchsorted(self.docs[low[i] : high[i]], doc[own], "right").astype(np.int32)
+        return out
+
+    def assigned(self, rows: DataFrame) -> DataFrame:
+        """Postings with their part."""
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                coded = batch["term"].dictionary_encode()
+                part = self.parts(coded.dictionary.to_pylist(), coded.indices.to_numpy(), batch["doc_pk"].to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+
+        return rows.select("term", "doc_pk", "col", "tf", "positions", "dl").mapInArrow(assign, f"{POSTINGS}, part int")
+
+
+def postings(corpus: DataFrame, stemmed: bool, ranges: Ranges | None = None) -> DataFrame:
+    """(term, doc_pk, col, tf, positions, dl) of a corpus (doc_pk, collection, path, title, body), with ranges also the part.
 
     A document's tokens stand in one row, so they are grouped where they are read: tokens never
     travel one by one. Arrow encodes a batch's terms as numbers, which one sort groups.
@@ -237,12 +267,14 @@ def postings(corpus: DataFrame, stemmed: bool) -> DataFrame:
             ends = np.append(heads, len(order))
             row = owner[heads] // 3
             places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position[order], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [terms.take(pa.array(code[heads])), batch["doc_pk"].take(pa.array(row)), pa.array(owner[heads] % 3, pa.int32()), pa.array(np.diff(ends), pa.int32()), places, pa.array(sizes.sum(axis=0)[row], pa.int64())],
-                names=["term", "doc_pk", "col", "tf", "positions", "dl"],
-            )
+            held = [terms.take(pa.array(code[heads])), batch["doc_pk"].take(pa.array(row)), pa.array(owner[heads] % 3, pa.int32()), pa.array(np.diff(ends), pa.int32()), places, pa.array(sizes.sum(axis=0)[row], pa.int64())]
+            names = ["term", "doc_pk", "col", "tf", "positions", "dl"]
+            if ranges is not None:
+                held.append(pa.array(ranges.parts(terms.to_pylist(), code[heads], batch["doc_pk"].to_numpy()[row]), pa.int32()))
+                names.append("part")
+            yield pa.RecordBatch.from_arrays(held, names=names)
 
-    return rows.mapInArrow(grouped, POSTINGS)
+    return rows.mapInArrow(grouped, POSTINGS if ranges is None else f"{POSTINGS}, part int")
 
 
 @dataclass
@@ -253,6 +285,17 @@ class Index:
     documents: DataFrame
     totals: DataFrame
     stemmed: bool
+    #: What postings are made of, where they are a plan over bodies.
+    corpus: DataFrame | None = None
+
+    def sampled(self, share: int) -> DataFrame:
+        """Postings of one in `share` documents by a hash of their key; of a corpus only their bodies are cut to tokens."""
+        own = F.pmod(F.xxhash64("doc_pk", F.lit(11)), F.lit(share)) == 0
+        return self.postings.where(own) if self.corpus is None else postings(self.corpus.where(own), self.stemmed)
+
+    def in_parts(self, ranges: Ranges) -> DataFrame:
+        """Postings with their part."""
+        return ranges.assigned(self.postings) if self.corpus is None else postings(self.corpus, self.stemmed, ranges)
 
     def read(self, exact: list[str], prefixes: list[str]) -> DataFrame:
         """Postings of these terms and of terms that begin so."""
@@ -268,34 +311,43 @@ def build_index(corpus: DataFrame, stemmed: bool = True) -> Index:
     n = sum((F.size(tokens(x)) for x in (F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body"))), F.lit(0)).cast("long")
     names = [c if c in corpus.columns else F.lit(None).cast("string").alias(c) for c in ("collection", "path", "title", "hash")]
     documents = corpus.select("doc_pk", n.alias("dl"), *names)
-    return Index(postings(corpus, stemmed), documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
+    return Index(postings(corpus, stemmed), documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed, corpus)
 
 
 #: Postings of a part of a stored index, at most, and at least where more parts would keep more cores busy.
 PART_ROWS, LEAST_ROWS = 4_000_000, 100_000
+#: Postings that ranges are told from, about, and how many a document may have in that reckoning.
+SAMPLED, DOCUMENT_POSTINGS = 200_000, 200
 
 
 def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     """Keeps an index below `path`: postings in parts that are ranges of (term, doc_pk), sorted, so that a common term takes as many parts as it needs; a sparse directory of each part's first and last term; documents; totals.
 
-    The number of parts follows the number of postings. The directory is written last: an index without it isn't read.
+    Ranges and their number come from the postings of a sample of documents, so all postings are made,
+    dealt and written once. The directory is written last: an index without it isn't read.
     """
-    spark = index.postings.sparkSession
-    index.postings.write.parquet(f"{path}/unsorted")
-    held = spark.read.parquet(f"{path}/unsorted")
+    spark = index.documents.sparkSession
+    # some postings of every part, in all no more than one task can order
+    about = index.documents.count() * DOCUMENT_POSTINGS
+    share = max(1, about // max(SAMPLED, 20 * about // part_rows))
+    sample = cut(index.sampled(share).select("term", "doc_pk"))
+    held = sample.count()
+    n = held * share
+    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    step = max(1, -(-held // parts))
+    place = F.row_number().over(Window.orderBy("term", "doc_pk")) - 1
+    ranges = Ranges([tuple(r) for r in sample.withColumn("_n", place).where(F.col("_n") % step == 0).where("_n > 0").distinct().orderBy("term", "doc_pk").select("term", "doc_pk").collect()] if parts > 1 else [])
+    parts = len(ranges.terms) + 1
+    # sorted by the part, too, so that the writer needs no order of its own
+    ordered = index.in_parts(ranges).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "term", "doc_pk", "col")
+    ordered.write.partitionBy("part").parquet(f"{path}/postings")
+    written = spark.read.schema(f"{POSTINGS}, part int").parquet(f"{path}/postings")
     # lengths are known from the postings: bodies are cut to tokens only once
-    sizes = held.groupBy("doc_pk").agg(F.first("dl").alias("dl"))
+    sizes = written.groupBy("doc_pk").agg(F.first("dl").alias("dl"))
     documents = index.documents.drop("dl").join(sizes, "doc_pk", "left").withColumn("dl", F.coalesce("dl", F.lit(0)).cast("long"))
     documents.select("doc_pk", "dl", "collection", "path", "title", "hash").write.parquet(f"{path}/documents")
     spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
-    n = held.count()
-    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
-    # sorted by the part, too, so that the writer needs no order of its own
-    ordered = held.repartitionByRange(parts, "term", "doc_pk").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "doc_pk", "col")
-    ordered.write.partitionBy("part").parquet(f"{path}/postings")
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/unsorted")
-    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)
-    spark.read.parquet(f"{path}/postings").groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
+    written.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
 
 
 DIRECTORY = "part int, first string, last string, postings long"
