@@ -2,9 +2,9 @@
 
 Archives are files of gzip members, one record each, as other tools read them; Spark's own text
 writer commits them, so a lost executor leaves no half file. The index sorts lines by reversed-host
-key and page into compressed blocks; a sparse directory holds each block's first key and page. A
-lookup bisects the shards' first ones, then the directory, then a block. Records are then read by
-range: tasks seek to offsets in the shared file system and read just the captures' bytes.
+key and page into compressed blocks; a sparse directory holds each block's first key and page, and where
+it lies. A lookup bisects the shards' first ones, then the directory, and reads the block by range.
+So are records: tasks seek to offsets in the shared file system and read just the captures' bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut, shared_folder
 
+from .groups import dealt
 
 REVISIT_BYTES = 1_000
 BLOCK_LINES = 1_000
+#: Lines of an index's shard, about, and at least where more shards would keep more cores busy.
+SHARD_LINES, LEAST_LINES = 200_000, 5_000
 #: Compressed bytes after which an archive ends, and those of a stretch of one that a task reads at once.
 FILE_BYTES, STRETCH_BYTES = 64 << 20, 16 << 20
 #: A gzip member ends with its input's size; below 16 MB the last byte is 0, which the writer adds as a line's end.
@@ -197,14 +200,21 @@ def _line(row: dict) -> str:
     return "\t".join([row["key"], "" if row["page_id"] is None else str(row["page_id"]), row["record_type"], row["file"], str(row["offset"]), str(row["length"])])
 
 
+BLOCKS = "shard int, block int, first_key string, first_page long, `lines` int, `offset` long, `length` long, value binary"
+
+
 def _blocks(lines: int):
-    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("first_page", pa.int64()), ("lines", pa.int32()), ("data", pa.binary())])
+    kinds = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("first_page", pa.int64()), ("lines", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("value", pa.binary())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard, n = [], 0, 0
+        held, shard, n, offset = [], 0, 0, 0
 
         def out(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [n], "first_key": [rows[0]["key"]], "first_page": [rows[0]["page_id"]], "lines": [len(rows)], "data": [zlib.compress("\n".join(map(_line, rows)).encode(), 6)]}, kinds)
+            nonlocal n, offset
+            packed = member("\n".join(map(_line, rows)).encode())
+            found = pa.RecordBatch.from_pydict({"shard": [shard], "block": [n], "first_key": [rows[0]["key"]], "first_page": [rows[0]["page_id"]], "lines": [len(rows)], "offset": [offset], "length": [len(packed)], "value": [packed[:-1]]}, kinds)
+            n, offset = n + 1, offset + len(packed)
+            return found
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -212,22 +222,32 @@ def _blocks(lines: int):
                 held.append(row)
                 if len(held) == lines:
                     yield out(held)
-                    held, n = [], n + 1
+                    held = []
         if held:
             yield out(held)
 
     return blocks
 
 
-def write_index(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Scans the archives of `path` and writes blocks (shard, block, first_key, first_page, lines, data) to path/index.
+def write_index(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES, shard_lines: int = SHARD_LINES) -> None:
+    """Scans the archives of `path` and writes path/index: a file of compressed blocks for each shard, and the directory (shard, block, first_key, first_page, lines, file, offset, length).
 
-    Shards are ranges of all lines by key, page, file and offset, so one URL's captures, and even
-    those of one page, may take several; inside a shard, blocks of block_lines sorted lines are compressed.
+    Shards are ranges of about shard_lines lines by key, page, file and offset, so one URL's captures, and even
+    those of one page, may take several; inside a shard, blocks of block_lines sorted lines are gzip
+    members one behind another, each of which can be read alone.
     """
     lines = cut(_archives(spark, path).select("path").mapInArrow(_lines, LINE))
-    ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset").withColumn("shard", F.spark_partition_id())
-    ordered.mapInArrow(_blocks(block_lines), "shard int, block int, first_key string, first_page long, lines int, data binary").write.parquet(f"{path}/index")
+    n = lines.count()
+    shards = max(1, -(-n // shard_lines), min(spark.sparkContext.defaultParallelism, n // LEAST_LINES))
+    order = ["key", "page_id", "file", "offset"]
+    ordered = lines.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
+    blocks = cut(ordered.mapInArrow(_blocks(block_lines), BLOCKS))
+    # each shard is in one task, in order: its file's offsets are known before it is written
+    packed = blocks.sortWithinPartitions("shard", "block").select("shard", F.col("value").cast("string"))
+    packed.write.partitionBy("shard").option("lineSep", "\0").text(f"{path}/index/blocks")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/index/blocks").select(F.regexp_extract("path", r"/index/blocks/(shard=\d+/[^/]*)$", 1).alias("file"))
+    files = files.withColumn("shard", F.regexp_extract("file", r"^shard=(\d+)", 1).cast("int"))
+    blocks.drop("value").join(files, "shard").sortWithinPartitions("shard", "block").write.parquet(f"{path}/index/directory")
 
 
 def _place(key: str, page: int | None) -> tuple[str, bool, int]:
@@ -235,23 +255,63 @@ def _place(key: str, page: int | None) -> tuple[str, bool, int]:
     return key, page is not None, page or 0
 
 
-def _search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The lines of the (key, page_id) asked for in one shard, merged with its blocks in order: each is bisected in the directory, then in its block, which is opened once."""
-    right = right.sort_by("block")
-    directory, data = [_place(*x) for x in zip(right["first_key"].to_pylist(), right["first_page"].to_pylist(), strict=True)], right["data"]
-    held, places, rows = -1, [], []
-    found: list[list] = [[], [], [], [], []]
-    for wanted in sorted({_place(*x) for x in zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True)}):
-        at = max(0, bisect_left(directory, wanted) - 1)
-        while at < len(directory) and directory[at] <= wanted:
-            if at != held:
-                rows = [x.split("\t") for x in zlib.decompress(data[at].as_py()).decode().split("\n")]
-                held, places = at, [_place(r[0], int(r[1]) if r[1] else None) for r in rows]
-            for r in rows[bisect_left(places, wanted) : bisect_right(places, wanted)]:
-                for x, v in zip(found, (wanted[2] if wanted[1] else None, r[2], r[3], int(r[4]), int(r[5])), strict=True):
-                    x.append(v)
+class Shard:
+    """The directory of one shard's blocks, bisected for what is wanted, in order; read(i) gives the lines of block i, and is asked once for each."""
+
+    def __init__(self, places: list[tuple[str, bool, int]], read: Callable[[int], bytes]):
+        self.directory, self.read, self.held = places, read, -1
+        self.rows: list[list[str]] = []
+        self.places: list[tuple[str, bool, int]] = []
+
+    def find(self, wanted: tuple[str, bool, int]) -> Iterator[list[str]]:
+        """Lines (key, page, type, file, offset, length) of a place; those asked for must not go down."""
+        at = max(0, bisect_left(self.directory, wanted) - 1)
+        while at < len(self.directory) and self.directory[at] <= wanted:
+            if at != self.held:
+                self.rows = [x.split("\t") for x in self.read(at).decode().split("\n")]
+                self.held, self.places = at, [_place(r[0], int(r[1]) if r[1] else None) for r in self.rows]
+            yield from self.rows[bisect_left(self.places, wanted) : bisect_right(self.places, wanted)]
             at += 1
-    return pa.table({"page_id": pa.array(found[0], pa.int64()), "record_type": pa.array(found[1], pa.string()), "file": pa.array(found[2], pa.string()), "offset": pa.array(found[3], pa.int64()), "length": pa.array(found[4], pa.int64())})
+
+
+FOUND = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _search(root: str):
+    """Streams each shard's directory and then what is wanted of it, in order; reads the wanted blocks by range, and no other."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, index, directory, file = None, None, [], None
+
+        def read(at: int) -> bytes:
+            nonlocal file
+            name, offset, length = directory[at][1:]
+            if file is None:
+                file = opened(f"{root}/{name}")
+            return inflated(file.read_at(length, offset))
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for x in (y for at in range(0, batch.num_rows, 4096) for y in batch.slice(at, 4096).to_pylist()):
+                if x["shard"] != shard:
+                    if file is not None:
+                        file.close()
+                    shard, index, directory, file = x["shard"], None, [], None
+                place = _place(x["key"], x["page_id"])
+                if not x["role"]:
+                    directory.append((place, x["file"], x["offset"], x["length"]))
+                    continue
+                index = index or Shard([d[0] for d in directory], read)
+                rows += [(x["page_id"], f[2], f[3], int(f[4]), int(f[5])) for f in index.find(place)]
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), FOUND.types)), schema=FOUND)
+                    rows = []
+        if file is not None:
+            file.close()
+        if rows:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), FOUND.types)), schema=FOUND)
+
+    return search
 
 
 def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -259,9 +319,11 @@ def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     A wanted row goes to the one shard that may hold its (key, page_id), or to all of them where
     its lines lie across borders. Only the shards' first keys and pages, one per shard, meet in the driver.
+    The directory of shards that something is wanted of travels to the tasks, blocks don't: a task reads those that
+    may hold what it wants, by range, each once. So one URL opens the directory and a block, or two at a block's border.
     """
-    index = spark.read.parquet(f"{path}/index")
-    firsts = sorted((_place(r.first_key, r.first_page), r.shard) for r in index.where("block = 0").select("shard", "first_key", "first_page").collect())
+    directory = spark.read.parquet(f"{path}/index/directory")
+    firsts = sorted((_place(r.first_key, r.first_page), r.shard) for r in directory.where("block = 0").select("shard", "first_key", "first_page").collect())
     places, shards = [p for p, _ in firsts], [s for _, s in firsts]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +340,12 @@ def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["shard", "key", "page_id"])
 
     asked = wanted.select("url", "page_id").mapInArrow(route, "shard int, `key` string, page_id long").distinct()
-    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_search, "page_id long, record_type string, file string, `offset` long, `length` long")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = asked.select("shard", F.lit(1).alias("role"), "key", "page_id", none("string").alias("file"), none("long").alias("offset"), none("long").alias("length"))
+    used = directory.join(asked.select("shard").distinct(), "shard", "left_semi").select("shard", F.lit(0).alias("role"), F.col("first_key").alias("key"), F.col("first_page").alias("page_id"), "file", "offset", "length")
+    # directory rows of one place stay in the order of their offsets
+    both = dealt(used.unionByName(asked), ["shard"], "role", "key", "page_id", "offset")
+    return both.mapInArrow(_search(f"{path}/index/blocks"), "page_id long, record_type string, file string, `offset` long, `length` long")
 
 
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])

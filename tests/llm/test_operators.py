@@ -5,7 +5,6 @@ import hashlib
 import json
 import random
 import re
-import types
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -148,21 +147,41 @@ def test_warc_reads_ranges_of_files_bounded_by_bytes(spark, tmp_path, monkeypatc
     assert [(a, n) for a, n, *_ in warc._ranges(asked)] == [(0, 30), (50_000, 5), (50_005, 2_000_000), (2_060_000, 1)]
 
 
-def test_warc_hot_url_opens_a_block_once(monkeypatch):
+def test_warc_hot_url_opens_a_block_once():
     lines = sorted([("k", None, 7), *(("k", i // 2, i) for i in range(400)), ("l", 5, 1)], key=lambda x: (x[0], x[1] is not None, x[1] or 0))
     parts = [lines[a : a + 10] for a in range(0, len(lines), 10)]
     line = lambda x: warc._line({"key": x[0], "page_id": x[1], "record_type": "response", "file": "f", "offset": x[2], "length": 1})
-    packed = [zlib.compress("\n".join(map(line, p)).encode()) for p in parts]
-    index = pa.table({"block": list(range(len(parts))), "first_key": [p[0][0] for p in parts], "first_page": pa.array([p[0][1] for p in parts], pa.int64()), "data": packed})
+    packed = ["\n".join(map(line, p)).encode() for p in parts]
     opened = []
-    monkeypatch.setattr(warc, "zlib", types.SimpleNamespace(decompress=lambda d: opened.append(d) or zlib.decompress(d)))
+    shard = warc.Shard([warc._place(*p[0][:2]) for p in parts], lambda at: opened.append(at) or packed[at])
     once = list(dict.fromkeys(x[:2] for x in lines))
-    asked = pa.table({"key": [k for k, _ in once], "page_id": pa.array([i for _, i in once], pa.int64())})
-    got = warc._search((), asked, index)
-    assert Counter(zip(got["page_id"].to_pylist(), got["offset"].to_pylist(), strict=True)) == Counter(x[1:] for x in lines)
+    got = [(i, int(f[4])) for k, i in once for f in shard.find(warc._place(k, i))]
+    assert Counter(got) == Counter(x[1:] for x in lines)
     assert len(opened) <= 2 * len(parts)
 
 
+def test_warc_lookup_reads_the_directory_and_one_block(spark, tmp_path):
+    """All blocks but those that may hold the URL are spoiled: who reads another one fails."""
+    pages = spark.createDataFrame([(i, f"http://h{i:04}.org/", f"page {i}") for i in range(3000)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, file_bytes=20_000)
+    warc.write_index(spark, path, block_lines=10, shard_lines=600)
+    directory = spark.read.parquet(f"{path}/index/directory").orderBy("shard", "block").collect()
+    assert len({r.shard for r in directory}) >= 5 and len(directory) >= 300 and sum(r.lines for r in directory) == 3000
+    for f in {r.file for r in directory}:
+        whole = (tmp_path / "w" / "index" / "blocks" / f).read_bytes()
+        assert len(whole) == sum(r.length for r in directory if r.file == f)
+    key = warc.surt("http://h1234.org/")
+    (own,) = [i for i, r in enumerate(directory) if r.first_key <= key and (i + 1 == len(directory) or key < directory[i + 1].first_key)]
+    for i, r in enumerate(directory):
+        if i not in (own - 1, own):
+            with open(tmp_path / "w" / "index" / "blocks" / r.file, "r+b") as f:
+                f.seek(r.offset)
+                f.write(b"x" * r.length)
+    found = warc.look_up(spark, path, spark.createDataFrame([("http://h1234.org/", 1234)], "url string, page_id long"))
+    assert [r.page_id for r in found.collect()] == [1234]
+
+
 def test_warc_hot_url_is_dealt_by_page(spark, tmp_path):
     pages = spark.createDataFrame([(i % 250 if i else None, None if i % 2 else "http://h/", f"page {i}") for i in range(600)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
