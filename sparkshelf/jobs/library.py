@@ -14,6 +14,7 @@ from sparkshelf.operators import cells, chunks, context, fts, fusion, maintenanc
 from sparkshelf.shipping import ship
 from sparkshelf.sources.catalog import Catalog, Transaction
 from sparkshelf.sources.corpus import FILES, Collections, scan_changes
+from sparkshelf.sources.sqlsearch import register_search
 from sparkshelf.streaming.ingest import DOCUMENTS, ingest
 
 CONTENT = "hash string, doc string, created_at string"
@@ -166,6 +167,10 @@ class Library:
         """docid, file, title, score and context of the best documents by words, from the stored index."""
         return self._described(fts.search(self.index(), query, limit, collection, min_score))
 
+    def register_sql(self, name: str = "shelf") -> None:
+        """Table functions for SQL, {name}_search(q, k) and {name}_search_in(q, k, collection), over the index as it is now; see sources/sqlsearch.py."""
+        register_search(self.spark, self.index(), name)
+
     def nearest(self, vector: list[float], limit: int = 10, collection: str | None = None, min_score: float | None = None) -> DataFrame:
         """The best documents by cosine of their first chunk. Where index_vectors() has been called since vectors last changed, only cells that may hold one are read."""
         note = self.catalog.state().notes.get("cells")

@@ -10,6 +10,7 @@ from sparkshelf.functions import paths, render, text
 from sparkshelf.jobs.library import Library
 from sparkshelf.operators import batch, cells, chunks, context, fts, fusion, maintenance, segments, status, vectors
 from sparkshelf.sources.corpus import from_documents, vectors_of
+from sparkshelf.sources.sqlsearch import register_search
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -845,3 +846,16 @@ def vec_cells_topk(spark, d):
 def vec_cells_batch_topk(spark, d):
     q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return stored_cells(spark, d).search_each(q, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("select cast(row_number() over () as bigint) as place, file, score from (" + _bm25([_term("license"), _term("under"), _term("mit")], "f0 > 0 or f1 > 0 or f2 > 0") + ")")
+def sql_search(spark, d):
+    """A search that is SQL: a table function over the stored index."""
+    register_search(spark, stored_index(spark, d), "shelf")
+    return spark.sql("select place, file, round(score, 6) as score from shelf_search('License, under: MIT!', 10)")
+
+
+@query(_bm25([_term("of"), _term("the")], "f0 > 0 or f1 > 0", "where c.collection = 'src3'"))
+def sql_search_in_collection(spark, d):
+    register_search(spark, stored_index(spark, d), "shelf")
+    return spark.sql("select s.doc_pk, substr(hash, 1, 6) as docid, file, round(score, 6) as score from shelf_search_in('of the', 10, 'src3') s join shelf_documents d on s.doc_pk = d.doc_pk")
