@@ -15,6 +15,8 @@ from .graph import connected_components
 
 #: Members of a large group with which all others are compared first; the best of them holds most of a dense group together.
 PIVOTS = 4
+#: Blocks of a group's rest up to which it is crossed without being split by marks.
+CROSSED = 8
 #: Of a group's rows: linked(i, rest) tells which of `rest` row i links with.
 Linked = Callable[[int, np.ndarray], np.ndarray]
 #: Of a group with some of its rows as pivots: for each row numbers of which any two linked rows have one in common. They may depend on the pivots.
@@ -146,8 +148,8 @@ def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch
     out = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b")
     count_left = lambda rows: rows.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
     left = count_left(split)
-    # a rest of one block meets its group in linear time; of larger ones only what hangs together by marks does
-    wide = cut(left.where("others > 1").select("key")) if marks else None
+    # a rest of few blocks is copied to them less than its marks would travel; of larger ones only what hangs together by marks meets
+    wide = cut(left.where(F.col("others") > CROSSED).select("key")) if marks else None
     if wide is not None and not wide.isEmpty():
         each = told.where("pivot is null").join(wide, "key").select("key", "rep", F.explode("marks").alias("mark")).join(split.select("key", "rep", "bound"), ["key", "rep"])
         common = each.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bool_and("bound").alias("done")).where("n > 1 and not done")

@@ -125,7 +125,6 @@ def tandems(s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
     Each suffix is asked in log(n) intervals at most.
     """
     found = intervals(s.lcp)
-    # a square of twice the depth has to fit in a document
     depth, low, high, a, b = found.T
     sizes = (high - low) - (b - a)
     of = np.repeat(np.arange(len(found)), sizes)

@@ -376,12 +376,14 @@ def test_a_document_that_repeats_a_passage_of_many_items():
     assert document.tolist() == [0] * 8000 + [2] and (end - begin).tolist() == [10] * 8001 and begin[:3].tolist() == [0, 11, 22]
 
 
-@pytest.mark.parametrize(("size", "most"), [(3, 7), (3, 40), (3, 5000), (5, 25)])
-def test_pages_of_a_template_and_their_copies(spark, size, most):
+@pytest.mark.parametrize(("size", "most", "crossed"), [(3, 7, 8), (3, 40, 1), (3, 5000, 8), (5, 25, 8), (5, 25, 1)])
+def test_pages_of_a_template_and_their_copies(spark, monkeypatch, size, most, crossed):
     """Pages that share most words without a link, with near copies of some: only these are held together."""
     from test_operators import brute_components, sets_of
 
-    from sparkshelf.llm import neardup
+    from sparkshelf.llm import groups, neardup
+
+    monkeypatch.setattr(groups, "CROSSED", crossed)
 
     r = random.Random(size + most)
     frame = [f"t{k}" for k in range(120)]
