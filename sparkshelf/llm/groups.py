@@ -147,10 +147,10 @@ def large_star_groups(rows: DataFrame, most: int, make: Callable[[pa.RecordBatch
     split = cut(rows.join(bound, ["key", "rep"], "left").withColumn("bound", F.coalesce("bound", F.lit(False))))
     out = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b")
     count_left = lambda rows: rows.where(~F.col("bound")).groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("others"))
-    left = count_left(split)
+    left = cut(count_left(split))
     # a rest of few blocks is copied to them less than its marks would travel; of larger ones only what hangs together by marks meets
-    wide = cut(left.where(F.col("others") > CROSSED).select("key")) if marks else None
-    if wide is not None and not wide.isEmpty():
+    if marks and (left.agg(F.max("others")).first()[0] or 0) > CROSSED:
+        wide = left.where(F.col("others") > CROSSED).select("key")
         each = told.where("pivot is null").join(wide, "key").select("key", "rep", F.explode("marks").alias("mark")).join(split.select("key", "rep", "bound"), ["key", "rep"])
         common = each.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bool_and("bound").alias("done")).where("n > 1 and not done")
         together = connected_components(each.join(common, ["key", "mark"]).select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b"))

@@ -224,9 +224,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     signed = cut(rows.mapInArrow(_signatures(size), "doc_id long, text_hash long, n long, one long, two long, signature array<int>"))
     some = signed.where("n > 0 and doc_id is not null")
-    # a class's number tells it from others that share its smallest doc_id
     classes = some.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
-    classes = cut(classes.select("one", "two", "n", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "signature", F.monotonically_increasing_id().alias("rep")))
+    classes = cut(classes.select("one", "two", "n", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), "signature"))
+    # a class goes by its smallest doc_id, or by a number where others share one
+    shared = not classes.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    classes = classes.withColumn("rep", F.monotonically_increasing_id() if shared else F.col("least"))
     tokens = classes.select("rep", F.posexplode(F.slice("signature", 1, POSTED)).alias("c", "value")).select("rep", F.xxhash64("c", "value").alias("token"))
     lengths = cut(tokens.groupBy("token").agg(F.count("*").alias("length")).where("length > 1"))
     posted = tokens.join(lengths, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("length", "token"))).alias("tokens"))
@@ -250,10 +252,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_rows
         exact = star_groups(sets.where(F.col("size") <= group_rows), ["key"], _confirmed(percent)).unionByName(large_star_groups(large, group_rows, _confirmed(percent), _rarest(percent)))
     else:
         exact = star_groups(sets, ["key"], _confirmed(percent))
-    exact = connected_components(exact).withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep")
-    lowest = exact.groupBy("component").agg(F.min("least").alias("lowest"))
-    exact = exact.select("rep", "component").join(lowest, "component").select("rep", "lowest")
-    found = classes.join(exact, "rep", "left").select("one", "two", "n", F.coalesce("lowest", "least").alias("component"))
+    exact = connected_components(exact).withColumnRenamed("node", "rep")
+    if shared:  # the smallest number need not be the smallest doc_id's
+        exact = exact.join(classes.select("rep", "least"), "rep")
+        lowest = exact.groupBy("component").agg(F.min("least").alias("lowest"))
+        exact = exact.select("rep", "component").join(lowest, "component").select("rep", F.col("lowest").alias("component"))
+    found = classes.join(exact, "rep", "left").select("one", "two", "n", F.coalesce("component", "least").alias("component"))
     linked = signed.drop("signature").join(found, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
