@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -204,7 +205,8 @@ def leaves(tree) -> list[Near]:
     return [tree] if isinstance(tree, Near) else [x for p in tree.parts for x in leaves(p)]
 
 
-POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long"
+#: lead: the first of its document's postings of the term, so that documents of a term are counted without being told apart.
+POSTINGS = "term string, doc_pk long, col int, tf int, positions array<int>, dl long, lead boolean"
 
 
 class Ranges:
@@ -232,14 +234,15 @@ class Ranges:
                 part = self.parts(coded.dictionary.to_pylist(), coded.indices.to_numpy(), batch["doc_pk"].to_numpy())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
 
-        return rows.select("term", "doc_pk", "col", "tf", "positions", "dl").mapInArrow(assign, f"{POSTINGS}, part int")
+        return rows.select("term", "doc_pk", "col", "tf", "positions", "dl", "lead").mapInArrow(assign, f"{POSTINGS}, part int")
 
 
 def postings(corpus: DataFrame, stemmed: bool, ranges: Ranges | None = None) -> DataFrame:
-    """(term, doc_pk, col, tf, positions, dl) of a corpus (doc_pk, collection, path, title, body), with ranges also the part.
+    """(term, doc_pk, col, tf, positions, dl, lead) of a corpus (doc_pk, collection, path, title, body), with ranges also the part.
 
     A document's tokens stand in one row, so they are grouped where they are read: tokens never
-    travel one by one. Arrow encodes a batch's terms as numbers, which one sort groups.
+    travel one by one. Arrow encodes a batch's terms as numbers, which one sort groups. Postings leave
+    in the order of terms, so that who sorts them all merges runs.
     """
     columns = [F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body")]
     rows = corpus.select(F.col("doc_pk").cast("long").alias("doc_pk"), *[tokens(x).alias(name) for name, x in zip(COLUMNS, columns, strict=True)])
@@ -259,16 +262,21 @@ def postings(corpus: DataFrame, stemmed: bool, ranges: Ranges | None = None) ->
                 code, terms = terms.indices.to_numpy()[code], terms.dictionary
                 if len(known) > KNOWN_STEMS:
                     known.clear()
-            order = np.argsort(owner << 32 | code, kind="stable")
+            by_name = pc.sort_indices(terms).to_numpy()
+            place = np.empty(len(by_name), np.int64)
+            place[by_name] = np.arange(len(by_name))
+            order = np.argsort(place[code] << 32 | owner, kind="stable")
             owner, code = owner[order], code[order]
             new = np.ones(len(order), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
             heads = np.flatnonzero(new)
             ends = np.append(heads, len(order))
             row = owner[heads] // 3
+            lead = np.ones(len(heads), bool)
+            lead[1:] = (row[1:] != row[:-1]) | (code[heads][1:] != code[heads][:-1])
             places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position[order], pa.int32()))
-            held = [terms.take(pa.array(code[heads])), batch["doc_pk"].take(pa.array(row)), pa.array(owner[heads] % 3, pa.int32()), pa.array(np.diff(ends), pa.int32()), places, pa.array(sizes.sum(axis=0)[row], pa.int64())]
-            names = ["term", "doc_pk", "col", "tf", "positions", "dl"]
+            held = [terms.take(pa.array(code[heads])), batch["doc_pk"].take(pa.array(row)), pa.array(owner[heads] % 3, pa.int32()), pa.array(np.diff(ends), pa.int32()), places, pa.array(sizes.sum(axis=0)[row], pa.int64()), pa.array(lead)]
+            names = ["term", "doc_pk", "col", "tf", "positions", "dl", "lead"]
             if ranges is not None:
                 held.append(pa.array(ranges.parts(terms.to_pylist(), code[heads], batch["doc_pk"].to_numpy()[row]), pa.int32()))
                 names.append("part")
@@ -279,7 +287,7 @@ def postings(corpus: DataFrame, stemmed: bool, ranges: Ranges | None = None) ->
 
 @dataclass
 class Index:
-    """postings (term, doc_pk, col, tf, positions, dl); documents (doc_pk, dl: tokens of all columns, collection, path, title, hash), those without tokens, too; totals: one row of n and avgdl."""
+    """postings (term, doc_pk, col, tf, positions, dl, lead); documents (doc_pk, dl: tokens of all columns, collection, path, title, hash), those without tokens, too; totals: one row of n and avgdl."""
 
     postings: DataFrame
     documents: DataFrame
@@ -343,7 +351,8 @@ def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     ordered.write.partitionBy("part").parquet(f"{path}/postings")
     written = spark.read.schema(f"{POSTINGS}, part int").parquet(f"{path}/postings")
     # lengths are known from the postings: bodies are cut to tokens only once
-    sizes = written.groupBy("doc_pk").agg(F.first("dl").alias("dl"))
+    # each column that has tokens has one posting at its start
+    sizes = written.where(F.col("positions")[0] == 0).groupBy("doc_pk").agg(F.first("dl").alias("dl"))
     documents = index.documents.drop("dl").join(sizes, "doc_pk", "left").withColumn("dl", F.coalesce("dl", F.lit(0)).cast("long"))
     documents.select("doc_pk", "dl", "collection", "path", "title", "hash").write.parquet(f"{path}/documents")
     spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
