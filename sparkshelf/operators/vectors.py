@@ -125,20 +125,20 @@ def query_prompt(text: Column) -> Column:
 
 
 def hashed_embedding(dimensions: int = 64):
-    """A model-free embedder: signed counts of hashed tokens, to length 1."""
+    """A model-free embedder: signed counts of hashed tokens, to length 1. Besides a batch as it came, a task holds one text and the vectors."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            out = []
-            for text in s:
+    @F.arrow_udf("array<float>")
+    def embed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            out = np.zeros((len(batch), dimensions), np.float32)
+            for i, text in enumerate(batch):
                 x = np.zeros(dimensions)
-                for w in (text or "").lower().split():
+                for w in (text.as_py() or "").lower().split():
                     h = crc32(w.encode())
                     x[h % dimensions] += 1 if h >> 31 else -1
                 n = np.linalg.norm(x)
-                out.append((x / n if n else x).astype(np.float32))
-            yield pd.Series(out)
+                out[i] = x / n if n else x
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dimensions, pa.int32()), pa.array(out.reshape(-1)))
 
     return embed
 
