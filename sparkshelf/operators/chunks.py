@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,26 +67,41 @@ def by_tokens(text: str, most: int = TOKENS, overlap: int = TOKEN_OVERLAP, count
         yield start, held, size
 
 
+#: Characters of chunks that a task holds before it hands them on.
+HELD_CHARS = 1_000_000
+
+
+def _rows(docs: DataFrame, key: str, body: str, fields: str, cut: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """(key, seq, fields) of each document's pieces; the last field is the chunk. Besides a batch as it came, a task holds one text and few chunks."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(0).type, *[pa.int32()] * (fields.count(",") + 1), pa.string()]
+            names = [key, "seq", *[f.split()[0] for f in fields.split(", ")]]
+            rows, held = [], 0
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)  # noqa: B023, E731
+            for k, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = k.as_py()
+                for seq, piece in enumerate(cut(text.as_py())):
+                    rows.append((own, seq, *piece))
+                    held += len(piece[-1])
+                    if held >= HELD_CHARS:
+                        yield made()
+                        rows, held = [], 0
+            if rows:
+                yield made()
+
+    return docs.select(key, body).mapInArrow(pieces, f"`{key}` {docs.schema[key].dataType.simpleString()}, seq int, {fields}")
+
+
 def chunk_chars(docs: DataFrame, key: str, body: str, most: int = CHARS, overlap: int = CHAR_OVERLAP) -> DataFrame:
     """(key, seq, pos, chunk) of all documents; those that fit stay out of Python."""
     fits = F.length(body) <= most
     short = docs.where(fits).select(key, F.lit(0).alias("seq"), F.lit(0).alias("pos"), F.col(body).alias("chunk"))
-
-    @F.pandas_udf("array<struct<pos:int,chunk:string>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [{"pos": p, "chunk": c} for p, c in by_chars(t, most, overlap)])
-
-    long = docs.where(~fits).select(key, F.posexplode(cut(body)).alias("seq", "c")).select(key, "seq", "c.pos", "c.chunk")
-    return short.unionByName(long)
+    return short.unionByName(_rows(docs.where(~fits), key, body, "pos int, chunk string", lambda t: by_chars(t, most, overlap)))
 
 
 def chunk_tokens(docs: DataFrame, key: str, body: str, most: int = TOKENS, overlap: int = TOKEN_OVERLAP, count: Callable[[str], int] = count_words) -> DataFrame:
     """(key, seq, pos, tokens, chunk) of all documents."""
-
-    @F.pandas_udf("array<struct<pos:int,tokens:int,chunk:string>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [{"pos": p, "tokens": n, "chunk": c} for p, c, n in by_tokens(t, most, overlap, count)])
-
-    return docs.where(F.col(body).isNotNull()).select(key, F.posexplode(cut(body)).alias("seq", "c")).select(key, "seq", "c.pos", "c.tokens", "c.chunk")
+    cut = lambda t: ((p, n, c) for p, c, n in by_tokens(t, most, overlap, count))
+    return _rows(docs.where(F.col(body).isNotNull()), key, body, "pos int, tokens int, chunk string", cut)
