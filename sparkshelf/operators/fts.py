@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut
@@ -295,11 +295,14 @@ class Index:
     stemmed: bool
     #: What postings are made of, where they are a plan over bodies.
     corpus: DataFrame | None = None
+    some: Callable[[Column], DataFrame] | None = None
 
     def sampled(self, share: int) -> DataFrame:
         """Postings of one in `share` documents by a hash of their key; of a corpus only their bodies are cut to tokens."""
         own = F.pmod(F.xxhash64("doc_pk", F.lit(11)), F.lit(share)) == 0
-        return self.postings.where(own) if self.corpus is None else postings(self.corpus.where(own), self.stemmed)
+        if self.corpus is None:
+            return self.postings.where(own)
+        return postings(self.some(own) if self.some else self.corpus.where(own), self.stemmed)
 
     def in_parts(self, ranges: Ranges) -> DataFrame:
         """Postings with their part."""
@@ -314,16 +317,21 @@ class Index:
         return self.postings.join(terms, "term", "left_semi")
 
 
-def build_index(corpus: DataFrame, stemmed: bool = True) -> Index:
-    """Postings and sizes of a corpus (doc_pk, collection, path, title, body, hash), as a plan that reads all bodies; write_index() keeps them."""
+def build_index(corpus: DataFrame, stemmed: bool = True, some: Callable[[Column], DataFrame] | None = None) -> Index:
+    """Postings and sizes of a corpus (doc_pk, collection, path, title, body, hash), as a plan that reads all bodies; write_index() keeps them.
+
+    some: gives the corpus's few rows for which a condition on doc_pk holds, where that costs less than to filter the corpus.
+    """
     n = sum((F.size(tokens(x)) for x in (F.concat_ws("/", "collection", "path"), F.col("title"), F.col("body"))), F.lit(0)).cast("long")
     names = [c if c in corpus.columns else F.lit(None).cast("string").alias(c) for c in ("collection", "path", "title", "hash")]
     documents = corpus.select("doc_pk", n.alias("dl"), *names)
-    return Index(postings(corpus, stemmed), documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed, corpus)
+    return Index(postings(corpus, stemmed), documents, documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed, corpus, some)
 
 
 #: Postings of a part of a stored index, at most, and at least where more parts would keep more cores busy.
 PART_ROWS, LEAST_ROWS = 4_000_000, 100_000
+#: Bytes of a part's postings while they are sorted, about, and of a posting without its positions.
+PART_BYTES, POSTING_BYTES = 256 << 20, 140
 #: Postings that ranges are told from, about, and how many a document may have in that reckoning.
 SAMPLED, DOCUMENT_POSTINGS = 200_000, 200
 
@@ -332,19 +340,19 @@ def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     """Keeps an index below `path`: postings in parts that are ranges of (term, doc_pk), sorted, so that a common term takes as many parts as it needs; a sparse directory of each part's first and last term; documents; totals.
 
     Ranges and their number come from the postings of a sample of documents, so all postings are made,
-    dealt and written once. The directory is written last: an index without it isn't read.
+    dealt and written once. Parts are alike in bytes, not in postings: those of common terms have many
+    positions. The directory is written last: an index without it isn't read.
     """
     spark = index.documents.sparkSession
     # some postings of every part, in all no more than one task can order
     about = index.documents.count() * DOCUMENT_POSTINGS
     share = max(1, about // max(SAMPLED, 20 * about // part_rows))
-    sample = cut(index.sampled(share).select("term", "doc_pk"))
-    held = sample.count()
+    sample = cut(index.sampled(share).select("term", "doc_pk", (F.lit(POSTING_BYTES) + 4 * F.col("tf").cast("long")).alias("bytes")))
+    held, size = sample.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     n = held * share
-    parts = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
-    step = max(1, -(-held // parts))
-    place = F.row_number().over(Window.orderBy("term", "doc_pk")) - 1
-    ranges = Ranges([tuple(r) for r in sample.withColumn("_n", place).where(F.col("_n") % step == 0).where("_n > 0").distinct().orderBy("term", "doc_pk").select("term", "doc_pk").collect()] if parts > 1 else [])
+    parts = max(1, -(-n // part_rows), -(-size * share // PART_BYTES), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    spans = _spans(sample, max(1, -(-size // parts)))
+    ranges = Ranges([(s.term, s.doc_pk) for s in spans[1:]])
     parts = len(ranges.terms) + 1
     # sorted by the part, too, so that the writer needs no order of its own
     ordered = index.in_parts(ranges).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "term", "doc_pk", "col")
@@ -356,7 +364,18 @@ def write_index(index: Index, path: str, part_rows: int = PART_ROWS) -> None:
     documents = index.documents.drop("dl").join(sizes, "doc_pk", "left").withColumn("dl", F.coalesce("dl", F.lit(0)).cast("long"))
     documents.select("doc_pk", "dl", "collection", "path", "title", "hash").write.parquet(f"{path}/documents")
     spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(index.stemmed).alias("stemmed")).write.parquet(f"{path}/totals")
-    written.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("postings")).coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
+    # least and greatest strings need a sort, so only rows beyond the sample's own come to it
+    known = spark.createDataFrame([(i, s.term, s.last) for i, s in enumerate(spans)], "part int, low string, high string")
+    beyond = written.select("part", "term").join(F.broadcast(known), "part", "left").where("low is null or term < low or term > high").groupBy("part").agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
+    directory = written.groupBy("part").agg(F.count("*").alias("postings")).join(F.broadcast(known), "part", "left").join(beyond, "part", "left")
+    directory.select("part", F.least("low", "least").alias("first"), F.greatest("high", "greatest").alias("last"), "postings").coalesce(1).sortWithinPartitions("part").write.parquet(f"{path}/directory")
+
+
+def _spans(sample: DataFrame, step: int) -> list[Row]:
+    """(term, doc_pk, last): the first entry and the last term of each part, in order, for parts of `step` bytes of a sample (term, doc_pk, bytes)."""
+    before = F.sum("bytes").over(Window.orderBy("term", "doc_pk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    placed = sample.select("term", "doc_pk", F.floor(before / step).alias("part")).groupBy("part").agg(F.min(F.struct("term", "doc_pk")).alias("entry"), F.max("term").alias("last"))
+    return placed.select("entry.*", "last").groupBy("term", "doc_pk").agg(F.max("last").alias("last")).orderBy("term", "doc_pk").collect()
 
 
 DIRECTORY = "part int, first string, last string, postings long"

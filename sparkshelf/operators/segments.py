@@ -6,14 +6,17 @@ import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut
+from sparkshelf.functions import text
 from sparkshelf.operators import fts
 
 #: Segments of one size class that are merged, the postings of the smallest class, and the share of dead documents from which a segment is written anew.
 FANOUT, SMALLEST, MOST_DEAD = 4, 100_000, 0.25
+#: Keys of changed documents that are sent to all tasks, at most.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,7 @@ class SegmentedIndex(fts.Index):
     def totals(self) -> DataFrame:
         n = sum(s.documents - s.dead for s in self.layout.segments)
         tokens = sum(s.tokens - s.dead_tokens for s in self.layout.segments)
-        return self.spark.createDataFrame([(n, tokens / n if n else None)], "n long, avgdl double")
+        return self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens / n if n else None).cast("double").alias("avgdl"))
 
     def dead(self) -> DataFrame | None:
         """(doc_pk, dead_before): the number of the last tombstone."""
@@ -121,13 +124,14 @@ def _written(spark: SparkSession, index: fts.Index, folder: str, path: str, numb
     return Segment(folder, number, sizes[0], sizes[1], n, purged=purged)
 
 
-def refreshed(spark: SparkSession, layout: Layout, corpus: DataFrame, at: Callable[[str], str], new_folder: Callable[[], str]) -> Layout:
+def refreshed(spark: SparkSession, layout: Layout, corpus: DataFrame, at: Callable[[str], str], new_folder: Callable[[], str], some: Callable[[Column], DataFrame] | None = None) -> Layout:
     """The layout after the corpus (doc_pk, collection, path, title, body, hash) has changed; the same if it hasn't.
 
     Documents are compared by key, title and hash; only those that are new or differ have their bodies
     read and indexed, as a new segment, and those that are gone or differ get a tombstone. Segments of
     one size class are merged when there are FANOUT of them, so that a posting is written again about
     log(corpus) times. Folders that aren't used any more stay for those who read older layouts.
+    some: gives the corpus's few rows for which a condition on doc_pk holds, where that costs less than to filter the corpus.
     """
     index = SegmentedIndex(spark, layout, at)
     held = index.live(lambda i: i.documents)
@@ -135,10 +139,12 @@ def refreshed(spark: SparkSession, layout: Layout, corpus: DataFrame, at: Callab
     if held is None and corpus.isEmpty():
         return layout
     if held is None:
-        built = _written(spark, fts.build_index(corpus, layout.stemmed), folder := new_folder(), at(folder), number, number)
+        built = _written(spark, fts.build_index(corpus, layout.stemmed, some), folder := new_folder(), at(folder), number, number)
         return Layout(layout.stemmed, (built,), layout.tombstones)
-    now = corpus.select("doc_pk", F.col("title").alias("n_title"), F.col("hash").alias("n_hash"), F.lit(True).alias("there"))
-    both = held.select("doc_pk", "title", "hash", "dl", "segment").join(now, "doc_pk", "full_outer")
+    # a title may be as long as its body: digests meet in its place
+    title = text.content_hash(F.col("title"))
+    now = corpus.select("doc_pk", title.alias("n_title"), F.col("hash").alias("n_hash"), F.lit(True).alias("there"))
+    both = held.select("doc_pk", title.alias("title"), "hash", "dl", "segment").join(now, "doc_pk", "full_outer")
     differs = F.col("segment").isNull() | F.col("there").isNull() | ~F.col("title").eqNullSafe(F.col("n_title")) | ~F.col("hash").eqNullSafe(F.col("n_hash"))
     changes = cut(both.where(differs).select("doc_pk", "dl", "segment", F.col("there").isNotNull().alias("there")))
     counts = {r.segment: r for r in changes.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.sum(F.col("there").cast("int")).alias("there")).collect()}
@@ -151,7 +157,9 @@ def refreshed(spark: SparkSession, layout: Layout, corpus: DataFrame, at: Callab
         changes.where("segment is not null").select("doc_pk").write.parquet(at(folder))
         tombstones.append((folder, number))
     if any(r.there for r in counts.values()):
-        fresh = corpus.join(changes.where("there").select("doc_pk"), "doc_pk", "left_semi")
+        keys = changes.where("there").select("doc_pk")
+        # bodies of the rest don't travel where the keys of the changes may
+        fresh = corpus.join(F.broadcast(keys) if sum(r.there or 0 for r in counts.values()) <= FEW else keys, "doc_pk", "left_semi")
         segments.append(_written(spark, fts.build_index(fresh, layout.stemmed), folder := new_folder(), at(folder), number, number))
     return merged(spark, Layout(layout.stemmed, tuple(segments), tuple(tombstones)), at, new_folder)
 

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from sparkshelf.checkpoints import cut
 from sparkshelf.operators import fts, segments
 
 
@@ -46,3 +48,39 @@ def test_postings_leave_in_the_order_of_terms(spark, corpus):
     """So that sorting them merges runs."""
     rows = fts.postings(corpus.coalesce(1), stemmed=True).select("term", "doc_pk").collect()
     assert [r.term for r in rows] == sorted(r.term for r in rows) and len(rows) > 300
+
+
+def test_parts_are_alike_in_bytes(spark, tmp_path, monkeypatch):
+    """A common term's postings have many positions: parts of as many postings as others would hold far more of them."""
+    monkeypatch.setattr(fts, "PART_BYTES", 20_000, raising=False)
+    rows = [(i, "c", f"p{i}", "", "often " * 200 + f"w{i}") for i in range(100)]
+    corpus = spark.createDataFrame(rows, "doc_pk long, collection string, path string, title string, body string")
+    fts.write_index(fts.build_index(corpus, stemmed=False), str(tmp_path / "i"))
+    held = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    sizes = [r.bytes for r in held.groupBy("part").agg(F.sum(F.lit(140) + 4 * F.col("tf")).alias("bytes")).collect()]
+    assert held.count() == 400 and len(sizes) >= 7 and max(sizes) <= 22_000
+
+
+def test_the_directory_tells_first_and_last_terms(spark, corpus, index):
+    told = {(r.part, r.first, r.last, r.postings) for r in index.directory.collect()}
+    rows = spark.read.parquet(f"{index.path}/postings").groupBy("part").agg(F.min("term"), F.max("term"), F.count("*"))
+    assert len(told) > 2 and told == {tuple(r) for r in rows.collect()}
+
+
+def test_long_titles_are_compared_by_digest(spark, corpus, tmp_path, monkeypatch):
+    n, seen = [0], []
+
+    def folder():
+        n[0] += 1
+        return f"s{n[0]}"
+
+    at = lambda name: str(tmp_path / name)
+    layout = segments.refreshed(spark, segments.Layout(stemmed=False), corpus, at, folder)
+    monkeypatch.setattr(segments, "cut", lambda df: seen.append(df) or cut(df))
+    other = corpus.withColumn("title", F.when(F.col("doc_pk") < 9, F.concat("title", F.lit(" other"))).otherwise(F.col("title")))
+    layout = segments.refreshed(spark, layout, other, at, folder)
+    assert layout.segments[1].documents == 3 == layout.segments[0].dead
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join FullOuter") :].splitlines()
+    sides = [line for line in join if "sha2" in line and (" AS title#" in line or " AS n_title#" in line)]
+    assert len(sides) == 2, plan
