@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.checkpoints import cut
@@ -65,9 +65,11 @@ class Library:
         return self._corpus(self.catalog.rows(state, "documents", DOCUMENTS), self.catalog.rows(state, "content", CONTENT))
 
     @staticmethod
-    def _corpus(documents: DataFrame, content: DataFrame) -> DataFrame:
-        rows = documents.where("active").join(content.select("hash", F.col("doc").alias("body")), "hash")
-        return rows.withColumn("doc_pk", F.xxhash64("collection", "path"))
+    def _corpus(documents: DataFrame, content: DataFrame, few: Column | None = None) -> DataFrame:
+        """few: a condition on doc_pk that few documents meet; no bodies of others travel."""
+        rows = documents.where("active").withColumn("doc_pk", F.xxhash64("collection", "path"))
+        rows = rows if few is None else F.broadcast(rows.where(few))
+        return rows.join(content.select("hash", F.col("doc").alias("body")), "hash")
 
     def add(self, name: str, folder: str, pattern: str = "**/*.md") -> DataFrame:
         """Takes a folder in as a collection; gives its changes, as update() does."""
@@ -156,7 +158,8 @@ class Library:
                 return layout
             # the state that is indexed may go on changing: the next one to ask sees it
             rows = lambda table, schema: self.catalog.rows(t.state, table, schema)
-            after = segments.refreshed(self.spark, layout, self._corpus(rows("documents", DOCUMENTS), rows("content", CONTENT)), self.catalog.at, lambda: self.catalog.new_folder("index"))
+            corpus = lambda few=None: self._corpus(rows("documents", DOCUMENTS), rows("content", CONTENT), few)
+            after = segments.refreshed(self.spark, layout, corpus(), self.catalog.at, lambda: self.catalog.new_folder("index"), corpus)
             t.note("index", after.note())
             t.note("indexed", shown)
             return after

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,20 +13,33 @@ DOCUMENTS = "collection string, path string, title string, hash string, created_
 
 
 def changed_documents(batch: DataFrame) -> DataFrame:
-    """(collection, path, title, hash, body, active): the last row of each path in a batch.
+    """(collection, path, title, hash, active): the last row of each path in a batch. Bodies stay where they are: their hash tells them.
 
     The batch has collection, path and body (null: the document is deleted), and may have a title, or
     title and hash in place of a body that is kept elsewhere, deleted, and modified_at. The latest
     modified_at counts, then a document before a deletion, then the largest hash; so a batch that runs again gives the same rows.
     """
     held = set(batch.columns)
-    body = F.col("body").cast("string") if "body" in held else F.lit(None).cast("string")
-    hash_ = text.content_hash(body) if "body" in held else F.col("hash")
+    body, hash_ = _body(batch), _hash(batch)
     title = F.coalesce(F.col("title"), text.title(body), F.lit("")) if "title" in held else F.coalesce(text.title(body), F.lit(""))
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in held else F.lit(False)
-    rows = batch.select("collection", "path", title.alias("title"), hash_.alias("hash"), body.alias("body"), (hash_.isNotNull() & ~gone).alias("active"), (F.col("modified_at").cast("string") if "modified_at" in held else F.lit("")).alias("at"))
-    last = F.max_by(F.struct("title", "hash", "body", "active"), F.struct("at", "active", "hash", "title"))
-    return rows.groupBy("collection", "path").agg(last.alias("x")).select("collection", "path", F.when(F.col("x.active"), F.col("x.title")).otherwise("").alias("title"), F.when(F.col("x.active"), F.col("x.hash")).alias("hash"), "x.body", "x.active")
+    rows = batch.select("collection", "path", title.alias("title"), hash_.alias("hash"), (hash_.isNotNull() & ~gone).alias("active"), (F.col("modified_at").cast("string") if "modified_at" in held else F.lit("")).alias("at"))
+    last = rows.groupBy("collection", "path").agg(F.max(F.struct("at", "active", "hash", "title")).alias("x"))
+    return last.select("collection", "path", F.when(F.col("x.active"), F.col("x.title")).otherwise("").alias("title"), F.when(F.col("x.active"), F.col("x.hash")).alias("hash"), "x.active")
+
+
+def changed_contents(batch: DataFrame, documents: DataFrame) -> DataFrame:
+    """(hash, doc): each body of a batch once, of those that the changed documents have. Bodies are dealt once, by hash, copies in a task as one."""
+    bodies = batch.select(_hash(batch).alias("hash"), _body(batch).alias("doc")).where("hash is not null").groupBy("hash").agg(F.first("doc").alias("doc"))
+    return bodies.join(documents.where("active").select("hash"), "hash", "left_semi")
+
+
+def _body(batch: DataFrame) -> Column:
+    return F.col("body").cast("string") if "body" in batch.columns else F.lit(None).cast("string")
+
+
+def _hash(batch: DataFrame) -> Column:
+    return text.content_hash(_body(batch)) if "body" in batch.columns else F.col("hash")
 
 
 def apply_batch(catalog: Catalog, batch: DataFrame, now: str, once: tuple[str, int] | None = None) -> bool:
@@ -37,10 +50,10 @@ def apply_batch(catalog: Catalog, batch: DataFrame, now: str, once: tuple[str, i
     rows = changed_documents(batch)
 
     def work(t: Transaction) -> bool:
+        folder = t.append("documents", rows.select("collection", "path", "title", "hash", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), "active"))
         if "body" in batch.columns:
-            new = rows.where("active").groupBy("hash").agg(F.first("body").alias("doc"))
-            t.append("content", new.select("hash", "doc", F.lit(now).alias("created_at")))
-        t.append("documents", rows.select("collection", "path", "title", "hash", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), "active"))
+            written = batch.sparkSession.read.schema(DOCUMENTS).parquet(catalog.at(folder))
+            t.append("content", changed_contents(batch, written).select("hash", "doc", F.lit(now).alias("created_at")))
         return True
 
     return bool(catalog.run(work, once))

@@ -11,7 +11,7 @@ from sparkshelf.jobs.library import Library
 from sparkshelf.operators import fts, segments
 from sparkshelf.sources.catalog import Catalog, Conflict, State, Transaction
 from sparkshelf.sources.corpus import FILES, list_files, scan_changes
-from sparkshelf.streaming.ingest import DOCUMENTS, apply_batch
+from sparkshelf.streaming.ingest import DOCUMENTS, apply_batch, changed_documents
 
 NOW, LATER = "2024-02-01T00:00:00Z", "2024-03-01T00:00:00Z"
 CONTENT = "hash string, doc string, created_at string"
@@ -151,6 +151,19 @@ def test_streamed_documents_are_found_and_deleted_ones_arent(spark, tmp_path):
     assert {r.created_at for r in lib.documents.where("path = 'a'").collect()} == {NOW}
 
 
+def test_bodies_of_a_batch_are_dealt_by_hash_alone(spark, tmp_path):
+    """Last rows are told without bodies; each body that they have is stored once, others aren't."""
+    rows = [("c", "a", "first", "1"), ("c", "a", "second", "2"), ("c", "b", "second", "1"), ("c", "x", "gone", "1"), ("c", "x", None, "2"), ("d", "a", "", "1")]
+    batch = spark.createDataFrame(rows, "collection string, path string, body string, modified_at string")
+    assert "body" not in changed_documents(batch).columns
+    lib = Library(spark, str(tmp_path / "root"), NOW)
+    assert apply_batch(lib.catalog, batch, NOW)
+    assert sorted(r.doc for r in lib.content.collect()) == ["", "second"]
+    assert {(r.collection, r.path, r.body) for r in lib.corpus().collect()} == {("c", "a", "second"), ("c", "b", "second"), ("d", "a", "")}
+    few = lib._corpus(lib.documents, lib.content, F.col("doc_pk") == lib.corpus().where("path = 'b'").first().doc_pk)
+    assert [(r.path, r.body) for r in few.collect()] == [("b", "second")]
+
+
 def old(path, seconds=100):
     t = time.time() - seconds
     os.utime(path, (t, t))
